@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from tidemark.llm import exactdedup, urlfilter
+from tidemark.llm import exactdedup, linededup, media, packing, urlfilter
 from tidemark.llm._scratch import documents
 
 QUERIES = {
+    "op1_media_columns": lambda spark, d: media.media_report(documents(spark, d)),
+    "op2_packing": lambda spark, d: packing.pack(documents(spark, d)),
+    "op3_line_dedup": lambda spark, d: linededup.line_dedup_report(documents(spark, d)),
     "op4_url_filter": lambda spark, d: urlfilter.url_filter(spark.read.parquet(f"{d}/pages.parquet")),
     "op5_exact_dedup": lambda spark, d: exactdedup.exact_dedup(documents(spark, d)),
 }
 
 ORACLE_SQL = {
+    "op3_line_dedup": linededup.ORACLE_SQL,
     "op5_exact_dedup": exactdedup.ORACLE_SQL,
 }
