@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import exactdedup, linededup, media, packing, urlfilter
+from tidemark.llm import exactdedup, langid, linededup, media, packing, urlfilter, wfst
 from tidemark.llm._scratch import documents
 
 QUERIES = {
@@ -11,6 +11,8 @@ QUERIES = {
     "op3_line_dedup": lambda spark, d: linededup.line_dedup_report(documents(spark, d)),
     "op4_url_filter": lambda spark, d: urlfilter.url_filter(spark.read.parquet(f"{d}/pages.parquet")),
     "op5_exact_dedup": lambda spark, d: exactdedup.exact_dedup(documents(spark, d)),
+    "op6_sentencepiece_transducer": lambda spark, d: wfst.transducer_report(documents(spark, d)),
+    "op8_language_id": lambda spark, d: langid.language_report(documents(spark, d)),
 }
 
 ORACLE_SQL = {
