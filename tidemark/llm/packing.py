@@ -33,7 +33,7 @@ SIZE, WINDOWS, CLOSING_ID = 2048, 64, 1
 #: Open windows that one task of the merging pass takes.
 MERGED_BY_TASK = 4096
 #: Characters tokenised at a time, and words remembered by a worker.
-CHUNK_CHARS, CACHE_WORDS = 2_000_000, 600_000
+CHUNK_CHARS, CACHE_WORDS = 2_000_000, 1_000_000
 
 # Letters and other numbers below U+0250; texts with other characters take the tokenizer's own way.
 LETTERS = "a-zA-ZªµºÀ-ÖØ-öø-ɏ"
@@ -48,6 +48,18 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class Index(dict):
+    """Numbers words in the order they are first looked up."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self.new.append(word)
+        self[word] = n = len(self)
+        return n
+
+
 class WordTokens:
     """Token ids of texts, remembered by word: the tokenizer never joins tokens over words."""
 
@@ -63,14 +75,15 @@ class WordTokens:
         self.forget()
 
     def forget(self) -> None:
-        self.at: dict[str, int] = {}
+        self.at = Index()
         self.ids, self.starts, self.lengths = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def learn(self, words: list[str]) -> None:
-        found = [e.ids for e in self.words.encode_batch(words, add_special_tokens=False)]
+    def learn(self) -> None:
+        """Tokenise the words that were looked up for the first time."""
+        found = [e.ids for e in self.words.encode_batch_fast(self.at.new, add_special_tokens=False)]
+        self.at.new = []
         lengths = np.fromiter(map(len, found), np.int64, len(found))
         base = len(self.ids)
-        self.at.update(zip(words, range(len(self.starts), len(self.starts) + len(words))))
         self.starts = np.concatenate([self.starts, base + np.cumsum(lengths) - lengths])
         self.lengths = np.concatenate([self.lengths, lengths])
         self.ids = np.concatenate([self.ids, np.fromiter((i for x in found for i in x), np.uint32)])
@@ -79,20 +92,18 @@ class WordTokens:
         if len(self.at) > CACHE_WORDS:
             self.forget()
         out: list = [None] * len(texts)
-        plain, words = [], []
+        plain, words, get = [], [], self.at.__getitem__
         for k, text in enumerate(texts):
             low = text.lower()
             if not self.by_words or UNUSUAL.search(low) or UNUSUAL.search(text):
                 out[k] = np.array(self.whole.encode(text, add_special_tokens=False).ids, np.uint32)
             else:
                 plain.append(k)
-                words.append(PLAIN_WORD.findall(low))
-        missing = {w for x in words for w in x}.difference(self.at)
-        if missing:
-            self.learn(sorted(missing))
-        get = self.at.__getitem__
-        for k, x in zip(plain, words):
-            i = np.fromiter(map(get, x), np.int64, len(x))
+                found = PLAIN_WORD.findall(low)
+                words.append(np.fromiter(map(get, found), np.int64, len(found)))
+        if self.at.new:
+            self.learn()
+        for k, i in zip(plain, words):
             n = self.lengths[i]
             total = int(n.sum())
             out[k] = self.ids[np.repeat(self.starts[i] - (np.cumsum(n) - n), n) + np.arange(total)] if total else np.zeros(0, np.uint32)
