@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import exactdedup, langid, linededup, media, neardup, packing, urlfilter, wfst
+from tidemark.llm import exactdedup, langid, linededup, media, neardup, packing, pii, suffixtree, urlfilter, wfst
 from tidemark.llm._scratch import documents
 
 QUERIES = {
@@ -12,8 +12,10 @@ QUERIES = {
     "op4_url_filter": lambda spark, d: urlfilter.url_filter(spark.read.parquet(f"{d}/pages.parquet")),
     "op5_exact_dedup": lambda spark, d: exactdedup.exact_dedup(documents(spark, d)),
     "op6_sentencepiece_transducer": lambda spark, d: wfst.transducer_report(documents(spark, d)),
+    "op7_lm_suffix_tree": lambda spark, d: suffixtree.lm_scores(documents(spark, d)),
     "op8_language_id": lambda spark, d: langid.language_report(documents(spark, d)),
     "op9_minhash_near_dedup": lambda spark, d: neardup.near_dup_report(documents(spark, d)),
+    "op10_pii_pseudonyms": lambda spark, d: pii.pii_report(documents(spark, d)),
 }
 
 ORACLE_SQL = {
