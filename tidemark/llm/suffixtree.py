@@ -25,7 +25,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm._scratch import col, cut
@@ -34,7 +34,9 @@ from tidemark.llm.wfst import text_chunks
 
 DEPTH, LEAST_SHARE = 5, 3e-6
 #: Characters of a batch of documents that is scored together with the counts of its words.
-BATCH_CHARS = 8_000_000
+BATCH_CHARS = 12_000_000
+#: Grams that a task holds before it sums them up.
+WAITING = 3_000_000
 SCORE_BYTES = 1_000_000
 #: The end symbol; no word contains it. It also stands before a text.
 END, SYMBOLS = 10, 257
@@ -65,7 +67,17 @@ def grams(texts: list[bytes], depth: int) -> np.ndarray:
     return out
 
 
-COUNTED = pa.schema([("kind", pa.string()), ("batch", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("text", pa.string()), ("word", pa.string()), ("gram", pa.int64()), ("n", pa.int64())])
+DOCS = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("text", pa.string())])
+COUNTED = pa.schema([("kind", pa.string()), ("batch", pa.int64()), ("docs", pa.binary()), ("word", pa.string()), ("gram", pa.int64()), ("n", pa.int64())])
+
+
+def packed(ids: list, held: list, texts: list[bytes]) -> bytes:
+    """Some documents as one compressed Arrow stream: texts travel in blocks."""
+    table = pa.Table.from_arrays([pa.array(ids, pa.int64()), pa.array(held, pa.bool_()), pa.array([t.decode() for t in texts], pa.string())], schema=DOCS)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, DOCS, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_table(table)
+    return sink.getvalue().to_pybytes()
 
 
 class Numbers(dict):
@@ -74,51 +86,64 @@ class Numbers(dict):
         return n
 
 
+class Counter:
+    """Counts of integers, summed up from time to time."""
+
+    def __init__(self):
+        self.keys, self.times, self.new, self.waiting = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
+
+    def add(self, keys: np.ndarray) -> None:
+        self.new.append(keys)
+        self.waiting += len(keys)
+        if self.waiting > WAITING:
+            self.sum()
+
+    def sum(self) -> None:
+        if self.new:
+            keys, times = np.unique(np.concatenate(self.new), return_counts=True)
+            self.keys, at = np.unique(np.concatenate([self.keys, keys]), return_inverse=True)
+            self.times = np.bincount(at, np.concatenate([self.times, times]), len(self.keys)).astype(np.int64)
+            self.new, self.waiting = [], 0
+
+
 def counting_task(depth: int):
-    """Batches of normalised documents, the words of each batch, and the grams of the task."""
+    """Blocks of normalised documents, the words of each batch, and the grams of the task."""
     def record(kind: str, size: int, **columns) -> pa.RecordBatch:
         columns["kind"] = pa.array([kind] * size, pa.string())
         return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(size, f.type)) for f in COUNTED], schema=COUNTED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, chars = TaskContext.get().partitionId() << 24, 0
-        words, counts = Numbers(), np.zeros(0, np.int64)
-        found, times = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        words, counts, found = Numbers(), np.zeros(0, np.int64), Counter()
 
         def close() -> pa.RecordBatch:
             return record("word", len(words), batch=pa.array(np.full(len(words), number)), word=pa.array([w.decode() for w in words], pa.string()), n=pa.array(counts))
 
         for source in batches:
-            held = source.column(1).to_pylist()
-            done = 0
+            held, done = source.column(1).to_pylist(), 0
             for ids, texts in text_chunks(source.select([0, 2]), 1_000_000):
-                out, joined = held[done : done + len(ids)], []
+                out = held[done : done + len(ids)]
                 done += len(ids)
-                for text, h in zip(texts, out):
-                    own = [*words_of(text), b"\n"]
-                    at = np.fromiter(map(words.__getitem__, own), np.int64, len(own))
-                    if len(words) > len(counts):
-                        counts = np.append(counts, np.zeros(max(len(words) - len(counts), 1 << 16), np.int64))
-                    if not h:
-                        np.add.at(counts, at, 1)
-                    joined.append(b" ".join(own[:-1]))
+                own = [words_of(t) for t in texts]
+                sizes = np.fromiter((len(x) + 1 for x in own), np.int64, len(own))
+                at = np.fromiter((words[w] for x in own for w in (*x, b"\n")), np.int64, int(sizes.sum()))
+                n = np.bincount(at[np.repeat(~np.array(out, bool), sizes)], minlength=len(words))
+                n[: len(counts)] += counts
+                counts, joined = n, [b" ".join(x) for x in own]
                 train = [t for t, h in zip(joined, out) if not h]
                 if train:
-                    new, n = np.unique(grams(train, depth), return_counts=True)
-                    merged, at = np.unique(np.append(found, new), return_inverse=True)
-                    found, times = merged, np.bincount(at, np.append(times, n), len(merged)).astype(np.int64)
-                yield record("text", len(ids), batch=pa.array(np.full(len(ids), number)), doc_id=pa.array(ids, pa.int64()), held_out=pa.array(out, pa.bool_()), text=pa.array([t.decode() for t in joined], pa.string()))
+                    found.add(grams(train, depth))
+                yield record("docs", 1, batch=pa.array([number]), docs=pa.array([packed(ids, out, joined)], pa.binary()))
                 chars += sum(map(len, texts))
                 if chars > BATCH_CHARS:
-                    counts = counts[: len(words)]
                     yield close()
                     number, chars, words, counts = number + 1, 0, Numbers(), np.zeros(0, np.int64)
         if words:
-            counts = counts[: len(words)]
             yield close()
-        for k in range(0, len(found), 100_000):
+        found.sum()
+        for k in range(0, len(found.keys), 100_000):
             part = slice(k, k + 100_000)
-            yield record("gram", len(found[part]), gram=pa.array(found[part]), n=pa.array(times[part]))
+            yield record("gram", len(found.keys[part]), gram=pa.array(found.keys[part]), n=pa.array(found.times[part]))
 
     return run
 
@@ -228,19 +253,21 @@ SCORED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens
 
 
 def scoring_task(shared, tokens: int, kinds: int):
-    def run(docs: pa.Table, words: pa.Table) -> pa.Table:
+    def run(blocks: pa.Table, words: pa.Table) -> pa.Table:
         c = words.column("c").to_numpy().astype(float)
         at = dict(zip(words.column("word").to_pylist(), range(len(c))))
-        logs = np.log10((c + 0.5) / (tokens + 0.5 * (kinds + 1)))
-        rows, texts = [], []
-        for i, h, t in zip(docs.column("doc_id").to_pylist(), docs.column("held_out").to_pylist(), docs.column("text")):
-            t = t.as_py()
-            own = [*t.split(" "), "\n"] if t else ["\n"]
-            k = np.fromiter(map(at.__getitem__, own), np.int64, len(own))
-            rows.append((i, h, len(own), int((c[k] > 0).sum()), tokens, float(logs[k].sum())))
-            texts.append(t.encode())
-        columns = [*zip(*rows), _tree(shared).score(texts)]
-        return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(columns, SCORED)], schema=SCORED)
+        logs, known = np.log10((c + 0.5) / (tokens + 0.5 * (kinds + 1))), c > 0
+        done = []
+        for block in blocks.column("docs"):
+            docs = pa.ipc.open_stream(block.as_py()).read_all()
+            texts = docs.column("text").to_pylist()
+            own = [[*t.split(" "), "\n"] if t else ["\n"] for t in texts]
+            sizes = np.fromiter(map(len, own), np.int64, len(own))
+            k = np.fromiter((at[w] for x in own for w in x), np.int64, int(sizes.sum()))
+            first = np.cumsum(sizes) - sizes
+            columns = [docs.column("doc_id").combine_chunks(), docs.column("held_out").combine_chunks(), sizes, np.add.reduceat(known[k], first, dtype=np.int64), np.full(len(own), tokens), np.add.reduceat(logs[k], first), _tree(shared).score([t.encode() for t in texts])]
+            done.append(pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(columns, SCORED)], schema=SCORED))
+        return pa.concat_tables(done)
 
     return run
 
@@ -250,14 +277,15 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     train_tokens, base_score, score."""
     spark = docs.sparkSession
     source = docs.select(col(id_col).cast("long").alias("doc_id"), held_out(col(id_col), folds, fold).alias("held_out"), col(text_col).alias("text"))
-    spec = "kind string, batch bigint, doc_id bigint, held_out boolean, text string, word string, gram bigint, n bigint"
-    counted = cut(source.mapInArrow(counting_task(depth), spec), "counted")
-    words = counted.where("kind = 'word'").select("batch", "word", "n")
-    counts = cut(words.groupBy("word").agg(F.sum("n").alias("c")), "counts")
-    tokens, kinds = counts.agg(F.sum("c"), F.count_if(F.col("c") > 0)).first()
+    counted = cut(source.mapInArrow(counting_task(depth), "kind string, batch bigint, docs binary, word string, gram bigint, n bigint"), "counted")
+    # a word occurs once in a batch, so a word's rows are at most as many as the batches
+    of_word = Window.partitionBy("word")
+    words = counted.where("kind = 'word'").select(F.col("batch").alias("own"), "word", "n")
+    known = words.select("own", "word", "n", F.sum("n").over(of_word).alias("c"), (F.row_number().over(of_word.orderBy("own")) == 1).alias("first"))
+    known = cut(known, "known")
+    tokens, kinds = known.agg(F.sum("n"), F.count_if(F.col("first") & (F.col("c") > 0))).first()
     table, _ = contexts(counted.where("kind = 'gram'").select("gram", "n"), depth, least_share)
     shared = spark.sparkContext.broadcast(grow(table, depth))
-    known = words.join(counts, "word").select(F.col("batch").alias("own"), "word", "c").groupBy("own")
-    texts = counted.where("kind = 'text'").select(F.col("batch").alias("of"), "doc_id", "held_out", "text").groupBy("of")
+    blocks = counted.where("kind = 'docs'").select(F.col("batch").alias("of"), "docs").groupBy("of")
     spec = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
-    return texts.cogroup(known).applyInArrow(scoring_task(shared, int(tokens or 0), int(kinds or 0)), spec)
+    return blocks.cogroup(known.select("own", "word", "c").groupBy("own")).applyInArrow(scoring_task(shared, int(tokens or 0), int(kinds or 0)), spec)
