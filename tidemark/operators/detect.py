@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import bisect
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,47 +51,50 @@ def subjects(rows: DataFrame, thresholds: list[int]) -> DataFrame:
     return hits(rows, thresholds).where("hit").groupBy("run", "key").agg(F.min("occ").alias("first_t"))
 
 
+ALERTS = pa.schema([("run", pa.int32()), ("key", pa.string()), ("fired_at", pa.int64()), ("count", pa.int32()), ("window_start", pa.int64()), ("window_end", pa.int64())])
 ALERT = "run int, key string, fired_at bigint, count int, window_start bigint, window_end bigint"
 
 
-def fold(times: list[int], w: int, n: int) -> list[tuple[int, int, int, int]]:
-    """(index of the event, count, start, end) of each alert of one key, events in order of arrival.
-    An alert is due when some span of length w that holds the new event has n held events; the span
-    with most is reported, of equals the earliest; then the key starts anew."""
-    held: list[int] = []
-    out = []
-    for k, t in enumerate(times):
-        bisect.insort_right(held, t)
-        best, start = 0, 0
-        for a in range(bisect.bisect_left(held, t - w), bisect.bisect_right(held, t)):
-            size = bisect.bisect_right(held, held[a] + w) - a
-            if size > best:
-                best, start = size, held[a]
-        if best >= n:
-            out.append((k, best, start, start + w))
-            held = []
-    return out
-
-
-def _alerts_of(group: pd.DataFrame) -> pd.DataFrame:
-    group = group.sort_values(["arr", "seq"], kind="stable")
-    found = fold(group["occ"].tolist(), int(group["w"].iloc[0]), int(group["n"].iloc[0]))
-    at = group["occ"].to_numpy()
-    return pd.DataFrame(
-        [(int(group["run"].iloc[0]), group["key"].iloc[0], int(at[k]), c, a, b) for k, c, a, b in found],
-        columns=["run", "key", "fired_at", "count", "window_start", "window_end"],
-    )
+def step(held: list[int], t: int, w: int, n: int) -> tuple[int, int] | None:
+    """Add an event of one key to its held times, which stay sorted. An alert is due when some span
+    of length w that holds the event has n held times: (count, start) of the span with most, of
+    equals the earliest; then the key starts anew."""
+    bisect.insort_right(held, t)
+    best, start = 0, 0
+    for a in range(bisect.bisect_left(held, t - w), bisect.bisect_right(held, t)):
+        size = bisect.bisect_right(held, held[a] + w) - a
+        if size > best:
+            best, start = size, held[a]
+    if best < n:
+        return None
+    held.clear()
+    return best, start
+
+
+def _fold_partition(batches):
+    """Rows come sorted by run, key, island and arrival; only the current key's times are held."""
+    current, held = None, []
+    for batch in batches:
+        out = []
+        for run, key, island, occ, w, n in zip(*(batch.column(c).to_pylist() for c in ("run", "key", "island", "occ", "w", "n"))):
+            if (run, key, island) != current:
+                current, held = (run, key, island), []
+            found = step(held, occ, w, n)
+            if found:
+                out.append((run, key, occ, found[0], found[1], found[1] + w))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out), ALERTS)], schema=ALERTS)
 
 
 def alerts(rows: DataFrame, allowed: int = 0) -> DataFrame:
     """The alerts of the accepted rows: a sequential fold per key. A key is first split where
     consecutive event times are more than W + ``allowed`` apart: what arrives on one side of such a
     gap never meets the other, so the parts are folded apart."""
-    before = F.lag("occ").over(Window.partitionBy("run", "key").orderBy("occ", "seq"))
-    gap = (F.col("occ") - before > F.col("w") + allowed).cast("int")
-    island = F.sum(F.coalesce(gap, F.lit(0))).over(Window.partitionBy("run", "key").orderBy("occ", "seq").rowsBetween(Window.unboundedPreceding, 0))
-    parts = rows.select("run", "key", "arr", "seq", "occ", "w", "n", island.alias("island"))
-    return parts.groupBy("run", "key", "island").applyInPandas(lambda g: _alerts_of(g), ALERT)
+    own = Window.partitionBy("run", "key").orderBy("occ", "seq")
+    gap = (F.col("occ") - F.lag("occ").over(own) > F.col("w") + allowed).cast("int")
+    parts = rows.withColumn("_gap", F.coalesce(gap, F.lit(0))).withColumn("island", F.sum("_gap").over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    dealt = parts.select("run", "key", "island", "arr", "seq", "occ", "w", "n").repartition("run", "key", "island").sortWithinPartitions("run", "key", "island", "arr", "seq")
+    return dealt.mapInArrow(_fold_partition, ALERT)
 
 
 def summary(marked: DataFrame, thresholds: list[int], allowed: int = 0, with_alerts: bool = True) -> DataFrame:
