@@ -223,7 +223,7 @@ def pii(docs: DataFrame, text_col: str = "text", key: bytes = DEFAULT_KEY, count
     (new,) = fresh(docs, "_new")
     rows = docs.select(*[col(c) for c in docs.columns], swap(col(text_col)).alias(new))
     out = [F.col(f"`{new}`.text").alias(c) if c == text_col else col(c) for c in docs.columns]
-    return rows.select(*out, *[F.col(f"`{new}`.n").alias(count_col)] * bool(count_col))
+    return rows.select(*out, *([F.col(f"`{new}`.n").alias(count_col)] if count_col else []))
 
 
 def pii_report(docs: DataFrame) -> DataFrame:
