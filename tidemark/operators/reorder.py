@@ -16,8 +16,9 @@ def buffered(rows: DataFrame, buffer_us: str = "buffer") -> DataFrame:
     null for what the end releases, and (``rel_arr``, ``rel_seq``), the releasing arrival."""
     arrivals = rows.select("run", "arr", F.lit(1).alias("_kind"), "seq", F.struct("arr", "seq").alias("_at"))
     probes = rows.select("run", (F.col("occ") + F.col(buffer_us)).alias("arr"), F.lit(0).alias("_kind"), "seq", F.lit(None).cast("struct<arr:bigint,seq:bigint>").alias("_at"))
-    ahead = Window.partitionBy("run").orderBy("arr", "_kind", "seq").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    found = arrivals.unionByName(probes).withColumn("_first", F.first("_at", ignorenulls=True).over(ahead)).where("_kind = 0")
+    # backwards in time, the latest arrival seen so far is the first one to come: one pass
+    back = Window.partitionBy("run").orderBy(F.desc("arr"), F.desc("_kind"), F.desc("seq")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = arrivals.unionByName(probes).withColumn("_first", F.last("_at", ignorenulls=True).over(back)).where("_kind = 0")
     found = found.select("run", "seq", "_first")
     own = F.struct("arr", "seq")
     at = F.when(F.col("_first").isNotNull(), F.greatest(F.col("_first"), own))

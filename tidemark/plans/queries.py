@@ -412,8 +412,8 @@ def _(spark, d):
 
 BUFFER_SQL = f"""{O.marked(PID[:2], structures=('random',), fractions=(0.2,), seeds=(0,))},
 probe AS (SELECT s.*, CAST(b * w AS BIGINT) AS buffer, b FROM seen s, (VALUES (0.0), (0.5), (2.0)) v(b)),
-both AS (SELECT {O.RUN}, b, arr, 1 AS kind, seq, arr AS at_arr, seq AS at_seq FROM probe UNION ALL SELECT {O.RUN}, b, occ + buffer, 0, seq, NULL, NULL FROM probe),
-ahead AS (SELECT *, first_value(at_arr IGNORE NULLS) OVER w AS fa, first_value(at_seq IGNORE NULLS) OVER w AS fs FROM both
+mixed AS (SELECT {O.RUN}, b, arr, 1 AS kind, seq, arr AS at_arr, seq AS at_seq FROM probe UNION ALL SELECT {O.RUN}, b, occ + buffer, 0, seq, NULL, NULL FROM probe),
+ahead AS (SELECT *, first_value(at_arr IGNORE NULLS) OVER w AS fa, first_value(at_seq IGNORE NULLS) OVER w AS fs FROM mixed
           WINDOW w AS (PARTITION BY {O.RUN}, b ORDER BY arr, kind, seq ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
 rel AS (SELECT p.*, CASE WHEN fa IS NULL THEN NULL WHEN (fa, fs) > (p.arr, p.seq) THEN fa ELSE p.arr END AS released
         FROM probe p JOIN ahead a ON a.kind = 0 AND a.rule = p.rule AND a.multiple = p.multiple AND a.b = p.b AND a.seq = p.seq)"""
@@ -431,7 +431,7 @@ def _(spark, d):
     return _buffered(spark, d).select("rule", "multiple", "b", "seq", "released")
 
 
-@query("str07_buffer_waits", f"""WITH {BUFFER_SQL}, x AS (SELECT *, released - occ - buffer AS wait FROM rel),
+@query("str07_buffer_waits", f"""WITH {BUFFER_SQL}, x AS (SELECT rule, multiple, b, released - occ - buffer AS wait FROM rel),
 q AS (SELECT *, row_number() OVER (PARTITION BY rule, multiple, b ORDER BY wait) AS i, count(*) OVER (PARTITION BY rule, multiple, b) AS n FROM x WHERE wait IS NOT NULL)
 SELECT rule, multiple, CAST(b AS DOUBLE) AS b, any_value(n) AS n, min(wait) AS least, max(wait) FILTER (i = floor(0.5 * (n - 1)) + 1) AS median, max(wait) FILTER (i = floor(0.9 * (n - 1)) + 1) AS p90, max(wait) AS most FROM q GROUP BY ALL""")
 def _(spark, d):
@@ -552,10 +552,10 @@ def _(spark, d):
 
 
 @query("swp04_premise_check", f"""WITH {O.EV}, g AS (SELECT * FROM {O.values([(0.0, 0), (0.05, 60), (0.05, 86400), (0.2, 86400), (0.2, 172800), (0.5, 172800)])} v(fraction, delay)),
-a AS (SELECT ev.*, CAST(pid AS VARCHAR) AS key, fraction, delay, t + CASE WHEN ('0x' || substr(md5('pick:0:' || seq), 1, 8))::BIGINT / 4294967296.0::DOUBLE < fraction THEN delay * 1000000 ELSE 0 END AS arr, 86400000000 AS w, 5 AS n FROM ev, g),
+a AS (SELECT ev.*, CAST(pid AS VARCHAR) AS key, fraction, delay, t + CASE WHEN ('0x' || substr(md5('pick:0:' || seq), 1, 8))::BIGINT / 4294967296.0::DOUBLE < fraction THEN CAST(delay AS BIGINT) * 1000000 ELSE 0 END AS arr, 86400000000 AS w, 5 AS n FROM ev, g),
 m AS (SELECT *, coalesce(t < max(t) OVER (PARTITION BY fraction, delay ORDER BY arr, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - w, false) AS late FROM a), k AS (SELECT * FROM m WHERE NOT late),
 f AS (SELECT fraction, delay, count(DISTINCT key) AS keys FROM {O.hits('k', 'fraction, delay')} WHERE hit GROUP BY fraction, delay)
-SELECT m.fraction, m.delay * 1000000 AS delay, count(*) FILTER (NOT late) AS accepted, count(*) FILTER (late) AS dropped_late, any_value(coalesce(f.keys, 0)) AS keys FROM m LEFT JOIN f USING (fraction, delay) GROUP BY m.fraction, m.delay""")
+SELECT m.fraction, CAST(m.delay AS BIGINT) * 1000000 AS delay, count(*) FILTER (NOT late) AS accepted, count(*) FILTER (late) AS dropped_late, any_value(coalesce(f.keys, 0)) AS keys FROM m LEFT JOIN f USING (fraction, delay) GROUP BY m.fraction, m.delay""")
 def _(spark, d):
     return sweeps.premise_check(ev.table_events(spark, d), 86_400_000_000, 5).select("fraction", "delay", "accepted", "dropped_late", "keys")
 
@@ -586,7 +586,7 @@ def _on_sweep(name, body, which=RULES, **options):
 
 CELL = "rule, fraction, multiple, structure"
 _on_sweep("agg01_cell_means", f"SELECT {CELL}, count(*) AS n, round(avg(key_reduction), 6) AS mean FROM sweep GROUP BY {CELL}")
-_on_sweep("agg04_shares", "SELECT rule, structure, sum(CASE WHEN dropped_late > 0 THEN 1 ELSE 0 END) AS with_drops, round(avg(CASE WHEN keys_lost = 0 THEN 1.0 ELSE 0.0 END), 6) AS share_intact, bool_and(keys_lost >= 0) AS sane, bool_or(keys_lost > 0) AS any_loss FROM sweep GROUP BY rule, structure")
+_on_sweep("agg04_shares", "SELECT rule, structure, sum(CASE WHEN dropped_late > 0 THEN 1 ELSE 0 END) AS with_drops, round(avg(CASE WHEN keys_lost = 0 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END), 6) AS share_intact, bool_and(keys_lost >= 0) AS sane, bool_or(keys_lost > 0) AS any_loss FROM sweep GROUP BY rule, structure")
 _on_sweep("agg12_loss_by_region", "SELECT rule, multiple <= 1 AS inside, count(*) AS runs, sum(CASE WHEN keys_lost > 0 THEN 1 ELSE 0 END) AS losing, sum(CASE WHEN keys_lost > 0 AND dropped_late = 0 THEN 1 ELSE 0 END) AS loss_without_drops FROM sweep WHERE structure <> 'delete' GROUP BY rule, multiple <= 1")
 _on_sweep("agg11_targeted_advantage", "SELECT a.rule, a.fraction, a.multiple, round(b.m - a.m, 4) AS advantage FROM (SELECT rule, fraction, multiple, avg(key_reduction) AS m FROM sweep WHERE structure = 'random' GROUP BY rule, fraction, multiple) a JOIN (SELECT rule, fraction, multiple, avg(key_reduction) AS m FROM sweep WHERE structure = 'targeted' GROUP BY rule, fraction, multiple) b ON a.rule = b.rule AND a.fraction = b.fraction AND a.multiple = b.multiple")
 _on_sweep("jon06_treatment_control", "SELECT a.rule, a.fraction, a.multiple, round(a.m - b.m, 6) AS difference FROM (SELECT rule, fraction, multiple, avg(key_reduction) AS m FROM sweep WHERE structure = 'random' GROUP BY rule, fraction, multiple) a JOIN (SELECT rule, fraction, avg(key_reduction) AS m FROM sweep WHERE structure = 'delete' GROUP BY rule, fraction) b ON a.rule = b.rule AND a.fraction = b.fraction")
