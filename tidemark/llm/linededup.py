@@ -15,6 +15,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from tidemark.llm._scratch import col, cut, fresh
 
@@ -31,7 +32,7 @@ def windows(text: Column, span: int) -> Column:
     return F.zip_with(joined, some, lambda h, s: F.when(s > 0, F.unhex(F.md5(h))))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def without_lines(text: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
     """The text without the lines start..end (from 0, inclusive) of each interval."""
     def one(t, first, last):

@@ -29,7 +29,8 @@ SAMPLES = SIDE * SIDE
 CHUNK_BYTES = 4_000_000
 #: Huffman code lengths of the difference categories 0-8, chosen for text.
 CODE_LENGTHS = (4, 4, 3, 3, 2, 3, 5, 3, 6)
-BINS, AROUND, SPREADS, FLOOR = 16, 8, 3.0, 0.08
+#: FLOOR lies above the differences that chance makes between frames of one source.
+BINS, AROUND, SPREADS, FLOOR = 16, 8, 3.0, 0.15
 
 
 def huffman(counts: bytes | list[int], symbols: list[int]) -> dict[int, tuple[int, int]]:
