@@ -641,7 +641,7 @@ def _(spark, d):
     return out.where("multiple IS NOT NULL")
 
 
-@query("agg10_delay_shape", f"WITH {O.sweep()}, c AS (SELECT rule, fraction, structure, multiple, avg(key_reduction) AS m FROM sweep WHERE structure <> 'delete' GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY rule, fraction, structure ORDER BY m DESC, multiple) AS i, min(multiple) OVER p AS lo, max(multiple) OVER p AS hi FROM c WINDOW p AS (PARTITION BY rule, fraction, structure)) SELECT rule, fraction, structure, multiple AS peak_at, round(m, 4) AS peak, multiple > lo AND multiple < hi AS interior, multiple = hi AS at_largest FROM r WHERE i = 1")
+@query("agg10_delay_shape", f"WITH {O.sweep()}, c AS (SELECT rule, fraction, structure, multiple, avg(key_reduction) AS m FROM sweep WHERE structure <> 'delete' GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY rule, fraction, structure ORDER BY m DESC, multiple) AS i, min(multiple) OVER p AS lo, max(multiple) OVER p AS hi FROM c WHERE m IS NOT NULL WINDOW p AS (PARTITION BY rule, fraction, structure)) SELECT rule, fraction, structure, multiple AS peak_at, round(m, 4) AS peak, multiple > lo AND multiple < hi AS interior, multiple = hi AS at_largest FROM r WHERE i = 1")
 def _(spark, d):
     cells = _sweep(spark, d).where("structure <> 'delete'").groupBy("rule", "fraction", "structure", "multiple").agg(F.avg("key_reduction").alias("m"))
     out = stats.first_maximum(cells, ["rule", "fraction", "structure"], "multiple", "m")
