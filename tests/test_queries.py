@@ -9,7 +9,7 @@ import pytest
 import __spark_entry__ as entry
 from tidemark.plans.queries import ORACLE, QUERIES
 
-SAMPLE = ["flt01_rule_projection", "flt05_window_positions", "str01_late_drop", "str03_alerts_in_order", "str05_detected_subjects", "str06_reorder_buffer", "dst01_exact_choice", "dst09_burst_delay", "swp01_ordering_sweep_keys", "agg16_evidence_measure", "agg10_delay_shape"]
+SAMPLE = ["flt01_rule_projection", "flt05_window_positions", "str01_late_drop", "str03_alerts_in_order", "str05_detected_subjects", "str06_reorder_buffer", "dst01_exact_choice", "dst09_burst_delay", "swp01_ordering_sweep_keys", "agg16_evidence_measure", "agg08_spearman", "agg10_delay_shape"]
 
 
 @pytest.fixture(scope="module")

@@ -34,8 +34,10 @@ def spearman(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
         return F.rank().over(Window.partitionBy(*keys).orderBy(c)) + (F.count("*").over(Window.partitionBy(*keys, c)) - 1) / 2.0
 
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumn("_x", rank(x)).withColumn("_y", rank(y))
-    spread = (F.min("_x") < F.max("_x")) & (F.min("_y") < F.max("_y"))
-    return rows.groupBy(*keys).agg(F.count("*").alias("n"), F.when(spread, F.corr("_x", "_y")).alias("rho"))
+    own = Window.partitionBy(*keys)
+    spread = (F.min("_x").over(own) < F.max("_x").over(own)) & (F.min("_y").over(own) < F.max("_y").over(own))
+    rows = rows.withColumn("_s", spread)
+    return rows.groupBy(*keys).agg(F.count("*").alias("n"), F.corr(F.when(F.col("_s"), F.col("_x")), F.when(F.col("_s"), F.col("_y"))).alias("rho"))
 
 
 def bootstrap_difference(df: DataFrame, keys: list[str], arm: str, first: str, second: str, x: str, resamples: int = RESAMPLES) -> DataFrame:
