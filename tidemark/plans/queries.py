@@ -586,12 +586,12 @@ def _on_sweep(name, body, which=RULES, **options):
 
 CELL = "rule, fraction, multiple, structure"
 _on_sweep("agg01_cell_means", f"SELECT {CELL}, count(*) AS n, round(avg(key_reduction), 6) AS mean FROM sweep GROUP BY {CELL}")
-_on_sweep("agg04_shares", "SELECT rule, structure, sum(CASE WHEN dropped_late > 0 THEN 1 ELSE 0 END) AS with_drops, round(avg(CASE WHEN keys_lost = 0 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END), 6) AS share_intact, bool_and(keys_lost >= 0) AS sane, bool_or(keys_lost > 0) AS any_loss FROM sweep GROUP BY rule, structure")
-_on_sweep("agg12_loss_by_region", "SELECT rule, multiple <= 1 AS inside, count(*) AS runs, sum(CASE WHEN keys_lost > 0 THEN 1 ELSE 0 END) AS losing, sum(CASE WHEN keys_lost > 0 AND dropped_late = 0 THEN 1 ELSE 0 END) AS loss_without_drops FROM sweep WHERE structure <> 'delete' GROUP BY rule, multiple <= 1")
+_on_sweep("agg04_shares", "SELECT rule, structure, CAST(sum(CASE WHEN dropped_late > 0 THEN 1 ELSE 0 END) AS BIGINT) AS with_drops, round(avg(CASE WHEN keys_lost = 0 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END), 6) AS share_intact, bool_and(keys_lost >= 0) AS sane, bool_or(keys_lost > 0) AS any_loss FROM sweep GROUP BY rule, structure")
+_on_sweep("agg12_loss_by_region", "SELECT rule, multiple <= 1 AS inside, count(*) AS runs, CAST(sum(CASE WHEN keys_lost > 0 THEN 1 ELSE 0 END) AS BIGINT) AS losing, CAST(sum(CASE WHEN keys_lost > 0 AND dropped_late = 0 THEN 1 ELSE 0 END) AS BIGINT) AS loss_without_drops FROM sweep WHERE structure <> 'delete' GROUP BY rule, multiple <= 1")
 _on_sweep("agg11_targeted_advantage", "SELECT a.rule, a.fraction, a.multiple, round(b.m - a.m, 4) AS advantage FROM (SELECT rule, fraction, multiple, avg(key_reduction) AS m FROM sweep WHERE structure = 'random' GROUP BY rule, fraction, multiple) a JOIN (SELECT rule, fraction, multiple, avg(key_reduction) AS m FROM sweep WHERE structure = 'targeted' GROUP BY rule, fraction, multiple) b ON a.rule = b.rule AND a.fraction = b.fraction AND a.multiple = b.multiple")
 _on_sweep("jon06_treatment_control", "SELECT a.rule, a.fraction, a.multiple, round(a.m - b.m, 6) AS difference FROM (SELECT rule, fraction, multiple, avg(key_reduction) AS m FROM sweep WHERE structure = 'random' GROUP BY rule, fraction, multiple) a JOIN (SELECT rule, fraction, avg(key_reduction) AS m FROM sweep WHERE structure = 'delete' GROUP BY rule, fraction) b ON a.rule = b.rule AND a.fraction = b.fraction")
-_on_sweep("agg15_equivalence_bands", "SELECT CASE WHEN baseline_keys >= 140 THEN 'many' WHEN baseline_keys >= 100 THEN 'some' ELSE 'few' END AS band, structure, count(*) AS runs, round(avg(key_reduction), 6) AS mean, sum(CASE WHEN abs(key_reduction) <= 0.05 THEN 1 ELSE 0 END) AS inside FROM sweep GROUP BY CASE WHEN baseline_keys >= 140 THEN 'many' WHEN baseline_keys >= 100 THEN 'some' ELSE 'few' END, structure")
-_on_sweep("hyp0a_no_drops_inside", "SELECT count(*) AS runs, sum(CASE WHEN dropped_late > 0 THEN 1 ELSE 0 END) AS violations FROM sweep WHERE multiple <= 1 AND structure <> 'delete'")
+_on_sweep("agg15_equivalence_bands", "SELECT CASE WHEN baseline_keys >= 140 THEN 'many' WHEN baseline_keys >= 100 THEN 'some' ELSE 'few' END AS band, structure, count(*) AS runs, round(avg(key_reduction), 6) AS mean, CAST(sum(CASE WHEN abs(key_reduction) <= 0.05 THEN 1 ELSE 0 END) AS BIGINT) AS inside FROM sweep GROUP BY CASE WHEN baseline_keys >= 140 THEN 'many' WHEN baseline_keys >= 100 THEN 'some' ELSE 'few' END, structure")
+_on_sweep("hyp0a_no_drops_inside", "SELECT count(*) AS runs, CAST(sum(CASE WHEN dropped_late > 0 THEN 1 ELSE 0 END) AS BIGINT) AS violations FROM sweep WHERE multiple <= 1 AND structure <> 'delete'")
 _on_sweep("hyp1_beyond_is_delete", "SELECT a.rule, a.fraction, round(a.m - b.m, 6) AS difference, abs(a.m - b.m) <= 0.01 AS holds FROM (SELECT rule, fraction, avg(key_reduction) AS m FROM sweep WHERE structure = 'random' AND multiple >= 2 GROUP BY rule, fraction) a JOIN (SELECT rule, fraction, avg(key_reduction) AS m FROM sweep WHERE structure = 'delete' GROUP BY rule, fraction) b ON a.rule = b.rule AND a.fraction = b.fraction")
 _on_sweep("hyp2_hidden_below_visible", "SELECT rule, structure, round(max(CASE WHEN multiple <= 1 THEN key_reduction END), 6) AS hidden, round(avg(CASE WHEN multiple = 2 THEN key_reduction END), 6) AS visible, max(CASE WHEN multiple <= 1 THEN key_reduction END) < avg(CASE WHEN multiple = 2 THEN key_reduction END) AS holds FROM sweep WHERE fraction = 0.2 AND structure <> 'delete' GROUP BY rule, structure")
 _on_sweep("hyp7_m1_table", "SELECT rule, structure, round(avg(CASE WHEN multiple = 0.5 THEN key_reduction END), 6) AS half, round(avg(CASE WHEN multiple = 1 THEN key_reduction END), 6) AS one, round(avg(CASE WHEN multiple = 2 THEN key_reduction END), 6) AS two FROM sweep GROUP BY rule, structure")
