@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OPENED: set[str] = set()
+_KEPT: list = []
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -72,3 +73,12 @@ def ascii_lower(text: Column) -> Column:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def kept(name: str, token, make):
+    """An object that a Python worker keeps from task to task. There is one at a time, so that
+    the tables of one operator make way for those of the next."""
+    if not _KEPT or _KEPT[0] != name or _KEPT[1] is not token:
+        _KEPT.clear()
+        _KEPT.extend((name, token, make()))
+    return _KEPT[2]

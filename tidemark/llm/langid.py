@@ -14,7 +14,6 @@ treated one by one; an empty table yields no rows; other columns are never read.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -22,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._scratch import col
+from tidemark.llm._scratch import col, kept
 from tidemark.llm.wfst import LONGEST, UNIT, arcs, default_model, pieces, side_by_side, text_chunks
 
 #: Rows of each language that the probabilities are fitted on, in expectation.
@@ -185,9 +184,8 @@ class Scorer:
         return out
 
 
-@lru_cache(maxsize=2)
 def _scorer(holder) -> Scorer:
-    return Scorer(holder.value)
+    return kept("langid", holder, lambda: Scorer(holder.value))
 
 
 def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", out: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:

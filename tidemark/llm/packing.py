@@ -18,7 +18,6 @@ import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -27,13 +26,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._scratch import col, cut
+from tidemark.llm._scratch import col, cut, kept
 
 SIZE, WINDOWS, CLOSING_ID = 2048, 64, 1
 #: Open windows that one task of the merging pass takes.
 MERGED_BY_TASK = 4096
 #: Characters tokenised at a time, and words remembered by a worker.
-CHUNK_CHARS, CACHE_WORDS = 2_000_000, 1_000_000
+CHUNK_CHARS, CACHE_WORDS = 2_000_000, 700_000
 
 # Letters and other numbers below U+0250; texts with other characters take the tokenizer's own way.
 LETTERS = "a-zA-ZªµºÀ-ÖØ-öø-ɏ"
@@ -110,10 +109,8 @@ class WordTokens:
         return out
 
 
-@lru_cache(maxsize=2)
 def word_tokens(path: str) -> WordTokens:
-    """One per worker process."""
-    return WordTokens(path)
+    return kept(f"packing {path}", None, lambda: WordTokens(path))
 
 
 class Packer:

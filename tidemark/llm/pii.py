@@ -187,7 +187,7 @@ def mdy(key: bytes, text: str) -> str | None:
 KINDS = {"card": card, "phone": phone, "ip": ip, "ssn": ssn, "iban": iban, "iso": iso, "dmy": dmy, "mdy": mdy}
 
 
-@lru_cache(maxsize=100_000)
+@lru_cache(maxsize=20_000)
 def pseudonym(key: bytes, kind: str, value: str) -> str | None:
     """None for a value that doesn't validate."""
     if kind == "email":

@@ -20,7 +20,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm._scratch import col, cut
+from tidemark.llm._scratch import col, cut, kept
 from tidemark.llm.langid import held_out
 from tidemark.llm.wfst import text_chunks
 
@@ -244,9 +243,8 @@ def grow(table: pa.Table, depth: int) -> Tree:
     return Tree(child, np.log10(p).astype(np.float32), column, depth)
 
 
-@lru_cache(maxsize=1)
 def _tree(holder) -> Tree:
-    return holder.value
+    return kept("suffixtree", holder, lambda: holder.value)
 
 
 SCORED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._scratch import col
+from tidemark.llm._scratch import col, kept
 
 MARK = "▁"
 UNIT = re.compile(" *[^ ]+| +")
@@ -238,9 +238,8 @@ class Encoder:
         return text[1:] if text.startswith(" ") else text
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
-    return Encoder(pieces(path))
+    return kept(f"wfst {path}", None, lambda: Encoder(pieces(path)))
 
 
 def text_chunks(batch: pa.RecordBatch, limit: int = CHUNK_CHARS) -> Iterator[tuple[list, list[str]]]:
