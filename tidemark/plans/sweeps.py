@@ -45,9 +45,15 @@ def distorted(events: DataFrame, rules, fractions=FRACTIONS, multiples=MULTIPLES
     """(grid, projected stream, rows as the rules see them)."""
     runs = distort.grid(events.sparkSession, rules, fractions, multiples, seeds, structures)
     stream = project(events, rules)
-    spread = distort.spread(stream, runs)
+    # the choice of rows depends neither on the delay's size nor on what happens to them: draw once
+    kind = F.when(F.col("structure") == "targeted", "targeted").otherwise("random")
+    by_draw = runs.withColumn("draw", F.xxhash64("rule", "fraction", "seed", kind))
+    draws = by_draw.select(F.col("draw").alias("run"), "rule", "fraction", "seed", kind.alias("structure")).distinct()
+    spread = distort.spread(stream, draws)
     chosen = distort.burst(spread) if delay == "burst" else distort.choose(spread)
-    return runs, stream, distort.arrive(chosen, DELAYS[delay](), clock)
+    chosen = chosen.select(*stream.columns, F.col("run").alias("draw"), "chosen")
+    rows = chosen.join(F.broadcast(by_draw.drop("rule")), "draw").drop("draw")  # the caller's grid
+    return runs, stream, distort.arrive(rows, DELAYS[delay](), clock)
 
 
 def lost_keys(known: DataFrame, found: DataFrame, runs: DataFrame) -> DataFrame:
