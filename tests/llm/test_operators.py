@@ -379,6 +379,19 @@ def test_near_dup_against_brute_force(spark):
     assert got == dict(enumerate(label))
 
 
+def test_near_dup_pair_that_never_leads(spark):
+    """One bucket of 40 texts whose most central members are near nothing; the other two are twins."""
+    texts = [" ".join(f"t{k}w{j}" for j in range(40)) for k in range(39)]
+    texts.append(texts[38])
+    nodes = [(bytearray([k]), [1, 2, 3, 4 if k < 38 else k]) for k in range(40)]
+    found = neardup.links_of(
+        spark.createDataFrame(nodes, "node binary, sig array<int>"),
+        spark.createDataFrame([(n, t) for (n, _), t in zip(nodes, texts)], "node binary, text string"),
+        np.ones(1 << neardup.DF_BITS, np.float32), 0.8, 2, 2,
+    )
+    assert found is not None and {(bytes(r.node)[0], bytes(r.label)[0]) for r in found.collect()} == {(38, 38), (39, 38)}
+
+
 def test_near_dup_awkward(docs, none):
     rows = neardup.near_dup_report(docs).collect()
     assert len(rows) == len(AWKWARD)

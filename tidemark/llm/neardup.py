@@ -7,10 +7,11 @@ weighted samples (Ioffe 2010), grouped to bands; documents that share a band are
 pair is linked if its exact weighted Jaccard similarity is at least 0.8. Classes are the connected
 components of the links.
 
-Candidates are never all pairs of a bucket. Each bucket compares its members with one of them, the
-most central (the one whose buckets are largest in sum: in a family of edited copies that is the
-original); those that are not in its component then meet the most central of the rest, and so on
-until a round links nothing new.
+Every pair that shares a band is looked at, unless its rows are in one component already. To get
+there early, each bucket first compares its members with a few of them, the most central (whose
+buckets are largest in sum: in a family of edited copies that is the original), for a few rounds.
+In every bucket that still holds more than one component, all pairs of the rest then meet in blocks
+of bounded size. That part grows with the square of such a bucket.
 
 Equal texts are one node of the graph from the start, however many rows have them.
 
@@ -38,11 +39,13 @@ BANDS, ROWS = 12, 4
 #: Counters of document frequencies.
 DF_BITS = 16
 #: A candidate pair whose samples agree in less than this share is not looked at further: at a
-#: similarity of 0.8 that is 3.5 standard deviations away.
-LEAST_AGREEMENT = 0.6
+#: similarity of 0.8 that is 4.2 standard deviations away.
+LEAST_AGREEMENT = 0.56
 CHUNK_CHARS, CACHE_WORDS, BLOCK = 1_000_000, 300_000, 1024
 #: Members of a bucket that all its members are compared with in one round.
 LEADERS = 4
+#: Rounds of leaders before all pairs of the rest meet, and members of a bucket in a block of the rest.
+LEADER_ROUNDS, BLOCK_ROWS = 4, 256
 #: A node is hot if it holds more than this share of all rows; there are fewer than 1 / HOT_SHARE.
 HOT_SHARE = 1 / 1000
 
@@ -266,6 +269,100 @@ def may_be_in(nodes: DataFrame, bits: int = 20) -> Column:
     return F.get(F.lit(bitmap), at).bitwiseAND(bit) != 0
 
 
+def joined(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """(node, label) after new links (a, b), which join old components."""
+    if labels is None:
+        return components(links)
+    of = lambda x: labels.select(F.col("node").alias(x), F.col("label").alias(f"{x}_label"))
+    between = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_label", "a").alias("a"), F.coalesce("b_label", "b").alias("b"))
+    moved = components(cut(between, "between")).select(F.col("node").alias("old"), F.col("label").alias("new"))
+    named = labels.union(links.select(F.explode(F.array("a", "b")).alias("node"), F.col("node").alias("label"))).groupBy("node").agg(F.min("label").alias("label"))
+    return cut(named.join(moved, F.col("label") == F.col("old"), "left").select("node", F.coalesce("new", "label").alias("label")), "labels")
+
+
+def grouped(batches, columns: int):
+    """Tables of the rows that agree in the first ``columns`` columns, from batches sorted by them."""
+    open_, last = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.column_stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(columns)])
+        starts = np.append(0, np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1)
+        for a, b in zip(starts, np.append(starts[1:], batch.num_rows)):
+            key = tuple(keys[a])
+            if open_ and key != last:
+                yield pa.Table.from_batches(open_)
+                open_ = []
+            open_.append(batch.slice(a, b - a))
+            last = key
+    if open_:
+        yield pa.Table.from_batches(open_)
+
+
+def candidates(part: pa.Table, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The pairs of a block that may be links, as two arrays of places, and the labels as numbers.
+    Each pair is looked at in the first band that it shares and nowhere else."""
+    lo, hi, band = (part.column(k)[0].as_py() for k in (1, 2, 3))
+    sig = part.column("sig").combine_chunks().flatten().to_numpy().reshape(part.num_rows, bands * rows)
+    label = np.unique(np.array(part.column("label").to_pylist(), dtype=object), return_inverse=True)[1]
+    own = part.column("own").to_numpy()
+    left = np.arange(part.num_rows) if lo == hi else np.flatnonzero(own == lo)
+    right = left if lo == hi else np.flatnonzero(own == hi)
+    xs, ys = [], []
+    for x in left:
+        y = right[(label[right] != label[x]) & ((right > x) if lo == hi else True)]
+        same = sig[y] == sig[x]
+        first = same[:, : band * rows].reshape(len(y), band, rows).all(axis=2).any(axis=1)
+        y = y[~first & (same.sum(axis=1) >= LEAST_AGREEMENT * bands * rows)]
+        xs.append(np.full(len(y), x))
+        ys.append(y)
+    none = [np.zeros(0, np.int64)]
+    return np.concatenate(none + xs), np.concatenate(none + ys), label
+
+
+def rest_links(entries: DataFrame, nodes: DataFrame, keys: Column, texts: DataFrame, idf: np.ndarray, least: float, bands: int, rows: int) -> DataFrame:
+    """(a, b, similarity) between different components of the entries (key, node, label): links that
+    join all that any pair of a bucket joins. A bucket is cut to blocks of its members, and each two
+    blocks meet in a group of their own, so that no task holds a bucket."""
+    many = entries.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo <> hi")
+    many = many.select("key", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("parts"))
+    own = F.pmod(F.xxhash64(F.lit("block"), "node"), F.col("parts")).cast("int")
+    rest = entries.select("key", "node", "label").join(many, "key").withColumn("own", own)
+    rest = rest.join(nodes.select("node", "sig").hint("merge"), "node").withColumn("band", (F.array_position(keys, F.col("key")) - 1).cast("int"))
+    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rest = rest.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "band", "own", "node", "label", "sig")
+    place = ["key", "lo", "hi"]
+
+    def meet(batches):
+        for part in grouped(batches, 3):
+            x, y, _ = candidates(part, bands, rows)
+            if len(x):
+                yield from part.take(pa.array(np.union1d(x, y))).to_batches()
+
+    def verify(batches):
+        for part in grouped(batches, 3):
+            x, y, label = candidates(part, bands, rows)
+            known = weighted_jaccard(part.column("text").to_pylist(), idf)
+            sums = np.array([w.sum() for _, w in known])
+            able = np.minimum(sums[x], sums[y]) >= least * np.maximum(sums[x], sums[y]) * (1 - 1e-9)
+            links = []
+            for i, j in zip(x[able], y[able]):
+                if label[i] != label[j]:
+                    s = similarity(known[i], known[j])
+                    if s >= least:
+                        links.append((i, j, s))
+                        label[label == label[j]] = label[i]
+            if links:
+                i, j, s = zip(*links)
+                names = part.column("node").to_pylist()
+                ends = [(min(names[a], names[b]), max(names[a], names[b])) for a, b in zip(i, j)]
+                yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in ends], pa.binary()), pa.array([b for _, b in ends], pa.binary()), pa.array(s, pa.float64())], names=["a", "b", "similarity"])
+
+    near = cut(rest.repartition(*place).sortWithinPartitions(*place).mapInArrow(meet, rest.schema), "near")
+    near = near.join(texts.select("node", "text").hint("merge"), "node").select(*rest.columns, "text")
+    return cut(near.repartition(*place).sortWithinPartitions(*place).mapInArrow(verify, "a binary, b binary, similarity double"), "links")
+
+
 def links_of(nodes: DataFrame, texts: DataFrame, idf: np.ndarray, least: float, bands: int, rows: int) -> DataFrame | None:
     """(node, label) of the nodes (node, sig) that have links; nothing if none have."""
     keys = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(i, F.slice("sig", i * rows + 1, rows)))
@@ -281,8 +378,8 @@ def links_of(nodes: DataFrame, texts: DataFrame, idf: np.ndarray, least: float,
     central = central.join(bits.where(may_be_in(central)), "node")
     entries = cut(shared.select("key", "node").join(central, "node"), "entries")
     texts = cut(texts.where(may_be_in(shared)).join(shared.select("node").distinct().hint("merge"), "node", "left_semi").dropDuplicates(["node"]), "texts")
-    entries, labels, turn = entries.withColumn("label", F.col("node")), None, 0
-    while True:
+    entries, labels = entries.withColumn("label", F.col("node")), None
+    for turn in range(LEADER_ROUNDS):
         # buckets that hold different components, and in each of their LEADERS parts the most central
         mixed = entries.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
         part = F.pmod(F.xxhash64(F.lit(turn), "node"), F.lit(LEADERS)).alias("part")
@@ -294,20 +391,17 @@ def links_of(nodes: DataFrame, texts: DataFrame, idf: np.ndarray, least: float,
         for side in ("a", "b"):
             pairs = cut(pairs, "pairs").join(texts.hint("merge").select(F.col("node").alias(side), F.col("text").alias(f"text_{side}")), side)
         links = cut(verified(pairs, idf, least), "links")
-        if links.isEmpty():
-            return labels
-        if labels is None:
-            labels = components(links)
-        else:  # the new links join old components
-            of = lambda x: labels.select(F.col("node").alias(x), F.col("label").alias(f"{x}_label"))
-            between = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_label", "a").alias("a"), F.coalesce("b_label", "b").alias("b"))
-            moved = components(cut(between, "between")).select(F.col("node").alias("old"), F.col("label").alias("new"))
-            named = labels.union(links.select(F.explode(F.array("a", "b")).alias("node"), F.col("node").alias("label"))).groupBy("node").agg(F.min("label").alias("label"))
-            labels = cut(named.join(moved, F.col("label") == F.col("old"), "left").select("node", F.coalesce("new", "label").alias("label")), "labels")
+        found = not links.isEmpty()
+        if found:
+            labels = joined(labels, links)
         # who has led has met the whole bucket
         rest = entries.drop("label").join(lead.select("key").distinct(), "key", "left_semi").join(lead.select("key", F.col("lead").alias("node")), ["key", "node"], "left_anti")
-        rest = rest.join(labels, "node", "left").select("key", "node", "bits", "central", F.coalesce("label", "node").alias("label"))
-        entries, turn = cut(rest, "rest"), turn + 1
+        rest = rest.withColumn("label", F.col("node")) if labels is None else rest.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        entries = cut(rest.select("key", "node", "bits", "central", "label"), "rest")
+        if not found:
+            break
+    links = rest_links(entries, nodes, keys, texts, idf, least, bands, rows)
+    return labels if links.isEmpty() else joined(labels, links)
 
 
 def classes(rows: DataFrame, least: float = SIMILARITY, bands: int = BANDS, band_rows: int = ROWS) -> DataFrame:
