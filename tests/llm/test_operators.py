@@ -351,6 +351,20 @@ def test_language_id(spark, docs, none):
     assert langid.identify(none, model, out=("p", "q")).count() == 0
 
 
+def test_language_id_learns_from_long_units(spark):
+    m = wfst.pieces(wfst.default_model())
+    p = np.random.default_rng(2).uniform(1e-5, 1e-3, m.size)
+    for unit in (b" hello", " 日本語のx".encode()):
+        assert np.allclose(langid.expected_counts_long(m, unit, 3.0, p), langid.expected_counts(m, [unit], np.array([3.0]), p))
+    rng = random.Random(4)
+    text = lambda letters: "".join(rng.choice(letters) for _ in range(60))
+    a, b = "日本語東京大学", "中国人民北上海"
+    rows = [(k, text(a if k % 2 else b), "ja" if k % 2 else "zh") for k in range(20)]
+    model = langid.learn(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    test = spark.createDataFrame([(k, text(a if k % 2 else b)) for k in range(10)], "doc_id bigint, text string")
+    assert all(r.lang_pred == ("ja" if r.doc_id % 2 else "zh") and r.score > 0.99 for r in langid.identify(test, model).collect())
+
+
 # 9 near duplicates
 
 

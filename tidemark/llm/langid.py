@@ -97,6 +97,35 @@ def expected_counts(m, units: list[bytes], weights: np.ndarray, probability: np.
     return counts
 
 
+def arcs_at(m, unit: bytes, p: int) -> list[tuple[int, int]]:
+    """(to, piece) of the arcs from one position of a unit."""
+    found, state, q = [(p + 1, m.byte_id[unit[p]])], 1, p
+    while q < len(unit) and 0 < state < m.inner:
+        state = m.next[state, unit[q]]
+        q += 1
+        i = m.final[state] if state else -1
+        if i >= 0:
+            found.append((q, i))
+    return found
+
+
+def expected_counts_long(m, unit: bytes, weight: float, probability: np.ndarray) -> np.ndarray:
+    """The same for one long unit, in logarithms; memory is proportional to its length."""
+    n, log_p = len(unit), np.log(np.maximum(probability, 1e-300))
+    alpha, beta = np.full(n + 1, -np.inf), np.full(n + 1, -np.inf)
+    alpha[0], beta[n] = 0, 0
+    for p in range(n):
+        for q, i in arcs_at(m, unit, p):
+            alpha[q] = np.logaddexp(alpha[q], alpha[p] + log_p[i])
+    counts = np.zeros(len(probability))
+    for p in range(n - 1, -1, -1):
+        for q, i in arcs_at(m, unit, p):
+            on = log_p[i] + beta[q]
+            beta[p] = np.logaddexp(beta[p], on)
+            counts[i] += weight * np.exp(alpha[p] + on - alpha[n])
+    return counts
+
+
 @dataclass(frozen=True)
 class LanguageModel:
     languages: list[str]
@@ -141,10 +170,13 @@ def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
                         for u in UNIT.findall(" " + text):
                             by[u] = by.get(u, 0) + 1
                     for lang, by in seen.items():
-                        short = {u.encode(): n for u, n in by.items() if len(u) <= LONGEST and len(u.encode()) <= LONGEST}
+                        raw, p = {u.encode(): n for u, n in by.items()}, now[:, at[lang]].astype(float)
+                        short = {u: n for u, n in raw.items() if len(u) <= LONGEST}
                         if short:
-                            c = expected_counts(own, list(short), np.array(list(short.values()), float), now[:, at[lang]].astype(float))
-                            found[lang] = found.get(lang, 0) + c
+                            found[lang] = found.get(lang, 0) + expected_counts(own, list(short), np.array(list(short.values()), float), p)
+                        for u, n in raw.items():
+                            if len(u) > LONGEST:
+                                found[lang] = found.get(lang, 0) + expected_counts_long(own, u, n, p)
             for lang, c in found.items():
                 i = np.flatnonzero(c)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(i), pa.string()), pa.array(i, pa.int32()), pa.array(c[i], pa.float64())], names=["lang", "piece", "n"])
