@@ -2,15 +2,36 @@
 
 from __future__ import annotations
 
+import atexit
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_OPENED: set[str] = set()
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; where unset (tests), a folder of the warehouse."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/_tidemark/{spark.sparkContext.applicationId}"
+    """The session's folder in ``spark.checkpoint.dir``, deleted when the session's driver ends. On
+    one machine (tests) it may be unset: then a folder of the warehouse. A cluster has to name one."""
+    base, master = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master
+    if not base:
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        base = spark.conf.get("spark.sql.warehouse.dir")
+    root = f"{base.rstrip('/')}/_tidemark/{spark.sparkContext.applicationId}"
+    if root not in _OPENED:
+        _OPENED.add(root)
+        atexit.register(_remove, spark, root)
+    return root
+
+
+def _remove(spark: SparkSession, root: str) -> None:
+    """Delete the session's intermediate tables when the driver ends in good order."""
+    sc = spark.sparkContext
+    if sc._jsc is None or sc._jsc.sc().isStopped():
+        return
+    path = sc._jvm.org.apache.hadoop.fs.Path(root)
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -18,7 +39,8 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once and read it back: the lineage ends there."""
+    """Write ``df`` once to the shared folder and read it back: the lineage ends there, and a lost
+    executor loses nothing."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
