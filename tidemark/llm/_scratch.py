@@ -1,52 +1,21 @@
-"""Intermediate tables in the folder that driver and executors share."""
+"""Helpers of this subpackage: column names, ASCII case, and the tables that Python workers keep."""
 
 from __future__ import annotations
 
-import atexit
-import uuid
+import ctypes
+import gc
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_OPENED: set[str] = set()
-_KEPT: list = []
-
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; where unset (tests), a folder of the warehouse."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    root = f"{base.rstrip('/')}/_tidemark/{spark.sparkContext.applicationId}"
-    if root not in _OPENED:
-        _OPENED.add(root)
-        atexit.register(_remove, spark, root)
-    return root
-
-
-def _remove(spark: SparkSession, root: str) -> None:
-    """Delete the session's intermediate tables when the driver ends in good order."""
-    sc = spark.sparkContext
-    if sc._jsc is None or sc._jsc.sc().isStopped():
-        return
-    path = sc._jvm.org.apache.hadoop.fs.Path(root)
-    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+from tidemark.sources.scratch import cut, scratch_path, shared_dir
 
+__all__ = ["ascii_lower", "col", "cut", "documents", "fresh", "kept", "release", "scratch_path", "shared_dir"]
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
+_KEPT: list = []
 
-def cut(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: the lineage ends there, and a
-    lost executor loses nothing."""
-    spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
-    writer = df.write.partitionBy(partition_by) if partition_by else df.write
-    writer.parquet(path)
-    schema = df.schema
-    if partition_by:  # the reader puts the partition column last
-        schema = type(schema)([f for f in schema if f.name != partition_by] + [f for f in schema if f.name == partition_by])
-    return spark.read.schema(schema).parquet(path)
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def fresh(df: DataFrame, *bases: str) -> list[str]:
@@ -76,9 +45,27 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def kept(name: str, token, make):
-    """An object that a Python worker keeps from task to task. There is one at a time, so that
-    the tables of one operator make way for those of the next."""
+    """What a Python worker keeps from task to task. It is the only owner of such tables and holds
+    one at a time: those of one operator make way for those of the next."""
     if not _KEPT or _KEPT[0] != name or _KEPT[1] is not token:
         _KEPT.clear()
+        release()
         _KEPT.extend((name, token, make()))
     return _KEPT[2]
+
+
+def release() -> None:
+    """Give freed memory back to the system: a worker outlives its task."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def released(rows):
+    """The items of ``rows``; memory goes back when they end."""
+    try:
+        yield from rows
+    finally:
+        release()

@@ -20,6 +20,8 @@ from tidemark.llm._scratch import ascii_lower, col, cut, scratch_path
 #: A digest is hot if it holds more than this share of all rows: there are fewer than
 #: 1 / HOT_SHARE such digests at any size, which bounds what is broadcast.
 HOT_SHARE = 1 / 1000
+#: Rows of documents for each bucket of a new index, and the least number of buckets.
+BUCKET_ROWS, LEAST_BUCKETS = 2_000_000, 32
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -29,10 +31,12 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 class DigestIndex:
-    """A table (digest, keep_id) bucketed and sorted by digest, kept at ``path`` between sessions."""
+    """A table (digest, keep_id) bucketed and sorted by digest, kept at ``path`` between sessions.
+    Each ``add`` appends a sorted file to each bucket; ``compacted`` writes an index whose buckets
+    have one file, so that joins need no sort."""
 
     def __init__(self, spark: SparkSession, name: str, path: str, buckets: int = 32):
-        self.spark, self.name = spark, name
+        self.spark, self.name, self.buckets = spark, name, buckets
         spark.sql(
             f"CREATE TABLE IF NOT EXISTS {name} (digest BINARY, keep_id BIGINT) USING parquet "
             f"CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{path}'"
@@ -47,6 +51,16 @@ class DigestIndex:
         new = groups.join(self.table().select("digest").hint("merge"), "digest", "left_anti")
         new.select("digest", "keep_id").write.insertInto(self.name)
 
+    def compacted(self, name: str, path: str, buckets: int | None = None) -> DigestIndex:
+        """The same digests as a new index, with as many buckets as the table has outgrown."""
+        out = DigestIndex(self.spark, name, path, buckets or self.buckets)
+        self.table().repartition(out.buckets, "digest").write.insertInto(name)
+        return out
+
+    def drop(self) -> None:
+        """Take the table out of the session's catalogue; its files stay."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+
     def resolve(self, batch: DataFrame) -> DataFrame:
         """One row per row of ``batch``: the id that stays, the size of its group, and whether
         this row is the one that stays. Hot digests meet their group in a broadcast join of
@@ -64,17 +78,21 @@ class DigestIndex:
         return rows.select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = 32) -> DataFrame:
-    """Fill a new index with ``docs`` in two batches, larger ids first, and resolve all rows."""
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None) -> DataFrame:
+    """Fill a new index with ``docs`` in two batches, larger ids first, and resolve all rows. The
+    number of buckets follows the number of rows unless given."""
     spark = docs.sparkSession
     rows = digests(docs, id_col, text_col)
+    buckets = buckets or max(LEAST_BUCKETS, -(-rows.count() // BUCKET_ROWS))
     index = DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}", scratch_path(spark, "digest-index"), buckets)
     low, high = rows.agg(F.min("doc_id"), F.max("doc_id")).first()
     middle = 0 if low is None else (low + high) // 2
     upper = F.coalesce(F.col("doc_id") > middle, F.lit(False))
     index.add(rows.where(upper))
     index.add(rows.where(~upper))
-    return index.resolve(rows)
+    out = index.resolve(rows)  # it reads what resolve() wrote, not the index
+    index.drop()
+    return out
 
 
 ORACLE_SQL = """

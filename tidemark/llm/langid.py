@@ -2,7 +2,8 @@
 
 Each language has a probability for every piece of a fixed public vocabulary (and for every byte).
 The probability of a text is the sum over all its segmentations into pieces, computed by the
-forward algorithm; pieces never go past a space, so it is a product over space-separated units.
+forward algorithm; pieces never go past a space, so it is a product over space-separated units, and
+over the parts of a long unit where no piece of the vocabulary goes on past a place.
 The probabilities are learned by expectation-maximisation (forward-backward) on a bounded sample
 of labelled rows.
 
@@ -13,6 +14,7 @@ treated one by one; an empty table yields no rows; other columns are never read.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,13 +23,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._scratch import col, kept
-from tidemark.llm.wfst import LONGEST, UNIT, arcs, default_model, pieces, side_by_side, text_chunks
+from tidemark.llm._scratch import col, kept, released
+from tidemark.llm.wfst import CACHE_BYTES, WIDEST, Pieces, arcs, as_bytes, blocks, default_model, side_by_side, text_chunks, units_of
 
 #: Rows of each language that the probabilities are fitted on, in expectation.
 SAMPLE_ROWS = 1500
 
 ROUNDS, SMOOTHING, CACHE_UNITS = 2, 0.05, 300_000
+#: Numbers that the forward algorithm holds at a time: bytes of units times languages.
+CELLS = 1_000_000
 #: Languages that are told apart: the model has a column for each.
 MAX_LANGUAGES = 400
 
@@ -39,18 +43,17 @@ def held_out(id_: Column, folds: int, fold: int) -> Column:
 def forward(m, units: list[bytes], probability: np.ndarray) -> np.ndarray:
     """(units, languages) log probabilities."""
     out = np.empty((len(units), probability.shape[1]))
-    short = [k for k, u in enumerate(units) if len(u) <= LONGEST]
-    if short:
-        order, lengths, codes = side_by_side([units[k] for k in short])
-        alpha = np.zeros((len(short), codes.shape[1] + 1, probability.shape[1]))
+    for block in blocks(units, max(1, CELLS // probability.shape[1])):
+        order, lengths, codes = side_by_side([units[k] for k in block])
+        alpha = np.zeros((len(block), codes.shape[1] + 1, probability.shape[1]))
         alpha[:, 0] = 1
         for p, q, rows, piece in arcs(m, codes, lengths):
             alpha[rows, q] += alpha[rows, p] * probability[piece]
         with np.errstate(divide="ignore"):
-            total = np.log(alpha[np.arange(len(short)), lengths])
-        out[np.array(short)[order]] = total
+            total = np.log(alpha[np.arange(len(block)), lengths])
+        out[np.array(block)[order]] = total
     for k, u in enumerate(units):
-        if len(u) > LONGEST:
+        if len(u) > WIDEST:
             out[k] = forward_long(m, u, probability)
     return out
 
@@ -148,7 +151,7 @@ def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     counts = {r["lang"]: r["n"] for r in source.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES + 1).collect()}
     if len(counts) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    languages, m = sorted(counts), pieces(path)
+    languages, m = sorted(counts), Pieces(path)
     total = np.array([float(counts[x]) for x in languages])
     # at first, every piece is as likely as its length allows
     start = np.where(m.final >= 0, 1.0, 0.0)
@@ -161,27 +164,26 @@ def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
         at, now = {x: k for k, x in enumerate(languages)}, probability.astype(np.float32)
 
         def run(batches, at=at, now=now):
-            own, found = pieces(path), {}
+            own, found = worker(path)["pieces"], {}
             for batch in batches:
                 for langs, texts in text_chunks(batch.select(["lang", "text"]), 500_000):
                     seen: dict[str, dict[bytes, int]] = {}
                     for lang, text in zip(langs, texts):
                         by = seen.setdefault(lang, {})
-                        for u in UNIT.findall(" " + text):
+                        for u in units_of(own, text):
                             by[u] = by.get(u, 0) + 1
                     for lang, by in seen.items():
-                        raw, p = {u.encode(): n for u, n in by.items()}, now[:, at[lang]].astype(float)
-                        short = {u: n for u, n in raw.items() if len(u) <= LONGEST}
-                        if short:
-                            found[lang] = found.get(lang, 0) + expected_counts(own, list(short), np.array(list(short.values()), float), p)
-                        for u, n in raw.items():
-                            if len(u) > LONGEST:
+                        raw, times, p = as_bytes(list(by)), np.array(list(by.values()), float), now[:, at[lang]].astype(float)
+                        for block in blocks(raw, CELLS):
+                            found[lang] = found.get(lang, 0) + expected_counts(own, [raw[k] for k in block], times[block], p)
+                        for u, n in zip(raw, times):
+                            if len(u) > WIDEST:
                                 found[lang] = found.get(lang, 0) + expected_counts_long(own, u, n, p)
             for lang, c in found.items():
                 i = np.flatnonzero(c)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(i), pa.string()), pa.array(i, pa.int32()), pa.array(c[i], pa.float64())], names=["lang", "piece", "n"])
 
-        summed = chosen.mapInArrow(run, "lang string, piece int, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n")).toPandas()
+        summed = chosen.mapInArrow(lambda batches, run=run: released(run(batches)), "lang string, piece int, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n")).toPandas()
         c = np.zeros_like(probability)
         c[summed["piece"].to_numpy(np.int64), [at[x] for x in summed["lang"]]] = summed["n"].to_numpy(float)
         usable = (base > 1e-9)[:, None]
@@ -190,25 +192,32 @@ def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     return LanguageModel(languages, probability.astype(np.float32), np.log(total / total.sum()) if languages else np.zeros(1), path)
 
 
+def worker(path: str) -> dict:
+    """What a worker keeps for this operator: the pieces, and the scorer of a model."""
+    return kept(f"langid {path}", None, lambda: {"pieces": Pieces(path), "of": None, "scorer": None})
+
+
 class Scorer:
     """Log probabilities of texts, remembered by unit."""
 
-    def __init__(self, model: LanguageModel):
-        self.model, self.m, self.probability = model, pieces(model.path), model.probability.astype(float)
+    def __init__(self, m: Pieces, probability: np.ndarray):
+        self.m, self.probability = m, probability.astype(float)
         self.forget()
 
     def forget(self) -> None:
-        self.at: dict[str, int] = {}
-        self.table = np.zeros((0, self.probability.shape[1]), np.float32)
+        self.at: dict[str | bytes, int] = {}
+        self.held, self.table = 0, np.zeros((0, self.probability.shape[1]), np.float32)
 
     def score(self, texts: list[str]) -> np.ndarray:
-        if len(self.at) > CACHE_UNITS:
+        if len(self.at) > CACHE_UNITS or self.held > CACHE_BYTES:
             self.forget()
-        units = [UNIT.findall(" " + t) for t in texts]
-        missing = sorted({u for x in units for u in x}.difference(self.at))
+        units = [units_of(self.m, t) for t in texts]
+        missing = list(set().union(*units).difference(self.at))
         if missing:
+            raw = as_bytes(missing)
+            self.held += sum(map(len, raw))
             self.at.update(zip(missing, range(len(self.table), len(self.table) + len(missing))))
-            self.table = np.concatenate([self.table, forward(self.m, [u.encode() for u in missing], self.probability).astype(np.float32)])
+            self.table = np.concatenate([self.table, forward(self.m, raw, self.probability).astype(np.float32)])
         get, out = self.at.__getitem__, np.zeros((len(texts), self.table.shape[1]))
         for k, x in enumerate(units):
             if x:
@@ -217,16 +226,18 @@ class Scorer:
 
 
 def _scorer(holder) -> Scorer:
-    return kept("langid", holder, lambda: Scorer(holder.value))
+    own = worker(holder.value.path)
+    if own["of"] is not holder:
+        own["of"], own["scorer"] = holder, Scorer(own["pieces"], holder.value.probability)
+    return own["scorer"]
 
 
 def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", out: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """``docs`` with two columns more: the language and its posterior probability."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang string, score double")
-    def predict(text: pd.Series, letters: pd.Series) -> pd.DataFrame:
-        scorer, lang, score = _scorer(shared), [], []
+    def judged(text: pd.Series, letters: pd.Series) -> pd.DataFrame:
+        scorer, model, lang, score = _scorer(shared), shared.value, [], []
         texts, has = text.tolist(), letters.tolist()
         k = 0
         while k < len(texts):  # a bounded number of characters at a time
@@ -234,15 +245,19 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", out:
             while end < len(texts) and (n == 0 or n < 2_000_000):
                 n += len(texts[end] or "") + 1
                 end += 1
-            good = [bool(h) and bool(scorer.model.languages) for h in has[k:end]]
-            logs = scorer.score([t if g else "" for t, g in zip(texts[k:end], good)]) + scorer.model.prior
+            good = [bool(h) and bool(model.languages) for h in has[k:end]]
+            logs = scorer.score([t if g else "" for t, g in zip(texts[k:end], good)]) + model.prior
             best = logs.argmax(axis=1)
             p = 1 / np.exp(logs - logs.max(axis=1, keepdims=True)).sum(axis=1)
-            lang += [scorer.model.languages[b] if g else "und" for b, g in zip(best, good)]
+            lang += [model.languages[b] if g else "und" for b, g in zip(best, good)]
             score += [float(x) if g else 0.0 for x, g in zip(p, good)]
             k = end
         return pd.DataFrame({"lang": lang, "score": score})
 
+    @F.pandas_udf("lang string, score double")
+    def predict(columns: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        yield from released(judged(*x) for x in columns)
+
     low = F.lower(col(text_col))
     found = predict(low, F.coalesce(col(text_col).rlike(r"\p{L}"), F.lit(False)))
     return docs.select(*[col(c) for c in docs.columns], found.alias(out[0] + out[1])).select(*[col(c) for c in docs.columns], F.col(f"`{out[0]}{out[1]}`.lang").alias(out[0]), F.col(f"`{out[0]}{out[1]}`.score").alias(out[1]))

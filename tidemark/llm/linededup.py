@@ -12,12 +12,14 @@ before any other; an empty table yields no rows; other columns pass through unto
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from tidemark.llm._scratch import col, cut, fresh
+from tidemark.llm._scratch import col, cut, fresh, kept, released
 
 
 def windows(text: Column, span: int) -> Column:
@@ -32,8 +34,7 @@ def windows(text: Column, span: int) -> Column:
     return F.zip_with(joined, some, lambda h, s: F.when(s > 0, F.unhex(F.md5(h))))
 
 
-@F.pandas_udf(StringType())
-def without_lines(text: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
+def left_of(text: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
     """The text without the lines start..end (from 0, inclusive) of each interval."""
     def one(t, first, last):
         if t is None or first is None:
@@ -47,6 +48,12 @@ def without_lines(text: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Ser
     return pd.Series([one(*x) for x in zip(text, starts, ends)], dtype=object)
 
 
+@F.pandas_udf(StringType())
+def without_lines(columns: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    kept("lines", None, dict)
+    yield from released(left_of(*x) for x in columns)
+
+
 def repeated_spans(keyed: DataFrame, span: int) -> DataFrame:
     """(d, h, starts, ends) of the documents that lose lines; keyed: (d, h, t)."""
     at = F.posexplode(windows(F.col("t"), span)).alias("pos", "w")

@@ -21,12 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._scratch import col
+from tidemark.llm._scratch import col, released
 
 SIDE, FPS = 24, 25
 SAMPLES = SIDE * SIDE
-#: Payload bytes worked on at a time.
-CHUNK_BYTES = 4_000_000
+#: Payload bytes of texts that are taken together, and frames coded side by side.
+CHUNK_BYTES, FRAMES = 4_000_000, 1_700
 #: Huffman code lengths of the difference categories 0-8, chosen for text.
 CODE_LENGTHS = (4, 4, 3, 3, 2, 3, 5, 3, 6)
 #: FLOOR lies above the differences that chance makes between frames of one source.
@@ -360,12 +360,15 @@ def shots(shares: np.ndarray) -> np.ndarray:
 
 
 def encode_texts(payloads: list[bytes]) -> list[bytes]:
-    """One AVI file per payload; the payload is filled up with bytes 255 to whole frames."""
+    """One AVI file per payload; the payload is filled up with bytes 255 to whole frames. A bounded
+    number of frames is coded at a time, so memory is a few times that of the payloads."""
     counts = [max(1, -(-len(p) // SAMPLES)) for p in payloads]
-    filled = b"".join(p + b"\xff" * (n * SAMPLES - len(p)) for p, n in zip(payloads, counts))
-    data, bounds = encode_frames(np.frombuffer(filled, np.uint8).reshape(-1, SIDE, SIDE))
-    bounds = bounds.tolist()
-    pictures = [HEAD + data[a:b] + TAIL for a, b in zip(bounds, bounds[1:])]
+    filled = b"".join(x for p, n in zip(payloads, counts) for x in (p, b"\xff" * (n * SAMPLES - len(p))))
+    frames, pictures = np.frombuffer(filled, np.uint8).reshape(-1, SIDE, SIDE), []
+    for k in range(0, len(frames), FRAMES):
+        data, bounds = encode_frames(frames[k : k + FRAMES])
+        bounds = bounds.tolist()
+        pictures += [HEAD + data[a:b] + TAIL for a, b in zip(bounds, bounds[1:])]
     out, k = [], 0
     for n in counts:
         out.append(write_avi(pictures[k : k + n]))
@@ -373,24 +376,49 @@ def encode_texts(payloads: list[bytes]) -> list[bytes]:
     return out
 
 
-def read_back(files: list[bytes]) -> list[tuple[float, np.ndarray]]:
-    """(frames per second, (n, samples) frames) of each file."""
+def read_back(files: list[bytes]) -> Iterator[tuple[float, list[np.ndarray]]]:
+    """(frames per second, frames as lists of (n, samples) arrays) of each file. A bounded number of
+    frames is decoded at a time, those of short files together."""
     parsed = [parse_avi(x) for x in files]
-    frames = decode_frames([x[a:b] for x, (_, where) in zip(files, parsed) for a, b in where])
-    out, k = [], 0
-    for fps, where in parsed:
-        own = frames[k : k + len(where)]
-        out.append((fps, np.stack(own).reshape(len(own), -1) if own else np.zeros((0, SAMPLES), np.uint8)))
-        k += len(where)
-    return out
+    todo = [(k, x[a:b]) for k, (x, (_, where)) in enumerate(zip(files, parsed)) if len(where) <= FRAMES for a, b in where]
+    found: dict[int, list[np.ndarray]] = {}
+    for k in range(0, len(todo), FRAMES):
+        part = todo[k : k + FRAMES]
+        for (of, _), x in zip(part, decode_frames([p for _, p in part])):
+            found.setdefault(of, []).append(x)
+    del todo
+    for k, (fps, where) in enumerate(parsed):
+        if len(where) <= FRAMES:
+            yield fps, [rows_of_frames(found.pop(k))] if k in found else []
+        else:
+            yield fps, [rows_of_frames(decode_frames([files[k][a:b] for a, b in where[i : i + FRAMES]])) for i in range(0, len(where), FRAMES)]
+
+
+def rows_of_frames(frames: list[np.ndarray]) -> np.ndarray:
+    """(n, samples); frames of different sizes are an error."""
+    return np.stack(frames).reshape(len(frames), -1)
+
 
+def shares_of(frames: list[np.ndarray]) -> np.ndarray:
+    return np.concatenate([np.zeros((0, BINS)), *map(histograms, frames)])
 
-def in_chunks(batch: pa.RecordBatch, size) -> Iterator[tuple[list, list]]:
+
+def readable(files: list[bytes]) -> list[tuple[float, list[np.ndarray]]]:
+    """The same; what is damaged has no frames."""
+    try:
+        return list(read_back(files))
+    except (ValueError, IndexError, KeyError, struct.error):
+        return [(float(FPS), [])] if len(files) == 1 else [x for f in files for x in readable([f])]
+
+
+def in_chunks(batch: pa.RecordBatch) -> Iterator[tuple[list, list]]:
+    """Ids and values as bytes (null: empty), a bounded number of bytes at a time."""
     ids, values, n = [], [], 0
     for i, v in zip(batch.column(0).to_pylist(), batch.column(1)):
+        value = v.as_py() or b""
         ids.append(i)
-        values.append(v.as_py())
-        n += size(values[-1])
+        values.append(value if isinstance(value, bytes) else value.encode())
+        n += len(values[-1])
         if n > CHUNK_BYTES:
             yield ids, values
             ids, values, n = [], [], 0
@@ -408,30 +436,30 @@ def encode_column(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def run(batches):
         for batch in batches:
-            for ids, texts in in_chunks(batch, lambda t: len(t or "")):
-                yield rows_of(list(zip(ids, encode_texts([(t or "").encode() for t in texts]))), schema)
+            for ids, payloads in in_chunks(batch):
+                yield rows_of(list(zip(ids, encode_texts(payloads))), schema)
 
-    return docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).alias("text")).mapInArrow(run, "doc_id bigint, avi binary")
+    return docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).alias("text")).mapInArrow(lambda batches: released(run(batches)), "doc_id bigint, avi binary")
 
 
 def clips(media: DataFrame, id_col: str = "doc_id", avi_col: str = "avi") -> DataFrame:
-    """Timed clip rows of an AVI column: one per shot. A null or empty file has none."""
+    """Timed clip rows of an AVI column: one per shot. A null, empty or damaged file has none."""
     kinds = [("doc_id", pa.int64()), ("clip", pa.int32()), ("first_frame", pa.int64()), ("last_frame", pa.int64()), ("start_s", pa.float64()), ("end_s", pa.float64())]
     schema = pa.schema(kinds)
 
     def run(batches):
         for batch in batches:
-            for ids, files in in_chunks(batch, lambda x: len(x or b"")):
+            for ids, files in in_chunks(batch):
                 known = [(i, x) for i, x in zip(ids, files) if x]
                 rows = []
-                for (i, _), (fps, frames) in zip(known, read_back([x for _, x in known])):
-                    begins = shots(histograms(frames)).tolist()
-                    for k, (a, b) in enumerate(zip(begins, [*begins[1:], len(frames)])):
+                for (i, _), (fps, frames) in zip(known, readable([x for _, x in known])):
+                    begins = shots(shares_of(frames)).tolist()
+                    for k, (a, b) in enumerate(zip(begins, [*begins[1:], sum(map(len, frames))])):
                         rows.append((i, k, a, b - 1, a / fps, b / fps))
                 if rows:
                     yield rows_of(rows, schema)
 
-    return media.select(col(id_col).cast("long").alias("doc_id"), col(avi_col).alias("avi")).mapInArrow(run, "doc_id bigint, clip int, first_frame bigint, last_frame bigint, start_s double, end_s double")
+    return media.select(col(id_col).cast("long").alias("doc_id"), col(avi_col).alias("avi")).mapInArrow(lambda batches: released(run(batches)), "doc_id bigint, clip int, first_frame bigint, last_frame bigint, start_s double, end_s double")
 
 
 def media_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -442,15 +470,18 @@ def media_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches):
         for batch in batches:
-            for ids, texts in in_chunks(batch, lambda t: len(t or "")):
-                payloads = [(t or "").encode() for t in texts]
+            for ids, payloads in in_chunks(batch):
                 files = encode_texts(payloads)
-                rows = []
-                for i, p, file, (fps, frames) in zip(ids, payloads, files, read_back(files)):
-                    got, begins = frames.tobytes(), shots(histograms(frames))
-                    feature = f"frames={len(frames)};fps={fps:g};shots={','.join(map(str, begins.tolist()))}"
-                    rows.append((i, len(p), len(got), hashlib.sha256(got).hexdigest(), zlib.crc32(got[-32:]), len(file), hashlib.sha256(file).hexdigest(), feature, len(begins)))
+                sizes, rows = list(map(len, payloads)), []
+                payloads.clear()  # what follows comes from the stored bytes
+                for i, size, file, (fps, frames) in zip(ids, sizes, files, read_back(files)):
+                    got, begins = hashlib.sha256(), shots(shares_of(frames))
+                    for part in frames:
+                        got.update(part)
+                    n = sum(map(len, frames))
+                    feature = f"frames={n};fps={fps:g};shots={','.join(map(str, begins.tolist()))}"
+                    rows.append((i, size, n * SAMPLES, got.hexdigest(), zlib.crc32(frames[-1][-1, -32:].tobytes()), len(file), hashlib.sha256(file).hexdigest(), feature, len(begins)))
                 yield rows_of(rows, schema)
 
     spec = ", ".join(f"{n} {'string' if pa.types.is_string(t) else 'bigint'}" for n, t in kinds.items())
-    return docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).alias("text")).mapInArrow(run, spec)
+    return docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).alias("text")).mapInArrow(lambda batches: released(run(batches)), spec)

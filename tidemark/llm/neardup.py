@@ -1,8 +1,10 @@
 """Near-duplicate documents by improved consistent weighted sampling over TF-IDF shingles.
 
 A document is the weighted set of its five-word shingles: term frequency times inverse document
-frequency. Document frequencies are counted over all documents in a fixed number of hash buckets,
-as in feature hashing, so the table that tasks share never grows. Each document gets K consistent
+frequency, 1 - ln(share of the documents that have it). Shares are counted over all documents in a
+fixed number of hash counters, less what an average shingle finds there by collision, so the table
+that tasks share never grows; below RARE_SHARE, where such counters cannot tell shares apart, all
+weigh the same. A weight thus depends on shares alone, at any size of the corpus. Each document gets K consistent
 weighted samples (Ioffe 2010), grouped to bands; documents that share a band are candidates, and a
 pair is linked if its exact weighted Jaccard similarity is at least 0.8. Classes are the connected
 components of the links.
@@ -32,12 +34,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._scratch import col, cut, fresh, kept
+from tidemark.llm._scratch import col, cut, fresh, kept, released
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 12, 4
-#: Counters of document frequencies.
-DF_BITS = 16
+#: Counters of document frequencies, and the share of all documents below which a shingle is just rare.
+DF_BITS, RARE_SHARE = 16, 0.005
 #: A candidate pair whose samples agree in less than this share is not looked at further: at a
 #: similarity of 0.8 that is 4.2 standard deviations away.
 LEAST_AGREEMENT = 0.56
@@ -118,7 +120,9 @@ def buckets(h: np.ndarray) -> np.ndarray:
 
 
 def idf_table(df: np.ndarray, n: int) -> np.ndarray:
-    return (1 + np.log((1 + n) / (1 + np.minimum(df, n)))).astype(np.float32)
+    """Weights by counter: each counter less the mean of the others estimates one shingle's documents."""
+    own = df - (df.sum() - df) / max(len(df) - 1, 1)
+    return (1 - np.log(np.clip(own / max(n, 1), RARE_SHARE, 1))).astype(np.float32)
 
 
 @lru_cache(maxsize=2)
@@ -190,7 +194,7 @@ def document_frequencies(rows: DataFrame) -> tuple[np.ndarray, int]:
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1), pa.int32()), pa.array(np.append(df[at], n), pa.int64())], names=["bucket", "n"])
 
-    counts = rows.select("text").mapInArrow(run, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    counts = rows.select("text").mapInArrow(lambda batches: released(run(batches)), "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
     df = np.zeros(1 << DF_BITS, np.int64)
     own = counts[counts["bucket"] >= 0]
     df[own["bucket"]] = own["n"]
@@ -209,7 +213,7 @@ def signatures(rows: DataFrame, idf: np.ndarray, k: int) -> DataFrame:
                 sigs = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * k), pa.array(sig.ravel()))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(nodes, pa.binary()), sigs], names=["id", "row", "node", "sig"])
 
-    return rows.select("id", "row", "text").mapInArrow(run, "id bigint, row bigint, node binary, sig array<int>")
+    return rows.select("id", "row", "text").mapInArrow(lambda batches: released(run(batches)), "id bigint, row bigint, node binary, sig array<int>")
 
 
 def weighted_jaccard(texts: list[str], idf: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -238,7 +242,7 @@ def verified(pairs: DataFrame, idf: np.ndarray, least: float) -> DataFrame:
                 yes = pa.array(s >= least)
                 yield pa.RecordBatch.from_arrays([a.slice(k, n).filter(yes), b.slice(k, n).filter(yes), pa.array(s[s >= least])], names=["a", "b", "similarity"])
 
-    return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary, similarity double")
+    return pairs.select("a", "b", "text_a", "text_b").mapInArrow(lambda batches: released(run(batches)), "a binary, b binary, similarity double")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -377,7 +381,9 @@ def links_of(nodes: DataFrame, texts: DataFrame, idf: np.ndarray, least: float,
     bits = nodes.select("node", F.transform("sig", lambda x: F.shiftright(x, 24).cast("tinyint")).alias("bits"))
     central = central.join(bits.where(may_be_in(central)), "node")
     entries = cut(shared.select("key", "node").join(central, "node"), "entries")
-    texts = cut(texts.where(may_be_in(shared)).join(shared.select("node").distinct().hint("merge"), "node", "left_semi").dropDuplicates(["node"]), "texts")
+    # one of equal texts is enough, and all but one go before the shuffle
+    texts = texts.where(may_be_in(shared)).dropDuplicates(["node"])
+    texts = cut(texts.join(shared.select("node").distinct().hint("merge"), "node", "left_semi"), "texts")
     entries, labels = entries.withColumn("label", F.col("node")), None
     for turn in range(LEADER_ROUNDS):
         # buckets that hold different components, and in each of their LEADERS parts the most central

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._scratch import col, cut, kept
+from tidemark.llm._scratch import col, cut, kept, release, released
 
 SIZE, WINDOWS, CLOSING_ID = 2048, 64, 1
 #: Open windows that one task of the merging pass takes.
@@ -67,10 +67,11 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        spec = json.loads(self.whole.to_str())
+        with open(path, "rb") as f:
+            spec = json.load(f)
         self.by_words = spec["normalizer"] is not None and spec["model"].get("end_of_word_suffix") == "</w>"
-        spec["normalizer"], spec["added_tokens"], spec["post_processor"] = None, [], None
-        self.words = Tokenizer.from_str(json.dumps(spec))
+        del spec
+        release()
         self.forget()
 
     def forget(self) -> None:
@@ -79,7 +80,7 @@ class WordTokens:
 
     def learn(self) -> None:
         """Tokenise the words that were looked up for the first time."""
-        found = [e.ids for e in self.words.encode_batch_fast(self.at.new, add_special_tokens=False)]
+        found = [e.ids for e in self.whole.encode_batch_fast(self.at.new, add_special_tokens=False)]
         self.at.new = []
         lengths = np.fromiter(map(len, found), np.int64, len(found))
         base = len(self.ids)
@@ -189,7 +190,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids)."""
     path = tokenizer or default_tokenizer()
     source = docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).alias("text"))
-    pieces = cut(source.mapInArrow(packing_task(size, windows, path, with_ids), PIECES), "pieces")
+    pieces = cut(source.mapInArrow(lambda batches: released(packing_task(size, windows, path, with_ids)(batches)), PIECES), "pieces")
     fills = pieces.groupBy("window_id").agg(F.sum("length").alias("fill")).where(F.col("fill") < size)
     fills = cut(fills, "fills")  # only windows that are not full can be merged
     parts = max(1, -(-fills.count() // MERGED_BY_TASK))

@@ -5,6 +5,7 @@ permutes the numbers of the format, walking on until it lands inside. It is a pe
 values get equal pseudonyms in all documents and different values stay different. Recognised:
 payment cards (Luhn), phone numbers, IPv4 addresses, US social security numbers, IBANs (mod 97),
 dates from 1900 to 2099, and the local part of e-mail addresses. What doesn't validate is left alone.
+A phone number gets the same digits however it is grouped.
 
 Defined results: a null text stays null; an empty text stays empty; equal texts get equal results;
 an empty table yields no rows; other columns pass through untouched.
@@ -15,13 +16,13 @@ from __future__ import annotations
 import hashlib
 import re
 from datetime import date
-from functools import lru_cache
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._scratch import col, fresh
+from tidemark.llm._scratch import col, fresh, kept, released
 
 #: For tests and queries; a production job passes its own secret.
 DEFAULT_KEY = b"tidemark pseudonyms"
@@ -29,7 +30,7 @@ ROUNDS = 8
 
 NUMBER = re.compile(
     r"(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))"
-    r"|(?P<phone>(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)"
+    r"|(?P<phone>(?<![\w+])\+\d(?:[ .-]?\d){0,3}(?:[ .-]?\(\d{1,4}\))?(?:[ .-]?\d){4,13}(?!\d)"
     r"|(?<![\w+])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\w.+-])\d{3}([ .-])\d{3}\3\d{4}(?![\w-]))"
     r"|(?P<ip>(?<![\w.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\w]|\.\w))"
     r"|(?P<iso>(?<![\w-])\d{4}-\d{2}-\d{2}(?!\d|-\d))"
@@ -41,6 +42,12 @@ NUMBER = re.compile(
 EMAIL = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9-])")
 LIKELY = re.compile(r"\d.*?\d", re.S)
 FIRST_DAY, DAYS = date(1900, 1, 1).toordinal(), date(2099, 12, 31).toordinal() - date(1900, 1, 1).toordinal() + 1
+#: The country calling codes of two digits.
+TWO_DIGIT_CODES = frozenset(
+    "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
+)
+#: Pseudonyms that a worker remembers.
+CACHE = 20_000
 UPPER, LOWER, DIGIT = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
 
 
@@ -100,17 +107,17 @@ def card(key: bytes, text: str) -> str | None:
     return refill(text, new + str(-luhn(new + "0") % 10))
 
 
+def country_code(digits: str) -> str:
+    """How many of the first digits are the country's follows from them alone, however a number is
+    written: one for zones 1 and 7, two for the listed ones, else three."""
+    return digits[:1] if digits[0] in "17" else digits[:2] if digits[:2] in TWO_DIGIT_CODES else digits[:3]
+
+
 def phone(key: bytes, text: str) -> str | None:
     digits = "".join(filter(str.isdigit, text))
-    if text[0] == "+":
-        code = re.match(r"\+(\d+)", text)[1] if not text[1:4].isdigit() or len(digits) > 12 else text[1:3]
-        code = code if len(code) <= 3 else code[:2]
-        if code.startswith("1") or digits.startswith("1"):
-            code = "1"
-    else:
-        code = ""
+    code = country_code(digits) if text[0] == "+" else ""
     own = digits[len(code):]
-    if not 7 <= len(digits) <= 15 or len(own) < 4:
+    if not 7 <= len(digits) <= 15 or len(own) < 4 or digits[0] == "0" or len(re.findall(r"(?<!\d)\d(?!\d)", text)) > 3:
         return None
     if (code == "1" or not code) and len(own) == 10:  # area and exchange begin with 2-9
         if own[0] in "01" or own[3] in "01":
@@ -187,9 +194,17 @@ def mdy(key: bytes, text: str) -> str | None:
 KINDS = {"card": card, "phone": phone, "ip": ip, "ssn": ssn, "iban": iban, "iso": iso, "dmy": dmy, "mdy": mdy}
 
 
-@lru_cache(maxsize=20_000)
 def pseudonym(key: bytes, kind: str, value: str) -> str | None:
     """None for a value that doesn't validate."""
+    known = kept("pii", None, dict)
+    if (key, kind, value) not in known:
+        if len(known) >= CACHE:
+            known.clear()
+        known[key, kind, value] = made(key, kind, value)
+    return known[key, kind, value]
+
+
+def made(key: bytes, kind: str, value: str) -> str | None:
     if kind == "email":
         local, at, domain = value.partition("@")
         return alike(key, "email@" + domain.lower(), local) + at + domain
@@ -215,11 +230,15 @@ def pseudonymise(text: str, key: bytes = DEFAULT_KEY) -> tuple[str, int]:
 
 def pii(docs: DataFrame, text_col: str = "text", key: bytes = DEFAULT_KEY, count_col: str | None = None) -> DataFrame:
     """``docs`` with pseudonyms in ``text_col`` (and the number of them in ``count_col``)."""
-    @F.pandas_udf("text string, n bigint")
-    def swap(text: pd.Series) -> pd.DataFrame:
+    def swapped(text: pd.Series) -> pd.DataFrame:
         found = [(None, 0) if t is None else pseudonymise(t, key) for t in text]
         return pd.DataFrame({"text": pd.Series([t for t, _ in found], dtype=object), "n": [n for _, n in found]})
 
+    @F.pandas_udf("text string, n bigint")
+    def swap(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        kept("pii", None, dict)
+        yield from released(map(swapped, texts))
+
     (new,) = fresh(docs, "_new")
     rows = docs.select(*[col(c) for c in docs.columns], swap(col(text_col)).alias(new))
     out = [F.col(f"`{new}`.text").alias(c) if c == text_col else col(c) for c in docs.columns]

@@ -16,9 +16,12 @@ QUERIES = {
     "op8_language_id": lambda spark, d: langid.language_report(documents(spark, d)),
     "op9_minhash_near_dedup": lambda spark, d: neardup.near_dup_report(documents(spark, d)),
     "op10_pii_pseudonyms": lambda spark, d: pii.pii_report(documents(spark, d)),
+    "media_clips": lambda spark, d: media.clips(media.encode_column(documents(spark, d))),
+    "url_rules": lambda spark, d: urlfilter.url_rules(spark.read.parquet(f"{d}/pages.parquet")),
 }
 
 ORACLE_SQL = {
     "op3_line_dedup": linededup.ORACLE_SQL,
     "op5_exact_dedup": exactdedup.ORACLE_SQL,
+    "url_rules": urlfilter.RULES_SQL,
 }

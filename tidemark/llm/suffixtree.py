@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._scratch import col, cut, kept
+from tidemark.llm._scratch import col, cut, kept, release, released
 from tidemark.llm.langid import held_out
 from tidemark.llm.wfst import text_chunks
 
@@ -198,6 +198,7 @@ class Batch:
 
 def counting_task(depth: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("suffixtree", None, dict)  # what other operators kept goes
         first, done = TaskContext.get().partitionId() << 24, 0
         batch = None
         for source in batches:
@@ -404,6 +405,7 @@ def scoring_task(tokens: int, kinds: int, depth: int):
             before = (np.cumsum(n) - n)[first + np.arange(len(first))]
             columns = [docs.column("doc_id").combine_chunks(), docs.column("held_out").combine_chunks(), sizes, np.add.reduceat(known[k], first, dtype=np.int64), np.full(len(sizes), tokens), np.add.reduceat(base[k], first), text_scores(raw, before, depth, logs)]
             done.append(pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(columns, SCORED)], schema=SCORED))
+        release()
         return pa.concat_tables(done)
 
     return run
@@ -417,7 +419,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     spark = docs.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     source = docs.select(col(id_col).cast("long").alias("doc_id"), held_out(col(id_col), folds, fold).alias("held_out"), col(text_col).alias("text"))
-    counted = cut(source.mapInArrow(counting_task(depth, buckets), COUNTED_SQL), "counted")
+    counted = cut(source.mapInArrow(lambda batches: released(counting_task(depth, buckets)(batches)), COUNTED_SQL), "counted")
     of = lambda kind, *columns: counted.where(F.col("kind") == kind).select(*columns)
     known = cut(of("word", "bucket", "batch", "words", "numbers", "n").groupBy("bucket").applyInArrow(word_totals, "batch bigint, words array<binary>, numbers array<int>, c array<bigint>, tokens bigint, kinds bigint"), "known")
     tokens, kinds = known.agg(F.sum("tokens"), F.sum("kinds")).first()

@@ -9,7 +9,8 @@ remains, the longer last piece wins.
 
 No piece goes on past a space mark that follows other characters, so a path falls apart at those
 places: units between them are composed side by side, all at the same position per step, and
-remembered by the worker.
+remembered by the worker. A long unit (text without spaces) falls apart further wherever no arc of
+its machine spans a place, which leaves the shortest path what it is.
 
 Defined results: a null text counts as empty; an empty text has no ids; a null id stays null;
 repeated rows are treated one by one; an empty table yields no rows; other columns are never read.
@@ -21,20 +22,21 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._scratch import col, kept
+from tidemark.llm._scratch import col, kept, released
 
 MARK = "▁"
 UNIT = re.compile(" *[^ ]+| +")
-#: Longer units (bytes) are composed one by one, in memory proportional to their length.
-LONGEST = 40
-CHUNK_CHARS, CACHE_UNITS = 2_000_000, 500_000
+#: Longer units (characters) are cut where no arc spans; what is then still over WIDEST bytes is
+#: composed by itself, in memory proportional to its length.
+LONGEST, WIDEST = 40, 160
+#: Units that a worker remembers, their bytes, and the bytes that are composed side by side.
+CHUNK_CHARS, CACHE_UNITS, CACHE_BYTES, CELLS = 2_000_000, 500_000, 16_000_000, 1_000_000
 #: Scores below this mark pieces that are not to be used where there is another way.
 BANNED = 1e8
 
@@ -94,10 +96,45 @@ class Pieces:
         self.depth = max(map(len, words), default=0)
 
 
-@lru_cache(maxsize=2)
-def pieces(path: str) -> Pieces:
-    """One per worker process."""
-    return Pieces(path)
+def segments(m: Pieces, unit: bytes) -> list[bytes]:
+    """A unit cut wherever no arc of its machine spans the place: all its paths pass through there."""
+    n, codes = len(unit), np.frombuffer(unit, np.uint8)
+    reach, rows, state, q = np.arange(1, n + 1), np.arange(n), np.ones(n, np.int32), 0
+    while len(rows) and q < m.depth:
+        inside = rows + q < n
+        rows, state = rows[inside], state[inside]
+        state = m.next[state, codes[rows + q]]
+        q += 1
+        found = m.final[state] >= 0
+        reach[rows[found]] = rows[found] + q
+        more = (state > 0) & (state < m.inner)
+        rows, state = rows[more], state[more]
+    ends = (np.flatnonzero(np.maximum.accumulate(reach) == np.arange(1, n + 1)) + 1).tolist()
+    return [unit[a:b] for a, b in zip([0, *ends], ends)]
+
+
+def units_of(m: Pieces, text: str) -> list:
+    """The units of a text with a space in front: strings, and bytes where a long one was cut."""
+    units = UNIT.findall(" " + text)
+    if units and max(map(len, units)) > LONGEST:
+        return [s for u in units for s in (segments(m, u.encode()) if len(u) > LONGEST else (u,))]
+    return units
+
+
+def as_bytes(units: list) -> list[bytes]:
+    return [u if isinstance(u, bytes) else u.encode() for u in units]
+
+
+def blocks(units: list[bytes], cells: int) -> Iterator[list[int]]:
+    """Places of units of similar lengths, a bounded number of bytes at a time; long ones are left out."""
+    order = sorted((k for k, u in enumerate(units) if len(u) <= WIDEST), key=lambda k: len(units[k]))
+    a = 0
+    while a < len(order):
+        b = a + 1
+        while b < len(order) and (b - a + 1) * (len(units[order[b]]) + 1) <= cells:
+            b += 1
+        yield order[a:b]
+        a = b
 
 
 def side_by_side(units: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -198,15 +235,16 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.at: dict[str, int] = {}
+        self.at: dict[str | bytes, int] = {}
+        self.held = 0
         self.ids, self.starts, self.lengths, self.costs = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
 
-    def learn(self, units: list[str]) -> None:
-        raw = [u.encode() for u in units]
-        short = [k for k, u in enumerate(raw) if len(u) <= LONGEST]
+    def learn(self, units: list) -> None:
+        raw = as_bytes(units)
+        self.held += sum(map(len, raw))
         found: list = [None] * len(raw)
-        if short:
-            for k, *x in zip(short, *shortest(self.m, [raw[k] for k in short])):
+        for block in blocks(raw, CELLS):
+            for k, *x in zip(block, *shortest(self.m, [raw[k] for k in block])):
                 found[k] = x
         for k, u in enumerate(raw):
             if found[k] is None:
@@ -219,12 +257,12 @@ class Encoder:
         self.costs = np.concatenate([self.costs, [x[1] for x in found]])
 
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, float]]:
-        if len(self.at) > CACHE_UNITS:
+        if len(self.at) > CACHE_UNITS or self.held > CACHE_BYTES:
             self.forget()
-        units = [UNIT.findall(" " + t.replace(MARK, " ")) if t else [] for t in texts]
-        missing = {u for x in units for u in x}.difference(self.at)
+        units = [units_of(self.m, t.replace(MARK, " ")) if t else [] for t in texts]
+        missing = set().union(*units).difference(self.at)
         if missing:
-            self.learn(sorted(missing))
+            self.learn(list(missing))
         out, get = [], self.at.__getitem__
         for x in units:
             i = np.fromiter(map(get, x), np.int64, len(x))
@@ -239,7 +277,7 @@ class Encoder:
 
 
 def encoder(path: str) -> Encoder:
-    return kept(f"wfst {path}", None, lambda: Encoder(pieces(path)))
+    return kept(f"wfst {path}", None, lambda: Encoder(Pieces(path)))
 
 
 def text_chunks(batch: pa.RecordBatch, limit: int = CHUNK_CHARS) -> Iterator[tuple[list, list[str]]]:
@@ -266,7 +304,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
                 found = encoder(path).encode(texts)
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([x for x, _ in found], pa.list_(pa.int32())), pa.array([c for _, c in found], pa.float64())], names=["doc_id", "ids", "cost"])
 
-    return docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).alias("text")).mapInArrow(run, "doc_id bigint, ids array<int>, cost double")
+    return docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).alias("text")).mapInArrow(lambda batches: released(run(batches)), "doc_id bigint, ids array<int>, cost double")
 
 
 def decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", model: str | None = None) -> DataFrame:
@@ -278,7 +316,7 @@ def decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", mod
             texts = [encoder(path).decode(np.array(x.as_py() or [], np.int32)) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    return encoded.select(col(id_col).cast("long").alias("doc_id"), col(ids_col).alias("ids")).mapInArrow(run, "doc_id bigint, text string")
+    return encoded.select(col(id_col).cast("long").alias("doc_id"), col(ids_col).alias("ids")).mapInArrow(lambda batches: released(run(batches)), "doc_id bigint, text string")
 
 
 def transducer_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str | None = None) -> DataFrame:
@@ -298,4 +336,4 @@ def transducer_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                     rows.append((i, len(ids), int(is_byte[ids].sum()), zlib.crc32(ids.astype("<u4").tobytes()), cost, zlib.crc32(back.encode()), back == t.replace(MARK, " ")))
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), schema)], schema=schema)
 
-    return docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).alias("text")).mapInArrow(run, "doc_id bigint, n_ids bigint, n_byte_ids bigint, ids_crc32 bigint, cost double, decoded_crc32 bigint, round_trip boolean")
+    return docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).alias("text")).mapInArrow(lambda batches: released(run(batches)), "doc_id bigint, n_ids bigint, n_byte_ids bigint, ids_crc32 bigint, cost double, decoded_crc32 bigint, round_trip boolean")
