@@ -17,8 +17,11 @@ LEAST_SCORE = 0.5
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Learn from the labelled two thirds of the documents; drop those of no known language."""
+    """Learn from the labelled two thirds of the documents; drop those of no known language. Without
+    any labelled row no language is known, and only documents without a letter go."""
     model = langid.learn(docs.where(~langid.held_out(F.col("doc_id"), 3, 1)))
+    if not model.languages:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     lang, score = fresh(docs, "_lang", "_score")
     found = langid.identify(docs, model, out=(lang, score))
     return found.where((F.col(lang) != "und") & (F.col(score) >= LEAST_SCORE)).select(*docs.columns)
