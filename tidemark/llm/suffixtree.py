@@ -43,8 +43,8 @@ DEPTH, SHARED, LEAST_COUNT = 5, 2, 2
 BATCH_CHARS = 24_000_000
 #: Grams that a task holds before it sums them up, positions scored at a time, and bytes split at a time.
 WAITING, STRETCH, PART = 3_000_000, 1_000_000, 4_000_000
-#: The end symbol; no word contains it. It also stands before a text.
-END, SYMBOLS = 10, 257
+#: The end symbol is byte 10, which no word contains. It also stands before a text.
+SYMBOLS = 256
 SPACE = re.compile(rb"[\x09-\x0d ]")
 LOW = (1 << 8 * (SHARED + 1)) - 1
 
@@ -123,14 +123,16 @@ COUNTED = pa.schema([("kind", pa.string()), ("batch", pa.int64()), ("bucket", pa
 COUNTED_SQL = "kind string, batch bigint, bucket int, docs binary, words array<binary>, numbers array<int>, grams array<bigint>, n array<bigint>"
 
 
-def packed(ids: list, held: list, words: list[np.ndarray]) -> bytes:
-    """Some documents, as numbers of the batch's words, in one compressed Arrow stream."""
-    own = lists(np.concatenate([np.zeros(0, np.int32), *words]), np.fromiter(map(len, words), np.int64, len(words)))
-    table = pa.Table.from_arrays([pa.array(ids, pa.int64()), pa.array(held, pa.bool_()), own], schema=DOCS)
+def packed(table: pa.Table) -> pa.Array:
+    """One compressed Arrow stream."""
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, DOCS, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
         writer.write_table(table)
-    return sink.getvalue().to_pybytes()
+    return pa.array([sink.getvalue().to_pybytes()], pa.binary())
+
+
+def unpacked(block: pa.Scalar) -> pa.Table:
+    return pa.ipc.open_stream(block.as_py()).read_all()
 
 
 class Batch:
@@ -173,11 +175,14 @@ class Batch:
                     g = g[keep]
                 self.grams.add(g << 1 | out)
         self.chars += sum(map(len, texts))
-        return self.record("docs", 1, docs=pa.array([packed(ids, held, numbers)], pa.binary()))
+        own = lists(np.concatenate([np.zeros(0, np.int32), *numbers]), np.fromiter(map(len, numbers), np.int64, len(numbers)))
+        return self.record("docs", 1, docs=packed(pa.Table.from_arrays([pa.array(ids, pa.int64()), pa.array(held, pa.bool_()), own], schema=DOCS)))
 
     def close(self) -> Iterator[pa.RecordBatch]:
-        """An array of words and one of grams for each bucket, and the counts after short contexts."""
+        """The words by number, an array of words and one of grams for each bucket, and the counts
+        after short contexts."""
         words = list(self.words)
+        yield self.record("words", 1, docs=packed(pa.table({"word": pa.array(words, pa.binary())})))
         bucket = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % self.buckets
         order = np.argsort(bucket, kind="stable")
         sizes = np.bincount(bucket, minlength=self.buckets)
@@ -217,7 +222,7 @@ def counting_task(depth: int, buckets: int):
 
 
 def word_totals(table: pa.Table) -> pa.Table:
-    """(batch, words, numbers, c, tokens, kinds) of a bucket: each word with its count in all batches."""
+    """(batch, numbers, c, tokens, kinds) of a bucket: each word of each batch with its count in all."""
     words, sizes = flat(table.column("words"))
     n = flat(table.column("n"))[0].to_numpy()
     coded = words.dictionary_encode()
@@ -225,7 +230,7 @@ def word_totals(table: pa.Table) -> pa.Table:
     total = np.bincount(at, n, len(coded.dictionary)).astype(np.int64)
     once = np.zeros((2, table.num_rows), np.int64)
     once[:, :1] = [[total.sum()], [(total > 0).sum()]]
-    return pa.Table.from_arrays([table.column("batch"), table.column("words"), table.column("numbers"), lists(total[at], sizes), pa.array(once[0]), pa.array(once[1])], names=["batch", "words", "numbers", "c", "tokens", "kinds"])
+    return pa.Table.from_arrays([table.column("batch"), table.column("numbers"), lists(total[at], sizes), pa.array(once[0]), pa.array(once[1])], names=["batch", "numbers", "c", "tokens", "kinds"])
 
 
 def gram_totals(buckets: int):
@@ -377,25 +382,22 @@ def text_scores(raw: np.ndarray, firsts: np.ndarray, depth: int, logs: Lookup) -
 
 def scoring_task(tokens: int, kinds: int, depth: int):
     def run(blocks: pa.Table, replies: pa.Table) -> pa.Table:
-        own = replies.filter(pa.compute.is_valid(replies.column("words")))
-        words, _ = flat(own.column("words"))
-        numbers = flat(own.column("numbers"))[0].to_numpy()
-        c = np.empty(len(numbers), np.int64)
-        c[numbers] = flat(own.column("c"))[0].to_numpy()
+        is_words = pa.compute.equal(blocks.column("kind"), "words")
+        spelt = unpacked(blocks.filter(is_words).column("docs")[0]).column("word").to_pylist()
+        own = replies.filter(pa.compute.is_valid(replies.column("numbers")))
+        c = np.empty(len(spelt), np.int64)
+        c[flat(own.column("numbers"))[0].to_numpy()] = flat(own.column("c"))[0].to_numpy()
         told = replies.filter(pa.compute.is_valid(replies.column("logs")))
         logs = Lookup(flat(told.column("grams"))[0].to_numpy(), flat(told.column("logs"))[0].to_numpy())
-        # the bytes of each word, a space after it; after all the end symbols before a text
-        spelt = words.to_pylist()
+        # the bytes of each word, a space after it (not after the end symbol); last the end symbols before a text
         data = np.frombuffer(b"".join(x for w in (*spelt, b"\n" * depth) for x in (w, b" ")), np.uint8)
-        size, length, start = np.fromiter(map(len, spelt), np.int64, len(spelt)) + 1, np.empty(len(c) + 1, np.int64), np.empty(len(c) + 1, np.int64)
-        ends = np.cumsum(size)
-        length[numbers], start[numbers] = size, ends - size
-        length[-1], start[-1] = depth, ends[-1]
-        length[[k for k, w in zip(numbers, spelt) if w == b"\n"]] = 1
+        length = np.fromiter((len(w) + 1 for w in (*spelt, b"\n" * depth)), np.int64, len(spelt) + 1)
+        start = np.cumsum(length) - length
+        length[-1], length[spelt.index(b"\n")] = depth, 1
         base, known = np.log10((c + 0.5) / (tokens + 0.5 * (kinds + 1))), c > 0
         done = []
-        for block in blocks.column("docs"):
-            docs = pa.ipc.open_stream(block.as_py()).read_all()
+        for block in blocks.filter(pa.compute.invert(is_words)).column("docs"):
+            docs = unpacked(block)
             k, sizes = flat(docs.column("words"))
             k = k.to_numpy()
             first = np.cumsum(sizes) - sizes
@@ -421,14 +423,15 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     source = docs.select(col(id_col).cast("long").alias("doc_id"), held_out(col(id_col), folds, fold).alias("held_out"), col(text_col).alias("text"))
     counted = cut(source.mapInArrow(lambda batches: released(counting_task(depth, buckets)(batches)), COUNTED_SQL), "counted")
     of = lambda kind, *columns: counted.where(F.col("kind") == kind).select(*columns)
-    known = cut(of("word", "bucket", "batch", "words", "numbers", "n").groupBy("bucket").applyInArrow(word_totals, "batch bigint, words array<binary>, numbers array<int>, c array<bigint>, tokens bigint, kinds bigint"), "known")
+    known = cut(of("word", "bucket", "batch", "words", "numbers", "n").groupBy("bucket").applyInArrow(word_totals, "batch bigint, numbers array<int>, c array<bigint>, tokens bigint, kinds bigint"), "known")
     tokens, kinds = known.agg(F.sum("tokens"), F.sum("kinds")).first()
     low = of("low", F.explode(F.arrays_zip("grams", "n")).alias("x")).groupBy(F.col("x.grams").alias("key")).agg(F.sum("x.n").alias("n")).toArrow()
     shared = spark.sparkContext.broadcast(tuple(low.column(c).to_numpy().astype(np.int64) for c in ("key", "n")))
     asked = of("gram", "bucket", "batch", "grams", "n")
     sums = asked.groupBy("bucket").applyInArrow(gram_totals(buckets), "bucket int, family int, grams array<bigint>, n array<bigint>")
     tree = sums.groupBy("family").applyInArrow(family_task(shared, depth, least_count), "bucket int, grams array<bigint>, logs array<float>")
-    replies = asked.groupBy("bucket").cogroup(cut(tree, "tree").groupBy("bucket")).applyInArrow(reply_task, "batch bigint, grams array<bigint>, logs array<float>")
-    replies = known.select("batch", "words", "numbers", "c").unionByName(replies, allowMissingColumns=True)
+    replies = asked.groupBy("bucket").cogroup(tree.groupBy("bucket")).applyInArrow(reply_task, "batch bigint, grams array<bigint>, logs array<float>")
+    replies = known.select("batch", "numbers", "c").unionByName(replies, allowMissingColumns=True)
     spec = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
-    return of("docs", F.col("batch").alias("of"), "docs").groupBy("of").cogroup(replies.groupBy("batch")).applyInArrow(scoring_task(int(tokens or 0), int(kinds or 0), depth), spec)
+    blocks = counted.where("kind IN ('docs', 'words')").select(F.col("batch").alias("of"), "kind", "docs")
+    return blocks.groupBy("of").cogroup(replies.groupBy("batch")).applyInArrow(scoring_task(int(tokens or 0), int(kinds or 0), depth), spec)
