@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import hashlib
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.sampling import digest, uniform
+from tidemark.functions.slicing import SLICE_ROWS
+
 RESAMPLES = 10_000
 
 
@@ -19,13 +18,24 @@ def summary(x: str) -> list[Column]:
     return [F.count(v).alias("n"), F.avg(v).alias("mean"), sd.alias("sd"), F.min(v).alias("min"), F.max(v).alias("max"), (F.max(v) - F.min(v)).alias("range")]
 
 
-def index_quantiles(df: DataFrame, keys: list[str], x: str, quantiles: dict[str, float]) -> DataFrame:
-    """The value at place floor(q * (n - 1)) of each group's sorted values, per named quantile."""
-    own = Window.partitionBy(*keys)
+def index_quantiles(df: DataFrame, keys: list[str], x: str, quantiles: dict[str, float], most: int = SLICE_ROWS) -> DataFrame:
+    """The value at place floor(q * (n - 1)) of each group's sorted values, per named quantile. Groups
+    of more than ``most`` rows (there are few) are cut at approximate percentiles, and the pieces'
+    sizes summed up."""
     rows = df.where(F.col(x).isNotNull()).select(*keys, x)
-    rows = rows.withColumn("_i", F.row_number().over(own.orderBy(x))).withColumn("_n", F.count("*").over(own))
-    picks = [F.max(F.when(F.col("_i") == F.floor(F.lit(q) * (F.col("_n") - 1)) + 1, F.col(x))).alias(name) for name, q in quantiles.items()]
-    return rows.groupBy(*keys).agg(F.max("_n").alias("n"), F.count_if(F.col(x) == 0).alias("zeros"), F.min(x).alias("least"), *picks, F.max(x).alias("most"))
+    whole = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if(F.col(x) == 0).alias("zeros"), F.min(x).alias("least"), F.max(x).alias("most"))
+    cuts = rows.groupBy(*keys).agg(F.count("*").alias("_n"), F.percentile_approx(x, [k / 100 for k in range(1, 100)]).alias("_cuts")).where(F.col("_n") > most).drop("_n")
+    cuts = df.sparkSession.createDataFrame(cuts.toArrow())
+    if cuts.isEmpty():
+        placed = rows.withColumn("_s", F.lit(0))
+    else:
+        placed = rows.join(F.broadcast(cuts), keys, "left").withColumn("_s", F.coalesce(F.size(F.filter("_cuts", lambda c: F.col(x) > c)), F.lit(0))).drop("_cuts")
+    before = F.sum("count").over(Window.partitionBy(*keys).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = placed.groupBy(*keys, "_s").count().select(*keys, "_s", F.coalesce(before, F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy(*keys, "_s").orderBy(x))
+    ranked = placed.withColumn("_i", own).join(sizes, [*keys, "_s"]).join(whole, keys).withColumn("_i", F.col("_i") + F.col("_before"))
+    picks = [F.max(F.when(F.col("_i") == F.floor(F.lit(q) * (F.col("n") - 1)) + 1, F.col(x))).alias(name) for name, q in quantiles.items()]
+    return ranked.groupBy(*keys).agg(F.first("n").alias("n"), F.first("zeros").alias("zeros"), F.first("least").alias("least"), *picks, F.first("most").alias("most"))
 
 
 def spearman(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
@@ -40,20 +50,27 @@ def spearman(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count("*").alias("n"), F.corr(F.when(F.col("_s"), F.col("_x")), F.when(F.col("_s"), F.col("_y"))).alias("rho"))
 
 
-def bootstrap_difference(df: DataFrame, keys: list[str], arm: str, first: str, second: str, x: str, resamples: int = RESAMPLES) -> DataFrame:
-    """Percentiles .025, .05, .95 and .975 of the difference of the two arms' means, both resampled.
-    A cell is a handful of runs; its seed comes from its key, so the draws repeat anywhere."""
-    def cell(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        rng = np.random.default_rng(int.from_bytes(hashlib.md5(repr(key).encode()).digest()[:8], "big"))
-        a, b = (group.loc[group[arm] == s, x].dropna().to_numpy() for s in (first, second))
-        if not len(a) or not len(b):
-            return pd.DataFrame([(*key, None, None, None, None, None)], columns=[*keys, "difference", "p025", "p05", "p95", "p975"])
-        d = rng.choice(a, (resamples, len(a))).mean(axis=1) - rng.choice(b, (resamples, len(b))).mean(axis=1)
-        return pd.DataFrame([(*key, a.mean() - b.mean(), *np.quantile(d, [0.025, 0.05, 0.95, 0.975]))], columns=[*keys, "difference", "p025", "p05", "p95", "p975"])
-
-    kinds = dict(df.dtypes)
-    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", difference double, p025 double, p05 double, p95 double, p975 double"
-    return df.select(*keys, arm, x).groupBy(*keys).applyInPandas(cell, schema)
+def bootstrap_difference(df: DataFrame, keys: list[str], arm: str, first: str, second: str, x: str, by: str = "seed", resamples: int = RESAMPLES) -> DataFrame:
+    """Percentiles .025, .05, .95 and .975 of the difference of the two arms' means, both resampled;
+    null where an arm is empty. A cell is a handful of runs, in the order of ``by``. Each draw is a
+    digest of cell, arm, resample and place, so the draws repeat anywhere, and the resamples of all
+    cells are spread over all tasks."""
+    side = lambda name: F.transform(F.sort_array(F.collect_list(F.when((F.col(arm) == name) & F.col(x).isNotNull(), F.struct(by, x)))), lambda s: s[x])
+    cells = df.groupBy(*keys).agg(side(first).alias("_a"), side(second).alias("_b")).withColumn("_cell", F.concat_ws("/", *[F.col(k).cast("string") for k in keys]))
+    tasks = max(1, df.sparkSession.sparkContext.defaultParallelism)
+
+    def mean(values: str, name: str) -> Column:
+        n = F.size(values)
+        drawn = F.transform(F.sequence(F.lit(0), n - 1), lambda j: F.get(F.col(values), F.floor(uniform(digest("boot", F.col("_cell"), F.lit(name), F.col("_r"), j)) * n).cast("int")))
+        return F.aggregate(drawn, F.lit(0.0), lambda s, v: s + v) / n
+
+    full = cells.where((F.size("_a") > 0) & (F.size("_b") > 0))
+    blocks = full.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1)))).repartition(tasks, "_cell", "_block")
+    draws = blocks.withColumn("_r", F.explode(F.sequence(F.col("_block"), F.lit(resamples - 1), F.lit(tasks)))) if resamples >= tasks else full.withColumn("_r", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
+    found = draws.select("_cell", (mean("_a", first) - mean("_b", second)).alias("_d")).groupBy("_cell").agg(F.percentile("_d", [0.025, 0.05, 0.95, 0.975]).alias("_p"))
+    plain = lambda values: F.aggregate(values, F.lit(0.0), lambda s, v: s + v) / F.nullif(F.size(values), F.lit(0))
+    out = cells.join(found, "_cell", "left")
+    return out.select(*keys, (plain("_a") - plain("_b")).alias("difference"), *[F.get("_p", k).alias(n) for k, n in enumerate(("p025", "p05", "p95", "p975"))])
 
 
 def first_maximum(df: DataFrame, keys: list[str], by: str, x: str) -> DataFrame:

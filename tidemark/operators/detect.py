@@ -1,107 +1,165 @@
 """Evaluating threshold rules over runs: lateness, detected subjects, alerts.
 
 Rows have ``run``, ``key``, ``arr`` and ``seq`` (the order of arrival), ``occ`` (the event time), and
-the rule's ``w`` and ``n``.
+the rule's ``w`` and ``n``. Neither a run nor a key has to fit in a task, but for a hot key's alerts:
+see ``alerts``.
 """
 
 from __future__ import annotations
 
 import bisect
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DAY = 86_400_000_000
-#: A slice of a key's time line, in windows; rows within one window of its end are read by the next too.
-SLICE = 64
+from tidemark.functions.slicing import AUTO, SLICE_ROWS, running, width_of
 
+ORDER = ["arr", "seq"]
 
-def mark_late(rows: DataFrame, allowed: int = 0, slice_us: int = DAY) -> DataFrame:
+
+def mark_late(rows: DataFrame, allowed: int = 0, order: list[str] = ORDER, width=AUTO) -> DataFrame:
     """``rows`` with ``late``: the event time lies more than W + ``allowed`` microseconds before the
     watermark, which is the largest event time of the run's earlier arrivals (dropped rows never
     raise it). The running maximum is taken in slices of arrival time and carried over."""
     if allowed < 0:
         raise ValueError("allowed lateness is 0 or more")
-    cut = rows.withColumn("_s", F.floor(F.col("arr") / slice_us))
-    earlier = Window.partitionBy("run").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
-    carried = cut.groupBy("run", "_s").agg(F.max("occ").alias("_m")).select("run", "_s", F.max("_m").over(earlier).alias("_carry"))
-    own = F.max("occ").over(Window.partitionBy("run", "_s").orderBy("arr", "seq").rowsBetween(Window.unboundedPreceding, -1))
-    marked = cut.withColumn("_own", own).join(carried, ["run", "_s"])
-    late = F.col("occ") < F.greatest("_own", "_carry") - F.col("w") - allowed
-    return marked.withColumn("late", F.coalesce(late, F.lit(False))).drop("_s", "_own", "_carry")
+    marked = running(rows, ["run"], order, order[0], F.max, "occ", "_mark", width)
+    return marked.withColumn("late", F.coalesce(F.col("occ") < F.col("_mark") - F.col("w") - allowed, F.lit(False))).drop("_mark")
+
+
+def hot_keys(rows: DataFrame, *by: str, most: int = SLICE_ROWS) -> DataFrame | None:
+    """(by, key, width) of the keys with more rows than one task should get, and slices of time that
+    they are cut to, which are W long at least; None if there are none. There are fewer than
+    the rows divided by ``most``."""
+    n = F.col("_n")
+    sizes = rows.groupBy(*by, "key").agg(F.count("*").alias("_n"), F.min("occ").alias("_lo"), F.max("occ").alias("_hi"), F.max("w").alias("_w"))
+    width = F.greatest(F.col("_w"), F.floor((F.col("_hi") - F.col("_lo")) / F.ceil(n / most)) + 1)
+    hot = rows.sparkSession.createDataFrame(sizes.where(n > most).select(*by, "key", width.alias("width")).toArrow())
+    return None if hot.isEmpty() else hot
 
 
-def hits(rows: DataFrame, thresholds: list[int]) -> DataFrame:
+def hits(rows: DataFrame, thresholds: list[int], hot=AUTO) -> DataFrame:
     """``rows`` (accepted ones) with ``hit``: this event is at least the n-th of its key within w.
-    ``thresholds`` are the values that n takes. A long key is cut in slices of time; each slice also
-    reads the window before it, which is all that a row looks back on, so a key may have any size."""
-    place = F.floor(F.col("occ") / (F.col("w") * SLICE))
-    last = F.pmod(F.col("occ"), F.col("w") * SLICE) >= F.col("w") * (SLICE - 1)
-    sliced = rows.withColumn("_own", place).withColumn("_s", F.explode(F.when(last, F.array(place, place + 1)).otherwise(F.array(place))))
+    ``thresholds`` are the values that n takes. A hot key is cut in slices of time; each slice also
+    reads the window before it, which is all that a row looks back on."""
+    hot = hot_keys(rows, "run") if hot is AUTO else hot
+    if hot is None:
+        cut = rows.withColumns({"_own": F.lit(0), "_s": F.lit(0)})
+    else:
+        place = F.floor(F.col("occ") / F.col("width"))
+        last = F.pmod("occ", "width") >= F.col("width") - F.col("w")
+        found = rows.join(F.broadcast(hot), ["run", "key"], "left")
+        cut = found.withColumn("_own", F.coalesce(place, F.lit(0))).withColumn("_s", F.explode(F.when(last, F.array(place, place + 1)).otherwise(F.array("_own")))).drop("width")
     order = Window.partitionBy("run", "key", "_s").orderBy("occ", "seq")
-    nth = F.coalesce(*[F.when(F.col("n") == n, F.lag("occ", n - 1).over(order) if n > 1 else F.col("occ")) for n in sorted(set(thresholds))])
+    nth = F.raise_error(F.concat(F.lit("no threshold "), F.col("n").cast("string"))).cast("long")
+    for n in sorted(set(thresholds), reverse=True):
+        nth = F.when(F.col("n") == n, F.lag("occ", n - 1).over(order) if n > 1 else F.col("occ")).otherwise(nth)
     hit = F.coalesce(F.col("occ") - nth <= F.col("w"), F.lit(False))
-    return sliced.withColumn("hit", hit).where("_s = _own").drop("_s", "_own")
+    return cut.withColumn("hit", hit).where("_s = _own").drop("_s", "_own")
 
 
-def subjects(rows: DataFrame, thresholds: list[int]) -> DataFrame:
+def subjects(rows: DataFrame, thresholds: list[int], hot=AUTO) -> DataFrame:
     """(run, key, first_t): the keys that the accepted rows detect, and when they first do. Whether
     a key is detected does not depend on the order of arrival, nor on the reset after an alert."""
-    return hits(rows, thresholds).where("hit").groupBy("run", "key").agg(F.min("occ").alias("first_t"))
+    return hits(rows, thresholds, hot).where("hit").groupBy("run", "key").agg(F.min("occ").alias("first_t"))
 
 
 ALERTS = pa.schema([("run", pa.int32()), ("key", pa.string()), ("fired_at", pa.int64()), ("count", pa.int32()), ("window_start", pa.int64()), ("window_end", pa.int64())])
 ALERT = "run int, key string, fired_at bigint, count int, window_start bigint, window_end bigint"
-
-
-def step(held: list[int], t: int, w: int, n: int) -> tuple[int, int] | None:
-    """Add an event of one key to its held times, which stay sorted. An alert is due when some span
-    of length w that holds the event has n held times: (count, start) of the span with most, of
-    equals the earliest; then the key starts anew."""
-    bisect.insort_right(held, t)
-    best, start = 0, 0
-    for a in range(bisect.bisect_left(held, t - w), bisect.bisect_right(held, t)):
-        size = bisect.bisect_right(held, held[a] + w) - a
-        if size > best:
-            best, start = size, held[a]
-    if best < n:
-        return None
-    held.clear()
-    return best, start
-
-
-def _fold_partition(batches):
+#: Held times from which on those too old for any later span are let go.
+HELD = 64
+
+
+def fold(held: list[int], times: list[int], w: int, n: int, allowed: int = 0) -> list[tuple[int, int, int, int]]:
+    """Add events of one key to its held times, which stay sorted. An alert is due when some span of
+    length w that holds the event has n held times: (event, count, first, last time) of the span with
+    most, of equals the earliest; then the key starts anew. A time more than 2 W + L before the
+    latest is never part of a span again."""
+    out = []
+    for t in times:
+        if not held or t >= held[-1]:
+            held.append(t)
+            k = len(held)
+            if k >= n and held[k - n] >= t - w:
+                a = bisect.bisect_left(held, t - w)
+                out.append((t, k - a, held[a], t))
+                held.clear()
+        else:
+            bisect.insort_right(held, t)
+            first, end = bisect.bisect_left(held, t - w), bisect.bisect_right(held, t)
+            if bisect.bisect_right(held, t + w) - first >= n:
+                best, start = 0, 0
+                for a in range(first, end):
+                    size = bisect.bisect_right(held, held[a] + w) - a
+                    if size > best:
+                        best, start = size, a
+                if best >= n:
+                    out.append((t, best, held[start], held[start + best - 1]))
+                    held.clear()
+        if len(held) > HELD and held[0] < held[-1] - 2 * w - allowed:
+            del held[: bisect.bisect_left(held, held[-1] - 2 * w - allowed)]
+    return out
+
+
+def _fold_partition(allowed: int):
     """Rows come sorted by run, key, island and arrival; only the current key's times are held."""
-    current, held = None, []
-    for batch in batches:
-        out = []
-        for run, key, island, occ, w, n in zip(*(batch.column(c).to_pylist() for c in ("run", "key", "island", "occ", "w", "n"))):
-            if (run, key, island) != current:
-                current, held = (run, key, island), []
-            found = step(held, occ, w, n)
-            if found:
-                out.append((run, key, occ, found[0], found[1], found[1] + w))
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out), ALERTS)], schema=ALERTS)
-
-
-def alerts(rows: DataFrame, allowed: int = 0) -> DataFrame:
-    """The alerts of the accepted rows: a sequential fold per key. A key is first split where
-    consecutive event times are more than W + ``allowed`` apart: what arrives on one side of such a
-    gap never meets the other, so the parts are folded apart."""
-    own = Window.partitionBy("run", "key").orderBy("occ", "seq")
-    gap = (F.col("occ") - F.lag("occ").over(own) > F.col("w") + allowed).cast("int")
-    parts = rows.withColumn("_gap", F.coalesce(gap, F.lit(0))).withColumn("island", F.sum("_gap").over(own.rowsBetween(Window.unboundedPreceding, 0)))
-    dealt = parts.select("run", "key", "island", "arr", "seq", "occ", "w", "n").repartition("run", "key", "island").sortWithinPartitions("run", "key", "island", "arr", "seq")
-    return dealt.mapInArrow(_fold_partition, ALERT)
-
-
-def summary(marked: DataFrame, thresholds: list[int], allowed: int = 0, with_alerts: bool = True) -> DataFrame:
+    def run(batches):
+        current, held = None, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            runs, islands, w, n = (batch.column(c).to_numpy() for c in ("run", "island", "w", "n"))
+            keys, times = batch.column("key").dictionary_encode(), batch.column("occ").to_pylist()
+            at, names = keys.indices.to_numpy(), keys.dictionary.to_pylist()
+            starts = np.append(0, np.flatnonzero((runs[1:] != runs[:-1]) | (at[1:] != at[:-1]) | (islands[1:] != islands[:-1])) + 1).tolist()
+            out = []
+            for a, b in zip(starts, [*starts[1:], batch.num_rows]):
+                own = (int(runs[a]), names[at[a]], int(islands[a]))
+                if own != current:
+                    current, held = own, []
+                out += [(own[0], own[1], *x) for x in fold(held, times[a:b], int(w[a]), int(n[a]), allowed)]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out), ALERTS)], schema=ALERTS)
+
+    return run
+
+
+def alerts(rows: DataFrame, allowed: int = 0, order: list[str] = ORDER, hot=AUTO) -> DataFrame:
+    """The alerts of the accepted rows: a sequential fold per key, over partitions sorted by run, key
+    and arrival, in the memory of one key's held times. A hot key is split where consecutive event
+    times are more than W + ``allowed`` apart: what arrives on one side of such a gap never meets the
+    other, so the parts are folded apart. A hot key without gaps is one task's stream."""
+    hot = hot_keys(rows, "run") if hot is AUTO else hot
+    parts = rows.withColumn("island", F.lit(0).cast("long"))
+    if hot is not None:
+        few = rows.join(F.broadcast(hot), ["run", "key"])
+        parts = rows.join(F.broadcast(hot.select("run", "key")), ["run", "key"], "left_anti").withColumn("island", F.lit(0).cast("long")).unionByName(_islands(few.drop("width"), allowed))
+    dealt = parts.select(*dict.fromkeys(["run", "key", "island", *order, "occ", "w", "n"])).repartition("run", "key", "island").sortWithinPartitions("run", "key", "island", *order)
+    return dealt.select("run", "key", "island", "occ", "w", "n").mapInArrow(_fold_partition(allowed), ALERT)
+
+
+def _islands(rows: DataFrame, allowed: int) -> DataFrame:
+    """``rows`` with ``island``: how many gaps of more than W + ``allowed`` come before each in its key."""
+    by, width = ["run", "key"], width_of(rows, ["run", "key"], "occ")
+    latest = running(rows, by, ["occ", "seq"], "occ", F.max, "occ", "_last", width)
+    gap = (F.col("occ") - F.col("_last") > F.col("w") + allowed).cast("int")
+    counted = latest.withColumn("_gap", F.coalesce(gap, F.lit(0)))
+    before = running(counted, by, ["occ", "seq"], "occ", F.sum, "_gap", "_gaps", width)
+    return before.withColumn("island", (F.coalesce("_gaps", F.lit(0)) + F.col("_gap")).cast("long")).drop("_last", "_gap", "_gaps")
+
+
+def summary(marked: DataFrame, thresholds: list[int], allowed: int = 0, with_alerts: bool = True, hot=AUTO) -> DataFrame:
     """(run, accepted, dropped_late, keys[, alerts]) of rows with ``late``."""
     counts = marked.groupBy("run").agg(F.count_if(~F.col("late")).alias("accepted"), F.count_if("late").alias("dropped_late"))
     kept = marked.where("NOT late")
-    out = counts.join(subjects(kept, thresholds).groupBy("run").agg(F.count("*").alias("keys")), "run", "left")
+    out = counts.join(count(subjects(kept, thresholds, hot), "keys"), "run", "left")
     if with_alerts:
-        out = out.join(alerts(kept, allowed).groupBy("run").agg(F.count("*").alias("alerts")), "run", "left")
+        out = out.join(count(alerts(kept, allowed, hot=hot), "alerts"), "run", "left")
     return out.na.fill(0, ["keys"] + ["alerts"] * with_alerts)
+
+
+def count(rows: DataFrame, name: str) -> DataFrame:
+    return rows.groupBy("run").agg(F.count("*").alias(name))
+

@@ -26,17 +26,27 @@ def spread(projected: DataFrame, runs: DataFrame) -> DataFrame:
     return projected.join(F.broadcast(runs), "rule")
 
 
-def choose(rows: DataFrame) -> DataFrame:
-    """``rows`` with ``chosen``: exactly max(1, floor(n * fraction)) of the eligible rows, which are
-    all rows or, for ``targeted``, those of marked subjects. Random and delete share their rows; a
-    targeted run without eligible rows does not exist."""
-    eligible = (F.col("structure") != "targeted") | malicious()
-    rows = rows.withColumn("_h", F.when(eligible, digest("pick", F.col("seed"), F.col("seq"))))
-    sizes = F.broadcast(rows.groupBy("run").agg(F.count("_h").alias("_n")).where("_n > 0"))  # a row per run
-    few = ranked(rows.where("_h IS NOT NULL"), "run", "_h", "seq").join(sizes, "run")
-    few = few.withColumn("chosen", F.col("rank") <= F.greatest(F.lit(1), F.floor(F.col("_n") * F.col("fraction"))))
-    rest = rows.where("_h IS NULL").join(sizes, "run", "left_semi").withColumn("chosen", F.lit(False))
-    return few.drop("rank", "_n").unionByName(rest).drop("_h")
+def draws(projected: DataFrame, runs: DataFrame) -> DataFrame:
+    """The projected stream once per (rule, seed, kind) of the runs, kind telling targeted from other
+    structures: with ``rank``, each eligible row's place in the drawn order, and ``eligible``, the
+    number of such rows. Which rows a run moves depends neither on how far, nor on what happens to
+    them, nor but for their number on the fraction. Eligible are all rows or, for targeted runs, those
+    of marked subjects; a targeted run without eligible rows does not exist."""
+    few = runs.select("rule", "seed", (F.col("structure") == "targeted").alias("targeted")).distinct()
+    rows = projected.join(F.broadcast(few.withColumn("draw", F.concat_ws("/", "rule", "seed", "targeted"))), "rule")
+    rows = rows.withColumn("_h", F.when(~F.col("targeted") | malicious(), digest("pick", F.col("seed"), F.col("seq"))))
+    sizes = F.broadcast(rows.groupBy("draw").agg(F.count("_h").alias("eligible")).where("eligible > 0"))  # a row per draw
+    drawn = ranked(rows.where("_h IS NOT NULL"), "draw", "_h", "seq")
+    rest = rows.where("_h IS NULL").withColumn("rank", F.lit(None).cast("long"))
+    return drawn.unionByName(rest).join(sizes, "draw").drop("_h", "draw")
+
+
+def chosen(drawn: DataFrame, runs: DataFrame) -> DataFrame:
+    """The rows of ``draws`` once per run, with ``chosen``: exactly max(1, floor(n * fraction)) of
+    the eligible ones. Random and delete share their rows; the runs are the caller's short list."""
+    each = drawn.join(F.broadcast(runs.withColumn("targeted", F.col("structure") == "targeted")), ["rule", "seed", "targeted"])
+    few = F.greatest(F.lit(1), F.floor(F.col("eligible") * F.col("fraction")))
+    return each.withColumn("chosen", F.coalesce(F.col("rank") <= few, F.lit(False))).drop("rank", "eligible", "targeted")
 
 
 def fixed(w: Column, multiple: Column) -> Column:

@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.sampling import digest, ranked, word
+from tidemark.operators.reorder import in_order
 
+#: The tag that a mask's record bears.
+MASK_TAG = "loss-mask-v2"
 MASKS = "run int, rate string, pattern string, seed int, n bigint, k bigint"
 
 
@@ -37,8 +40,9 @@ def deleted(positions: DataFrame, mask: DataFrame, start: int = 0) -> DataFrame:
     rows = positions.select("pos").join(F.broadcast(mask.where("pattern = 'random' AND k > 0")))  # a row per mask
     drawn = ranked(rows.withColumn("_h", digest("mask", F.col("seed"), F.col("pos"))), "run", "_h", "pos").where("rank <= k").select("run", "pos")
     begin = F.lit(start) + F.pmod(word(digest("mask", F.col("seed"), F.lit("start"))), F.col("n") - F.col("k") + 1)
-    runs = mask.where("pattern = 'contiguous' AND k > 0").select("run", F.explode(F.sequence(begin, begin + F.col("k") - 1)).alias("pos"))
-    return drawn.union(runs)
+    spans = mask.where("pattern = 'contiguous' AND k > 0").select("run", begin.alias("_b"), (begin + F.col("k")).alias("_e"))
+    inside = positions.select("pos").join(F.broadcast(spans), (F.col("pos") >= F.col("_b")) & (F.col("pos") < F.col("_e"))).select("run", "pos")  # a row per mask
+    return drawn.union(inside)
 
 
 def apply_mask(rows: DataFrame, gone: DataFrame) -> DataFrame:
@@ -71,23 +75,35 @@ def overlap(rows: DataFrame, gone: DataFrame, start: int, end: int) -> DataFrame
     return out.withColumn("span_seconds", (F.col("last_t") - F.col("first_t")) / 1e6).withColumn("fraction", F.try_divide("inside", "window_events"))
 
 
-def validate_mask(mask_positions: DataFrame, start: int, end: int) -> DataFrame:
-    """Masks (run, positions) that are not sorted sets of positions inside the selection."""
-    p = F.col("positions")
-    good = (p == F.array_sort(F.array_distinct(p))) & F.forall(p, lambda x: (x >= start) & (x < end))
-    return mask_positions.where(~F.coalesce(good, F.lit(False)))
-
-
-def window_positions(rows: DataFrame, start: int, end: int) -> DataFrame:
-    """One row: events, events in [start, end), adjacent decreases of time, and the positions of the
+def validate_mask(rows: DataFrame, start: int, end: int, facts: DataFrame | None = None) -> DataFrame:
+    """(run, reason) of the masks that are refused. ``rows`` (run, place, pos) has a mask's positions in
+    their order: they have to rise and to lie in the selection. With ``facts`` (run, schema, k,
+    source_sha256, input_sha256) a mask also has to bear the right tag, to have been made from the
+    input it is applied to, and to have as many positions as it says."""
+    inside = (F.col("pos") >= start) & (F.col("pos") < end)
+    size = rows.groupBy("run").agg(F.count("*").alias("n"), F.bool_and(F.coalesce(inside, F.lit(False))).alias("inside"))
+    rising = in_order(rows.select("run", F.col("place").alias("arr"), F.col("place").alias("seq"), F.col("pos").alias("occ")), strictly=True)
+    all_ = size.join(rising, "run", "full_outer")
+    reason = F.when(~F.col("ordered"), "not sorted and unique").when(~F.col("inside"), "outside the selection")
+    if facts is not None:
+        all_ = facts.join(all_, "run", "left")
+        same = F.col("source_sha256") == F.col("input_sha256")
+        reason = F.when(~F.coalesce(F.col("schema") == MASK_TAG, F.lit(False)), "another schema").when(~F.coalesce(same, F.lit(False)), "another input").when(F.coalesce("n", F.lit(0)) != F.col("k"), "another count").otherwise(reason)
+    return all_.withColumn("reason", reason).where("reason IS NOT NULL").select("run", "reason")
+
+
+def window_positions(rows: DataFrame, start: int, end: int, pure: bool = False) -> DataFrame:
+    """One row; with ``pure``, an event outside the window between its first and last is an error: events, events in [start, end), adjacent decreases of time, and the positions of the
     window's first event and one past its last. rows: (pos, t, before), before the time of the
     preceding position."""
     inside = (F.col("t") >= start) & (F.col("t") < end)
-    return rows.agg(
+    out = rows.agg(
         F.count("*").alias("events"), F.count_if(inside).alias("in_window"),
         F.count_if(F.col("t") < F.col("before")).alias("order_violations"),
         F.min(F.when(inside, F.col("pos"))).alias("selection_start"), (F.max(F.when(inside, F.col("pos"))) + 1).alias("selection_end"),
     )
+    whole = F.coalesce(F.col("selection_end") - F.col("selection_start"), F.lit(0)) == F.col("in_window")
+    return out.where(F.when(whole, F.lit(True)).otherwise(F.raise_error(F.lit("the window's positions hold events from outside")).cast("boolean"))) if pure else out
 
 
 def score_nodes(scores: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:

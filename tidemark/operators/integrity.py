@@ -12,8 +12,8 @@ def text_hash(text: Column) -> Column:
 
 
 def file_hashes(spark: SparkSession, path: str) -> DataFrame:
-    """(path, size, sha256) of whole files."""
-    return spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+    """(path, size, sha256) of whole files, in folders of any depth."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
 
 
 def verify_pins(found: DataFrame, pinned: DataFrame) -> DataFrame:
@@ -43,3 +43,33 @@ def compare(old: DataFrame, new: DataFrame, keys: list[str], fields: list[str])
         differs = differs | ~F.col(f"a.{f}").eqNullSafe(F.col(f"b.{f}"))
     here = F.col("_a").isNotNull() & F.col("_b").isNotNull()
     return both.agg(F.count_if(here & differs).alias("mismatches"), F.count_if(F.col("_b").isNull()).alias("only_old"), F.count_if(F.col("_a").isNull()).alias("only_new"))
+
+
+def stored_member(spark: SparkSession, path: str, size: int, schema) -> DataFrame:
+    """(sha256, events) of a stored file of JSON lines, read back whole. One whose size is not what
+    the archive's header says, that is cut off, or that has a line which does not parse, is an error."""
+    found = file_hashes(spark, path).first()
+    if found is None or found["size"] != size:
+        raise ValueError("the stored size is not the header's")
+    lines = spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+    return lines.agg(F.count("*").alias("events")).select(F.lit(found["sha256"]).alias("sha256"), "events")
+
+
+def select_member(index: DataFrame, suffix: str) -> DataFrame:
+    """The one member (name, file_id, data_offset, size) of an index whose name ends so. Equal
+    entries count once; different ones, or none, are an error."""
+    found = index.where(F.col("name").endswith(suffix)).select("name", "file_id", "data_offset", "size").distinct()
+    if (n := found.limit(3).count()) != 1:
+        raise ValueError(f"one indexed member was expected, {'none' if not n else 'several'} found")
+    return found
+
+
+def same_facts(a: DataFrame, b: DataFrame, keys: list[str], facts: list[str]) -> DataFrame:
+    """The rows of ``a`` whose artefact in ``b`` (by ``keys``) agrees in all ``facts`` (input hash,
+    selection, case); one that is missing or disagrees is an error when it is read."""
+    other = b.select(*keys, *[F.col(f).alias(f"_{f}") for f in facts], F.lit(True).alias("_there"))
+    reason = F.when(F.col("_there").isNull(), F.lit("an artefact is missing"))
+    for f in facts:
+        reason = reason.when(~F.col(f).eqNullSafe(F.col(f"_{f}")), F.lit(f"artefacts differ in {f}"))
+    good = F.when(reason.isNull(), F.lit(True)).otherwise(F.raise_error(reason).cast("boolean"))
+    return a.join(other, keys, "left").where(good).select(*a.columns)

@@ -5,15 +5,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.functions import sampling, stats
+from tidemark.functions import slicing, stats
 from tidemark.operators import detect, distort, evidence, integrity, reorder, rules
 from tidemark.plans import oracle as O
-from tidemark.plans import sweeps
+from tidemark.plans import results, sweeps, verdicts
 from tidemark.sources import events as ev
+from tidemark.sources import sinks
+from tidemark.sources.cases import CaseSource, subset
 from tidemark.sources.scratch import cut, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,7 +65,7 @@ def _(spark, d):
     rows = ev.table_events(spark, d)
     lines = rows.select(F.col("seq").cast("string").alias("id"), "object", "action", "pid", "properties", F.date_format(F.timestamp_micros("t"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").alias("timestamp"))
     path = scratch_path(spark, "jsonl")
-    lines.write.mode("errorifexists").option("compression", "gzip").json(path)
+    sinks.write_new(lines, path)
     return ev.read_events(spark, path).groupBy("action").agg(F.count("*").alias("n"), F.min("t").alias("first_t"), F.max("t").alias("last_t"), F.countDistinct(F.col("properties")["k"]).alias("ks"))
 
 
@@ -100,11 +102,30 @@ def _(spark, d):
 
 
 @query("src07_projection_cache", f"WITH {O.proj()} SELECT rule, count(*) AS n, count(DISTINCT key) AS keys, CAST(sum(t // 1000000) AS BIGINT) AS checksum FROM proj GROUP BY rule")
+def _(spark, d):
+    source = CaseSource(spark, lambda case: ev.table_events(spark, d), RULES, scratch_path(spark, "projections"))
+    source.fill("events")
+    return source.get("events").groupBy("rule").agg(F.count("*").alias("n"), F.countDistinct("key").alias("keys"), F.sum(F.floor(F.col("t") / 1_000_000)).alias("checksum"))
+
+
+@query("src08_case_source", f"WITH {O.proj()} SELECT rule, count(*) AS n, min(t) AS first_t, max(t) AS last_t FROM proj GROUP BY rule")
+def _(spark, d):
+    source = CaseSource(spark, lambda case: ev.table_events(spark, d), RULES)
+    assert source.get("events") is source.get("events")
+    return source.get("events").groupBy("rule").agg(F.count("*").alias("n"), F.min("t").alias("first_t"), F.max("t").alias("last_t"))
+
+
+@query("flt02_grid_subset", f"WITH {O.proj()} SELECT 'all' AS list, rule, count(*) AS n FROM proj GROUP BY rule UNION ALL SELECT 'two', rule, count(*) FROM proj WHERE rule IN ('mid_cp', 'prop_key') GROUP BY rule")
 def _(spark, d):
     rows = projected(spark, d)
-    path = scratch_path(spark, "projection")
-    rows.write.mode("errorifexists").partitionBy("rule").parquet(path)
-    return spark.read.parquet(path).groupBy("rule").agg(F.count("*").alias("n"), F.countDistinct("key").alias("keys"), F.sum(F.floor(F.col("t") / 1_000_000)).alias("checksum"))
+    of = lambda name, allowed: subset(rows, "rule", allowed).groupBy(F.lit(name).alias("list"), "rule").agg(F.count("*").alias("n"))
+    return of("all", []).union(of("two", ["mid_cp", "prop_key"]))
+
+
+@query("flt10_integrity_join", "SELECT source, count(*) AS n FROM documents GROUP BY source")
+def _(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "source", F.sha2(F.coalesce("text", F.lit("")), 256).alias("input_sha256"))
+    return integrity.same_facts(docs, docs, ["doc_id"], ["input_sha256", "source"]).groupBy("source").agg(F.count("*").alias("n"))
 
 
 @query("int02_hash_and_pins", """WITH p AS (SELECT page_id, sha256(replace(html, chr(13) || chr(10), chr(10))) AS sha FROM pages),
@@ -120,13 +141,13 @@ def _(spark, d):
 
 @query("int01_file_hash")
 def _(spark, d):
-    return integrity.file_hashes(spark, f"{d}/nation.parquet").select("size", "sha256")
+    return integrity.file_hashes(spark, f"{d}/*.parquet").select("size", "sha256")
 
 
 @query("int03_stored_member", f"WITH {O.EV} SELECT count(*) AS events, count(DISTINCT seq) AS ids FROM ev")
 def _(spark, d):
     path = scratch_path(spark, "member")
-    ev.table_events(spark, d).select(F.col("seq").cast("string").alias("id"), "action").coalesce(1).write.option("compression", "gzip").json(path)
+    ev.table_events(spark, d).select(F.col("seq").cast("string").alias("id"), "action").write.option("compression", "gzip").json(path)
     return spark.read.schema(ev.EVENT).option("mode", "FAILFAST").json(path).agg(F.count("*").alias("events"), F.countDistinct("id").alias("ids"))
 
 
@@ -143,11 +164,12 @@ n AS (SELECT *, header + 512 + CAST(ceil(size / 512.0) AS BIGINT) * 512 AS next_
 SELECT source, count(*) AS members, CAST(max(next_header) AS BIGINT) AS length, count(*) FILTER (WHERE before IS NOT NULL AND before <> header) AS breaks
 FROM (SELECT *, lag(next_header) OVER (PARTITION BY source ORDER BY doc_id) AS before FROM n) GROUP BY source""")
 def _(spark, d):
-    own = Window.partitionBy("source").orderBy("doc_id")
     rows = table(spark, d, "documents").select("doc_id", "source", F.octet_length("text").alias("size"))
-    step = integrity.next_offset(F.lit(0), F.col("size")).cast("long")
-    rows = rows.withColumn("header", F.coalesce(F.sum(step).over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    rows = rows.withColumn("next_header", integrity.next_offset(F.col("header"), F.col("size")).cast("long")).withColumn("before", F.lag("next_header").over(own))
+    rows = rows.withColumn("step", integrity.next_offset(F.lit(0), F.col("size")).cast("long"))
+    width = slicing.width_of(rows, ["source"], "doc_id")
+    rows = slicing.running(rows, ["source"], ["doc_id"], "doc_id", F.sum, "step", "header", width).withColumn("header", F.coalesce("header", F.lit(0)))
+    rows = rows.withColumn("next_header", integrity.next_offset(F.col("header"), F.col("size")).cast("long"))
+    rows = slicing.previous(rows, ["source"], ["doc_id"], "doc_id", "next_header", "before", width)
     return rows.groupBy("source").agg(F.count("*").alias("members"), F.max("next_header").alias("length"), F.count_if(F.col("before") != F.col("header")).alias("breaks"))
 
 
@@ -188,7 +210,7 @@ def _(spark, d):
 SELECT 'key' AS what, 'props.k' AS name, count(json_extract_string(props, '$.k')) AS n FROM e
 UNION ALL SELECT 'digits', CAST(length(regexp_extract(ts, '\\.(\\d+)', 1)) AS VARCHAR), count(*) FROM e GROUP BY 2
 UNION ALL SELECT 'disorder', 'string', count(*) FILTER (ts < before) FROM o
-UNION ALL SELECT 'time-like', 'ts', 1""")
+UNION ALL SELECT 'time-like', column_name, 1 FROM (DESCRIBE SELECT * FROM events) WHERE lower(column_name) = 'ts' OR regexp_matches(lower(column_name), 'time|stamp|date')""")
 def _(spark, d):
     raw = table(spark, d, "events").withColumn("ts", F.col("ts").cast("string"))
     props = raw.select(F.explode(F.map_keys(F.from_json("props", "map<string,string>"))).alias("name"))
@@ -211,9 +233,9 @@ def _(spark, d):
 
 @query("flt09_mask_validation", f"WITH {O.EV}, m AS (SELECT pid, list(seq ORDER BY CASE WHEN pid % 3 = 0 THEN -t ELSE t END) AS p FROM ev GROUP BY pid) SELECT pid FROM m WHERE p <> list_sort(list_distinct(p)) OR len(list_filter(p, lambda x: x < 0 OR x >= 5000)) > 0")
 def _(spark, d):
-    order = F.sort_array(F.collect_list(F.struct(F.when(F.col("pid") % 3 == 0, -F.col("t")).otherwise(F.col("t")).alias("o"), "seq")))
-    masks = ev.table_events(spark, d).groupBy("pid").agg(order.alias("l")).select("pid", F.col("l.seq").alias("positions"))
-    return evidence.validate_mask(masks, 0, 5000).select("pid")
+    place = F.when(F.col("pid") % 3 == 0, -F.col("t")).otherwise(F.col("t"))
+    masks = ev.table_events(spark, d).select(F.col("pid").alias("run"), place.alias("place"), F.col("seq").alias("pos"))
+    return evidence.validate_mask(masks, 0, 5000).select(F.col("run").alias("pid"))
 
 
 # --- joins and sets
@@ -318,6 +340,15 @@ def _(spark, d):
     return s.select("rate", F.round(F.col("contiguous_sd") - F.col("random_sd"), 6).alias("ev"), F.round(F.col("contiguous_mean") - F.col("random_mean"), 6).alias("mean_difference"), F.round(F.when(F.col("random_sd") > 0, F.col("contiguous_sd") / F.col("random_sd")), 6).alias("sd_ratio"))
 
 
+@query("agg17_evidence_overall", f"""WITH {MEASURE_SQL}, s AS (SELECT rate, pattern, avg(event_rate) AS mean, coalesce(stddev_samp(event_rate), 0) AS sd FROM measured GROUP BY ALL)
+SELECT count(*) AS cases, round(avg(c.sd - r.sd), 6) AS mean_ev, coalesce(bool_and(c.sd - r.sd > 0), false) AS all_positive
+FROM s r JOIN s c ON r.rate = c.rate AND r.pattern = 'random' AND c.pattern = 'contiguous' WHERE r.rate = '0.10'""")
+def _(spark, d):
+    s = _measured(spark, d).where("rate = '0.10'").groupBy("rate").pivot("pattern", ["random", "contiguous"]).agg(F.coalesce(F.stddev_samp("event_rate"), F.lit(0.0)))
+    ev_ = F.col("contiguous") - F.col("random")
+    return s.agg(F.count("*").alias("cases"), F.round(F.avg(ev_), 6).alias("mean_ev"), F.coalesce(F.bool_and(ev_ > 0), F.lit(False)).alias("all_positive"))
+
+
 @query("agg18_mask_overlap", f"""WITH {_mask_sql()}, w AS (SELECT count(*) FILTER (t >= {START} AND t < {END}) AS window_events FROM p)
 SELECT rate, pattern, seed, min(t) AS first_t, max(t) AS last_t, round((max(t) - min(t)) / 1e6, 3) AS span_seconds, count(*) FILTER (t >= {START} AND t < {END}) AS inside,
        round(count(*) FILTER (t >= {START} AND t < {END}) / CAST(any_value(window_events) AS DOUBLE), 6) AS fraction FROM gone JOIN p USING (pos), w GROUP BY ALL""")
@@ -336,44 +367,57 @@ def _(spark, d):
     return out.select("labelled", "detected", "absent", "alerted", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))
 
 
-@query("jon08_label_overlap", "SELECT l.doc_id AS node, d.n_chars IS NULL AS absent, coalesce(d.n_chars > 2500, false) AS alerted FROM (SELECT DISTINCT doc_id FROM labels WHERE quality = 1) l LEFT JOIN (SELECT * FROM documents WHERE doc_id % 3 <> 0) d USING (doc_id)")
+@query("jon08_label_overlap", "SELECT l.doc_id AS node, d.n_chars IS NULL AS absent, coalesce(d.n_chars > 2500, false) AS alerted FROM (SELECT DISTINCT doc_id FROM labels WHERE quality = 1) l LEFT JOIN documents d USING (doc_id)")
 def _(spark, d):
-    scored = table(spark, d, "documents").where("doc_id % 3 <> 0").select("doc_id", "n_chars")
+    scored = table(spark, d, "documents").select("doc_id", "n_chars")
     labels = table(spark, d, "labels").where("quality = 1").select("doc_id").distinct()
     return labels.join(scored, "doc_id", "left").select(F.col("doc_id").alias("node"), F.col("n_chars").isNull().alias("absent"), F.coalesce(F.col("n_chars") > 2500, F.lit(False)).alias("alerted"))
 
 
-@query("agg20_recall_arms", f"WITH {MEASURE_SQL} SELECT rate, pattern, count(*) AS seeds, round(avg(1 - event_rate), 6) AS mean, round(min(1 - event_rate), 6) AS least, round(max(1 - event_rate), 6) AS most, round(max(1 - event_rate) - min(1 - event_rate), 6) AS range, round(coalesce(stddev_samp(1 - event_rate), 0), 6) AS sd, count(*) FILTER (1 - event_rate < 0.5) AS severe FROM measured GROUP BY ALL")
+RUNS_SQL = f'''{MEASURE_SQL}, runs AS (
+SELECT 'one' AS "case", rate AS requested_rate, pattern, seed, processes - silenced AS detected, processes AS total, (processes - silenced) / CAST(processes AS DOUBLE) AS recall,
+       (processes - silenced) > 0 AS case_detected FROM measured),
+base AS (SELECT 'one' AS "case", count(DISTINCT pid) / CAST(count(DISTINCT pid) AS DOUBLE) AS baseline_recall, count(DISTINCT pid) > 0 AS baseline_detected FROM lab),
+arms AS (SELECT r."case", requested_rate, pattern, count(*) AS seeds, count(*) FILTER (case_detected) AS detected_runs, avg(CAST(case_detected AS DOUBLE)) AS R, avg(recall) AS RC, min(recall) AS RC_min,
+         max(recall) AS RC_max, max(recall) - min(recall) AS RC_range, coalesce(stddev_samp(recall), 0) AS RC_stdev, count(*) FILTER (recall < 0.5 * baseline_recall) AS severe_seeds,
+         avg(CASE WHEN recall < 0.5 * baseline_recall THEN CAST(1 AS DOUBLE) ELSE 0 END) AS severe_seed_fraction FROM runs r JOIN base USING ("case") GROUP BY ALL),
+effects AS (SELECT a."case", a.requested_rate, baseline_detected, baseline_recall, a.R AS random_R, b.R AS contiguous_R, b.RC_stdev - a.RC_stdev AS EV, b.RC_stdev / nullif(a.RC_stdev, 0) AS EV_ratio,
+            b.severe_seed_fraction - a.severe_seed_fraction AS E_severe, 1 - a.R AS L_random, 1 - b.R AS L_contiguous, a.R - b.R AS E, baseline_recall - a.RC AS LC_random, baseline_recall - b.RC AS LC_contiguous, a.RC - b.RC AS EC
+            FROM arms a JOIN arms b ON a.requested_rate = b.requested_rate AND a.pattern = 'random' AND b.pattern = 'contiguous' JOIN base ON base."case" = a."case")'''
+ARM = ["R", "RC", "RC_min", "RC_max", "RC_range", "RC_stdev", "severe_seed_fraction"]
+
+
+def _run_records(spark, d):
+    """A run record per mask, and the baseline's: a process is a labelled node, detected while any of its events is left."""
+    measured = cut(_measured(spark, d), "measured")
+    base = measured.limit(1).select(F.lit("0").alias("rate"), F.lit("baseline").alias("pattern"), F.lit(None).cast("int").alias("seed"), "processes", F.lit(0).cast("long").alias("silenced"))
+    rows = measured.select("rate", "pattern", "seed", "processes", "silenced").union(base)
+    detected = F.col("processes") - F.col("silenced")
+    fixed = {"host": F.lit("h"), "input_sha256": F.lit("-"), "detector_commit": F.lit("-"), "checkpoint_sha256": F.lit("-"), "started_at_utc": F.lit("-"), "finished_at_utc": F.lit("-"), "exit_status": F.lit("completed"), "case": F.lit("one"), "requested_rate": F.col("rate")}
+    made = {"run_id": F.concat_ws("/", "rate", "pattern", "seed"), "mask_sha256": F.when(F.col("seed").isNotNull(), F.lit("-")), "selection_start": F.lit(0).cast("long"), "selection_end": F.lit(1).cast("long"), "deleted_count": F.lit(0).cast("long"), "threshold": F.lit(0.5), "case_detected": detected > 0, "detected_label_nodes": detected, "total_label_nodes": F.col("processes")}
+    return results.checked(rows.withColumns(fixed | made).withColumn("seed", F.col("seed").cast("long")).select(*results.FIELDS))
+
+
+@query("agg20_recall_arms", f'WITH {RUNS_SQL} SELECT "case", requested_rate, pattern, seeds, detected_runs, severe_seeds, {", ".join(f"round({c}, 6) AS {c}" for c in ARM)} FROM arms')
 def _(spark, d):
-    rows = _measured(spark, d).withColumn("recall", 1 - F.col("event_rate"))
-    s = dict(zip(("n", "mean", "sd", "min", "max", "range"), stats.summary("recall")))
-    named = [("mean", "mean"), ("min", "least"), ("max", "most"), ("range", "range"), ("sd", "sd")]
-    return rows.groupBy("rate", "pattern").agg(s["n"].alias("seeds"), *[F.round(s[a], 6).alias(b) for a, b in named], F.count_if(F.col("recall") < 0.5).alias("severe"))
+    return results.arms(_run_records(spark, d)).select("case", "requested_rate", "pattern", "seeds", "detected_runs", "severe_seeds", *[F.round(c, 6).alias(c) for c in ARM])
 
 
-@query("agg21_effect_rows", f"""WITH {MEASURE_SQL}, s AS (SELECT rate, pattern, avg(1 - event_rate) AS r, stddev_samp(1 - event_rate) AS sd, avg(CASE WHEN 1 - event_rate < 0.5 THEN 1.0 ELSE 0 END) AS severe FROM measured GROUP BY ALL)
-SELECT a.rate, round(1 - a.r, 6) AS lc_random, round(1 - b.r, 6) AS lc_contiguous, round(a.r - b.r, 6) AS ec, round(b.sd - a.sd, 6) AS ev, round(CASE WHEN a.sd > 0 THEN b.sd / a.sd END, 6) AS ev_ratio, round(b.severe - a.severe, 6) AS e_severe
-FROM s a JOIN s b ON a.rate = b.rate AND a.pattern = 'random' AND b.pattern = 'contiguous'""")
+@query("agg21_effect_rows", f'WITH {RUNS_SQL} SELECT "case", requested_rate, baseline_detected, {", ".join(f"round({c}, 6) AS {c}" for c in results.EFFECTS)}, CAST(NULL AS VARCHAR) AS excluded_reason FROM effects')
 def _(spark, d):
-    return _effects(spark, d).select("rate", *[F.round(c, 6).alias(c) for c in ("lc_random", "lc_contiguous", "ec", "ev", "ev_ratio", "e_severe")])
+    return results.effects(_run_records(spark, d)).select("case", "requested_rate", "baseline_detected", *[F.round(c, 6).alias(c) for c in results.EFFECTS], "excluded_reason")
 
 
-def _effects(spark, d):
-    r = 1 - F.col("event_rate")
-    s = _measured(spark, d).groupBy("rate").pivot("pattern", ["random", "contiguous"]).agg(F.avg(r).alias("r"), F.stddev_samp(r).alias("sd"), F.avg((r < 0.5).cast("double")).alias("severe"))
-    c = F.col
-    return s.select("rate", (1 - c("random_r")).alias("lc_random"), (1 - c("contiguous_r")).alias("lc_contiguous"), (c("random_r") - c("contiguous_r")).alias("ec"), (c("contiguous_sd") - c("random_sd")).alias("ev"), F.when(c("random_sd") > 0, c("contiguous_sd") / c("random_sd")).alias("ev_ratio"), (c("contiguous_severe") - c("random_severe")).alias("e_severe"))
+@query("agg22_overall", f"WITH {RUNS_SQL} SELECT count(*) AS evaluable_cases, round(avg(E), 6) AS mean_E, round(avg(EC), 6) AS mean_EC, round(avg(EV), 6) AS mean_EV, round(avg(E_severe), 6) AS mean_E_severe, coalesce(bool_and(random_R = 1 AND contiguous_R = 1), false) AS saturated, CASE WHEN coalesce(bool_and(random_R = 1 AND contiguous_R = 1), false) THEN 'frozen_label_node_recall' ELSE 'case_detection_rate' END AS metric FROM effects WHERE requested_rate = '0.10'")
+def _(spark, d):
+    return results.overall(_run_records(spark, d)).select("evaluable_cases", *[F.round(f"mean_{c}", 6).alias(f"mean_{c}") for c in ("E", "EC", "EV", "E_severe")], "saturated", "metric")
 
 
-@query("agg22_overall", f"""WITH {MEASURE_SQL}, s AS (SELECT pattern, avg(1 - event_rate) AS r, stddev_samp(1 - event_rate) AS sd, min(CASE WHEN event_rate < 1 THEN 1 ELSE 0 END) AS kept FROM measured WHERE rate = '0.10' GROUP BY ALL)
-SELECT round(a.r - b.r, 6) AS mean_ec, round(b.sd - a.sd, 6) AS mean_ev, CASE WHEN a.kept = 1 AND b.kept = 1 THEN 'frozen_label_node_recall' ELSE 'case_detection_rate' END AS metric
-FROM s a, s b WHERE a.pattern = 'random' AND b.pattern = 'contiguous'""")
+@query("flt08_run_records", f"WITH {RUNS_SQL} SELECT count(*) + 1 AS records, 0 AS broken FROM runs")
 def _(spark, d):
-    rows = _measured(spark, d).where("rate = '0.10'")
-    r = 1 - F.col("event_rate")
-    s = rows.groupBy("rate").pivot("pattern", ["random", "contiguous"]).agg(F.avg(r).alias("r"), F.stddev_samp(r).alias("sd"), F.bool_and(F.col("event_rate") < 1).alias("kept"))
-    saturated = F.col("random_kept") & F.col("contiguous_kept")
-    return s.select(F.round(F.col("random_r") - F.col("contiguous_r"), 6).alias("mean_ec"), F.round(F.col("contiguous_sd") - F.col("random_sd"), 6).alias("mean_ev"), F.when(saturated, "frozen_label_node_recall").otherwise("case_detection_rate").alias("metric"))
+    records = _run_records(spark, d)
+    broken = integrity.violations(records, results.rules()).agg(F.sum("n").cast("int").alias("broken"))
+    return records.agg(F.count("*").alias("records")).join(F.broadcast(broken))  # one row each
 
 
 # --- streams
@@ -382,73 +426,89 @@ def _(spark, d):
 @query("str05_detected_subjects", f"WITH {O.base()} SELECT rule, key, first_t FROM known")
 def _(spark, d):
     rows = sweeps.plain(projected(spark, d))
-    return detect.subjects(rows, N).join(rows.select("run", "rule").distinct(), "run").select("rule", "key", "first_t")
+    return sweeps.named(detect.subjects(rows, N), rows).select("rule", "key", "first_t")
+
+
+def _marked(spark, d, allowed=0, which=RULES, **options):
+    _, stream, rows = sweeps.distorted(ev.table_events(spark, d), which, **options)
+    return detect.mark_late(rows, allowed, width=sweeps.Sizes.of(stream).width)
 
 
 @query("str01_late_drop", f"WITH {O.marked(**TWO)} SELECT rule, multiple, structure, seed, count(*) AS rows, count(*) FILTER (late) AS dropped_late FROM marked GROUP BY ALL")
 def _(spark, d):
-    _, _, rows = sweeps.distorted(ev.table_events(spark, d), RULES, **TWO)
-    return detect.mark_late(rows).groupBy("rule", "multiple", "structure", "seed").agg(F.count("*").alias("rows"), F.count_if("late").alias("dropped_late"))
+    return _marked(spark, d, **TWO).groupBy("rule", "multiple", "structure", "seed").agg(F.count("*").alias("rows"), F.count_if("late").alias("dropped_late"))
 
 
 @query("str02_allowed_lateness", f"WITH {O.marked(**TWO)}, l AS (SELECT *, coalesce(occ < max(occ) OVER (PARTITION BY {O.RUN} ORDER BY arr, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - w - 43200000000, false) AS very_late FROM seen) SELECT rule, multiple, structure, seed, count(*) FILTER (very_late) AS dropped_late FROM l GROUP BY ALL")
 def _(spark, d):
-    _, _, rows = sweeps.distorted(ev.table_events(spark, d), RULES, **TWO)
-    return detect.mark_late(rows, 43_200_000_000).groupBy("rule", "multiple", "structure", "seed").agg(F.count_if("late").alias("dropped_late"))
+    return _marked(spark, d, 43_200_000_000, **TWO).groupBy("rule", "multiple", "structure", "seed").agg(F.count_if("late").alias("dropped_late"))
 
 
 @query("str03_alerts_in_order", f"WITH RECURSIVE {O.base()}, {O.greedy('proj', 'rule')} SELECT rule, count(*) AS alerts, count(DISTINCT key) AS keys FROM picks GROUP BY rule")
 def _(spark, d):
     rows = sweeps.plain(projected(spark, d))
-    return detect.alerts(rows).join(rows.select("run", "rule").distinct(), "run").groupBy("rule").agg(F.count("*").alias("alerts"), F.countDistinct("key").alias("keys"))
+    return sweeps.named(detect.alerts(rows), rows).groupBy("rule").agg(F.count("*").alias("alerts"), F.countDistinct("key").alias("keys"))
 
 
-@query("str04_alerts_out_of_order")
+@query("str03_alert_rows", f"""WITH RECURSIVE {O.base()}, {O.greedy('proj', 'rule')},
+numbered AS (SELECT *, row_number() OVER (PARTITION BY rule, key ORDER BY t, seq) AS rn FROM proj)
+SELECT p.rule, p.key, b.t AS fired_at, CAST(b.n AS INTEGER) AS count, a.t AS window_start, b.t AS window_end
+FROM picks p JOIN numbered b ON b.rule = p.rule AND b.key = p.key AND b.rn = p.rn JOIN numbered a ON a.rule = p.rule AND a.key = p.key AND a.rn = p.rn - b.n + 1""")
 def _(spark, d):
-    _, _, rows = sweeps.distorted(ev.table_events(spark, d), RULES, structures=("random",), fractions=(0.2,), seeds=(0,))
-    found = detect.alerts(detect.mark_late(rows).where("NOT late"))
-    return found.join(rows.select("run", "rule", "multiple").distinct(), "run").groupBy("rule", "multiple").agg(F.count("*").alias("alerts"), F.countDistinct("key").alias("keys"))
+    rows = sweeps.plain(projected(spark, d))
+    return sweeps.named(detect.alerts(rows), rows).select("rule", "key", "fired_at", "count", "window_start", "window_end")
 
 
-BUFFER_SQL = f"""{O.marked(PID[:2], structures=('random',), fractions=(0.2,), seeds=(0,))},
-probe AS (SELECT s.*, CAST(b * w AS BIGINT) AS buffer, b FROM seen s, (VALUES (0.0), (0.5), (2.0)) v(b)),
-mixed AS (SELECT {O.RUN}, b, arr, 1 AS kind, seq, arr AS at_arr, seq AS at_seq FROM probe UNION ALL SELECT {O.RUN}, b, occ + buffer, 0, seq, NULL, NULL FROM probe),
-ahead AS (SELECT *, first_value(at_arr IGNORE NULLS) OVER w AS fa, first_value(at_seq IGNORE NULLS) OVER w AS fs FROM mixed
-          WINDOW w AS (PARTITION BY {O.RUN}, b ORDER BY arr, kind, seq ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
-rel AS (SELECT p.*, CASE WHEN fa IS NULL THEN NULL WHEN (fa, fs) > (p.arr, p.seq) THEN fa ELSE p.arr END AS released
-        FROM probe p JOIN ahead a ON a.kind = 0 AND a.rule = p.rule AND a.multiple = p.multiple AND a.b = p.b AND a.seq = p.seq)"""
+ONE_RUN = {"structures": ("random",), "fractions": (0.2,), "seeds": (0,)}
+
+
+@query("str04_alerts_out_of_order", f"WITH RECURSIVE {O.alert_sweep(**ONE_RUN)} SELECT rule, multiple, count(*) AS alerts, count(DISTINCT key) AS keys FROM fired WHERE structure <> 'base' GROUP BY rule, multiple")
+def _(spark, d):
+    rows = cut(_marked(spark, d, **ONE_RUN).where("NOT late"), "kept")
+    found = detect.alerts(rows)
+    return found.join(F.broadcast(rows.select("run", "rule", "multiple").distinct()), "run").groupBy("rule", "multiple").agg(F.count("*").alias("alerts"), F.countDistinct("key").alias("keys"))
+
+
+SIZES = (0.0, 0.5, 2.0)
+BUFFERED = {"fractions": (0.2,), "seeds": (0,)}
+BUFFER_SQL = O.buffers(SIZES, PID, **BUFFERED)
 
 
 def _buffered(spark, d):
-    _, _, rows = sweeps.distorted(ev.table_events(spark, d), PID[:2], structures=("random",), fractions=(0.2,), seeds=(0,))
-    sizes = spark.createDataFrame([(0, 0.0), (1, 0.5), (2, 2.0)], "k int, b double")
-    rows = rows.join(F.broadcast(sizes)).withColumn("buffer", (F.col("b") * F.col("w")).cast("long")).withColumn("run", F.col("run") * 3 + F.col("k"))
-    return reorder.buffered(rows)
+    _, stream, rows = sweeps.distorted(ev.table_events(spark, d), PID, structures=("random",), **BUFFERED)
+    sizes = spark.createDataFrame(list(enumerate(SIZES)), "k int, b double")
+    rows = cut(rows, "distorted").join(F.broadcast(sizes)).withColumn("buffer", (F.col("b") * F.col("w")).cast("long")).withColumn("run", F.col("run") * len(SIZES) + F.col("k"))
+    return reorder.buffered(rows, width=sweeps.Sizes.of(stream).width)
 
 
-@query("str06_reorder_buffer", f"WITH {BUFFER_SQL} SELECT rule, multiple, CAST(b AS DOUBLE) AS b, seq, released FROM rel")
+@query("str06_reorder_buffer", f"WITH {BUFFER_SQL} SELECT rule, multiple, buffer_windows AS b, seq, released FROM rel")
 def _(spark, d):
     return _buffered(spark, d).select("rule", "multiple", "b", "seq", "released")
 
 
-@query("str07_buffer_waits", f"""WITH {BUFFER_SQL}, x AS (SELECT rule, multiple, b, released - occ - buffer AS wait FROM rel),
-q AS (SELECT *, row_number() OVER (PARTITION BY rule, multiple, b ORDER BY wait) AS i, count(*) OVER (PARTITION BY rule, multiple, b) AS n FROM x WHERE wait IS NOT NULL)
-SELECT rule, multiple, CAST(b AS DOUBLE) AS b, any_value(n) AS n, min(wait) AS least, max(wait) FILTER (i = floor(0.5 * (n - 1)) + 1) AS median, max(wait) FILTER (i = floor(0.9 * (n - 1)) + 1) AS p90, max(wait) AS most FROM q GROUP BY ALL""")
+WAITS = {"median": 0.5, "p90": 0.9, "p99": 0.99}
+
+
+@query("str07_buffer_waits", f"""WITH {BUFFER_SQL}, x AS (SELECT rule, multiple, buffer_windows AS b, released - occ - buffer AS wait FROM rel),
+q AS (SELECT *, row_number() OVER (PARTITION BY rule, multiple, b ORDER BY wait) AS i, count(*) OVER (PARTITION BY rule, multiple, b) AS n FROM x WHERE wait IS NOT NULL),
+f AS (SELECT rule, multiple, b, count(*) FILTER (wait IS NULL) AS flushed FROM x GROUP BY ALL)
+SELECT rule, multiple, b, any_value(n) AS n, any_value(flushed) AS flushed, min(wait) AS least, {", ".join(f"max(wait) FILTER (i = floor({v} * (n - 1)) + 1) AS {k}" for k, v in WAITS.items())}, max(wait) AS most FROM q JOIN f USING (rule, multiple, b) GROUP BY ALL""")
 def _(spark, d):
-    rows = _buffered(spark, d).withColumn("wait", F.col("released") - F.col("occ") - F.col("buffer"))
-    return stats.index_quantiles(rows, ["rule", "multiple", "b"], "wait", {"median": 0.5, "p90": 0.9}).select("rule", "multiple", "b", "n", "least", "median", "p90", "most")
+    rows = cut(_buffered(spark, d).withColumn("wait", F.col("released") - F.col("occ") - F.col("buffer")).select("rule", "multiple", "b", "wait"), "waits")
+    out = stats.index_quantiles(rows, ["rule", "multiple", "b"], "wait", WAITS)
+    return out.join(rows.groupBy("rule", "multiple", "b").agg(F.count_if(F.col("wait").isNull()).alias("flushed")), ["rule", "multiple", "b"]).select("rule", "multiple", "b", "n", "flushed", "least", *WAITS, "most")
 
 
-@query("str08_run_summary", f"WITH RECURSIVE {O.sweep(clock='M2', **TWO)}, {O.greedy('kept', O.RUN, 'occ')}, a AS (SELECT {O.RUN}, count(*) AS alerts FROM picks GROUP BY {O.RUN}) SELECT s.rule, s.multiple, s.structure, s.seed, s.rows AS accepted, s.dropped_late, s.keys, coalesce(a.alerts, 0) AS alerts FROM sweep s LEFT JOIN a ON {' AND '.join(f'a.{c} IS NOT DISTINCT FROM s.{c}' for c in O.RUN.split(', '))}")
+@query("str08_run_summary", f"WITH RECURSIVE {O.alert_sweep(clock='M2', **TWO)} SELECT rule, multiple, structure, seed, rows AS accepted, dropped_late, keys, alerts FROM records")
 def _(spark, d):
     runs, _, rows = sweeps.distorted(ev.table_events(spark, d), RULES, clock="M2", **TWO)
-    return detect.summary(cut(detect.mark_late(rows), "marked"), N).join(runs, "run").select("rule", "multiple", "structure", "seed", "accepted", "dropped_late", "keys", "alerts")
+    return detect.summary(cut(detect.mark_late(rows), "marked"), N).join(F.broadcast(runs), "run").select("rule", "multiple", "structure", "seed", "accepted", "dropped_late", "keys", "alerts")
 
 
 @query("str09_malicious_subjects", f"WITH {O.base(PID)} SELECT rule, key, first_t FROM known WHERE CAST(key AS BIGINT) % 7 = 0")
 def _(spark, d):
     rows = sweeps.plain(projected(spark, d, PID).where(rules.malicious()))
-    return detect.subjects(rows, N).join(rows.select("run", "rule").distinct(), "run").select("rule", "key", "first_t")
+    return sweeps.named(detect.subjects(rows, N), rows).select("rule", "key", "first_t")
 
 
 # --- distortion
@@ -457,16 +517,16 @@ def _(spark, d):
 @query("dst01_exact_choice", f"WITH {O.chosen(structures=('random', 'targeted'), multiples=(1.0,))} SELECT rule, fraction, structure, seed, count(*) AS n, count(*) FILTER (chosen) AS k, CAST(sum(seq) FILTER (chosen) AS BIGINT) AS checksum FROM chosen GROUP BY ALL")
 def _(spark, d):
     runs = distort.grid(spark, RULES, sweeps.FRACTIONS, (1.0,), sweeps.SEEDS, ("random", "targeted"))
-    rows = distort.choose(distort.spread(projected(spark, d), runs))
+    rows = distort.chosen(distort.draws(projected(spark, d), runs), runs)
     return rows.groupBy("rule", "fraction", "structure", "seed").agg(F.count("*").alias("n"), F.count_if("chosen").alias("k"), F.sum(F.when(F.col("chosen"), F.col("seq"))).alias("checksum"))
 
 
 def _arrivals(name, clock, structures, out):
     options = {"structures": structures, "fractions": (0.2,), "seeds": (0,), "multiples": (1.0,)}
 
-    @query(name, f"WITH {O.marked(PID, clock=clock, **options)} SELECT rule, seq, arr, occ FROM seen")
+    @query(name, f"WITH {O.marked(PID, clock=clock, **options)} SELECT rule, seq, pid, arr, occ FROM seen")
     def _(spark, d):
-        return sweeps.distorted(ev.table_events(spark, d), PID, clock=clock, **options)[2].select("rule", "seq", "arr", "occ")
+        return sweeps.distorted(ev.table_events(spark, d), PID, clock=clock, **options)[2].select("rule", "seq", "pid", "arr", "occ")
 
 
 _arrivals("dst03_fixed_delay_m1", "M1", ("random",), None)
@@ -475,24 +535,19 @@ _arrivals("dst02_targeted_delay", "M1", ("targeted",), None)
 _arrivals("dst05_delete_control", "M1", ("delete",), None)
 
 ONE = {"structures": ("random",), "fractions": (0.2,), "seeds": (0, 1), "multiples": (1.0, 2.0)}
-UNIFORM = "CAST(round(2 * multiple * w * (('0x' || substr(md5('delay:' || seed || ':' || seq), 1, 8))::BIGINT / 4294967296.0::DOUBLE)) AS BIGINT)"
-NORMAL = "sqrt(-2 * ln((('0x' || substr(md5('delay:' || seed || ':' || seq), 1, 8))::BIGINT + 1) / 4294967296.0::DOUBLE)) * cos(2 * pi() * (('0x' || substr(md5('delay:' || seed || ':' || seq), 9, 8))::BIGINT / 4294967296.0::DOUBLE))"
 
 
-@query("dst07_uniform_delay", f"WITH {O.marked(PID, delay=UNIFORM, **ONE)} SELECT rule, multiple, seed, seq, arr - t AS delay FROM arrived WHERE chosen")
+@query("dst07_uniform_delay", f"WITH {O.marked(PID, delay='uniform', **ONE)} SELECT rule, multiple, seed, seq, arr - t AS delay FROM arrived WHERE chosen")
 def _(spark, d):
     return sweeps.distorted(ev.table_events(spark, d), PID, delay="uniform", **ONE)[2].where("chosen").select("rule", "multiple", "seed", "seq", (F.col("arr") - F.col("t")).alias("delay"))
 
 
-@query("dst08_lognormal_delay", f"WITH {O.chosen(PID, **ONE)} SELECT rule, multiple, seed, seq, CAST(round(exp(ln(multiple * w) - 0.5 + {NORMAL})) AS BIGINT) // 1000000 AS delay_s FROM chosen WHERE chosen")
+@query("dst08_lognormal_delay", f"WITH {O.chosen(PID, **ONE)} SELECT rule, multiple, seed, seq, CAST(round(exp(ln(multiple * w) - 0.5 + {O.NORMAL})) AS BIGINT) // 1000000 AS delay_s FROM chosen WHERE chosen")
 def _(spark, d):
     return sweeps.distorted(ev.table_events(spark, d), PID, delay="lognormal", **ONE)[2].where("chosen").select("rule", "multiple", "seed", "seq", F.floor((F.col("arr") - F.col("t")) / 1_000_000).alias("delay_s"))
 
 
-@query("dst09_burst_delay", f"""WITH {O.base(PID)}, {O.grid(PID, **ONE)}, s AS (SELECT p.*, fraction, multiple, structure, seed, (t - min(t) OVER (PARTITION BY {O.RUN})) // w AS slot, count(*) OVER (PARTITION BY {O.RUN}) AS nn FROM proj p JOIN grid g USING (rule)),
-c AS (SELECT {O.RUN}, slot, count(*) AS c, any_value(nn) AS nn FROM s GROUP BY {O.RUN}, slot),
-o AS (SELECT *, coalesce(sum(c) OVER (PARTITION BY {O.RUN} ORDER BY md5('slot:' || seed || ':' || slot), slot ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < greatest(1, floor(nn * fraction)) AS take FROM c)
-SELECT rule, multiple, seed, count(*) FILTER (take) AS slots, CAST(sum(c) FILTER (take) AS BIGINT) AS rows FROM o GROUP BY ALL""")
+@query("dst09_burst_delay", f"WITH {O.burst(PID, **ONE)} SELECT rule, multiple, seed, count(*) FILTER (take) AS slots, CAST(sum(c) FILTER (take) AS BIGINT) AS rows FROM slots GROUP BY ALL")
 def _(spark, d):
     runs = distort.grid(spark, PID, ONE["fractions"], ONE["multiples"], ONE["seeds"], ("random",))
     rows = distort.burst(distort.spread(projected(spark, d, PID), runs)).where("chosen")
@@ -507,7 +562,7 @@ def _(spark, d):
     return distort.bernoulli(ev.table_events(spark, d).join(F.broadcast(grid))).groupBy("fraction").agg(F.count("*").alias("n"), F.count_if("chosen").alias("chosen"))
 
 
-@query("dst11_longest_delay", f"WITH {O.marked(PID, delay=UNIFORM, **ONE)} SELECT rule, multiple, seed, max(arr - t) AS longest FROM arrived GROUP BY ALL")
+@query("dst11_longest_delay", f"WITH {O.marked(PID, delay='uniform', **ONE)} SELECT rule, multiple, seed, max(arr - t) AS longest FROM arrived GROUP BY ALL")
 def _(spark, d):
     return sweeps.distorted(ev.table_events(spark, d), PID, delay="uniform", **ONE)[2].groupBy("rule", "multiple", "seed").agg(F.max(F.col("arr") - F.col("t")).alias("longest"))
 
@@ -515,15 +570,20 @@ def _(spark, d):
 # --- sweeps and what is said of them
 
 
+# --- sweeps and what is said of them
+
+
 @query("swp01_ordering_sweep_keys", f"WITH {O.sweep()} SELECT {SQL_RECORD} FROM sweep")
 def _(spark, d):
     return record(_sweep(spark, d))
 
 
-@query("swp01_ordering_sweep_alerts")
+ALERT_RECORD = ["rule", "fraction", "multiple", "structure", "seed", "alerts", "baseline_alerts", "alerts_lost", "keys_lost", "dropped_late"]
+
+
+@query("swp01_ordering_sweep_alerts", f"WITH RECURSIVE {O.alert_sweep()} SELECT {', '.join(ALERT_RECORD)}, round(alert_reduction, 6) AS alert_reduction FROM records")
 def _(spark, d):
-    out = sweeps.ordering_sweep(ev.table_events(spark, d), RULES, **TWO)
-    return out.select("rule", "multiple", "structure", "seed", "alerts", "baseline_alerts", "alerts_lost", F.round("alert_reduction", 6).alias("alert_reduction"), "keys_lost", "dropped_late")
+    return sweeps.ordering_sweep(ev.table_events(spark, d), RULES).select(*ALERT_RECORD, F.round("alert_reduction", 6).alias("alert_reduction"))
 
 
 @query("swp01_ordering_sweep_m2", f"WITH {O.sweep(clock='M2')} SELECT {SQL_RECORD} FROM sweep")
@@ -533,22 +593,26 @@ def _(spark, d):
 
 TARGET_SQL = f"""{O.sweep(PID)}, marks AS (SELECT rule, count(*) AS malicious_detected FROM known WHERE CAST(key AS BIGINT) % 7 = 0 GROUP BY rule),
 escaped AS (SELECT {', '.join('g.' + c for c in O.RUN.split(', '))}, count(*) AS malicious_evaded FROM grid g JOIN known k USING (rule) WHERE CAST(k.key AS BIGINT) % 7 = 0
-            AND NOT EXISTS (SELECT 1 FROM found f WHERE f.rule = g.rule AND f.fraction = g.fraction AND f.multiple IS NOT DISTINCT FROM g.multiple AND f.structure = g.structure AND f.seed = g.seed AND f.key = k.key) GROUP BY ALL)"""
+            AND NOT EXISTS (SELECT 1 FROM found f WHERE {O.same('f', 'g')} AND f.key = k.key) GROUP BY ALL),
+evasion AS (SELECT s.rule, s.fraction, s.multiple, s.structure, s.seed, m.malicious_detected, coalesce(e.malicious_evaded, 0) AS malicious_evaded, coalesce(e.malicious_evaded, 0) / CAST(m.malicious_detected AS DOUBLE) AS evasion_rate
+            FROM sweep s JOIN marks m USING (rule) LEFT JOIN escaped e ON {O.same('e', 's')})"""
 
 
-@query("swp02_targeting_sweep", f"WITH {TARGET_SQL} SELECT s.rule, s.fraction, s.multiple, s.structure, s.seed, m.malicious_detected, coalesce(e.malicious_evaded, 0) AS malicious_evaded, round(coalesce(e.malicious_evaded, 0) / CAST(m.malicious_detected AS DOUBLE), 6) AS evasion_rate FROM sweep s JOIN marks m USING (rule) LEFT JOIN escaped e ON {' AND '.join(f'e.{c} IS NOT DISTINCT FROM s.{c}' for c in O.RUN.split(', '))}")
+@query("swp02_targeting_sweep", f"WITH {TARGET_SQL} SELECT * REPLACE (round(evasion_rate, 6) AS evasion_rate) FROM evasion")
 def _(spark, d):
     out = sweeps.targeting_sweep(ev.table_events(spark, d), PID)
     return out.select("rule", "fraction", "multiple", "structure", "seed", "malicious_detected", "malicious_evaded", F.round("evasion_rate", 6).alias("evasion_rate"))
 
 
 MITIGATION = {"fractions": (0.2,), "seeds": (0, 1), "multiples": (1.0, 2.0)}
+BUFFERS = (0.0, 0.5, 1.0, 2.0)
+CELL_RECORD = ["rule", "fraction", "multiple", "seed", "buffer_windows", "dropped_late", "keys_lost", "alerts", "baseline_alerts", "alerts_evaded", "max_delay"]
 
 
-@query("swp03_mitigation_sweep")
+@query("swp03_mitigation_sweep", f"WITH RECURSIVE {O.mitigation(BUFFERS, PID, **MITIGATION)} SELECT {', '.join(CELL_RECORD)}, round(evasion_remaining, 6) AS evasion_remaining, round(buffer_windows * w / 1e6, 3) AS detection_delay_seconds FROM cells JOIN (SELECT rule, w FROM rules) USING (rule)")
 def _(spark, d):
-    out = sweeps.mitigation_sweep(ev.table_events(spark, d), PID[:2], **MITIGATION)
-    return out.select("rule", "multiple", "seed", "buffer_windows", "dropped_late", "keys_lost", "alerts", "baseline_alerts", "alerts_evaded", F.round("evasion_remaining", 6).alias("evasion_remaining"), "max_delay")
+    out = sweeps.mitigation_sweep(ev.table_events(spark, d), PID, BUFFERS, **MITIGATION)
+    return out.select(*CELL_RECORD, F.round("evasion_remaining", 6).alias("evasion_remaining"), F.round(F.col("buffer") / 1e6, 3).alias("detection_delay_seconds"))
 
 
 @query("swp04_premise_check", f"""WITH {O.EV}, g AS (SELECT * FROM {O.values([(0.0, 0), (0.05, 60), (0.05, 86400), (0.2, 86400), (0.2, 172800), (0.5, 172800)])} v(fraction, delay)),
@@ -568,13 +632,18 @@ def _(spark, d):
     return _sweep(spark, d, PID[:3], **FINE).groupBy("rule", "multiple").agg(F.round(F.avg("key_reduction"), 6).alias("reduction"), F.round(F.avg("dropped_late"), 4).alias("drops"))
 
 
-@query("swp06_reset_and_none")
+RESET = {"structures": ("random",), "fractions": (0.2,), "seeds": (0, 1)}
+
+
+@query("swp06_reset_and_none", f"""WITH RECURSIVE {O.alert_sweep(PID, **RESET)},
+a AS (SELECT {O.RUN}, count(*) AS without_reset FROM found GROUP BY {O.RUN}), b AS (SELECT {O.RUN}, count(DISTINCT key) AS with_reset FROM fired GROUP BY {O.RUN})
+SELECT g.rule, g.multiple, g.seed, coalesce(without_reset, 0) AS without_reset, coalesce(with_reset, 0) AS with_reset FROM grid g LEFT JOIN a ON {O.same('a', 'g')} LEFT JOIN b ON {O.same('b', 'g')}""")
 def _(spark, d):
-    _, _, rows = sweeps.distorted(ev.table_events(spark, d), PID, structures=("random",), fractions=(0.2,), seeds=(0, 1))
-    kept = cut(detect.mark_late(rows).where("NOT late"), "kept")
-    a = detect.subjects(kept, N).groupBy("run").agg(F.count("*").alias("without_reset"))
+    runs, stream, rows = sweeps.distorted(ev.table_events(spark, d), PID, **RESET)
+    kept = cut(detect.mark_late(rows.select(*sweeps.SEEN), width=sweeps.Sizes.of(stream).width).where("NOT late"), "kept")
+    a = detect.count(detect.subjects(kept, N), "without_reset")
     b = detect.alerts(kept).groupBy("run").agg(F.countDistinct("key").alias("with_reset"))
-    return rows.select("run", "rule", "multiple", "seed").distinct().join(a, "run", "left").join(b, "run", "left").na.fill(0).drop("run")
+    return runs.select("run", "rule", "multiple", "seed").join(a, "run", "left").join(b, "run", "left").na.fill(0).drop("run")
 
 
 def _on_sweep(name, body, which=RULES, **options):
@@ -590,11 +659,7 @@ _on_sweep("agg04_shares", "SELECT rule, structure, CAST(sum(CASE WHEN dropped_la
 _on_sweep("agg12_loss_by_region", "SELECT rule, multiple <= 1 AS inside, count(*) AS runs, CAST(sum(CASE WHEN keys_lost > 0 THEN 1 ELSE 0 END) AS BIGINT) AS losing, CAST(sum(CASE WHEN keys_lost > 0 AND dropped_late = 0 THEN 1 ELSE 0 END) AS BIGINT) AS loss_without_drops FROM sweep WHERE structure <> 'delete' GROUP BY rule, multiple <= 1")
 _on_sweep("agg11_targeted_advantage", "SELECT a.rule, a.fraction, a.multiple, round(b.m - a.m, 4) AS advantage FROM (SELECT rule, fraction, multiple, avg(key_reduction) AS m FROM sweep WHERE structure = 'random' GROUP BY rule, fraction, multiple) a JOIN (SELECT rule, fraction, multiple, avg(key_reduction) AS m FROM sweep WHERE structure = 'targeted' GROUP BY rule, fraction, multiple) b ON a.rule = b.rule AND a.fraction = b.fraction AND a.multiple = b.multiple")
 _on_sweep("jon06_treatment_control", "SELECT a.rule, a.fraction, a.multiple, round(a.m - b.m, 6) AS difference FROM (SELECT rule, fraction, multiple, avg(key_reduction) AS m FROM sweep WHERE structure = 'random' GROUP BY rule, fraction, multiple) a JOIN (SELECT rule, fraction, avg(key_reduction) AS m FROM sweep WHERE structure = 'delete' GROUP BY rule, fraction) b ON a.rule = b.rule AND a.fraction = b.fraction")
-_on_sweep("agg15_equivalence_bands", "SELECT CASE WHEN baseline_keys >= 140 THEN 'many' WHEN baseline_keys >= 100 THEN 'some' ELSE 'few' END AS band, structure, count(*) AS runs, round(avg(key_reduction), 6) AS mean, CAST(sum(CASE WHEN abs(key_reduction) <= 0.05 THEN 1 ELSE 0 END) AS BIGINT) AS inside FROM sweep GROUP BY CASE WHEN baseline_keys >= 140 THEN 'many' WHEN baseline_keys >= 100 THEN 'some' ELSE 'few' END, structure")
 _on_sweep("hyp0a_no_drops_inside", "SELECT count(*) AS runs, CAST(sum(CASE WHEN dropped_late > 0 THEN 1 ELSE 0 END) AS BIGINT) AS violations FROM sweep WHERE multiple <= 1 AND structure <> 'delete'")
-_on_sweep("hyp1_beyond_is_delete", "SELECT a.rule, a.fraction, round(a.m - b.m, 6) AS difference, abs(a.m - b.m) <= 0.01 AS holds FROM (SELECT rule, fraction, avg(key_reduction) AS m FROM sweep WHERE structure = 'random' AND multiple >= 2 GROUP BY rule, fraction) a JOIN (SELECT rule, fraction, avg(key_reduction) AS m FROM sweep WHERE structure = 'delete' GROUP BY rule, fraction) b ON a.rule = b.rule AND a.fraction = b.fraction")
-_on_sweep("hyp2_hidden_below_visible", "SELECT rule, structure, round(max(CASE WHEN multiple <= 1 THEN key_reduction END), 6) AS hidden, round(avg(CASE WHEN multiple = 2 THEN key_reduction END), 6) AS visible, max(CASE WHEN multiple <= 1 THEN key_reduction END) < avg(CASE WHEN multiple = 2 THEN key_reduction END) AS holds FROM sweep WHERE fraction = 0.2 AND structure <> 'delete' GROUP BY rule, structure")
-_on_sweep("hyp7_m1_table", "SELECT rule, structure, round(avg(CASE WHEN multiple = 0.5 THEN key_reduction END), 6) AS half, round(avg(CASE WHEN multiple = 1 THEN key_reduction END), 6) AS one, round(avg(CASE WHEN multiple = 2 THEN key_reduction END), 6) AS two FROM sweep GROUP BY rule, structure")
 _on_sweep("snk04_figure_series", "SELECT rule, multiple, round(avg(key_reduction), 6) AS mean, min(dropped_late) AS least_drops, max(dropped_late) AS most_drops FROM sweep WHERE structure = 'random' GROUP BY rule, multiple")
 
 
@@ -602,7 +667,7 @@ def _sweep_cut(spark, d, **options):
     return cut(_sweep(spark, d, **options), "sweep")
 
 
-@query("agg02_summary", f"WITH {O.sweep()} SELECT rule, structure, count(key_reduction) AS n, round(avg(key_reduction), 6) AS mean, round(coalesce(stddev_samp(key_reduction), 0), 6) AS sd, round(max(key_reduction), 6) AS most FROM sweep GROUP BY rule, structure")
+@query("agg02_summary", f"WITH {O.sweep()} SELECT rule, structure, count(key_reduction) AS n, round(avg(key_reduction), 6) AS mean, CASE WHEN count(key_reduction) > 0 THEN round(coalesce(stddev_samp(key_reduction), 0), 6) END AS sd, round(max(key_reduction), 6) AS most FROM sweep GROUP BY rule, structure")
 def _(spark, d):
     n, mean, sd, _, most, _ = stats.summary("key_reduction")
     return _sweep(spark, d).groupBy("rule", "structure").agg(n, F.round(mean, 6).alias("mean"), F.round(sd, 6).alias("sd"), F.round(most, 6).alias("most"))
@@ -635,10 +700,24 @@ def _(spark, d):
     return stats.spearman(_sweep(spark, d), ["rule"], "dropped_late", "key_reduction").select("rule", "n", F.round("rho", 6).alias("rho"))
 
 
-@query("agg09_bootstrap")
+def _bootstrap_sql(source: str, value: str) -> str:
+    """CTEs ``cells`` and ``drawn``: the arms of each cell, and percentiles of the resampled difference."""
+    u = lambda arm: f"[{arm}[CAST(floor(('0x' || substr(md5('boot:' || cell || ':{'targeted' if arm == 'a' else 'random'}:' || r || ':' || j), 1, 8))::BIGINT / 4294967296.0::DOUBLE * len({arm})) AS BIGINT) + 1] FOR j IN range(0, len({arm}))]"
+    return f"""arms AS (SELECT rule, fraction, multiple, concat_ws('/', rule, fraction, multiple) AS cell, list({value} ORDER BY seed) FILTER (structure = 'targeted' AND {value} IS NOT NULL) AS a,
+          list({value} ORDER BY seed) FILTER (structure = 'random' AND {value} IS NOT NULL) AS b FROM {source} WHERE multiple IS NOT NULL GROUP BY rule, fraction, multiple),
+rounds AS (SELECT cell, a, b, unnest(range(0, {stats.RESAMPLES})) AS r FROM arms WHERE len(a) > 0 AND len(b) > 0),
+drawn AS (SELECT cell, quantile_cont(list_sum({u('a')}) / len(a) - list_sum({u('b')}) / len(b), [0.025, 0.05, 0.95, 0.975]) AS p FROM rounds GROUP BY cell),
+boot AS (SELECT rule, fraction, multiple, list_sum(a) / len(a) - list_sum(b) / len(b) AS difference, p[1] AS p025, p[2] AS p05, p[3] AS p95, p[4] AS p975 FROM arms LEFT JOIN drawn USING (cell))"""
+
+
+BOOT = ["difference", "p025", "p05", "p95", "p975"]
+
+
+@query("agg09_bootstrap", f"WITH {O.sweep()}, {_bootstrap_sql('sweep', 'key_reduction')} SELECT rule, fraction, multiple, {', '.join(f'round({c}, 6) AS {c}' for c in BOOT)} FROM boot")
 def _(spark, d):
-    out = stats.bootstrap_difference(_sweep(spark, d), ["rule", "fraction", "multiple"], "structure", "targeted", "random", "key_reduction")
-    return out.where("multiple IS NOT NULL")
+    records = _sweep_cut(spark, d).where("multiple IS NOT NULL")
+    out = stats.bootstrap_difference(records, ["rule", "fraction", "multiple"], "structure", "targeted", "random", "key_reduction")
+    return out.select("rule", "fraction", "multiple", *[F.round(c, 6).alias(c) for c in BOOT])
 
 
 @query("agg10_delay_shape", f"WITH {O.sweep()}, c AS (SELECT rule, fraction, structure, multiple, avg(key_reduction) AS m FROM sweep WHERE structure <> 'delete' GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY rule, fraction, structure ORDER BY m DESC, multiple) AS i, min(multiple) OVER p AS lo, max(multiple) OVER p AS hi FROM c WHERE m IS NOT NULL WINDOW p AS (PARTITION BY rule, fraction, structure)) SELECT rule, fraction, structure, multiple AS peak_at, round(m, 4) AS peak, multiple > lo AND multiple < hi AS interior, multiple = hi AS at_largest FROM r WHERE i = 1")
@@ -653,10 +732,26 @@ def _(spark, d):
     return stats.index_quantiles(_sweep(spark, d).where("keys_lost > 0"), ["structure"], "dropped_late", {"median": 0.5})
 
 
-@query("agg14_burst_and_fixed")
+MATCHED_SQL = f"""{TARGET_SQL}, evading AS (SELECT s.rule, s.fraction, s.multiple, s.structure, avg(s.dropped_late) AS drops FROM sweep s JOIN escaped e ON {O.same('e', 's')} WHERE s.structure <> 'delete' GROUP BY ALL)"""
+
+
+@query("agg13_matched_ratio", f"WITH {MATCHED_SQL} SELECT count(*) AS cells, round(quantile_cont(r.drops / t.drops, 0.5), 6) AS median_ratio FROM evading r JOIN evading t ON {O.same('r', 't', 'rule, fraction, multiple')} AND r.structure = 'random' AND t.structure = 'targeted' WHERE r.drops > 0 AND t.drops > 0")
 def _(spark, d):
-    e, o = ev.table_events(spark, d), {"structures": ("random",), "fractions": (0.2,), "seeds": (0, 1), "with_alerts": False}
-    both = [sweeps.ordering_sweep(e, PID, delay=x, **o).withColumn("delay", F.lit(x)) for x in ("fixed", "burst")]
+    cells = _evading_drops(spark, d).where("structure <> 'delete'").groupBy("rule", "fraction", "multiple").pivot("structure", ["random", "targeted"]).agg(F.avg("dropped_late"))
+    both = cells.where("random > 0 AND targeted > 0")
+    return both.agg(F.count("*").alias("cells"), F.round(F.percentile(F.col("random") / F.col("targeted"), 0.5), 6).alias("median_ratio"))
+
+
+BURST = {"structures": ("random",), "fractions": (0.2,), "seeds": (0, 1)}
+
+
+def _burst_sql(delay: str) -> str:
+    return f"SELECT '{delay}' AS delay, rule, multiple, round(avg(key_reduction), 6) AS reduction, round(avg(dropped_late), 4) AS drops FROM (WITH {O.sweep(PID, delay=delay, **BURST)} SELECT * FROM sweep) GROUP BY rule, multiple"
+
+
+@query("agg14_burst_and_fixed", f"{_burst_sql('fixed')} UNION ALL {_burst_sql('burst')}")
+def _(spark, d):
+    both = [_sweep(spark, d, PID, delay=x, **BURST).withColumn("delay", F.lit(x)) for x in ("fixed", "burst")]
     return both[0].unionByName(both[1]).groupBy("delay", "rule", "multiple").agg(F.round(F.avg("key_reduction"), 6).alias("reduction"), F.round(F.avg("dropped_late"), 4).alias("drops"))
 
 
@@ -665,8 +760,8 @@ def _(spark, d):
     return _sweep(spark, d, **TWO).select("rule", "multiple", "structure", "seed", "keys", "baseline_keys", (F.col("baseline_keys") - F.col("keys")).alias("missing"))
 
 
-@query("jon05_drop_join", f"WITH {TARGET_SQL} SELECT s.rule, s.fraction, s.multiple, s.structure, s.seed, s.dropped_late, e.malicious_evaded FROM sweep s JOIN escaped e ON {' AND '.join(f'e.{c} IS NOT DISTINCT FROM s.{c}' for c in O.RUN.split(', '))}")
-def _(spark, d):
+def _evading_drops(spark, d):
+    """Runs in which marked subjects evade, with their drops: two sweeps joined by run."""
     e = ev.table_events(spark, d)
     key = ["rule", "fraction", "structure", "seed"]
     a = sweeps.targeting_sweep(e, PID).where("malicious_evaded > 0").select(*key, "multiple", "malicious_evaded").alias("a")
@@ -675,6 +770,11 @@ def _(spark, d):
     return a.join(b, on).select(*[f"a.{k}" for k in [*key, "multiple"]], "b.dropped_late", "a.malicious_evaded")
 
 
+@query("jon05_drop_join", f"WITH {TARGET_SQL} SELECT s.rule, s.fraction, s.multiple, s.structure, s.seed, s.dropped_late, e.malicious_evaded FROM sweep s JOIN escaped e ON {O.same('e', 's')}")
+def _(spark, d):
+    return _evading_drops(spark, d)
+
+
 @query("jon07_regression", f"WITH {O.sweep(**TWO)}, b AS (SELECT *, CASE WHEN seed = 1 THEN keys + 1 ELSE keys END AS other FROM sweep) SELECT count(*) FILTER (keys IS DISTINCT FROM other) AS mismatches, CAST(0 AS BIGINT) AS only_old, CAST(0 AS BIGINT) AS only_new FROM b")
 def _(spark, d):
     old = _sweep_cut(spark, d, **TWO)
@@ -682,16 +782,10 @@ def _(spark, d):
     return integrity.compare(old, new, distort.RUN, ["keys", "keys_lost", "dropped_late"])
 
 
-@query("hyp0_regression_equal", "SELECT CAST(0 AS BIGINT) AS mismatches, CAST(0 AS BIGINT) AS only_old, CAST(0 AS BIGINT) AS only_new")
-def _(spark, d):
-    a, b = _sweep(spark, d, **TWO), _sweep_cut(spark, d, **TWO)
-    return integrity.compare(a, b, distort.RUN, ["keys", "keys_lost", "dropped_late", "key_reduction"])
-
-
 @query("set01_lost_keys", f"WITH {O.sweep(**TWO)} SELECT g.rule, g.multiple, g.structure, g.seed, k.key FROM grid g JOIN known k USING (rule) WHERE NOT EXISTS (SELECT 1 FROM found f WHERE f.rule = g.rule AND f.multiple IS NOT DISTINCT FROM g.multiple AND f.structure = g.structure AND f.seed = g.seed AND f.key = k.key)")
 def _(spark, d):
     runs, stream, rows = sweeps.distorted(ev.table_events(spark, d), RULES, **TWO)
-    found = detect.subjects(detect.mark_late(rows).where("NOT late"), N)
+    found = detect.subjects(detect.mark_late(rows.select(*sweeps.SEEN), width=sweeps.Sizes.of(stream).width).where("NOT late"), N)
     expected = sweeps.baseline_subjects(stream, RULES).join(F.broadcast(runs), "rule")
     return expected.join(found.select("run", "key"), ["run", "key"], "left_anti").select("rule", "multiple", "structure", "seed", "key")
 
@@ -716,47 +810,165 @@ def _(spark, d):
     return projected(spark, d).groupBy("rule").agg(F.countDistinct("key").alias("keys"), F.countDistinct("pid").alias("pids"))
 
 
-@query("hyp0b_full_buffer_harmless")
+# --- hypotheses
+
+
+def _records(spark, d, which=RULES, **options):
+    return cut(sweeps.ordering_sweep(ev.table_events(spark, d), which, **options), "records")
+
+
+def _mitigations(spark, d, which=PID, **options):
+    return cut(sweeps.mitigation_sweep(ev.table_events(spark, d), which, **{**MITIGATION, **options}), "cells")
+
+
+REGRESSION = {"fractions": (0.2,), "seeds": (0, 1), "multiples": (1.0, 2.0)}
+EQUAL = ["alerts", "keys_lost", "dropped_late"]
+
+
+@query("hyp0_regression_equal", f"""SELECT count(*) FILTER (a.rule IS NOT NULL AND b.rule IS NOT NULL AND ({' OR '.join(f'a.{c} IS DISTINCT FROM b.{c}' for c in EQUAL)})) AS mismatches, count(*) FILTER (b.rule IS NULL) AS only_old, count(*) FILTER (a.rule IS NULL) AS only_new
+FROM (WITH RECURSIVE {O.alert_sweep(PID, structures=('random',), **REGRESSION)} SELECT * FROM records) a
+FULL JOIN (WITH RECURSIVE {O.mitigation((0.0,), PID, **REGRESSION)} SELECT * FROM cells) b ON a.rule = b.rule AND a.multiple = b.multiple AND a.seed = b.seed""")
+def _(spark, d):
+    """Two ways to one result: the plain sweep, and behind a buffer of size 0."""
+    a = _records(spark, d, PID, structures=("random",), **REGRESSION)
+    b = _mitigations(spark, d, buffers=(0.0,), **REGRESSION)
+    return integrity.compare(a, b, ["rule", "fraction", "multiple", "structure", "seed"], EQUAL)
+
+
+_on_sweep("hyp0a_no_drops_inside", "SELECT count(*) AS runs, CAST(sum(CASE WHEN dropped_late > 0 THEN 1 ELSE 0 END) AS BIGINT) AS violations FROM sweep WHERE multiple <= 1 AND structure <> 'delete'")
+
+
+@query("hyp0b_full_buffer_harmless", f"WITH RECURSIVE {O.mitigation(BUFFERS, PID, delay='uniform', **MITIGATION)} SELECT count(*) AS runs, count(*) FILTER (CAST(buffer_windows * w AS BIGINT) >= max_delay) AS full, count(*) FILTER (CAST(buffer_windows * w AS BIGINT) >= max_delay AND alerts_evaded <> 0) AS violations FROM cells JOIN (SELECT rule, w FROM rules) USING (rule)")
+def _(spark, d):
+    return verdicts.full_buffer_harmless(_mitigations(spark, d, buffers=BUFFERS, delay="uniform"))
+
+
+VERDICT = ", round(avg(CASE WHEN holds THEN CAST(1 AS DOUBLE) ELSE 0 END) OVER (), 6) AS share"
+BEYOND = {"structures": ("random", "delete"), "multiples": verdicts.BEYOND, "seeds": (0, 1)}
+
+
+@query("hyp1_beyond_is_delete", f"""WITH RECURSIVE {O.alert_sweep(**BEYOND)}, late AS (SELECT rule, fraction, multiple, avg(alert_reduction) AS m FROM records WHERE structure = 'random' GROUP BY ALL),
+gone AS (SELECT rule, fraction, avg(alert_reduction) AS m FROM records WHERE structure = 'delete' GROUP BY ALL), c AS (SELECT rule, fraction, multiple, a.m - b.m AS difference, abs(a.m - b.m) <= 0.01 AS holds FROM late a JOIN gone b USING (rule, fraction))
+SELECT rule, fraction, multiple, round(difference, 6) AS difference, holds{VERDICT}, avg(CASE WHEN holds THEN CAST(1 AS DOUBLE) ELSE 0 END) OVER () >= 0.9 AS adopted FROM c""")
+def _(spark, d):
+    out = verdicts.beyond_is_delete(_records(spark, d, **BEYOND))
+    return out.select("rule", "fraction", "multiple", F.round("difference", 6).alias("difference"), "holds", F.round("share", 6).alias("share"), "adopted")
+
+
+CLOCKS = {"structures": ("random",), "fractions": (0.2,), "multiples": (*verdicts.HIDDEN, verdicts.VISIBLE), "seeds": (0, 1)}
+UNITS_SQL = f"""{O.alert_sweep(**CLOCKS)}, means AS (SELECT rule, fraction, multiple, avg(alert_reduction) AS m, CAST(sum(dropped_late) AS BIGINT) AS drops FROM records GROUP BY ALL),
+units AS (SELECT rule, max(m) FILTER (multiple <= 1) AS hidden, max(m) FILTER (multiple = 2) AS visible FROM means GROUP BY rule)"""
+
+
+@query("hyp2_hidden_below_visible", f"WITH RECURSIVE {UNITS_SQL}, c AS (SELECT *, hidden < visible AS holds FROM units) SELECT rule, round(hidden, 6) AS hidden, round(visible, 6) AS visible, holds{VERDICT}, count(*) FILTER (holds) OVER () * 15 >= count(*) OVER () * 13 AS adopted FROM c")
+def _(spark, d):
+    out = verdicts.hidden_below_visible(_records(spark, d, **CLOCKS))
+    return out.select("rule", F.round("hidden", 6).alias("hidden"), F.round("visible", 6).alias("visible"), "holds", F.round("share", 6).alias("share"), "adopted")
+
+
+@query("hyp2_largest_without_drops", f"WITH RECURSIVE {UNITS_SQL} SELECT rule, fraction, multiple, round(m, 6) AS reduction FROM means WHERE drops = 0 AND m IS NOT NULL ORDER BY m DESC, rule DESC, fraction DESC, multiple DESC LIMIT 1")
 def _(spark, d):
-    out = sweeps.mitigation_sweep(ev.table_events(spark, d), PID[:2], buffers=(2.0,), with_alerts=False, **MITIGATION)
-    return out.agg(F.count("*").alias("runs"), F.count_if((F.col("buffer_windows") >= F.col("multiple")) & ((F.col("dropped_late") > 0) | (F.col("keys_lost") > 0))).alias("violations"))
+    return verdicts.largest_without_drops(_records(spark, d, **CLOCKS)).withColumn("reduction", F.round("reduction", 6))
 
 
-@query("hyp3_rank_of_clocks")
+FAR = {"structures": ("random",), "fractions": (0.2,), "multiples": (10.0,), "seeds": (0, 1)}
+IMMUNE = ("dense_any", "prop_key")
+
+
+@query("hyp3_rank_of_clocks", f"""WITH u AS (WITH RECURSIVE {UNITS_SQL} SELECT rule, hidden FROM units), f AS (WITH RECURSIVE {O.alert_sweep(clock='M2', **FAR)} SELECT rule, avg(alert_reduction) AS far FROM records GROUP BY rule),
+x AS (SELECT hidden, far, rank() OVER (ORDER BY far) + (count(*) OVER (PARTITION BY far) - 1) / 2.0 AS a, rank() OVER (ORDER BY hidden) + (count(*) OVER (PARTITION BY hidden) - 1) / 2.0 AS b FROM u JOIN f USING (rule) WHERE hidden IS NOT NULL AND far IS NOT NULL),
+r AS (SELECT count(*) AS n, CASE WHEN min(a) < max(a) AND min(b) < max(b) THEN corr(a, b) END AS rho FROM x),
+h AS (SELECT count(*) AS immune, count(*) FILTER (hidden >= 0.02) AS hits FROM u JOIN f USING (rule) WHERE rule IN {IMMUNE})
+SELECT n, round(rho, 6) AS rho, immune, hits, coalesce(rho < 0.5, false) AS rank_adopted, hits * 6 >= immune * 4 AS hits_adopted FROM r, h""")
+def _(spark, d):
+    return verdicts.rank_of_clocks(_records(spark, d, **CLOCKS), _records(spark, d, clock="M2", **FAR), IMMUNE).withColumn("rho", F.round("rho", 6))
+
+
+EQUIVALENCE_SQL = f"""{TARGET_SQL}, {_bootstrap_sql('evasion', 'evasion_rate')},
+cells AS (SELECT b.*, m.malicious_detected, m.malicious_detected >= {verdicts.PRIMARY} AS primary_, p05 >= -{verdicts.MARGIN} AND p95 <= {verdicts.MARGIN} AS holds, CASE WHEN p025 > 0 THEN 'targeted' WHEN p975 < 0 THEN 'random' END AS direction, p025 > {verdicts.MARGIN} AS beyond
+          FROM boot b JOIN marks m USING (rule)),
+verdict AS (SELECT count(*) FILTER (primary_ AND holds) / CAST(nullif(count(*) FILTER (primary_), 0) AS DOUBLE) AS share, count(*) FILTER (primary_ AND beyond) AS worst FROM cells)"""
+
+
+@query("hyp4_targeting_equivalence", f"WITH {EQUIVALENCE_SQL} SELECT rule, fraction, multiple, malicious_detected, primary_ AS \"primary\", {', '.join(f'round({c}, 6) AS {c}' for c in BOOT)}, holds, direction, beyond, round(share, 6) AS share, coalesce(share >= 0.7 AND worst = 0, false) AS adopted FROM cells, verdict")
 def _(spark, d):
-    one = {"structures": ("random",), "fractions": (0.2,)}
-    a = _sweep(spark, d, multiples=(2.0,), clock="M2", **one).groupBy("rule").agg(F.avg("key_reduction").alias("visible"))
-    b = _sweep(spark, d, multiples=(0.5, 1.0), **one).where("dropped_late = 0").groupBy("rule").agg(F.max("key_reduction").alias("hidden"))
-    return stats.spearman(a.join(b, "rule").withColumn("all", F.lit(1)), ["all"], "visible", "hidden").select("n", F.round("rho", 6).alias("rho"), F.coalesce(F.col("rho") < 0.5, F.lit(False)).alias("holds"))
+    out = verdicts.targeting_equivalence(cut(sweeps.targeting_sweep(ev.table_events(spark, d), PID), "evasion"))
+    return out.select("rule", "fraction", "multiple", "malicious_detected", "primary", *[F.round(c, 6).alias(c) for c in BOOT], "holds", "direction", "beyond", F.round("share", 6).alias("share"), "adopted")
 
 
-@query("hyp4_targeting_equivalence")
+BAND = "CASE WHEN malicious_detected >= 20 THEN '20 and more' WHEN malicious_detected >= 5 THEN '5 to 19' ELSE 'below 5' END"
+
+
+@query("agg15_equivalence_bands", f"WITH {EQUIVALENCE_SQL} SELECT {BAND} AS band, count(*) AS cells, count(*) FILTER (holds) AS equivalent, round(avg(CASE WHEN holds THEN CAST(1 AS DOUBLE) ELSE 0 END), 6) AS share, count(*) FILTER (direction = 'targeted') AS targeted, count(*) FILTER (direction = 'random') AS random FROM cells GROUP BY band")
 def _(spark, d):
-    cells = stats.bootstrap_difference(_sweep(spark, d, PID), ["rule", "fraction", "multiple"], "structure", "targeted", "random", "key_reduction").where("multiple IS NOT NULL")
-    verdict = F.when((F.col("p05") > -0.05) & (F.col("p95") < 0.05), "equivalent").when(F.col("p025") > 0, "targeted worse").when(F.col("p975") < 0, "random worse").otherwise("open")
-    return cells.select("rule", "fraction", "multiple", verdict.alias("verdict"))
+    out = verdicts.targeting_equivalence(cut(sweeps.targeting_sweep(ev.table_events(spark, d), PID), "evasion"))
+    return out.withColumn("band", F.expr(BAND)).groupBy("band").agg(F.count("*").alias("cells"), F.count_if("holds").alias("equivalent"), F.round(F.avg(F.col("holds").cast("double")), 6).alias("share"), F.count_if(F.col("direction") == "targeted").alias("targeted"), F.count_if(F.col("direction") == "random").alias("random"))
+
+
+STAIRS = (0.0, 1.0, 2.0)
 
 
-def _mitigation_cells(spark, d, delay):
-    out = sweeps.mitigation_sweep(ev.table_events(spark, d), PID[:2], buffers=(0.0, 1.0, 2.0), delay=delay, with_alerts=False, **MITIGATION)
-    return out.withColumn("left", F.col("keys_lost") / F.col("baseline_keys")).groupBy("rule", "multiple", "buffer_windows").agg(F.avg("left").alias("left"))
+def _cells_sql(delay: str) -> str:
+    return f"WITH RECURSIVE {O.mitigation(STAIRS, PID, delay=delay, **MITIGATION)} SELECT rule, fraction, multiple, buffer_windows, avg(evasion_remaining) AS remaining FROM cells GROUP BY ALL"
+
+
+def _staircase(name: str, delay: str) -> None:
+    @query(name, f"""WITH m AS ({_cells_sql(delay)}), c AS (SELECT rule, fraction, multiple, a.remaining AS r0, b.remaining AS rd, b.remaining > 0.1 * a.remaining AND b.remaining < 0.9 * a.remaining AS holds
+FROM m a JOIN m b USING (rule, fraction, multiple) WHERE a.buffer_windows = 0 AND a.remaining >= 0.02 AND b.buffer_windows = multiple)
+SELECT rule, fraction, multiple, round(r0, 6) AS r0, round(rd, 6) AS rd, holds{VERDICT}, avg(CASE WHEN holds THEN CAST(1 AS DOUBLE) ELSE 0 END) OVER () >= 0.75 AS adopted FROM c""")
+    def _(spark, d):
+        out = verdicts.staircase(_mitigations(spark, d, buffers=STAIRS, delay=delay))
+        return out.select("rule", "fraction", "multiple", *[F.round(c, 6).alias(c) for c in ("r0", "rd")], "holds", F.round("share", 6).alias("share"), "adopted")
+
+
+_staircase("hyp5_staircase", "uniform")
+_staircase("hyp5_staircase_lognormal", "lognormal")
+
+
+@query("hyp6_partial_buffer", f"""WITH m AS ({_cells_sql('fixed')}), c AS (SELECT rule, fraction, multiple, b.buffer_windows, b.remaining - a.remaining AS difference, b.remaining - a.remaining <= 0.01 AS holds
+FROM m a JOIN m b USING (rule, fraction, multiple) WHERE a.buffer_windows = 0 AND b.buffer_windows <> 0)
+SELECT rule, fraction, multiple, buffer_windows, round(difference, 6) AS difference, holds{VERDICT}, bool_and(holds) OVER () AS adopted FROM c""")
+def _(spark, d):
+    out = verdicts.partial_buffer(_mitigations(spark, d, buffers=STAIRS))
+    return out.select("rule", "fraction", "multiple", "buffer_windows", F.round("difference", 6).alias("difference"), "holds", F.round("share", 6).alias("share"), "adopted")
+
+
+TABLE = {"structures": ("random", "delete"), "fractions": (0.2,), "seeds": (0, 1)}
+
+
+@query("hyp7_m1_table", f"WITH RECURSIVE {O.alert_sweep(**TABLE)} SELECT rule, {', '.join(f'round(avg(alert_reduction) FILTER (multiple = {m}), 6) AS at_{k}, round(avg(dropped_late) FILTER (multiple = {m}), 4) AS drops_{k}' for k, m in (('half', 0.5), ('one', 1), ('two', 2)))}, round(avg(alert_reduction) FILTER (structure = 'delete'), 6) AS deleted FROM records GROUP BY rule")
+def _(spark, d):
+    at = lambda c, m: F.avg(F.when(F.col("multiple") == m, F.col(c)))
+    picks = [x for k, m in (("half", 0.5), ("one", 1.0), ("two", 2.0)) for x in (F.round(at("alert_reduction", m), 6).alias(f"at_{k}"), F.round(at("dropped_late", m), 4).alias(f"drops_{k}"))]
+    gone = F.round(F.avg(F.when(F.col("structure") == "delete", F.col("alert_reduction"))), 6).alias("deleted")
+    return _records(spark, d, **TABLE).groupBy("rule").agg(*picks, gone)
+
+
+@query("hyp7_mitigation_shape", f"WITH m AS ({_cells_sql('burst')}) SELECT rule, multiple, {', '.join(f'round(max(remaining) FILTER (buffer_windows = {b}), 6) AS {n}' for n, b in (('none', 0), ('one', 1), ('two', 2)))} FROM m GROUP BY rule, multiple")
+def _(spark, d):
+    cells = verdicts.buffer_cells(_mitigations(spark, d, buffers=STAIRS, delay="burst"))
+    return cells.groupBy("rule", "multiple").pivot("buffer_windows", list(STAIRS)).agg(F.round(F.first("remaining"), 6)).toDF("rule", "multiple", "none", "one", "two")
 
 
-@query("hyp5_staircase")
+@query("snk03_sharded_records", f"WITH {O.sweep(**TWO)} SELECT {SQL_RECORD} FROM sweep")
 def _(spark, d):
-    c = cut(_mitigation_cells(spark, d, "uniform"), "cells")
-    none, full = c.where("buffer_windows = 0"), c.where("buffer_windows = multiple")
-    both = none.select("rule", "multiple", F.col("left").alias("r0")).join(full.select("rule", "multiple", F.col("left").alias("rd")), ["rule", "multiple"]).where("r0 >= 0.02")
-    return both.select("rule", "multiple", F.round("r0", 6).alias("r0"), F.round("rd", 6).alias("rd"), ((F.col("rd") > 0.1 * F.col("r0")) & (F.col("rd") < 0.9 * F.col("r0"))).alias("holds"))
+    """Records written one folder per rule, refused if any is missing, and read back in the catalogue's order."""
+    path = scratch_path(spark, "shards")
+    sinks.write_shards(_sweep(spark, d, **TWO), path, ["rule"])
+    sinks.write_manifest(spark, path, "sharded-run", grid={k: list(v) for k, v in TWO.items()}, shards=[r.name for r in RULES])
+    assert sinks.read_manifest(spark, path)["engine_version"] == sinks.ENGINE_VERSION
+    return record(sinks.stitched(spark, path, ["rule"], [(r.name,) for r in RULES], ["fraction", "multiple", "structure", "seed"]))
 
 
-@query("hyp6_partial_buffer")
+@query("snk04_buffer_series", f"WITH m AS ({_cells_sql('fixed')}) SELECT multiple, buffer_windows, round(avg(remaining), 6) AS mean FROM m GROUP BY multiple, buffer_windows")
 def _(spark, d):
-    c = cut(_mitigation_cells(spark, d, "fixed"), "cells")
-    none = c.where("buffer_windows = 0").select("rule", "multiple", F.col("left").alias("r0"))
-    return c.join(none, ["rule", "multiple"]).select("rule", "multiple", "buffer_windows", F.round(F.col("left") - F.col("r0"), 6).alias("difference"), (F.col("left") - F.col("r0") <= 0.01).alias("holds"))
+    """The line of each delay over buffer sizes."""
+    return verdicts.buffer_cells(_mitigations(spark, d, buffers=STAIRS)).groupBy("multiple", "buffer_windows").agg(F.round(F.avg("remaining"), 6).alias("mean"))
 
 
-@query("hyp7_mitigation_shape")
+@query("snk04_range_series", f"""WITH {O.sweep()}, q AS (SELECT *, row_number() OVER (PARTITION BY structure, multiple ORDER BY dropped_late) AS i, count(*) OVER (PARTITION BY structure, multiple) AS n FROM sweep WHERE keys_lost > 0 AND multiple IS NOT NULL)
+SELECT structure, multiple, any_value(n) AS n, min(dropped_late) AS least, {', '.join(f'max(dropped_late) FILTER (i = floor({v} * (n - 1)) + 1) AS {k}' for k, v in (('p10', 0.1), ('median', 0.5), ('p90', 0.9)))} FROM q GROUP BY structure, multiple""")
 def _(spark, d):
-    return _mitigation_cells(spark, d, "burst").groupBy("rule", "multiple").pivot("buffer_windows", [0.0, 1.0, 2.0]).agg(F.round(F.first("left"), 6)).toDF("rule", "multiple", "none", "one", "two")
+    """Drops of losing runs: least, tenth, median and ninetieth percentile by place."""
+    rows = _sweep_cut(spark, d).where("keys_lost > 0 AND multiple IS NOT NULL")
+    return stats.index_quantiles(rows, ["structure", "multiple"], "dropped_late", {"p10": 0.1, "median": 0.5, "p90": 0.9}).drop("zeros", "most")

@@ -1,10 +1,20 @@
-"""Parameter sweeps: one job over all runs of a grid, compared with the undistorted baseline."""
+"""Parameter sweeps: one job over all runs of a grid, compared with the undistorted baseline.
+
+What a run's verdict can depend on decides what is computed for it. An event that was not delayed is
+never late, and none is in runs whose delays stay within one window, in runs that delete, and where
+the rule sees arrival times: no watermark for those. Where nothing was late or deleted and the rule
+sees times of occurrence, the subjects are the baseline's. Alerts are folded for all runs, and for
+the baseline as one run more of each rule.
+"""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.slicing import width_of
 from tidemark.operators import detect, distort, reorder
 from tidemark.operators.rules import project
 from tidemark.sources.scratch import cut
@@ -16,105 +26,154 @@ DELAYS = {
     "lognormal": lambda: distort.lognormal_delay(F.col("w"), F.col("multiple"), F.col("seed"), F.col("seq")),
     "burst": lambda: distort.fixed(F.col("w"), F.col("multiple")),
 }
+#: What the rules look at.
+SEEN = ["run", "key", "seq", "arr", "occ", "w", "n"]
 
 
 def plain(projected: DataFrame) -> DataFrame:
-    """The undistorted stream as runs of their own: run is the rule's place by name."""
-    return projected.withColumns({"run": F.hash("rule"), "arr": F.col("t"), "occ": F.col("t")})
+    """The undistorted stream as runs of their own, numbered -1, -2, ... by the name of the rule."""
+    names = sorted(r["rule"] for r in projected.select("rule").distinct().collect())  # the caller's rules
+    numbers = projected.sparkSession.createDataFrame([(n, -k) for k, n in enumerate(names, 1)], "rule string, run int")
+    return projected.join(F.broadcast(numbers), "rule").withColumns({"arr": F.col("t"), "occ": F.col("t")})
 
 
-def baseline(projected: DataFrame, rules, with_alerts: bool = True) -> DataFrame:
-    """(rule, baseline_keys[, baseline_alerts])."""
-    rows = plain(projected)
-    names = rows.select("run", "rule").distinct()
-    n = [r.threshold for r in rules]
-    out = names.join(detect.subjects(rows, n).groupBy("run").agg(F.count("*").alias("baseline_keys")), "run", "left")
-    if with_alerts:
-        out = out.join(detect.alerts(rows).groupBy("run").agg(F.count("*").alias("baseline_alerts")), "run", "left")
-    return out.drop("run").na.fill(0)
+def named(found: DataFrame, rows: DataFrame) -> DataFrame:
+    """``found`` with the rule's name instead of the run of ``plain``."""
+    return found.join(F.broadcast(rows.select("run", "rule").distinct()), "run").drop("run")
 
 
 def baseline_subjects(projected: DataFrame, rules) -> DataFrame:
     """(rule, key)."""
     rows = plain(projected)
-    names = rows.select("run", "rule").distinct()
-    return detect.subjects(rows, [r.threshold for r in rules]).join(names, "run").select("rule", "key")
+    return named(detect.subjects(rows, [r.threshold for r in rules]), rows).select("rule", "key")
+
+
+@dataclass(frozen=True)
+class Sizes:
+    """Measured once on the projected stream, as no run has more rows of a key: the width of time
+    slices, and the keys that one task should not get."""
+
+    width: int | None
+    hot: DataFrame | None
+
+    @staticmethod
+    def of(stream: DataFrame) -> Sizes:
+        return Sizes(width_of(stream, ["rule"], "t"), detect.hot_keys(stream.withColumn("occ", F.col("t")), "rule"))
+
+    def by_run(self, runs: DataFrame) -> DataFrame | None:
+        return None if self.hot is None else self.hot.join(F.broadcast(runs.select("run", "rule")), "rule").drop("rule")
 
 
 def distorted(events: DataFrame, rules, fractions=FRACTIONS, multiples=MULTIPLES, seeds=SEEDS, structures=("random", "targeted", "delete"), clock: str = "M1", delay: str = "fixed") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(grid, projected stream, rows as the rules see them)."""
     runs = distort.grid(events.sparkSession, rules, fractions, multiples, seeds, structures)
-    stream = project(events, rules)
-    # the choice of rows depends neither on the delay's size nor on what happens to them: draw once
-    kind = F.when(F.col("structure") == "targeted", "targeted").otherwise("random")
-    by_draw = runs.withColumn("draw", F.xxhash64("rule", "fraction", "seed", kind))
-    draws = by_draw.select(F.col("draw").alias("run"), "rule", "fraction", "seed", kind.alias("structure")).distinct()
-    spread = distort.spread(stream, draws)
-    chosen = distort.burst(spread) if delay == "burst" else distort.choose(spread)
-    chosen = chosen.select(*stream.columns, F.col("run").alias("draw"), "chosen")
-    rows = chosen.join(F.broadcast(by_draw.drop("rule")), "draw").drop("draw")  # the caller's grid
+    stream = cut(project(events, rules), "projected")
+    if delay == "burst":
+        rows = distort.burst(distort.spread(stream, runs))
+    else:
+        rows = distort.chosen(cut(distort.draws(stream, runs), "draws"), runs)
     return runs, stream, distort.arrive(rows, DELAYS[delay](), clock)
 
 
 def lost_keys(known: DataFrame, found: DataFrame, runs: DataFrame) -> DataFrame:
     """(run, keys_lost): baseline subjects (rule, key) that the run (run, key) does not detect."""
     expected = known.join(F.broadcast(runs.select("run", "rule")), "rule").select("run", "key")
-    return expected.join(found.select("run", "key"), ["run", "key"], "left_anti").groupBy("run").agg(F.count("*").alias("keys_lost"))
+    return detect.count(expected.join(found.select("run", "key"), ["run", "key"], "left_anti"), "keys_lost")
 
 
-def ordering_sweep(events: DataFrame, rules, clock: str = "M1", with_alerts: bool = True, **options) -> DataFrame:
+def never_late(clock: str, delay: str):
+    """Is nothing late in a run, whatever its rows are?"""
+    if clock == "M2":
+        return F.lit(True)
+    deleting = F.col("structure") == "delete"
+    return (deleting | (F.col("multiple") <= 1)) if delay in ("fixed", "burst") else deleting
+
+
+def judged(rows: DataFrame, clock: str, delay: str, sizes: Sizes) -> tuple[DataFrame, DataFrame]:
+    """(accepted rows, (run, rows, dropped_late)). Only runs in which a row may be late are marked."""
+    quiet = never_late(clock, delay)
+    marked = cut(detect.mark_late(rows.where(~quiet).select(*SEEN, "structure", "multiple"), width=sizes.width), "marked")
+    rest = rows.where(quiet).select(*SEEN, "structure", "multiple")
+    drops = detect.count(rest, "rows").withColumn("dropped_late", F.lit(0).cast("long"))
+    drops = drops.union(marked.groupBy("run").agg(F.count("*").alias("rows"), F.count_if("late").alias("dropped_late")))
+    return marked.where("NOT late").drop("late").unionByName(rest), drops
+
+
+def ordering_sweep(events: DataFrame, rules, clock: str = "M1", with_alerts: bool = True, delay: str = "fixed", **options) -> DataFrame:
     """A record per run: keys, losses, drops (and alerts with their reduction, null if the baseline
     has none)."""
-    runs, stream, rows = distorted(events, rules, clock=clock, **options)
-    marked = cut(detect.mark_late(rows), "marked")
-    n = [r.threshold for r in rules]
-    kept = marked.where("NOT late")
-    found = cut(detect.subjects(kept, n), "subjects")
-    drops = marked.groupBy("run").agg(F.count("*").alias("rows"), F.count_if("late").alias("dropped_late"))
-    out = runs.join(drops, "run").join(lost_keys(baseline_subjects(stream, rules), found, runs), "run", "left")
-    out = out.join(found.groupBy("run").agg(F.count("*").alias("keys")), "run", "left").join(F.broadcast(baseline(stream, rules, with_alerts)), "rule", "left")
+    runs, stream, rows = distorted(events, rules, clock=clock, delay=delay, **options)
+    n, sizes = [r.threshold for r in rules], Sizes.of(stream)
+    kept, drops = judged(rows, clock, delay, sizes)
+    base = plain(stream)
+    every = runs.select("run", "rule").union(base.select("run", "rule").distinct())
+    hot = sizes.by_run(every)
+    changed = F.lit(True) if clock == "M2" else (F.col("structure") == "delete") | ~never_late(clock, delay)
+    found = detect.subjects(kept.where(changed).select(*SEEN).unionByName(base.select(*SEEN)), n, hot)
+    found = cut(found.select("run", "key"), "subjects")
+    known = named(found.where("run < 0"), base)
+    same = runs.where(~changed).select("run", "rule").join(known, "rule").select("run", "key")
+    found = found.where("run >= 0").union(same) if clock != "M2" else found.where("run >= 0")
+    out = runs.join(drops, "run").join(lost_keys(known, found, runs), "run", "left").join(detect.count(found, "keys"), "run", "left")
+    out = out.join(known.groupBy("rule").agg(F.count("*").alias("baseline_keys")), "rule", "left")
     if with_alerts:
-        out = out.join(detect.alerts(kept).groupBy("run").agg(F.count("*").alias("alerts")), "run", "left")
-    out = out.na.fill(0, ["keys_lost", "keys"] + ["alerts"] * with_alerts)
+        fired = cut(detect.count(detect.alerts(kept.select(*SEEN).unionByName(base.select(*SEEN)), hot=hot), "alerts"), "alerts")
+        of_base = named(fired.where("run < 0"), base).withColumnRenamed("alerts", "baseline_alerts")
+        out = out.join(fired, "run", "left").join(of_base, "rule", "left")
+    out = out.na.fill(0, ["keys_lost", "keys", "baseline_keys"] + ["alerts", "baseline_alerts"] * with_alerts)
     if with_alerts:
         lost = F.col("baseline_alerts") - F.col("alerts")
         out = out.withColumns({"alerts_lost": lost, "alert_reduction": F.try_divide(lost, "baseline_alerts")})
     return out.withColumn("key_reduction", F.try_divide("keys_lost", "baseline_keys"))
 
 
-def targeting_sweep(events: DataFrame, rules, clock: str = "M1", **options) -> DataFrame:
+def targeting_sweep(events: DataFrame, rules, clock: str = "M1", delay: str = "fixed", **options) -> DataFrame:
     """A record per run: marked subjects that the baseline detects, and how many evade detection."""
-    runs, stream, rows = distorted(events, rules, clock=clock, **options)
-    found = detect.subjects(detect.mark_late(rows).where("NOT late"), [r.threshold for r in rules])
-    marked = baseline_subjects(stream, rules).where(F.col("key").cast("long") % 7 == 0)
+    runs, stream, rows = distorted(events, rules, clock=clock, delay=delay, **options)
+    n, sizes = [r.threshold for r in rules], Sizes.of(stream)
+    kept, _ = judged(rows, clock, delay, sizes)
+    changed = F.lit(True) if clock == "M2" else (F.col("structure") == "delete") | ~never_late(clock, delay)
+    marked_key = F.col("key").cast("long") % 7 == 0
+    found = detect.subjects(kept.where(changed).where(marked_key).select(*SEEN), n, sizes.by_run(runs))
+    marked = cut(baseline_subjects(stream.where(marked_key), rules), "marks")
     known = marked.groupBy("rule").agg(F.count("*").alias("malicious_detected"))
-    out = runs.join(known, "rule").join(lost_keys(marked, found, runs).withColumnRenamed("keys_lost", "malicious_evaded"), "run", "left")
+    evaded = lost_keys(marked, found, runs.where(changed)).withColumnRenamed("keys_lost", "malicious_evaded")
+    exist = runs.join(rows.select("run").distinct(), "run")  # a targeted run without eligible rows does not
+    out = exist.join(known, "rule").join(evaded, "run", "left")
     return out.na.fill(0, ["malicious_evaded"]).withColumn("evasion_rate", F.col("malicious_evaded") / F.col("malicious_detected"))
 
 
-def mitigation_sweep(events: DataFrame, rules, buffers=(0.0, 0.5, 1.0, 2.0), delay: str = "fixed", with_alerts: bool = True, **options) -> DataFrame:
-    """A record per run and buffer size (in windows): drops, lost subjects (and alerts) that remain
-    behind a reorder buffer. The distortion is computed once."""
+def mitigation_sweep(events: DataFrame, rules, buffers=(0.0, 0.5, 1.0, 2.0), delay: str = "fixed", **options) -> DataFrame:
+    """A record per run and buffer size (in windows): drops, lost subjects and alerts that remain
+    behind a reorder buffer; rules without baseline alerts are left out. The distortion is computed
+    once, and all buffers are runs of one job."""
     options.setdefault("structures", ("random",))
+    spark = events.sparkSession
     runs, stream, rows = distorted(events, rules, delay=delay, **options)
-    rows = cut(rows, "distorted")
-    longest = rows.groupBy("run").agg(F.max(F.col("arr") - F.col("t")).alias("max_delay"))
-    sizes = events.sparkSession.createDataFrame([(k, float(b)) for k, b in enumerate(buffers)], "size int, buffer_windows double")
-    each = rows.join(F.broadcast(sizes)).withColumn("buffer", (F.col("buffer_windows") * F.col("w")).cast("long")).withColumn("of", F.col("run"))
-    each = each.withColumn("run", F.col("run") * len(buffers) + F.col("size"))
-    out = reorder.released_order(reorder.buffered(each))
-    marked = cut(detect.mark_late(out, slice_us=1_000_000), "marked")
-    cells = runs.join(F.broadcast(sizes)).withColumn("of", F.col("run")).withColumn("run", F.col("run") * len(buffers) + F.col("size"))
-    n = [r.threshold for r in rules]
+    n, sizes, base = [r.threshold for r in rules], Sizes.of(stream), plain(stream)
+    rows = cut(rows.select(*SEEN), "distorted")
+    longest = rows.groupBy("run").agg(F.max(F.col("arr") - F.col("occ")).alias("max_delay")).withColumnRenamed("run", "of")
+    size = spark.createDataFrame([(k, float(b)) for k, b in enumerate(buffers)], "size int, buffer_windows double")
+    cells = runs.withColumnRenamed("run", "of").join(F.broadcast(size)).withColumn("run", F.col("of") * len(buffers) + F.col("size"))
+    each = rows.withColumnRenamed("run", "of").join(F.broadcast(cells.select("of", "run", "buffer_windows")), "of").drop("of")
+    each = each.withColumn("buffer", (F.col("buffer_windows") * F.col("w")).cast("long"))
+    out = reorder.released_order(reorder.buffered(each, width=sizes.width))
+    order = list(dict.fromkeys(["run", "key", *reorder.ORDER, "w", "n"]))
+    marked = cut(detect.mark_late(out.select(*order), order=reorder.ORDER, width=sizes.width), "marked")
+    hot = sizes.by_run(cells.select("run", "rule"))
     kept = marked.where("NOT late")
     drops = marked.groupBy("run").agg(F.count("*").alias("rows"), F.count_if("late").alias("dropped_late"))
-    known, base = baseline_subjects(stream, rules), baseline(stream, rules, with_alerts)
-    res = cells.join(drops, "run").join(lost_keys(known, detect.subjects(kept, n), cells), "run", "left").join(F.broadcast(base), "rule").join(longest.withColumnRenamed("run", "of"), "of")
-    if with_alerts:
-        res = res.join(detect.alerts(kept).groupBy("run").agg(F.count("*").alias("alerts")), "run", "left").na.fill(0, ["alerts"])
-        lost = F.col("baseline_alerts") - F.col("alerts")
-        res = res.where("baseline_alerts > 0").withColumns({"alerts_evaded": lost, "evasion_remaining": lost / F.col("baseline_alerts")})
-    return res.na.fill(0, ["keys_lost"]).drop("of", "size")
+    known = cut(baseline_subjects(stream, rules), "known")
+    fired = detect.count(detect.alerts(kept, order=reorder.ORDER, hot=hot), "alerts")
+    of_base = named(detect.count(detect.alerts(base, hot=sizes.by_run(base.select("run", "rule").distinct())), "baseline_alerts"), base)
+    res = cells.join(drops, "run").join(lost_keys(known, detect.subjects(kept, n, hot), cells), "run", "left")
+    res = res.join(known.groupBy("rule").agg(F.count("*").alias("baseline_keys")), "rule", "left")
+    res = res.join(of_base, "rule").join(longest, "of").join(fired, "run", "left").na.fill(0, ["alerts", "keys_lost", "baseline_keys"])
+    lost, w = F.col("baseline_alerts") - F.col("alerts"), F.lit(None).cast("long")
+    for r in rules:
+        w = F.when(F.col("rule") == r.name, F.lit(r.window)).otherwise(w)
+    size_us = (F.col("buffer_windows") * w).cast("long")
+    return res.withColumns({"alerts_evaded": lost, "evasion_remaining": lost / F.col("baseline_alerts"), "buffer": size_us}).drop("of", "size")
 
 
 def premise_check(events: DataFrame, w: int, n: int, scenarios=((0.05, 60), (0.05, 86_400), (0.2, 86_400), (0.2, 172_800), (0.5, 172_800)), seed: int = 0) -> DataFrame:
@@ -124,4 +183,4 @@ def premise_check(events: DataFrame, w: int, n: int, scenarios=((0.05, 60), (0.0
     grid = spark.createDataFrame([(k, float(f), int(d) * 1_000_000, seed) for k, (f, d) in enumerate([(0.0, 0), *scenarios])], "run int, fraction double, delay bigint, seed int")
     rows = events.select("seq", "t", "pid", F.col("pid").cast("string").alias("key"), F.lit(w).cast("long").alias("w"), F.lit(n).alias("n")).join(F.broadcast(grid))
     rows = distort.bernoulli(rows).withColumn("arr", F.col("t") + F.when(F.col("chosen"), F.col("delay")).otherwise(F.lit(0))).withColumn("occ", F.col("t"))
-    return grid.join(detect.summary(detect.mark_late(rows), [n], with_alerts=False), "run")
+    return grid.join(detect.summary(cut(detect.mark_late(rows.select(*SEEN)), "marked"), [n], with_alerts=False), "run")

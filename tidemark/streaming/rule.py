@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from tidemark.operators.detect import step
+from tidemark.operators.detect import fold
 
 MARKED = "stream string, key string, arr bigint, seq bigint, occ bigint, late boolean"
 ALERT = "stream string, key string, fired_at bigint, count int, window_start bigint, window_end bigint"
@@ -46,20 +46,21 @@ class Lateness(StatefulProcessor):
 
 
 class Threshold(StatefulProcessor):
-    def __init__(self, w: int, n: int):
-        self.w, self.n = w, n
+    """Held times too old for any later span are let go as newer ones come; those of a key that gets
+    no more events, after ``idle_ms``."""
+
+    def __init__(self, w: int, n: int, allowed: int, idle_ms: int | None):
+        self.w, self.n, self.allowed, self.idle_ms = w, n, allowed, idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.times = handle.getListState("times", "t bigint")
+        self.times = handle.getListState("times", "t bigint", self.idle_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         frame = pd.concat(list(rows)).sort_values(["arr", "seq"])
         held = sorted(int(x[0]) for x in self.times.get()) if self.times.exists() else []
-        out = []
-        for t in frame.loc[~frame["late"], "occ"].tolist():
-            found = step(held, t, self.w, self.n)
-            if found:
-                out.append((key[0], key[1], t, found[0], found[1], found[1] + self.w))
+        times = frame.loc[~frame["late"], "occ"].tolist()
+        out = [(key[0], key[1], *x) for x in fold(held, times, self.w, self.n, self.allowed)]
+        held = [t for t in held if t >= held[-1] - 2 * self.w - self.allowed]
         if held:
             self.times.put([(t,) for t in held])
         else:
@@ -70,10 +71,12 @@ class Threshold(StatefulProcessor):
         pass
 
 
-def alerts(events: DataFrame, window_us: int, threshold: int, allowed: int = 0) -> DataFrame:
+def alerts(events: DataFrame, window_us: int, threshold: int, allowed: int = 0, idle_ms: int | None = None) -> DataFrame:
     """Alerts of a stream of (stream, key, arr, seq, occ); ``spark.sql.streaming.stateStore.providerClass``
-    has to be STATE_STORE."""
+    has to be STATE_STORE. A key is forgotten ``idle_ms`` of processing time after its last event: no
+    less than W + ``allowed`` of the stream must pass meanwhile, else a verdict may change."""
     if threshold < 1 or window_us <= 0 or allowed < 0:
         raise ValueError("a rule needs a threshold of 1 or more, a window above 0 and a lateness of 0 or more")
     marked = events.groupBy("stream").transformWithStateInPandas(Lateness(window_us, allowed), MARKED, "append", "none")
-    return marked.groupBy("stream", "key").transformWithStateInPandas(Threshold(window_us, threshold), ALERT, "append", "none")
+    rule = Threshold(window_us, threshold, allowed, idle_ms)
+    return marked.groupBy("stream", "key").transformWithStateInPandas(rule, ALERT, "append", "none" if idle_ms is None else "processingTime")
