@@ -6,6 +6,7 @@ from itertools import permutations
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.functions import slicing
 from tidemark.operators import detect, distort, reorder
 from tidemark.operators.rules import Rule
 
@@ -13,7 +14,8 @@ S = 1_000_000
 
 
 def naive(events, w, n, allowed=0):
-    """(alerts, dropped, keys) of (t, key) in order of arrival, event by event."""
+    """(alerts, dropped, accepted) of (t, key) in order of arrival, event by event; an alert is
+    (key, event, count, first and last time of the fullest span that holds it)."""
     mark, held, alerts, dropped = None, {}, [], 0
     for t, key in events:
         if key is None:
@@ -22,13 +24,14 @@ def naive(events, w, n, allowed=0):
             dropped += 1
             continue
         mark = t if mark is None else max(mark, t)
-        own = held.setdefault(key, [])
-        own.append(t)
-        best = max(sum(a <= x <= a + w for x in own) for a in own if a <= t <= a + w)
-        if best >= n:
-            alerts.append(key)
-            held[key] = []
-    return len(alerts), dropped, set(alerts)
+        own = sorted([*held.get(key, []), t])
+        spans = [[x for x in own if a <= x <= a + w] for a in own if t - w <= a <= t]
+        best = max(spans, key=len)  # of equals the earliest
+        if len(best) >= n:
+            alerts.append((key, t, len(best), best[0], best[-1]))
+            own = []
+        held[key] = own
+    return alerts, dropped, sum(k is not None for _, k in events) - dropped
 
 
 def frame(spark, streams, w, n):
@@ -38,15 +41,23 @@ def frame(spark, streams, w, n):
 
 
 def check(spark, streams, w, n, allowed=0):
-    marked = detect.mark_late(frame(spark, streams, w, n), allowed * S, slice_us=7)
-    got = {r.run: r for r in detect.summary(marked, [n], allowed * S).collect()}
-    keys = {}
-    for r in detect.subjects(marked.where("NOT late"), [n]).collect():
-        keys.setdefault(r.run, set()).add(r.key)
-    for run, events in enumerate(streams):
-        alerts, dropped, known = naive(events, w, n, allowed)
-        if run in got:
-            assert (got[run].alerts, got[run].dropped_late, keys.get(run, set())) == (alerts, dropped, known), events
+    """Once with everything in one slice, once in many slices and with every key taken for hot."""
+    for width, most in ((None, 10**9), (7, 2)):
+        marked = detect.mark_late(frame(spark, streams, w, n), allowed * S, width=width).cache()
+        kept = marked.where("NOT late")
+        hot = detect.hot_keys(kept, "run", most=most)
+        got = {r.run: r for r in detect.summary(marked, [n], allowed * S, hot=hot).collect()}
+        keys, fired = {}, {}
+        for r in detect.subjects(kept, [n], hot).collect():
+            keys.setdefault(r.run, set()).add(r.key)
+        for r in detect.alerts(kept, allowed * S, hot=hot).collect():
+            fired.setdefault(r.run, []).append((r.key, r.fired_at // S, r["count"], r.window_start // S, r.window_end // S))
+        marked.unpersist()
+        for run, events in enumerate(streams):
+            alerts, dropped, accepted = naive(events, w, n, allowed)
+            if run in got:
+                assert (got[run].alerts, got[run].dropped_late, got[run].accepted, keys.get(run, set())) == (len(alerts), dropped, accepted, {a[0] for a in alerts}), events
+                assert sorted(fired.get(run, [])) == sorted(alerts), events
 
 
 def one(*times):
@@ -78,6 +89,10 @@ def test_guards(spark):
     for bad in ((0, 60), (3, 0)):
         with pytest.raises(ValueError):
             Rule("x", "o", "a", "pid", bad[1], bad[0])
+    with pytest.raises(Exception, match="no threshold 3"):
+        detect.subjects(frame(spark, [one(1, 2)], 60, 3), [4]).collect()
+    with pytest.raises(Exception, match="a buffer is 0 or more"):
+        reorder.buffered(frame(spark, [one(1)], 60, 3).withColumn("buffer", F.lit(-1).cast("long"))).collect()
     with pytest.raises(ValueError):
         detect.mark_late(frame(spark, [one(1)], 60, 3), -1)
 
@@ -95,14 +110,48 @@ def test_buffer_is_the_heap(spark):
                 out.append(heapq.heappop(heap))
         out += [heapq.heappop(heap) for _ in range(len(heap))]
         rows = spark.createDataFrame([(0, k, a, o, size) for k, (a, o, _) in enumerate(events)], "run int, seq bigint, arr bigint, occ bigint, buffer bigint")
-        got = reorder.released_order(reorder.buffered(rows)).orderBy("arr").collect()
-        assert [(r.occ, r.seq) for r in got] == out
+        for width in (None, 13, 400):
+            got = reorder.released_order(reorder.buffered(rows, width=width)).orderBy(*reorder.ORDER).collect()
+            assert [(r.occ, r.seq) for r in got] == out
+
+
+def test_order_across_slices(spark):
+    for times, plain, strict in (((1, 2, 2, 5), True, False), ((1, 2, 3, 5), True, True), ((1, 3, 2, 9), False, False), ((), None, None)):
+        rows = spark.createDataFrame([(0, 10 * k, k, t) for k, t in enumerate(times)], "run int, arr bigint, seq bigint, occ bigint")
+        for width in (None, 10, 20, 1000):
+            got = [reorder.in_order(rows, strictly=s, width=width).collect() for s in (False, True)]
+            assert [r[0].ordered if r else None for r in got] == [plain, strict]
+
+
+def test_running_values_across_slices(spark):
+    rng = random.Random(2)
+    rows = [(g, k, rng.randrange(-5, 6)) for g in "ab" for k in range(40)]
+    df = spark.createDataFrame(rows, "g string, k bigint, v bigint")
+    for width in (None, 1, 7, 100):
+        got = slicing.numbered(slicing.running(slicing.running(df, ["g"], ["k"], "k", F.sum, "v", "total", width), ["g"], ["k"], "k", F.max, "v", "top", width), ["g"], ["k"], "k", "place", width)
+        for r in slicing.previous(got, ["g"], ["k"], "k", "v", "last", width).collect():
+            own = [v for g, k, v in rows if g == r.g and k < r.k]
+            assert (r.total, r.top, r.last, r.place) == ((sum(own), max(own), own[-1], len(own) + 1) if own else (None, None, None, 1))
+
+
+def test_held_times_are_let_go():
+    """A key that never fires keeps what later spans can reach, and no more."""
+    held = []
+    assert detect.fold(held, list(range(0, 100_000, 10)), 25, 4) == [] and len(held) <= detect.HELD + 1
+    rng = random.Random(9)
+    times, w = [rng.randrange(0, 4000) + 3 * k for k in range(3000)], 40
+    kept, mark = [], None
+    for t in times:
+        if mark is None or t >= mark - w:
+            kept.append(t)
+            mark = t if mark is None else max(mark, t)
+    assert [x[0] for x in detect.fold([], kept, w, 5)] == [a[1] for a in naive([(t, "a") for t in kept], w, 5)[0]]
 
 
 def test_distortion_properties(spark):
     rows = spark.createDataFrame([("r", k, 100 * k * S, str(k % 3), 7 if k % 2 else 1, 60 * S, 3) for k in range(40)], "rule string, seq bigint, t bigint, key string, pid bigint, w bigint, n int")
     runs = distort.grid(spark, [Rule("r", "o", "a", "pid", 60, 3)], (0.2,), (5.0,), (0, 1))
-    chosen = distort.choose(distort.spread(rows, runs)).cache()
+    chosen = distort.chosen(distort.draws(rows, runs), runs).cache()
     picked = {}
     for r in chosen.where("chosen").collect():
         picked.setdefault((r.structure, r.seed), set()).add(r.seq)

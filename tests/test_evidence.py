@@ -7,14 +7,14 @@ from tidemark.sources import events as ev
 
 
 def test_deletion_count_is_exact():
-    assert (evidence.deletion_count(19, ".1"), evidence.deletion_count(100, ".29"), evidence.deletion_count(0, "1")) == (1, 29, 0)
-    for bad in ("NaN", "Infinity", "-0.1", "1.1"):
+    assert (evidence.deletion_count(70, "0.07"), evidence.deletion_count(300, "0.57"), evidence.deletion_count(0, "0.5")) == (4, 171, 0)
+    for bad in ("sNaN", "-Infinity", "-0.25", "1.01"):
         with pytest.raises(ValueError):
             evidence.deletion_count(10, bad)
     with pytest.raises(ValueError):
         evidence.deletion_count(-1, "0.1")
     with pytest.raises(ValueError):
-        evidence.bounds(10, 5, 5)
+        evidence.bounds(12, 7, 7)
 
 
 def test_masks_have_exact_sizes(spark):
@@ -71,7 +71,11 @@ def test_statistics(spark):
     assert rho["a"] == pytest.approx(1) and rho["b"] is None
     n, mean, sd, *_ = stats.summary("x")
     assert {r.k: r.sd for r in df.groupBy("k").agg(n, mean, sd).collect()}["b"] == 0.0
-    arms = spark.createDataFrame([("c", a, v) for a in ("t", "r") for v in (0.1, 0.2, 0.3)], "k string, arm string, v double")
+    big = spark.createDataFrame([("a", float(x % 37)) for x in range(500)] + [("b", 2.0), ("b", None)], "k string, x double")
+    whole, cut = (sorted(map(tuple, stats.index_quantiles(big, ["k"], "x", {"lo": 0.1, "hi": 0.9}, most=m).collect())) for m in (10**6, 20))
+    values = sorted(float(x % 37) for x in range(500))
+    assert whole == cut and cut[0] == ("a", 500, values.count(0.0), 0.0, values[int(0.1 * 499)], values[int(0.9 * 499)], 36.0) and cut[1][:2] == ("b", 1)
+    arms = spark.createDataFrame([("c", a, k, v) for a in ("t", "r") for k, v in enumerate((0.1, 0.2, 0.3))], "k string, arm string, seed int, v double")
     r = stats.bootstrap_difference(arms, ["k"], "arm", "t", "r", "v").first()
     assert r.difference == pytest.approx(0) and r.p025 < r.p05 < 0 < r.p95 < r.p975
 
@@ -81,3 +85,55 @@ def test_pins_and_compare(spark):
     pinned = spark.createDataFrame([("a", "1"), ("b", "x"), ("c", "3")], "name string, sha256 string")
     assert {r.name: r.status for r in integrity.verify_pins(found, pinned).collect()} == {"a": "ok", "b": "mismatch", "c": "missing"}
     assert tuple(integrity.compare(found, pinned, ["name"], ["sha256"]).first()) == (1, 0, 1)
+
+
+def test_masks_are_refused(spark):
+    rows = [(1, k, p) for k, p in enumerate((3, 5, 9))] + [(2, k, p) for k, p in enumerate((3, 3, 9))] + [(3, 0, 40)] + [(4, 0, 4)] + [(5, 0, 4)]
+    facts = [(k, evidence.MASK_TAG if k != 4 else "other", n, "x", "y" if k == 5 else "x") for k, n in ((1, 3), (2, 3), (3, 1), (4, 1), (5, 1), (6, 2))]
+    masks = spark.createDataFrame(rows, "run int, place bigint, pos bigint")
+    assert {r.run: r.reason for r in evidence.validate_mask(masks, 0, 20).collect()} == {2: "not sorted and unique", 3: "outside the selection"}
+    found = evidence.validate_mask(masks, 0, 20, spark.createDataFrame(facts, "run int, schema string, k bigint, source_sha256 string, input_sha256 string"))
+    assert {r.run: r.reason for r in found.collect()} == {2: "not sorted and unique", 3: "outside the selection", 4: "another schema", 5: "another input", 6: "another count"}
+
+
+def test_window_must_be_pure_if_asked(spark):
+    rows = spark.createDataFrame([(0, 5, None), (1, 12, 5), (2, 30, 12), (3, 14, 30)], "pos bigint, t bigint, before bigint")
+    r = evidence.window_positions(rows, 10, 20).first()
+    assert (r.in_window, r.order_violations, r.selection_start, r.selection_end) == (2, 1, 1, 4)
+    with pytest.raises(Exception, match="outside"):
+        evidence.window_positions(rows, 10, 20, pure=True).collect()
+
+
+def test_files_and_members(spark, tmp_path):
+    import gzip
+    import hashlib
+
+    raw = gzip.compress(b'{"id": "a"}\n{"id": "b"}\n')
+    (tmp_path / "m").mkdir()
+    (tmp_path / "m" / "one.json.gz").write_bytes(raw)
+    (r,) = integrity.file_hashes(spark, str(tmp_path / "m")).collect()
+    assert (r.size, r.sha256) == (len(raw), hashlib.sha256(raw).hexdigest())
+    r = integrity.stored_member(spark, str(tmp_path / "m/one.json.gz"), len(raw), ev.EVENT).first()
+    assert (r.sha256, r.events) == (hashlib.sha256(raw).hexdigest(), 2)
+    with pytest.raises(ValueError, match="size"):
+        integrity.stored_member(spark, str(tmp_path / "m/one.json.gz"), 7, ev.EVENT)
+    (tmp_path / "cut.json.gz").write_bytes(raw[:-9])
+    with pytest.raises(Exception):
+        integrity.stored_member(spark, str(tmp_path / "cut.json.gz"), len(raw) - 9, ev.EVENT).collect()
+
+
+def test_index_entries(spark):
+    schema = "name string, file_id string, data_offset bigint, size bigint"
+    one = ("x/host1.json.gz", "f", 512, 10)
+    assert integrity.select_member(spark.createDataFrame([one, one, ("x/host2.json.gz", "f", 1, 1)], schema), "host1.json.gz").count() == 1
+    for rows in ([one, ("x/host1.json.gz", "f", 1024, 10)], [("other", "f", 0, 1)]):
+        with pytest.raises(ValueError, match="one indexed member"):
+            integrity.select_member(spark.createDataFrame(rows, schema), "host1.json.gz")
+
+
+def test_artefacts_must_agree(spark):
+    a = spark.createDataFrame([("c", "1", 5)], "case string, sha string, start int")
+    assert integrity.same_facts(a, a, ["case"], ["sha", "start"]).count() == 1
+    for other, message in ((a.withColumn("start", F.lit(6)), "differ in start"), (a.where("false"), "missing")):
+        with pytest.raises(Exception, match=message):
+            integrity.same_facts(a, other, ["case"], ["sha", "start"]).collect()

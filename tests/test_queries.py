@@ -9,7 +9,7 @@ import pytest
 import __spark_entry__ as entry
 from tidemark.plans.queries import ORACLE, QUERIES
 
-SAMPLE = ["flt01_rule_projection", "flt05_window_positions", "str01_late_drop", "str03_alerts_in_order", "str05_detected_subjects", "str06_reorder_buffer", "dst01_exact_choice", "dst09_burst_delay", "swp01_ordering_sweep_keys", "agg16_evidence_measure", "agg08_spearman", "agg10_delay_shape"]
+SAMPLE = ["flt01_rule_projection", "flt05_window_positions", "str01_late_drop", "str03_alerts_in_order", "str05_detected_subjects", "str06_reorder_buffer", "dst01_exact_choice", "dst09_burst_delay", "swp01_ordering_sweep_keys", "agg16_evidence_measure", "agg08_spearman", "agg21_effect_rows", "str03_alert_rows", "str04_alerts_out_of_order", "hyp4_targeting_equivalence", "hyp5_staircase"]
 
 
 @pytest.fixture(scope="module")
@@ -44,4 +44,8 @@ def test_no_drops_within_the_window(spark, smoke):
     r = QUERIES["hyp0a_no_drops_inside"](spark, smoke).first()
     assert r.runs > 0 and r.violations == 0
     r = QUERIES["hyp0b_full_buffer_harmless"](spark, smoke).first()
-    assert r.runs > 0 and r.violations == 0
+    assert r.full > 0 and r.violations == 0
+
+
+def test_every_query_but_the_file_hash_has_sql():
+    assert set(QUERIES) - set(ORACLE) == {"int01_file_hash"}
