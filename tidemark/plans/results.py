@@ -36,31 +36,28 @@ def read_json(lines: DataFrame) -> DataFrame:
     """``lines`` (value: one JSON record a row) as records. A missing field, or a value of another kind
     (a boolean is no number, a number no string), is an error."""
     kinds = {"string": "STRING", "bigint": "BIGINT", "double": "BIGINT|DOUBLE|DECIMAL.*", "boolean": "BOOLEAN"}
-    record, out, bad = F.parse_json("value"), [], F.lit(None).cast("string")
+    record, out, bad = F.parse_json("value"), [], []
     for field, sql in FIELDS.items():
         kind = F.schema_of_variant(F.try_variant_get(record, f"$.{field}", "variant"))
         good = kind.rlike(f"^({kinds[sql]}{'|VOID' if field in NULLABLE else ''})$")
-        bad = F.coalesce(bad, F.when(kind.isNull(), F.lit(f"{field} is missing")).when(~good, F.lit(f"{field} is no {sql}")))
+        bad.append(F.when(kind.isNull(), F.lit(f"{field} is missing")).when(~good, F.lit(f"{field} is no {sql}")))
         out.append(F.try_variant_get(record, f"$.{field}", sql).alias(field))
     lines = lines.where("trim(value) <> ''")
-    refuse(lines, bad)
+    refuse(lines, F.coalesce(*bad))
     return lines.select(*out)
 
 
 def refuse(rows: DataFrame, reason: Column) -> None:
     """An error if a row has a reason. Asked at once: inside a plan, the optimiser may put such a
     check before the filters that it relies on."""
-    found = rows.select(reason.alias("r")).where("r IS NOT NULL").limit(1).collect()
+    found = rows.agg(F.min(reason)).first()[0]
     if found:
-        raise ValueError(f"run record: {found[0]['r']}")
+        raise ValueError(f"run record: {found}")
 
 
 def checked(records: DataFrame) -> DataFrame:
     """``records``; one that breaks a rule is an error."""
-    broken = F.lit(None).cast("string")
-    for name, rule in rules().items():
-        broken = F.coalesce(broken, F.when(~F.coalesce(rule, F.lit(False)), F.lit(name)))
-    refuse(records, broken)
+    refuse(records, F.coalesce(*[F.when(~F.coalesce(rule, F.lit(False)), F.lit(name)) for name, rule in rules().items()]))
     return records
 
 
