@@ -17,4 +17,23 @@ def test_stages_keep_the_columns(spark, smoke):
 
 
 def test_each_operator_has_a_query():
-    assert {int(k[2:].split("_")[0]) for k in queries.QUERIES} == set(range(1, 11))
+    assert {int(k[2:].split("_")[0]) for k in queries.QUERIES if k.startswith("op")} == set(range(1, 11))
+
+
+def test_stages_on_awkward_documents(spark, smoke):
+    """Null and empty texts, null ids and labels, repeated rows, columns that clash; and no rows at all."""
+    words = ["the cat and the dog were in the garden with a ball", "le chat et le chien sont dans le jardin avec une balle"]
+    rows = [(k, f"{words[k % 2]} number {k} of them all, here and there\n" * 2, ("en", "fr")[k % 2]) for k in range(30)]
+    rows += [rows[3], (90, None, "en"), (91, "", None), (None, words[0] + " once more", None), (93, "12 34", "fr")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").selectExpr("*", "1 AS row", "2 AS node", "3 AS score", "4 AS _lang", "length(text) AS n_chars")
+    stages = dict(corpus_pipeline.STAGES)
+    kept = stages["language_id"](spark, docs, smoke)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {*range(30), None}
+    unlabelled = docs.withColumn("lang", docs.lang.cast("string")).selectExpr(*[c if c != "lang" else "CAST(NULL AS STRING) AS lang" for c in docs.columns])
+    assert {r.doc_id for r in stages["language_id"](spark, unlabelled, smoke).collect()} == {*range(30), None}
+    for name in ("line_dedup", "near_dedup", "pii"):
+        for each in (docs, docs.where("false")):
+            out = stages[name](spark, each, smoke)
+            assert out.columns == docs.columns and out.count() <= each.count()
+    assert stages["language_id"](spark, docs.where("false"), smoke).count() == 0 and stages["packing"](spark, docs.where("false"), smoke).count() == 0
+    assert stages["packing"](spark, docs, smoke).select("doc_id").distinct().count() == len({r[0] for r in rows})
