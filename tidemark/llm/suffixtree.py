@@ -118,7 +118,8 @@ def flat(column: pa.ChunkedArray) -> tuple[pa.Array, np.ndarray]:
     return whole.flatten(), whole.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-DOCS = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("words", pa.list_(pa.int32()))])
+#: ``planes``, in the first row alone: the word numbers of all rows, byte by byte of significance.
+DOCS = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("size", pa.int64()), ("planes", pa.binary())])
 COUNTED = pa.schema([("kind", pa.string()), ("batch", pa.int64()), ("bucket", pa.int32()), ("docs", pa.binary()), ("words", pa.list_(pa.binary())), ("numbers", pa.list_(pa.int32())), ("grams", pa.list_(pa.int64())), ("n", pa.list_(pa.int64()))])
 COUNTED_SQL = "kind string, batch bigint, bucket int, docs binary, words array<binary>, numbers array<int>, grams array<bigint>, n array<bigint>"
 
@@ -175,8 +176,9 @@ class Batch:
                     g = g[keep]
                 self.grams.add(g << 1 | out)
         self.chars += sum(map(len, texts))
-        own = lists(np.concatenate([np.zeros(0, np.int32), *numbers]), np.fromiter(map(len, numbers), np.int64, len(numbers)))
-        return self.record("docs", 1, docs=packed(pa.Table.from_arrays([pa.array(ids, pa.int64()), pa.array(held, pa.bool_()), own], schema=DOCS)))
+        planes = np.concatenate(numbers).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+        columns = [ids, held, list(map(len, numbers)), [planes, *[None] * (len(ids) - 1)]]
+        return self.record("docs", 1, docs=packed(pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(columns, DOCS)], schema=DOCS)))
 
     def close(self) -> Iterator[pa.RecordBatch]:
         """The words by number, an array of words and one of grams for each bucket, and the counts
@@ -398,8 +400,9 @@ def scoring_task(tokens: int, kinds: int, depth: int):
         done = []
         for block in blocks.filter(pa.compute.invert(is_words)).column("docs"):
             docs = unpacked(block)
-            k, sizes = flat(docs.column("words"))
-            k = k.to_numpy()
+            sizes = docs.column("size").to_numpy()
+            planes = np.frombuffer(docs.column("planes")[0].as_py(), np.uint8).reshape(4, -1)
+            k = np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
             first = np.cumsum(sizes) - sizes
             line = np.insert(k, first, len(c))
             n = length[line]
