@@ -229,7 +229,7 @@ def test_training_matches_numpy_and_generalises(spark):
     w, b, v, u = np.zeros(1024), 0.0, np.zeros(1024), 0.0
     for _ in range(5):
         e = 1 / (1 + np.exp(-(x @ w + b))) - y
-        v, u = 0.9 * v - 4.0 * (x.T @ e / len(y) + 1e-4 * w), 0.9 * u - 0.4 * e.mean()
+        v, u = 0.9 * v - 6.0 * (x.T @ e / len(y) + 1e-4 * w), 0.9 * u - 0.6 * e.mean()
         w, b = w + v, b + u
     got, intercept = urlfilter.train(labelled, buckets=1024, steps=5)
     assert np.allclose(got, w) and abs(intercept - b) < 1e-9
