@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import exactdedup, fingerprint, langid, linededup, media, neardup, packing, pii, suffixtree, urlfilter, wfst
+from tidemark.llm import exactdedup, fingerprint, langid, linededup, media, neardup, packing, pii, search, spelling, suffixtree, urlfilter, wfst
 from tidemark.llm._scratch import documents
 
 QUERIES = {
@@ -17,6 +17,8 @@ QUERIES = {
     "op9_minhash_near_dedup": lambda spark, d: neardup.near_dup_report(documents(spark, d)),
     "op10_pii_pseudonyms": lambda spark, d: pii.pii_report(documents(spark, d)),
     "op11_fingerprints": lambda spark, d: fingerprint.fingerprints(documents(spark, d)),
+    "op12_ranked_search": lambda spark, d: search.search(spark.read.parquet(f"{d}/benchmark.parquet"), documents(spark, d)),
+    "op13_spelling_variants": lambda spark, d: spelling.spelling_variants(documents(spark, d)),
     "media_clips": lambda spark, d: media.clips(media.encode_column(documents(spark, d))),
     "source_fingerprints": lambda spark, d: fingerprint.source_fingerprints(documents(spark, d)),
     "url_rules": lambda spark, d: urlfilter.url_rules(spark.read.parquet(f"{d}/pages.parquet")),
@@ -26,6 +28,8 @@ ORACLE_SQL = {
     "op3_line_dedup": linededup.ORACLE_SQL,
     "op5_exact_dedup": exactdedup.ORACLE_SQL,
     "op11_fingerprints": fingerprint.ORACLE_SQL,
+    "op12_ranked_search": search.ORACLE_SQL,
+    "op13_spelling_variants": spelling.ORACLE_SQL,
     "source_fingerprints": fingerprint.SOURCES_SQL,
     "url_rules": urlfilter.RULES_SQL,
 }
