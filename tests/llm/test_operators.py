@@ -490,6 +490,35 @@ def test_language_id_learns_from_long_units(spark):
     assert all(r.lang_pred == ("ja" if r.doc_id % 2 else "zh") and r.score > 0.99 for r in langid.identify(test, model).collect())
 
 
+SCRIPTS = {"am": "ሀለሐመሠረሰሸቀበተኀነኘአከኸወዐዘየደጀገጠጨጰጸፀፈፐ", "jv": "ꦄꦆꦈꦌꦎꦏꦒꦔꦕꦗꦚꦛꦝꦟꦠꦢꦤꦥꦧꦩꦪꦫꦭꦮꦱꦲ", "got": "𐌰𐌱𐌲𐌳𐌴𐌵𐌶𐌷𐌸𐌹𐌺𐌻𐌼𐌽𐌾𐌿𐍀𐍂𐍃𐍄𐍅𐍆𐍇𐍈𐍉"}
+
+
+def test_scripts_outside_the_vocabulary(spark):
+    """Units of 10 to 160 bytes whose every byte has the least probability there is."""
+    m = wfst.Pieces(wfst.default_model())
+    p = np.full((m.size, 2), 1e-9)
+    size = np.array([len(x) for x in m.text])
+    for letters in SCRIPTS.values():
+        for n in (3, 10, 15, 20, 31, 36, 40):
+            unit = (letters * 2)[:n].encode()
+            log = langid.forward(m, [unit], p)[0]
+            assert np.isfinite(log).all() and np.allclose(log, langid.forward_long(m, unit, p))
+            counts = langid.expected_counts(m, [unit], np.array([2.0]), p[:, 0])
+            assert abs((counts * size).sum() - 2 * len(unit)) < 1e-6
+            assert np.allclose(counts, langid.expected_counts_long(m, unit, 2.0, p[:, 0]))
+    mixed = [" the".encode(), (SCRIPTS["am"][:30] + "international").encode(), b"x" * 160]
+    q = np.random.default_rng(8).uniform(1e-9, 1e-2, m.size)
+    together = langid.expected_counts(m, mixed, np.array([1.0, 2.0, 3.0]), q)
+    assert np.allclose(together, sum(langid.expected_counts_long(m, u, k, q) for k, u in enumerate(mixed, 1)))
+    rng = random.Random(1)
+    rows = [(k, " ".join("".join(rng.choice(s) for _ in range(rng.randrange(3, 40))) for _ in range(9)), lang) for k, (lang, s) in enumerate(list(SCRIPTS.items()) * 12)]
+    model = langid.learn(spark.createDataFrame([r for r in rows if r[0] < 24] + [(k, "der Hund und die Katze", "de") for k in range(90, 99)], "doc_id bigint, text string, lang string"))
+    got = langid.identify(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), model).collect()
+    assert all(r.lang_pred == r.lang and 0.99 < r.score <= 1 for r in got)
+    unseen = langid.learn(spark.createDataFrame([(1, "der Hund", "de"), (2, "the dog", "en")], "doc_id bigint, text string, lang string"))
+    assert all(0 <= r.score <= 1 for r in langid.identify(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), unseen).collect())
+
+
 # 9 near duplicates
 
 
@@ -628,3 +657,41 @@ def test_equal_values_stay_linked(spark, docs, none):
     assert a.split()[-1] == b.split()[1].rstrip(",") != "bob.42@mail8.example.com"
     assert all(x not in a + b for x in ("555-2485", "4041894974608795", "70.123.182.155"))
     assert pii.pii(docs).columns == docs.columns and pii.pii(docs).count() == len(AWKWARD) and pii.pii(none).count() == 0
+
+
+def test_each_place_is_replaced_once():
+    """Numbers inside an address belong to it, and what an address becomes is not looked at again."""
+    rng = random.Random(5)
+    for k in range(1000):
+        local = "".join(rng.choice("0123456789") for _ in range(16))
+        for text in (f"{local}@x.com", "555-123-4567@x.com", "+1 555-123-4567@x.com", f"70.1.2.{k % 250}@mail.org", f"see 2024-02-29, {local}@x.com; 1.2.1980"):
+            after, count = pii.pseudonymise(text, b"k")
+            local_at = text.split("@")[0].split(" ")[-1]
+            assert count == 1 + (", " in text) * 2
+            assert after.split("@")[0].split(" ")[-1] == pii.made(b"k", "email", local_at + "@" + text.split("@")[1].split(";")[0]).split("@")[0]
+
+
+@pytest.mark.parametrize("form", ["{d}.{m}.{y}", "{m}/{d}/{y}", "{d}/{m}/{y}"])
+def test_dates_are_permuted_within_their_format(form):
+    """All days of some years, written with and without leading zeros: different ones stay different,
+    each with as many digits in each field."""
+    from datetime import date, timedelta
+
+    seen: dict = {}
+    for n in range(0, 366 * 3):
+        x = date(1999, 1, 1) + timedelta(n)
+        for d in {str(x.day), f"{x.day:02d}"}:
+            for m in {str(x.month), f"{x.month:02d}"}:
+                text = form.format(d=d, m=m, y=x.year)
+                after, count = pii.pseudonymise(text, b"k")
+                shape = lambda t: [len(p) for p in t.replace("/", ".").split(".")]
+                assert count == 1 and shape(after) == shape(text)
+                assert seen.setdefault(after, text) == text
+
+
+def test_pipeline_ready_tables(spark):
+    """Null, empty and very long texts, no rows, and columns that clash."""
+    rows = [(1, None), (2, ""), (3, "call 988-555-2485 " * 20_000), (3, "call 988-555-2485 " * 20_000)]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string").withColumns({"_new": F.lit(1), "n": F.lit(2), "key": F.lit(3)})
+    got = {r.doc_id: (r.text, r.found) for r in pii.pii(table, count_col="found").collect()}
+    assert got[1] == (None, 0) and got[2] == ("", 0) and got[3][1] == 20_000 and "988-555-2485" not in got[3][0]

@@ -17,7 +17,7 @@ def test_stages_keep_the_columns(spark, smoke):
 
 
 def test_each_operator_has_a_query():
-    assert {int(k[2:].split("_")[0]) for k in queries.QUERIES if k.startswith("op")} == set(range(1, 11))
+    assert {int(k[2:].split("_")[0]) for k in queries.QUERIES if k.startswith("op")} == set(range(1, 14))
 
 
 def test_stages_on_awkward_documents(spark, smoke):
@@ -37,3 +37,11 @@ def test_stages_on_awkward_documents(spark, smoke):
             assert out.columns == docs.columns and out.count() <= each.count()
     assert stages["language_id"](spark, docs.where("false"), smoke).count() == 0 and stages["packing"](spark, docs.where("false"), smoke).count() == 0
     assert stages["packing"](spark, docs, smoke).select("doc_id").distinct().count() == len({r[0] for r in rows})
+
+
+def test_language_stage_keeps_scripts_outside_the_vocabulary(spark, smoke):
+    am = "ሰላም ለኪ ኢትዮጵያ ሀገራችን መሬትናሰማይእንደጨረቃናፀሐይብርሃን"
+    rows = [(k, f"der Hund und die Katze im Garten {k}", "de") for k in range(30)] + [(k, f"{am} {k}", "am") for k in range(30, 60)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    kept = dict(corpus_pipeline.STAGES)["language_id"](spark, docs, smoke)
+    assert {r.doc_id for r in kept.collect()} == set(range(60))

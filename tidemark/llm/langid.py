@@ -9,7 +9,8 @@ of labelled rows.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; a null language is not learned from;
 without any labelled row every text is ``und``; a null id counts as not held out; repeated rows are
-treated one by one; an empty table yields no rows; other columns are never read.
+treated one by one; scripts outside the vocabulary are scored byte by byte; more than MAX_LANGUAGES
+languages are refused with an error; an empty table yields no rows; other columns are never read.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ SAMPLE_ROWS = 1500
 ROUNDS, SMOOTHING, CACHE_UNITS = 2, 0.05, 300_000
 #: Numbers that the forward algorithm holds at a time: bytes of units times languages.
 CELLS = 1_000_000
+#: Bytes after which sums are scaled anew: a byte's share is 1e-9 at least.
+RESCALE = 8
 #: Languages that are told apart: the model has a column for each.
 MAX_LANGUAGES = 400
 
@@ -41,17 +44,21 @@ def held_out(id_: Column, folds: int, fold: int) -> Column:
 
 
 def forward(m, units: list[bytes], probability: np.ndarray) -> np.ndarray:
-    """(units, languages) log probabilities."""
+    """(units, languages) log probabilities. Sums are scaled anew every RESCALE bytes, so that no unit
+    is too unlikely for a double."""
     out = np.empty((len(units), probability.shape[1]))
     for block in blocks(units, max(1, CELLS // probability.shape[1])):
         order, lengths, codes = side_by_side([units[k] for k in block])
         alpha = np.zeros((len(block), codes.shape[1] + 1, probability.shape[1]))
         alpha[:, 0] = 1
+        total, at = np.zeros((len(block), probability.shape[1])), 0
         for p, q, rows, piece in arcs(m, codes, lengths):
+            if p >= at + RESCALE:  # all arcs to this place are in
+                own, at = alpha[: len(rows), p], p
+                total[: len(rows)] += np.log(own)
+                alpha[: len(rows), p : p + m.depth + 1] /= own[:, None].copy()
             alpha[rows, q] += alpha[rows, p] * probability[piece]
-        with np.errstate(divide="ignore"):
-            total = np.log(alpha[np.arange(len(block)), lengths])
-        out[np.array(block)[order]] = total
+        out[np.array(block)[order]] = total + np.log(alpha[np.arange(len(block)), lengths])
     for k, u in enumerate(units):
         if len(u) > WIDEST:
             out[k] = forward_long(m, u, probability)
@@ -81,22 +88,38 @@ def forward_long(m, unit: bytes, probability: np.ndarray) -> np.ndarray:
 
 
 def expected_counts(m, units: list[bytes], weights: np.ndarray, probability: np.ndarray) -> np.ndarray:
-    """Expected uses of each piece in short units under one language, each unit ``weights`` times."""
+    """Expected uses of each piece in short units under one language, each unit ``weights`` times.
+    Forward and backward sums are scaled to 1 at every place, and the scales kept as logarithms."""
     order, lengths, codes = side_by_side(units)
-    n = len(units)
-    alpha, beta = np.zeros((n, codes.shape[1] + 1)), np.zeros((n, codes.shape[1] + 1))
-    alpha[:, 0], beta[np.arange(n), lengths] = 1, 1
-    steps = []
+    n, width = len(units), codes.shape[1] + 1
+    alpha, log_alpha, total = np.zeros((n, width)), np.zeros((n, width)), np.zeros(n)
+    alpha[:, 0] = 1
+    steps, at = [], -1
     for p, q, rows, piece in arcs(m, codes, lengths):
+        if p > at:
+            own, at = alpha[: len(rows), p].copy(), p
+            total[: len(rows)] += np.log(own)
+            log_alpha[: len(rows), p] = total[: len(rows)]
+            alpha[: len(rows), p : p + m.depth + 1] /= own[:, None]
         alpha[rows, q] += alpha[rows, p] * probability[piece]
         steps.append((p, q, rows, piece))
-    z = alpha[np.arange(n), lengths]
-    w = np.where(z > 0, weights[order] / np.where(z > 0, z, 1), 0)
-    counts = np.zeros(len(probability))
-    for p, q, rows, piece in reversed(steps):
-        on = probability[piece] * beta[rows, q]
-        beta[rows, p] += on
-        counts += np.bincount(piece, weights=alpha[rows, p] * on * w[rows], minlength=len(counts))
+    log_z = total + np.log(alpha[np.arange(n), lengths])
+    beta, total, w = np.zeros((n, width)), np.zeros(n), weights[order]
+    beta[np.arange(n), lengths] = 1
+    counts, k = np.zeros(len(probability)), len(steps)
+    while k:  # the arcs of one place together, last place first
+        p, first = steps[k - 1][0], k
+        while first and steps[first - 1][0] == p:
+            first -= 1
+        for _, q, rows, piece in steps[first:k]:
+            on = probability[piece] * beta[rows, q]
+            beta[rows, p] += on
+            counts += np.bincount(piece, weights=w[rows] * np.exp(log_alpha[rows, p] + total[rows] - log_z[rows]) * on, minlength=len(counts))
+        live = int(np.searchsorted(-lengths, -p, "left"))
+        own = beta[:live, p].copy()
+        total[:live] += np.log(own)
+        beta[:live, p : p + m.depth + 1] /= own[:, None]
+        k = first
     return counts
 
 

@@ -1,10 +1,10 @@
 """Near-duplicate documents by improved consistent weighted sampling over TF-IDF shingles.
 
 A document is the weighted set of its five-word shingles: term frequency times inverse document
-frequency, 1 - ln(share of the documents that have it). Shares are counted over all documents in a
-fixed number of hash counters, less what an average shingle finds there by collision, so the table
-that tasks share never grows; below RARE_SHARE, where such counters cannot tell shares apart, all
-weigh the same. A weight thus depends on shares alone, at any size of the corpus. Each document gets K consistent
+frequency, 1 - ln(share of the documents that have it). Shares are counted over all documents in
+2^22 hash counters, less what an average shingle finds there by collision, so the table that tasks
+share never grows; below RARE_SHARE (one document in 8192), where such counters cannot tell shares apart in a
+large corpus, all weigh the same. A weight thus depends on shares alone, at any size of the corpus. Each document gets K consistent
 weighted samples (Ioffe 2010), grouped to bands; documents that share a band are candidates, and a
 pair is linked if its exact weighted Jaccard similarity is at least 0.8. Classes are the connected
 components of the links.
@@ -13,7 +13,7 @@ Every pair that shares a band is looked at, unless its rows are in one component
 there early, each bucket first compares its members with a few of them, the most central (whose
 buckets are largest in sum: in a family of edited copies that is the original), for a few rounds.
 In every bucket that still holds more than one component, all pairs of the rest then meet in blocks
-of bounded size. That part grows with the square of such a bucket.
+of a bounded number of members and of their shingles. That part grows with the square of such a bucket.
 
 Equal texts are one node of the graph from the start, however many rows have them.
 
@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from functools import lru_cache
 
 import numpy as np
@@ -39,7 +40,9 @@ from tidemark.llm._scratch import col, cut, fresh, kept, released
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 12, 4
 #: Counters of document frequencies, and the share of all documents below which a shingle is just rare.
-DF_BITS, RARE_SHARE = 16, 0.005
+DF_BITS, RARE_SHARE = 22, 2.0**-13
+#: Counters that travel together.
+DF_BLOCK = 1 << 16
 #: A candidate pair whose samples agree in less than this share is not looked at further: at a
 #: similarity of 0.8 that is 4.2 standard deviations away.
 LEAST_AGREEMENT = 0.56
@@ -48,6 +51,8 @@ CHUNK_CHARS, CACHE_WORDS, BLOCK = 1_000_000, 300_000, 1024
 LEADERS = 4
 #: Rounds of leaders before all pairs of the rest meet, and members of a bucket in a block of the rest.
 LEADER_ROUNDS, BLOCK_ROWS = 4, 256
+#: Distinct shingles of the members of a block together, so that long texts come in smaller blocks.
+BLOCK_SHINGLES = 1_000_000
 #: A node is hot if it holds more than this share of all rows; there are fewer than 1 / HOT_SHARE.
 HOT_SHARE = 1 / 1000
 
@@ -183,42 +188,64 @@ def text_chunks(batch: pa.RecordBatch):
 
 
 def document_frequencies(rows: DataFrame) -> tuple[np.ndarray, int]:
-    """Sums of the document frequencies of the shingles by bucket, and the number of documents;
-    2^16 numbers reach the driver."""
+    """Sums of the document frequencies of the shingles by bucket, and the number of documents. Each
+    task sends its counters as compressed blocks, and blocks are summed where they meet; 2^22 numbers reach the driver."""
     def run(batches):
-        df, n = np.zeros(1 << DF_BITS, np.int64), 0
+        df, n = np.zeros(1 << DF_BITS, np.int32), 0
         for batch in batches:
             for _, texts in text_chunks(batch):
-                df += np.bincount(buckets(shingles(texts)[0]), minlength=1 << DF_BITS)
+                np.add.at(df, buckets(shingles(texts)[0]), 1)
                 n += len(texts)
-        at = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1), pa.int32()), pa.array(np.append(df[at], n), pa.int64())], names=["bucket", "n"])
+        blocks = df.reshape(-1, DF_BLOCK)
+        some = np.flatnonzero(blocks.any(axis=1)).tolist()
+        packed = [zlib.compress(blocks[k].tobytes(), 1) for k in some]
+        yield pa.RecordBatch.from_arrays([pa.array([-1, *some], pa.int32()), pa.array([n.to_bytes(8, "little"), *packed], pa.binary())], names=["block", "counts"])
 
-    counts = rows.select("text").mapInArrow(lambda batches: released(run(batches)), "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
-    df = np.zeros(1 << DF_BITS, np.int64)
-    own = counts[counts["bucket"] >= 0]
-    df[own["bucket"]] = own["n"]
-    return df, int(counts.loc[counts["bucket"] < 0, "n"].sum())
-
-
-def signatures(rows: DataFrame, idf: np.ndarray, k: int) -> DataFrame:
-    """(id, row, node, sig): node is a digest of the text, null for a text without words."""
+    def add(batches):
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, counts in zip(batch.column(0).to_pylist(), batch.column(1)):
+                raw = counts.as_py()
+                own = np.frombuffer(raw, np.int64) if block < 0 else np.frombuffer(zlib.decompress(raw), np.int32)
+                total[block] = total.get(block, 0) + own.astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["block", "counts"])
+
+    form = "block int, counts binary"
+    counts = rows.select("text").mapInArrow(lambda batches: released(run(batches)), form).repartition("block").mapInArrow(lambda batches: released(add(batches)), form)
+    df, n = np.zeros((1 << DF_BITS) // DF_BLOCK * DF_BLOCK, np.int64), 0
+    for block, raw in counts.collect():  # one row for each block
+        own = np.frombuffer(raw, np.int64)
+        if block < 0:
+            n = int(own[0])
+        else:
+            df[block * DF_BLOCK : (block + 1) * DF_BLOCK] = own
+    return df, n
+
+
+def table_of(idf) -> np.ndarray:
+    """The weights, of an array or of what was sent to all tasks once."""
+    return idf if isinstance(idf, np.ndarray) else idf.value
+
+
+def signatures(rows: DataFrame, idf, k: int) -> DataFrame:
+    """(id, row, node, size, sig): node is a digest of the text, null for a text without words; size is
+    the number of its shingles."""
     def run(batches):
         for batch in batches:
             for part, texts in text_chunks(batch):
                 h, c, bounds = shingles(texts)
-                sig = samples(h, (c * idf[buckets(h)]).astype(np.float32), bounds, k).view(np.int32)
+                sig = samples(h, (c * table_of(idf)[buckets(h)]).astype(np.float32), bounds, k).view(np.int32)
                 some = np.diff(bounds) > 0
                 nodes = [hashlib.md5(t.encode()).digest() if s else None for t, s in zip(texts, some)]
                 sigs = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * k), pa.array(sig.ravel()))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(nodes, pa.binary()), sigs], names=["id", "row", "node", "sig"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(nodes, pa.binary()), pa.array(np.diff(bounds), pa.int32()), sigs], names=["id", "row", "node", "size", "sig"])
 
-    return rows.select("id", "row", "text").mapInArrow(lambda batches: released(run(batches)), "id bigint, row bigint, node binary, sig array<int>")
+    return rows.select("id", "row", "text").mapInArrow(lambda batches: released(run(batches)), "id bigint, row bigint, node binary, size int, sig array<int>")
 
 
-def weighted_jaccard(texts: list[str], idf: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+def weighted_jaccard(texts: list[str], idf) -> list[tuple[np.ndarray, np.ndarray]]:
     h, c, bounds = shingles(texts)
-    w = c * idf[buckets(h)].astype(np.float64)
+    w = c * table_of(idf)[buckets(h)].astype(np.float64)
     return [(h[a:b], w[a:b]) for a, b in zip(bounds, bounds[1:])]
 
 
@@ -228,7 +255,7 @@ def similarity(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray
     return float(both / (x[1].sum() + y[1].sum() - both)) if len(x[0]) and len(y[0]) else 0.0
 
 
-def verified(pairs: DataFrame, idf: np.ndarray, least: float) -> DataFrame:
+def verified(pairs: DataFrame, idf, least: float) -> DataFrame:
     """(a, b, similarity) of the pairs (a, b, text_a, text_b) at ``least`` or above."""
     def run(batches):
         for batch in batches:
@@ -324,12 +351,13 @@ def candidates(part: pa.Table, bands: int, rows: int) -> tuple[np.ndarray, np.nd
     return np.concatenate(none + xs), np.concatenate(none + ys), label
 
 
-def rest_links(entries: DataFrame, nodes: DataFrame, keys: Column, texts: DataFrame, idf: np.ndarray, least: float, bands: int, rows: int) -> DataFrame:
+def rest_links(entries: DataFrame, nodes: DataFrame, keys: Column, texts: DataFrame, idf, least: float, bands: int, rows: int) -> DataFrame:
     """(a, b, similarity) between different components of the entries (key, node, label): links that
     join all that any pair of a bucket joins. A bucket is cut to blocks of its members, and each two
     blocks meet in a group of their own, so that no task holds a bucket."""
-    many = entries.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo <> hi")
-    many = many.select("key", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("parts"))
+    many = entries.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n"), F.sum("size").alias("size")).where("lo <> hi")
+    parts = F.greatest(F.ceil(F.col("n") / BLOCK_ROWS), F.ceil(F.col("size") / BLOCK_SHINGLES)).cast("int")
+    many = many.select("key", parts.alias("parts"))
     own = F.pmod(F.xxhash64(F.lit("block"), "node"), F.col("parts")).cast("int")
     rest = entries.select("key", "node", "label").join(many, "key").withColumn("own", own)
     rest = rest.join(nodes.select("node", "sig").hint("merge"), "node").withColumn("band", (F.array_position(keys, F.col("key")) - 1).cast("int"))
@@ -367,11 +395,12 @@ def rest_links(entries: DataFrame, nodes: DataFrame, keys: Column, texts: DataFr
     return cut(near.repartition(*place).sortWithinPartitions(*place).mapInArrow(verify, "a binary, b binary, similarity double"), "links")
 
 
-def links_of(nodes: DataFrame, texts: DataFrame, idf: np.ndarray, least: float, bands: int, rows: int) -> DataFrame | None:
+def links_of(nodes: DataFrame, texts: DataFrame, idf, least: float, bands: int, rows: int) -> DataFrame | None:
     """(node, label) of the nodes (node, sig) that have links; nothing if none have."""
     keys = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(i, F.slice("sig", i * rows + 1, rows)))
     # the joins of tables that grow with the corpus are sort-merge joins at every size
-    entries = cut(nodes.select("node", F.explode(keys).alias("key")), "entries")
+    nodes = nodes if "size" in nodes.columns else nodes.withColumn("size", F.lit(1))
+    entries = cut(nodes.select("node", "size", F.explode(keys).alias("key")), "entries")
     size = entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     shared = cut(entries.join(cut(size, "sizes").hint("merge"), "key"), "shared")
     central = cut(shared.groupBy("node").agg(F.sum("n").alias("central")), "central")
@@ -380,7 +409,7 @@ def links_of(nodes: DataFrame, texts: DataFrame, idf: np.ndarray, least: float,
     # to compare samples, eight bits of each are enough
     bits = nodes.select("node", F.transform("sig", lambda x: F.shiftright(x, 24).cast("tinyint")).alias("bits"))
     central = central.join(bits.where(may_be_in(central)), "node")
-    entries = cut(shared.select("key", "node").join(central, "node"), "entries")
+    entries = cut(shared.select("key", "node", "size").join(central, "node"), "entries")
     # one of equal texts is enough, and all but one go before the shuffle
     texts = texts.where(may_be_in(shared)).dropDuplicates(["node"])
     texts = cut(texts.join(shared.select("node").distinct().hint("merge"), "node", "left_semi"), "texts")
@@ -403,7 +432,7 @@ def links_of(nodes: DataFrame, texts: DataFrame, idf: np.ndarray, least: float,
         # who has led has met the whole bucket
         rest = entries.drop("label").join(lead.select("key").distinct(), "key", "left_semi").join(lead.select("key", F.col("lead").alias("node")), ["key", "node"], "left_anti")
         rest = rest.withColumn("label", F.col("node")) if labels is None else rest.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        entries = cut(rest.select("key", "node", "bits", "central", "label"), "rest")
+        entries = cut(rest.select("key", "node", "size", "bits", "central", "label"), "rest")
         if not found:
             break
     links = rest_links(entries, nodes, keys, texts, idf, least, bands, rows)
@@ -414,13 +443,13 @@ def classes(rows: DataFrame, least: float = SIMILARITY, bands: int = BANDS, band
     """(id, row, class_id, class_rows, kept) of the rows (id, row, text), which must be a table:
     the least id of the class, its number of rows, and whether this row is the one that stays."""
     df, n = document_frequencies(rows)
-    idf = idf_table(df, n)
+    idf = rows.sparkSession.sparkContext.broadcast(idf_table(df, n))  # 2^22 numbers at any size
     signed = cut(signatures(rows, idf, bands * band_rows), "signatures")
     worded = signed.where("node IS NOT NULL")
-    own = worded.groupBy("node").agg(F.min(F.struct("id", "row")).alias("top"), F.count("*").alias("n"), F.first("sig").alias("sig"))
+    own = worded.groupBy("node").agg(F.min(F.struct("id", "row")).alias("top"), F.count("*").alias("n"), F.first("sig").alias("sig"), F.first("size").alias("size"))
     nodes = cut(own, "nodes")
     texts = rows.select(F.unhex(F.md5(F.col("text").cast("binary"))).alias("node"), "text")
-    labels = links_of(nodes.select("node", "sig"), texts, idf, least, bands, band_rows)
+    labels = links_of(nodes.select("node", "sig", "size"), texts, idf, least, bands, band_rows)
     if labels is None:
         labelled = nodes.select("node", F.col("node").alias("label"), "top", "n")
     else:

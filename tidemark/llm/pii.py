@@ -5,7 +5,8 @@ permutes the numbers of the format, walking on until it lands inside. It is a pe
 values get equal pseudonyms in all documents and different values stay different. Recognised:
 payment cards (Luhn), phone numbers, IPv4 addresses, US social security numbers, IBANs (mod 97),
 dates from 1900 to 2099, and the local part of e-mail addresses. What doesn't validate is left alone.
-A phone number gets the same digits however it is grouped.
+A phone number gets the same digits however it is grouped; a date keeps the number of digits of its day
+and month. Each place of a text is replaced once: numbers inside an address belong to it.
 
 Defined results: a null text stays null; an empty text stays empty; equal texts get equal results;
 an empty table yields no rows; other columns pass through untouched.
@@ -15,8 +16,10 @@ from __future__ import annotations
 
 import hashlib
 import re
-from datetime import date
+from bisect import bisect_left
 from collections.abc import Iterator
+from datetime import date
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -159,36 +162,47 @@ def iban(key: bytes, text: str) -> str | None:
     return "".join(c if c == " " else next(new) for c in text)
 
 
-def day(key: bytes, y: int, m: int, d: int) -> date | None:
+@lru_cache(maxsize=16)
+def days_of(day_width: int, month_width: int, day_above: int) -> list[int]:
+    """The days that can be written so: one digit holds no more than 9."""
+    fits = lambda d: (day_width == 2 or d.day <= 9) and (month_width == 2 or d.month <= 9) and d.day > day_above
+    return [n for n in range(DAYS) if fits(date.fromordinal(FIRST_DAY + n))]
+
+
+def day(key: bytes, y: str, m: str, d: str, above: int = 0) -> tuple[str, str, str] | None:
+    """The day that this one is permuted to among those of the same format, as (year, month, day)
+    with as many digits each."""
     try:
-        n = date(y, m, d).toordinal() - FIRST_DAY
+        n = date(int(y), int(m), int(d)).toordinal() - FIRST_DAY
     except ValueError:
         return None
-    return date.fromordinal(FIRST_DAY + permute(key, "day", n, DAYS)) if 0 <= n < DAYS else None
+    of = days_of(len(d), len(m), above)
+    at = bisect_left(of, n)
+    if not 0 <= n < DAYS or at == len(of) or of[at] != n:
+        return None
+    whole = len(of) == DAYS
+    new = date.fromordinal(FIRST_DAY + of[permute(key, "day" if whole else f"day{len(d)}{len(m)}{above}", at, len(of))])
+    return f"{new.year:04d}", f"{new.month:0{len(m)}d}", f"{new.day:0{len(d)}d}"
 
 
 def iso(key: bytes, text: str) -> str | None:
-    new = day(key, *map(int, text.split("-")))
-    return new and new.isoformat()
-
-
-def _padded(new: date, order: str, sep: str) -> str:
-    """Two digits, as pseudonyms of one and of two digits must not meet."""
-    return sep.join(f"{getattr(new, n):02d}" for n in order.split()) + sep + f"{new.year:04d}"
+    new = day(key, *text.split("-"))
+    return new and "-".join(new)
 
 
 def dmy(key: bytes, text: str) -> str | None:
     d, m, y = text.split(".")
-    new = day(key, int(y), int(m), int(d))
-    return new and _padded(new, "day month", ".")
+    new = day(key, y, m, d)
+    return new and ".".join(new[::-1])
 
 
 def mdy(key: bytes, text: str) -> str | None:
+    """Month first; day first only where the day is no month, and among such days."""
     a, b, y = text.split("/")
-    if new := day(key, int(y), int(a), int(b)):
-        return _padded(new, "month day", "/")
-    new = day(key, int(y), int(b), int(a))
-    return new and _padded(new, "day month", "/")
+    if new := day(key, y, a, b):
+        return "/".join((new[1], new[2], new[0]))
+    new = day(key, y, b, a, above=12)
+    return new and "/".join(new[::-1])
 
 
 KINDS = {"card": card, "phone": phone, "ip": ip, "ssn": ssn, "iban": iban, "iso": iso, "dmy": dmy, "mdy": mdy}
@@ -221,11 +235,17 @@ def pseudonymise(text: str, key: bytes = DEFAULT_KEY) -> tuple[str, int]:
         count += new is not None
         return value if new is None else new
 
-    if "@" in text:
-        text = EMAIL.sub(lambda m: swap("email", m[0]), text)
-    if LIKELY.search(text):
-        text = NUMBER.sub(lambda m: swap(next(k for k in (*KINDS,) if m[k]), m[0]), text)
-    return text, count
+    emails = [m.span() for m in EMAIL.finditer(text)] if "@" in text else []
+    if not emails and not LIKELY.search(text):
+        return text, 0
+    out, at = [], 0
+    for a, b in [*emails, (len(text), len(text))]:
+        for m in NUMBER.finditer(text, at, a):  # between addresses; what stands before ``at`` is still seen
+            out += [text[at : m.start()], swap(next(k for k in (*KINDS,) if m[k]), m[0])]
+            at = m.end()
+        out += [text[at:a], swap("email", text[a:b]) if b > a else ""]
+        at = b
+    return "".join(out), count
 
 
 def pii(docs: DataFrame, text_col: str = "text", key: bytes = DEFAULT_KEY, count_col: str | None = None) -> DataFrame:
