@@ -27,20 +27,26 @@ def test_masks_have_exact_sizes(spark):
             assert got[m.run].span == m.k and got[m.run].lo >= 0 and got[m.run].hi <= 1000
 
 
-@pytest.mark.parametrize(
-    "labelled, gone, expected",
-    [
-        ([(10, 1, False), (20, 1, False), (30, 2, False), (40, 2, False)], [20, 40], (4, 2, 2, 0, 0, 0)),
-        ([(10, 1, False), (11, 1, False), (20, 2, False), (21, 2, False)], [10, 11, 20], (4, 3, 2, 1, 0, 0)),
-        ([(10, 1, True), (20, 2, False), (30, 3, True)], [10, 20], (3, 2, 3, 2, 2, 1)),
-        ([(1, None, False), (2, 5, False)], [1, 2], (2, 2, 1, 1, 0, 0)),
-    ],
-)
-def test_measure(spark, labelled, gone, expected):
-    mask = spark.createDataFrame([(0, ".1", "random", 0, 100, len(gone))], evidence.MASKS)
-    r = evidence.measure(spark.createDataFrame(labelled, "pos bigint, pid bigint, is_create boolean"), spark.createDataFrame([(0, p) for p in gone], "run int, pos bigint"), mask).first()
-    assert (r.events, r.events_deleted, r.processes, r.silenced, r.creates, r.creates_deleted) == expected
-    assert (r.create_rate is None) == (expected[4] == 0)
+def test_measure_against_a_plain_model(spark):
+    """Drawn events of several processes (some unknown) under drawn masks, some of which take nothing or all."""
+    import random
+
+    rng = random.Random(21)
+    events = [(p, rng.choice([None, *range(6)]), rng.random() < 0.3) for p in sorted(rng.sample(range(500), 60))]
+    none_created = [(p, pid, False) for p, pid, _ in events]
+    gone = {run: set(rng.sample([p for p, _, _ in events], k)) | set(rng.sample(range(500), 9)) for run, k in enumerate((0, 5, 30, 55, 60))}
+    mask = spark.createDataFrame([(run, ".1", "random", run, 500, len(x)) for run, x in gone.items()], evidence.MASKS)
+    taken = spark.createDataFrame([(run, p) for run, x in gone.items() for p in x], "run int, pos bigint")
+    for rows in (events, none_created):
+        got = {r.run: r for r in evidence.measure(spark.createDataFrame(rows, "pos bigint, pid bigint, is_create boolean"), taken, mask).collect()}
+        for run, x in gone.items():
+            whole = {pid: all(p in x for p, q, _ in rows if q == pid) for _, pid, _ in rows if pid is not None}
+            creates = [p for p, _, create in rows if create]
+            counts = (len(rows), sum(p in x for p, _, _ in rows), len(whole), sum(whole.values()), len(creates), sum(p in x for p in creates))
+            r = got[run]
+            assert (r.events, r.events_deleted, r.processes, r.silenced, r.creates, r.creates_deleted) == counts
+            rates = [None if not of else n / of for of, n in zip(counts[::2], counts[1::2])]
+            assert [r.event_rate, r.silenced_rate, r.create_rate] == [None if v is None else pytest.approx(v) for v in rates]
 
 
 def test_node_scores(spark):
@@ -75,6 +81,16 @@ def test_statistics(spark):
     whole, cut = (sorted(map(tuple, stats.index_quantiles(big, ["k"], "x", {"lo": 0.1, "hi": 0.9}, most=m).collect())) for m in (10**6, 20))
     values = sorted(float(x % 37) for x in range(500))
     assert whole == cut and cut[0] == ("a", 500, values.count(0.0), 0.0, values[int(0.1 * 499)], values[int(0.9 * 499)], 36.0) and cut[1][:2] == ("b", 1)
+    drawn = [("a", float(x * 7 % 11), float(x % 5)) for x in range(400)] + [("b", 1.0, None), ("c", 1.0, 2.0), ("c", 1.0, 3.0)]
+    frame = spark.createDataFrame(drawn, "k string, x double, y double")
+    import pandas as pd
+
+    own = pd.DataFrame([r[1:] for r in drawn[:400]])
+    for m in (10**6, 4):
+        rho = {r.k: (r.n, r.rho) for r in stats.spearman(frame, ["k"], "x", "y", m).collect()}
+        assert rho["a"][0] == 400 and rho["a"][1] == pytest.approx(own[0].rank().corr(own[1].rank())) and rho["c"] == (2, None) and "b" not in rho
+        got = {r.k: (r.n, r.lo, r.mid) for r in stats.quantiles(frame, ["k"], "x", {"lo": 0.123, "mid": 0.5}, m).collect()}
+        assert got["a"] == (400, pytest.approx(own[0].quantile(0.123)), pytest.approx(own[0].quantile(0.5))) and got["b"] == (1, 1.0, 1.0)
     arms = spark.createDataFrame([("c", a, k, v) for a in ("t", "r") for k, v in enumerate((0.1, 0.2, 0.3))], "k string, arm string, seed int, v double")
     r = stats.bootstrap_difference(arms, ["k"], "arm", "t", "r", "v").first()
     assert r.difference == pytest.approx(0) and r.p025 < r.p05 < 0 < r.p95 < r.p975

@@ -12,10 +12,14 @@ from tidemark.sources import sinks
 from tidemark.sources.cases import CaseSource, subset
 
 
+#: What a column of each kind holds where a test does not care.
+ANY = {"string": "-", "bigint": 1, "double": 0.25, "boolean": True}
+
+
 def record(pattern="random", seed=1, rate="0.10", found=8, total=10, status="completed", case="a", **other):
-    """As the runner writes them; a baseline has no seed."""
-    made = {f: "x" for f, kind in results.FIELDS.items() if kind == "string"} | {"selection_start": 0, "selection_end": 5, "deleted_count": 1, "threshold": 0.5}
-    return made | {"case": case, "pattern": pattern, "seed": seed, "requested_rate": rate, "exit_status": status, "detected_label_nodes": found, "total_label_nodes": total, "case_detected": found > 0, "run_id": f"{case}{pattern}{seed}{rate}"} | other
+    """A record with a value of the right kind in every field, and these in those that count."""
+    drawn = {"pattern": pattern, "seed": seed, "requested_rate": rate, "detected_label_nodes": found, "total_label_nodes": total, "case_detected": found > 0, "exit_status": status, "case": case}
+    return {field: drawn.get(field, ANY[kind]) for field, kind in results.FIELDS.items()} | other
 
 
 def table(spark, records):
@@ -71,6 +75,37 @@ def test_sinks_keep_what_is_there(spark, tmp_path):
         sinks.write_manifest(spark, path, "run", records=4)
 
 
+def test_shards_resume(spark, tmp_path):
+    """One shard is killed; the next call runs it alone and sums what all have cost."""
+    path, ran = str(tmp_path / "run"), []
+
+    def shard(name, rows, broken=()):
+        def make():
+            ran.append(name)
+            out = spark.range(rows).selectExpr("id AS n", "id % 3 AS k")
+            return out.where(F.when(F.lit(name in broken), F.raise_error(F.lit("killed")).cast("boolean")).otherwise(F.lit(True)))
+
+        return make
+
+    sizes, total = {"b": 5, "a": 7, "c": 0}, {"total": F.sum("n")}
+    with pytest.raises(RuntimeError, match=r"1 of 3 shards failed: \['a'\]"):
+        sinks.run_shards(spark, path, {k: shard(k, n, ("a",)) for k, n in sizes.items()}, total)
+    with pytest.raises(ValueError, match="1 shards are missing"):
+        sinks.read_shards(spark, path, list(sizes), ["n"])
+    assert sorted(p.name for p in (tmp_path / "run").iterdir() if not p.name.startswith(".")) == ["shard=b", "shard=c"]
+    ran.clear()
+    sums = sinks.run_shards(spark, path, {k: shard(k, n) for k, n in sizes.items()}, total)
+    assert ran == ["a"] and (sums["shards"], sums["rows"], sums["total"]) == (3, 12, 10 + 21) and sums["seconds"] > 0
+    assert [r.n for r in sinks.read_shards(spark, path, list(sizes), ["n"]).collect()] == [*range(5), *range(7)]
+    manifest = sinks.shard_manifests(spark, path, ["a"])[0]
+    assert (manifest["shard"], manifest["rows"], manifest["total"], manifest["engine_version"], manifest["commit"]) == ("a", 7, 21, sinks.ENGINE_VERSION, None)
+    spark.conf.set(sinks.COMMIT, "abc")
+    try:
+        assert sinks.provenance(spark)["commit"] == "abc"
+    finally:
+        spark.conf.unset(sinks.COMMIT)
+
+
 def test_case_source(spark, smoke, tmp_path):
     load, asked = lambda case: asked.append(case) or ev.table_events(spark, smoke), []
     raw, cached = CaseSource(spark, load, CATALOGUE), CaseSource(spark, load, CATALOGUE, str(tmp_path / "cache"))

@@ -3,6 +3,7 @@ worked on by itself, and what a slice has to know of those before it is carried
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,18 +13,42 @@ SLICE_ROWS = 500_000
 AUTO = object()
 
 
-def width_of(rows: DataFrame, by: list[str], x: str, most: int = SLICE_ROWS) -> int | None:
-    """The width of slices of ``x`` at which groups evenly spread have ``most`` rows in each; None if
-    no group has more than that."""
-    r = rows.groupBy(*by).agg(F.count("*").alias("n"), F.min(x).alias("lo"), F.max(x).alias("hi")).agg(F.max("n"), F.min("lo"), F.max("hi")).first()
-    n, lo, hi = r if r and r[0] else (0, 0, 0)
-    return None if n <= most else max(1, int(hi - lo) // -(-n // most) + 1)
+#: Boundaries that travel with a plan; beyond, those of all groups together are taken.
+MOST_BOUNDS = 100_000
+
+
+def width_of(rows: DataFrame, by: list[str], x: str, most: int = SLICE_ROWS) -> np.ndarray | None:
+    """Boundaries of slices of ``x`` at which no group has much more than ``most`` rows in a slice: the
+    quantiles of each group that is larger, so that slices follow bursts. None if no group is. Rows of
+    equal ``x`` stay together."""
+    sizes = rows.groupBy(*by).agg(F.count("*").alias("_n")).where(F.col("_n") > most)
+    largest, groups = sizes.agg(F.max("_n"), F.count("*")).first()
+    if not groups:
+        return None
+    parts = -(-largest // most)
+    share = F.percentile_approx(x, [k / parts for k in range(1, parts)], 20 * parts)
+    if groups * parts <= MOST_BOUNDS:
+        found = rows.join(sizes.select(*by), by, "left_semi").groupBy(*by).agg(share.alias("_b")).collect()
+    else:
+        found = rows.agg(share.alias("_b")).collect()
+    return np.unique([b for r in found for b in r["_b"]])
+
+
+def slice_number(x: Column, width: int | np.ndarray | None) -> Column:
+    """The slice of ``x``: by equal widths, or how many boundaries are not above it (a binary search)."""
+    if width is None:
+        return F.lit(0).cast("long")
+    if isinstance(width, int):
+        return F.floor(x / width)
+    bounds, steps = F.lit(width), [1 << k for k in range(len(width).bit_length() - 1, -1, -1)]
+    further = lambda at, step: (at + step <= len(width)) & F.coalesce(F.get(bounds, at + step - 1) <= x, F.lit(False))
+    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda at, step: F.when(further(at, step), at + step).otherwise(at)).cast("long")
 
 
 def sliced(rows: DataFrame, by: list[str], x: str, width) -> tuple[DataFrame, bool]:
     """``rows`` with the slice number ``_s``, and whether there is more than one."""
     width = width_of(rows, by, x) if width is AUTO else width
-    return rows.withColumn("_s", F.lit(0).cast("long") if width is None else F.floor(F.col(x) / width)), width is not None
+    return rows.withColumn("_s", slice_number(F.col(x), width)), width is not None
 
 
 def before(by: list[str], order: list) -> Window:

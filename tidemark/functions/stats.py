@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.sampling import digest, uniform
-from tidemark.functions.slicing import SLICE_ROWS
+from tidemark.functions.slicing import SLICE_ROWS, running, width_of
+from tidemark.sources.scratch import cut
 
 RESAMPLES = 10_000
 
@@ -18,36 +19,58 @@ def summary(x: str) -> list[Column]:
     return [F.count(v).alias("n"), F.avg(v).alias("mean"), sd.alias("sd"), F.min(v).alias("min"), F.max(v).alias("max"), (F.max(v) - F.min(v)).alias("range")]
 
 
+def ranked_values(df: DataFrame, keys: list[str], x: str, most: int = SLICE_ROWS, count: Column | None = None) -> DataFrame:
+    """(keys, x, c, before) of the distinct values of each group: how many rows have it (or another
+    ``count``), and how many a smaller one. Values are counted first, and large groups are summed in slices of the value."""
+    values = cut(df.where(F.col(x).isNotNull()).groupBy(*keys, x).agg((F.count("*") if count is None else count).alias("c")), "values")
+    summed = running(values, keys, [x], x, F.sum, "c", "before", width_of(values, keys, x, most))
+    return summed.select(*keys, x, "c", F.coalesce("before", F.lit(0)).alias("before"))
+
+
+def _at_places(values: DataFrame, keys: list[str], x: str, places: dict[str, Column], more: list[Column]) -> DataFrame:
+    """Per group n, ``more`` and the value at each place (from 0, a column of ``n``) of the sorted rows."""
+    sizes = values.groupBy(*keys).agg(F.sum("c").alias("n"), *more)
+    here = lambda place: (F.col("before") <= place) & (place < F.col("before") + F.col("c"))
+    picks = [F.max(F.when(here(place), F.col(x))).alias(name) for name, place in places.items()]
+    return sizes.join(values.join(sizes.select(*keys, "n"), keys).groupBy(*keys).agg(*picks), keys)
+
+
 def index_quantiles(df: DataFrame, keys: list[str], x: str, quantiles: dict[str, float], most: int = SLICE_ROWS) -> DataFrame:
-    """The value at place floor(q * (n - 1)) of each group's sorted values, per named quantile. Groups
-    of more than ``most`` rows (there are few) are cut at approximate percentiles, and the pieces'
-    sizes summed up."""
-    rows = df.where(F.col(x).isNotNull()).select(*keys, x)
-    whole = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if(F.col(x) == 0).alias("zeros"), F.min(x).alias("least"), F.max(x).alias("most"))
-    cuts = rows.groupBy(*keys).agg(F.count("*").alias("_n"), F.percentile_approx(x, [k / 100 for k in range(1, 100)]).alias("_cuts")).where(F.col("_n") > most).drop("_n")
-    cuts = df.sparkSession.createDataFrame(cuts.toArrow())
-    if cuts.isEmpty():
-        placed = rows.withColumn("_s", F.lit(0))
-    else:
-        placed = rows.join(F.broadcast(cuts), keys, "left").withColumn("_s", F.coalesce(F.size(F.filter("_cuts", lambda c: F.col(x) > c)), F.lit(0))).drop("_cuts")
-    before = F.sum("count").over(Window.partitionBy(*keys).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1))
-    sizes = placed.groupBy(*keys, "_s").count().select(*keys, "_s", F.coalesce(before, F.lit(0)).alias("_before"))
-    own = F.row_number().over(Window.partitionBy(*keys, "_s").orderBy(x))
-    ranked = placed.withColumn("_i", own).join(sizes, [*keys, "_s"]).join(whole, keys).withColumn("_i", F.col("_i") + F.col("_before"))
-    picks = [F.max(F.when(F.col("_i") == F.floor(F.lit(q) * (F.col("n") - 1)) + 1, F.col(x))).alias(name) for name, q in quantiles.items()]
-    return ranked.groupBy(*keys).agg(F.first("n").alias("n"), F.first("zeros").alias("zeros"), F.first("least").alias("least"), *picks, F.first("most").alias("most"))
-
-
-def spearman(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
-    """Rank correlation with average ranks; null where a side has no spread."""
-    def rank(c: str) -> Column:
-        return F.rank().over(Window.partitionBy(*keys).orderBy(c)) + (F.count("*").over(Window.partitionBy(*keys, c)) - 1) / 2.0
-
-    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumn("_x", rank(x)).withColumn("_y", rank(y))
-    own = Window.partitionBy(*keys)
-    spread = (F.min("_x").over(own) < F.max("_x").over(own)) & (F.min("_y").over(own) < F.max("_y").over(own))
-    rows = rows.withColumn("_s", spread)
-    return rows.groupBy(*keys).agg(F.count("*").alias("n"), F.corr(F.when(F.col("_s"), F.col("_x")), F.when(F.col("_s"), F.col("_y"))).alias("rho"))
+    """The value at place floor(q * (n - 1)) of each group's sorted values, per named quantile."""
+    values = ranked_values(df, keys, x, most)
+    more = [F.coalesce(F.sum(F.when(F.col(x) == 0, F.col("c"))), F.lit(0)).alias("zeros"), F.min(x).alias("least"), F.max(x).alias("most")]
+    out = _at_places(values, keys, x, {k: F.floor(F.lit(q) * (F.col("n") - 1)) for k, q in quantiles.items()}, more)
+    return out.select(*keys, "n", "zeros", "least", *quantiles, "most")
+
+
+def quantiles(df: DataFrame, keys: list[str], x: str, wanted: dict[str, float], most: int = SLICE_ROWS) -> DataFrame:
+    """(keys, n, quantiles), interpolated between the two values that a quantile lies between."""
+    values = ranked_values(df, keys, x, most)
+    place = lambda q: F.lit(float(q)) * (F.col("n") - 1)
+    places = {f"_{e}_{k}": (F.floor if e == "lo" else F.ceil)(place(q)) for k, q in wanted.items() for e in ("lo", "hi")}
+    out = _at_places(values, keys, x, places, [])
+    between = [(F.col(f"_lo_{k}") + (F.col(f"_hi_{k}") - F.col(f"_lo_{k}")) * (place(q) - F.floor(place(q)))).alias(k) for k, q in wanted.items()]
+    return out.select(*keys, "n", *between)
+
+
+def spearman(df: DataFrame, keys: list[str], x: str, y: str, most: int = SLICE_ROWS) -> DataFrame:
+    """(keys, n, rho): rank correlation with average ranks; null where a side has no spread. Pairs are
+    counted first, ranks come from counts of values, and the rest is sums."""
+    pairs = cut(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*keys, x, y).agg(F.count("*").alias("_n")), "pairs")
+    ranks = {}
+    for side, c in (("_x", x), ("_y", y)):
+        values = ranked_values(pairs, keys, c, most, F.sum("_n"))
+        ranks[side] = values.select(*keys, F.col(c).alias(f"_v{side}"), (F.col("before") + (F.col("c") + 1) / 2.0).alias(side))
+    rows = pairs
+    for side, c in (("_x", x), ("_y", y)):
+        rows = rows.withColumn(f"_v{side}", F.col(c)).join(ranks[side], [*keys, f"_v{side}"])
+    sizes = pairs.groupBy(*keys).agg(F.sum("_n").alias("n"))
+    rows = rows.join(sizes, keys)
+    middle = (F.col("n") + 1) / 2.0
+    a, b, n = F.col("_x") - middle, F.col("_y") - middle, F.col("_n")
+    sums = rows.groupBy(*keys).agg(F.first("n").alias("n"), F.sum(n * a * b).alias("_ab"), F.sum(n * a * a).alias("_aa"), F.sum(n * b * b).alias("_bb"))
+    spread = (F.col("_aa") > 0) & (F.col("_bb") > 0)
+    return sums.select(*keys, "n", F.when(spread, F.col("_ab") / F.sqrt(F.col("_aa") * F.col("_bb"))).alias("rho"))
 
 
 def bootstrap_difference(df: DataFrame, keys: list[str], arm: str, first: str, second: str, x: str, by: str = "seed", resamples: int = RESAMPLES) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.sampling import digest, ranked, uniform
-from tidemark.operators.rules import malicious
+from tidemark.operators.rules import with_marks
 
 RUN = ["rule", "fraction", "multiple", "structure", "seed"]
 
@@ -31,10 +31,11 @@ def draws(projected: DataFrame, runs: DataFrame) -> DataFrame:
     structures: with ``rank``, each eligible row's place in the drawn order, and ``eligible``, the
     number of such rows. Which rows a run moves depends neither on how far, nor on what happens to
     them, nor but for their number on the fraction. Eligible are all rows or, for targeted runs, those
-    of marked subjects; a targeted run without eligible rows does not exist."""
+    ``marked`` (see ``rules.with_marks``); a targeted run without eligible rows does not exist."""
+    projected = projected if "marked" in projected.columns else with_marks(projected)
     few = runs.select("rule", "seed", (F.col("structure") == "targeted").alias("targeted")).distinct()
     rows = projected.join(F.broadcast(few.withColumn("draw", F.concat_ws("/", "rule", "seed", "targeted"))), "rule")
-    rows = rows.withColumn("_h", F.when(~F.col("targeted") | malicious(), digest("pick", F.col("seed"), F.col("seq"))))
+    rows = rows.withColumn("_h", F.when(~F.col("targeted") | F.col("marked"), digest("pick", F.col("seed"), F.col("seq"))))
     sizes = F.broadcast(rows.groupBy("draw").agg(F.count("_h").alias("eligible")).where("eligible > 0"))  # a row per draw
     drawn = ranked(rows.where("_h IS NOT NULL"), "draw", "_h", "seq")
     rest = rows.where("_h IS NULL").withColumn("rank", F.lit(None).cast("long"))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.slicing import AUTO, previous, width_of
+from tidemark.functions.slicing import AUTO, previous, slice_number, width_of
 
 #: The order of release, for ``detect``.
 ORDER = ["arr", "rel_seq", "occ", "came", "seq"]
@@ -22,7 +22,7 @@ def buffered(rows: DataFrame, buffer_us: str = "buffer", width=AUTO) -> DataFram
     null for what the end releases, and (``rel_arr``, ``rel_seq``), the releasing arrival."""
     width = width_of(rows, ["run"], "arr") if width is AUTO else width
     size = F.when(F.col(buffer_us) < 0, F.raise_error(F.lit("a buffer is 0 or more")).cast("long")).otherwise(F.col(buffer_us))
-    place = F.lit(0).cast("long") if width is None else F.floor(F.col("arr") / width)
+    place = slice_number(F.col("arr"), width)
     arrivals = rows.select("run", "arr", F.lit(1).alias("_kind"), "seq", F.struct("arr", "seq").alias("_at")).withColumn("_s", place)
     probes = rows.select("run", (F.col("occ") + size).alias("arr"), F.lit(0).alias("_kind"), "seq", F.lit(None).cast("struct<arr:bigint,seq:bigint>").alias("_at")).withColumn("_s", place)
     # backwards in time, the latest arrival seen so far is the first one to come: one pass

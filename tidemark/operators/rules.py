@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ALL = ("signup", "error", "click", "view", "purchase")
@@ -64,3 +64,12 @@ def project(events: DataFrame, rules=CATALOGUE) -> DataFrame:
 def malicious(pid="pid", every: int = 7):
     """The marked subjects of the ``events`` table."""
     return F.col(pid) % every == 0
+
+
+def with_marks(rows: DataFrame, marked: Column | DataFrame | None = None, pid: str = "pid") -> DataFrame:
+    """``rows`` with ``marked``: a condition, or whether the first column of a DataFrame has the pid; none
+    means those of the ``events`` table. A null pid is not marked."""
+    if isinstance(marked, DataFrame):
+        found = marked.select(F.col(marked.columns[0]).alias("_marked")).distinct()
+        return rows.join(found, F.col(pid) == F.col("_marked"), "left").withColumn("marked", F.col("_marked").isNotNull()).drop("_marked")
+    return rows.withColumn("marked", F.coalesce(malicious(pid) if marked is None else marked, F.lit(False)))

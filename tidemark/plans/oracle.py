@@ -135,12 +135,10 @@ def buffers(sizes, rules, **options) -> str:
     """CTE ``rel``: the rows of the runs behind each buffer, with the arrival that releases them."""
     return f"""{marked(rules, structures=('random',), **options)},
 probe AS (SELECT s.*, CAST(b * w AS BIGINT) AS buffer, CAST(b AS DOUBLE) AS buffer_windows FROM seen s, (SELECT unnest([{', '.join(f'CAST({x} AS DOUBLE)' for x in sizes)}]) AS b)),
-mixed AS (SELECT {RUN}, buffer_windows, arr, 1 AS kind, seq, CAST(arr AS HUGEINT) * 4294967296 + seq AS gate FROM probe
-          UNION ALL SELECT {RUN}, buffer_windows, occ + buffer, 0, seq, NULL FROM probe),
-ahead AS (SELECT *, min(gate) OVER (PARTITION BY {RUN}, buffer_windows ORDER BY arr DESC, kind DESC, seq DESC ROWS UNBOUNDED PRECEDING) AS first_gate FROM mixed),
-rel AS (SELECT p.*, CASE WHEN first_gate IS NOT NULL THEN greatest(first_gate, CAST(p.arr AS HUGEINT) * 4294967296 + p.seq) END AS gate,
-               CAST(CASE WHEN first_gate IS NOT NULL THEN greatest(first_gate, CAST(p.arr AS HUGEINT) * 4294967296 + p.seq) // 4294967296 END AS BIGINT) AS released
-        FROM probe p JOIN ahead a ON a.kind = 0 AND {same('a', 'p', RUN + ', buffer_windows')} AND a.seq = p.seq)"""
+gates AS (SELECT {RUN}, arr AS gate_arr, min(seq) AS gate_seq FROM seen GROUP BY {RUN}, arr),
+rel AS (SELECT p.*, CASE WHEN gate_arr IS NOT NULL THEN greatest(gate_arr, p.arr) END AS released,
+               CASE WHEN gate_arr > p.arr THEN gate_seq WHEN gate_arr = p.arr THEN greatest(gate_seq, p.seq) WHEN gate_arr < p.arr THEN p.seq END AS rel_seq
+        FROM probe p ASOF LEFT JOIN gates g ON {' AND '.join(f'p.{c} = g.{c}' for c in RUN.split(', '))} AND p.occ + p.buffer <= g.gate_arr)"""
 
 
 CELL = RUN + ", buffer_windows"
@@ -149,10 +147,10 @@ CELL = RUN + ", buffer_windows"
 def mitigation(sizes, rules, **options) -> str:
     """CTE ``cells``: a record per run and buffer."""
     return f"""{buffers(sizes, rules, **options)},
-judged AS (SELECT *, coalesce(occ < max(occ) OVER (PARTITION BY {CELL} ORDER BY gate NULLS LAST, occ, arr, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - w, false) AS late FROM rel),
+judged AS (SELECT *, coalesce(occ < max(occ) OVER (PARTITION BY {CELL} ORDER BY released NULLS LAST, rel_seq, occ, arr, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - w, false) AS late FROM rel),
 kept AS (SELECT * FROM judged WHERE NOT late),
-streams AS (SELECT {CELL}, key, occ, gate, arr, seq, w, n FROM kept UNION ALL SELECT rule, NULL, NULL, 'base', NULL, NULL, key, t, CAST(t AS HUGEINT) * 4294967296 + seq, t, seq, w, n FROM proj),
-{fold('streams', CELL, 'gate NULLS LAST, occ, arr, seq')},
+streams AS (SELECT {CELL}, key, occ, released, rel_seq, arr, seq, w, n FROM kept UNION ALL SELECT rule, NULL, NULL, 'base', NULL, NULL, key, t, t, seq, t, seq, w, n FROM proj),
+{fold('streams', CELL, 'released NULLS LAST, rel_seq, occ, arr, seq')},
 counts AS (SELECT {CELL}, count(*) AS alerts FROM fired GROUP BY {CELL}),
 found AS (SELECT DISTINCT {CELL}, key FROM {hits('kept', CELL, 'occ')} WHERE hit),
 missing AS (SELECT {', '.join('c.' + x for x in CELL.split(', '))}, count(*) FILTER (NOT EXISTS (SELECT 1 FROM found f WHERE {same('f', 'c', CELL)} AND f.key = k.key)) AS keys_lost, count(*) AS baseline_keys

@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions import slicing, stats
-from tidemark.operators import detect, distort, evidence, integrity, reorder, rules
+from tidemark.operators import detect, distort, evidence, integrity, profile, reorder, rules
 from tidemark.plans import oracle as O
 from tidemark.plans import results, sweeps, verdicts
 from tidemark.sources import events as ev
-from tidemark.sources import sinks
+from tidemark.sources import archive, layout, lines, sinks
 from tidemark.sources.cases import CaseSource, subset
 from tidemark.sources.scratch import cut, scratch_path
+from tidemark.streaming import buffer, rule, sharded
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -74,6 +75,14 @@ def _(spark, d):
     return ev.table_events(spark, d).where((F.col("t") >= START) & (F.col("t") < END)).select("seq", "t", "pid", rules.malicious().alias("marked"))
 
 
+@query("src02_sorted_window", ORACLE["src02_case_loader"])
+def _(spark, d):
+    """The same window from a log laid out by time, of which it reads the files that it meets."""
+    path = scratch_path(spark, "log")
+    layout.lay_out(ev.table_events(spark, d).select("seq", "t", "pid"), path)
+    return layout.read_window(spark, path, START, END).select("seq", "t", "pid", rules.malicious().alias("marked"))
+
+
 @query("src03_minimal_window", f"WITH {O.EV} SELECT pid, count(*) AS n FROM ev WHERE t >= {START} AND t < {END} GROUP BY pid")
 def _(spark, d):
     return ev.table_events(spark, d).where((F.col("t") >= START) & (F.col("t") < END)).groupBy("pid").agg(F.count("*").alias("n"))
@@ -84,6 +93,15 @@ def _(spark, d):
     return ev.positions(ev.table_events(spark, d).select("seq", "t"), "t", "seq").select("seq", "pos")
 
 
+@query("src04_line_positions", f"WITH {O.EV} SELECT seq, row_number() OVER (ORDER BY t, seq) - 1 AS pos FROM ev")
+def _(spark, d):
+    """Positions of lines over the text files of an event log, in the order of their names."""
+    path = scratch_path(spark, "lines")
+    rows = ev.table_events(spark, d).select("seq", "t").repartitionByRange("t", "seq").sortWithinPartitions("t", "seq")
+    rows.select(F.col("seq").cast("string").alias("value")).write.text(path)
+    return lines.line_positions(spark, path, across=True).select(F.col("value").cast("long").alias("seq"), "pos")
+
+
 @query("src05_record_loader", f"WITH {O.EV} SELECT pid, count(*) AS n, round(sum(value), 4) AS total FROM ev WHERE action = 'purchase' GROUP BY pid")
 def _(spark, d):
     path = scratch_path(spark, "records")
@@ -125,7 +143,8 @@ def _(spark, d):
 @query("flt10_integrity_join", "SELECT source, count(*) AS n FROM documents GROUP BY source")
 def _(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "source", F.sha2(F.coalesce("text", F.lit("")), 256).alias("input_sha256"))
-    return integrity.same_facts(docs, docs, ["doc_id"], ["input_sha256", "source"]).groupBy("source").agg(F.count("*").alias("n"))
+    artefact = cut(docs, "artefact")  # what another step wrote, against what is here
+    return integrity.same_facts(docs, artefact, ["doc_id"], ["input_sha256", "source"]).groupBy("source").agg(F.count("*").alias("n"))
 
 
 @query("int02_hash_and_pins", """WITH p AS (SELECT page_id, sha256(replace(html, chr(13) || chr(10), chr(10))) AS sha FROM pages),
@@ -148,14 +167,14 @@ def _(spark, d):
 def _(spark, d):
     path = scratch_path(spark, "member")
     ev.table_events(spark, d).select(F.col("seq").cast("string").alias("id"), "action").write.option("compression", "gzip").json(path)
-    return spark.read.schema(ev.EVENT).option("mode", "FAILFAST").json(path).agg(F.count("*").alias("events"), F.countDistinct("id").alias("ids"))
+    headers = spark.read.format("binaryFile").option("pathGlobFilter", "*.json.gz").load(path).select("path", F.col("length").alias("size"))
+    events = integrity.stored_members(spark, headers, ev.EVENT).agg(F.sum("events").alias("events"))
+    return events.join(ev.read_events(spark, path).agg(F.countDistinct("id").alias("ids")))  # one row each
 
 
 @query("int04_conflicts", "SELECT source, count(DISTINCT lang) AS variants, CASE WHEN count(DISTINCT lang) = 1 THEN 'one' ELSE 'conflict' END AS verdict FROM documents WHERE source LIKE '%1' GROUP BY source")
 def _(spark, d):
-    rows = table(spark, d, "documents").where(F.col("source").endswith("1")).select("source", "lang").distinct()
-    n = F.count("lang")
-    return rows.groupBy("source").agg(n.alias("variants"), F.when(n == 1, "one").otherwise("conflict").alias("verdict"))
+    return integrity.variants(table(spark, d, "documents").where(F.col("source").endswith("1")), "source", ["lang"])
 
 
 @query("int05_member_offsets", """WITH m AS (SELECT doc_id, source, octet_length(encode(text)) AS size FROM documents),
@@ -173,6 +192,17 @@ def _(spark, d):
     return rows.groupBy("source").agg(F.count("*").alias("members"), F.max("next_header").alias("length"), F.count_if(F.col("before") != F.col("header")).alias("breaks"))
 
 
+@query("int05_archive_index", ORACLE["int05_member_offsets"])
+def _(spark, d):
+    """The same offsets from the headers of archives: one for each source, its documents as members."""
+    path = scratch_path(spark, "archives")
+    rows = table(spark, d, "documents").select(F.col("source").alias("archive"), F.col("doc_id").alias("place"), F.col("doc_id").cast("string").alias("name"), F.col("text").cast("binary").alias("data"))
+    cut(archive.write_archives(rows, path), "written")
+    index = cut(archive.archive_index(spark, f"{path}/*.tar"), "index").withColumn("source", F.regexp_extract("archive", r"([^/]+)\.tar$", 1))
+    index = slicing.previous(index, ["source"], ["header_offset"], "header_offset", "next_offset", "before")
+    return index.groupBy("source").agg(F.count("*").alias("members"), F.max("next_offset").alias("length"), F.count_if(F.col("before") != F.col("header_offset")).alias("breaks"))
+
+
 # --- projections, filters, checks
 
 
@@ -206,6 +236,19 @@ def _(spark, d):
     return reorder.in_order(rows).withColumnRenamed("run", "pid")
 
 
+RECORD_JSON = """'{"id":' || event_id || ',"who":{"user":' || user_id || ',"type":"' || event_type || '"},"props":' || props
+|| CASE WHEN event_type = 'purchase' THEN ',"tags":["a",{"b":' || event_id || '},null]' WHEN event_type = 'error' THEN ',"tags":true' ELSE '' END || '}'"""
+
+
+@query("flt07_json_paths", f"""WITH j AS (SELECT event_id, {RECORD_JSON} AS j FROM events),
+v AS (SELECT event_id, regexp_replace(t.fullkey, '\\[\\d+\\]', '[*]', 'g') AS path, t.type FROM j, json_tree(j.j) t),
+k AS (SELECT event_id, path, CASE type WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'NULL' THEN 'null' WHEN 'DOUBLE' THEN 'number' ELSE 'integer' END AS kind FROM v),
+e AS (SELECT path, count(DISTINCT event_id) = (SELECT count(*) FROM j) AS in_every_row FROM k GROUP BY path)
+SELECT path, kind, count(*) AS n, count(DISTINCT event_id) AS in_rows, any_value(in_every_row) AS in_every_row FROM k JOIN e USING (path) GROUP BY path, kind""")
+def _(spark, d):
+    return profile.profile(table(spark, d, "events").select(F.expr(RECORD_JSON).alias("record")), "record")
+
+
 @query("flt07_schema_profile", """WITH e AS (SELECT event_id, props, CAST(ts AS VARCHAR) AS ts FROM events), o AS (SELECT *, lag(ts) OVER (ORDER BY event_id) AS before FROM e)
 SELECT 'key' AS what, 'props.k' AS name, count(json_extract_string(props, '$.k')) AS n FROM e
 UNION ALL SELECT 'digits', CAST(length(regexp_extract(ts, '\\.(\\d+)', 1)) AS VARCHAR), count(*) FROM e GROUP BY 2
@@ -425,8 +468,8 @@ def _(spark, d):
 
 @query("str05_detected_subjects", f"WITH {O.base()} SELECT rule, key, first_t FROM known")
 def _(spark, d):
-    rows = sweeps.plain(projected(spark, d))
-    return sweeps.named(detect.subjects(rows, N), rows).select("rule", "key", "first_t")
+    rows = sweeps.plain(projected(spark, d), RULES)
+    return sweeps.named(detect.subjects(rows, N), RULES).select("rule", "key", "first_t")
 
 
 def _marked(spark, d, allowed=0, which=RULES, **options):
@@ -446,8 +489,8 @@ def _(spark, d):
 
 @query("str03_alerts_in_order", f"WITH RECURSIVE {O.base()}, {O.greedy('proj', 'rule')} SELECT rule, count(*) AS alerts, count(DISTINCT key) AS keys FROM picks GROUP BY rule")
 def _(spark, d):
-    rows = sweeps.plain(projected(spark, d))
-    return sweeps.named(detect.alerts(rows), rows).groupBy("rule").agg(F.count("*").alias("alerts"), F.countDistinct("key").alias("keys"))
+    rows = sweeps.plain(projected(spark, d), RULES)
+    return sweeps.named(detect.alerts_in_order(rows, N), RULES).groupBy("rule").agg(F.count("*").alias("alerts"), F.countDistinct("key").alias("keys"))
 
 
 @query("str03_alert_rows", f"""WITH RECURSIVE {O.base()}, {O.greedy('proj', 'rule')},
@@ -455,8 +498,8 @@ numbered AS (SELECT *, row_number() OVER (PARTITION BY rule, key ORDER BY t, seq
 SELECT p.rule, p.key, b.t AS fired_at, CAST(b.n AS INTEGER) AS count, a.t AS window_start, b.t AS window_end
 FROM picks p JOIN numbered b ON b.rule = p.rule AND b.key = p.key AND b.rn = p.rn JOIN numbered a ON a.rule = p.rule AND a.key = p.key AND a.rn = p.rn - b.n + 1""")
 def _(spark, d):
-    rows = sweeps.plain(projected(spark, d))
-    return sweeps.named(detect.alerts(rows), rows).select("rule", "key", "fired_at", "count", "window_start", "window_end")
+    rows = sweeps.plain(projected(spark, d), RULES)
+    return sweeps.named(detect.alerts_in_order(rows, N), RULES).select("rule", "key", "fired_at", "count", "window_start", "window_end")
 
 
 ONE_RUN = {"structures": ("random",), "fractions": (0.2,), "seeds": (0,)}
@@ -465,19 +508,51 @@ ONE_RUN = {"structures": ("random",), "fractions": (0.2,), "seeds": (0,)}
 @query("str04_alerts_out_of_order", f"WITH RECURSIVE {O.alert_sweep(**ONE_RUN)} SELECT rule, multiple, count(*) AS alerts, count(DISTINCT key) AS keys FROM fired WHERE structure <> 'base' GROUP BY rule, multiple")
 def _(spark, d):
     rows = cut(_marked(spark, d, **ONE_RUN).where("NOT late"), "kept")
-    found = detect.alerts(rows)
+    found = detect.alerts(rows, thresholds=N)
     return found.join(F.broadcast(rows.select("run", "rule", "multiple").distinct()), "run").groupBy("rule", "multiple").agg(F.count("*").alias("alerts"), F.countDistinct("key").alias("keys"))
 
 
+def _in_parts(rows, parts):
+    """``rows`` in parts by time of arrival, as they would come."""
+    lo, hi = rows.agg(F.min("arr"), F.max("arr")).first()
+    width = 1 if lo is None else (hi - lo) // parts + 1
+    return [rows.where(F.floor((F.col("arr") - (lo or 0)) / width) == k) for k in range(parts)]
+
+
+def _drained(stream, out):
+    """What a stream has to say about all that is there."""
+    stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-checkpoint").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+
+
+@query("str11_stream_alerts", ORACLE["str04_alerts_out_of_order"])
+def _(spark, d):
+    """The same alerts as from the table, from a stream that comes in three parts, each a micro-batch."""
+    runs, _, rows = sweeps.distorted(ev.table_events(spark, d), RULES, **ONE_RUN)
+    rows = cut(rows.select(F.col("run").alias("stream"), "key", "arr", "seq", "occ", "w", "n"), "arrivals")
+    path = scratch_path(spark, "stream")
+    for part in _in_parts(rows, 3):
+        part.write.mode("append").parquet(f"{path}/in")
+        sharded.mark_stream(spark.readStream.schema(sharded.ROWS).parquet(f"{path}/in"), path, f"{path}/checkpoint").awaitTermination()
+    with rule.state_store(spark):
+        _drained(sharded.held_alerts(sharded.marked_rows(spark, path)), f"{path}/alerts")
+    found = spark.read.parquet(f"{path}/alerts").withColumnRenamed("stream", "run")
+    return found.join(F.broadcast(runs.select("run", "rule", "multiple")), "run").groupBy("rule", "multiple").agg(F.count("*").alias("alerts"), F.countDistinct("key").alias("keys"))
+
+
 SIZES = (0.0, 0.5, 2.0)
 BUFFERED = {"fractions": (0.2,), "seeds": (0,)}
 BUFFER_SQL = O.buffers(SIZES, PID, **BUFFERED)
 
 
-def _buffered(spark, d):
+def _behind(spark, d):
+    """The projected stream, and the distorted rows once per size of buffer."""
     _, stream, rows = sweeps.distorted(ev.table_events(spark, d), PID, structures=("random",), **BUFFERED)
     sizes = spark.createDataFrame(list(enumerate(SIZES)), "k int, b double")
-    rows = cut(rows, "distorted").join(F.broadcast(sizes)).withColumn("buffer", (F.col("b") * F.col("w")).cast("long")).withColumn("run", F.col("run") * len(SIZES) + F.col("k"))
+    return stream, cut(rows, "distorted").join(F.broadcast(sizes)).withColumn("buffer", (F.col("b") * F.col("w")).cast("long")).withColumn("run", F.col("run") * len(SIZES) + F.col("k"))
+
+
+def _buffered(spark, d):
+    stream, rows = _behind(spark, d)
     return reorder.buffered(rows, width=sweeps.Sizes.of(stream).width)
 
 
@@ -486,6 +561,37 @@ def _(spark, d):
     return _buffered(spark, d).select("rule", "multiple", "b", "seq", "released")
 
 
+CHECKSUM = "(seq * 1000003 + coalesce(released, 0)) % 2147483647"
+
+
+@query("str06_buffer_checksums", f"""WITH {BUFFER_SQL} SELECT rule, multiple, buffer_windows AS b, count(*) AS n, count(*) FILTER (released IS NULL) AS flushed,
+CAST(sum(released - arr) AS BIGINT) AS held, CAST(sum({CHECKSUM}) AS BIGINT) AS checksum FROM rel GROUP BY ALL""")
+def _(spark, d):
+    """What ``str06_reorder_buffer`` lists, summed: rows, those the end releases, microseconds that the
+    buffer held rows back, and a checksum over (seq, released)."""
+    return _checksums(_buffered(spark, d))
+
+
+def _checksums(released):
+    sums = [F.count("*").alias("n"), F.count_if(F.col("released").isNull()).alias("flushed"), F.sum(F.col("released") - F.col("arr")).alias("held"), F.sum(F.expr(CHECKSUM)).alias("checksum")]
+    return released.groupBy("rule", "multiple", "b").agg(*sums)
+
+
+@query("str06_stream_buffer", ORACLE["str06_buffer_checksums"])
+def _(spark, d):
+    """The same releases from a stream that comes in three parts; what it still holds at the end, the end releases."""
+    _, rows = _behind(spark, d)
+    rows = cut(rows.withColumnRenamed("run", "stream"), "arrivals")
+    path, columns = scratch_path(spark, "buffer"), ["stream", "arr", "seq", "occ", "buffer"]
+    with rule.state_store(spark):
+        for part in _in_parts(rows, 3):
+            part.select(*columns).write.mode("append").parquet(f"{path}/in")
+            source = spark.readStream.schema("stream int, arr bigint, seq bigint, occ bigint, buffer bigint").parquet(f"{path}/in")
+            _drained(buffer.buffered(source), f"{path}/out")
+    out = spark.read.parquet(f"{path}/out").select("stream", "seq", "released")
+    return _checksums(rows.join(out, ["stream", "seq"], "left"))
+
+
 WAITS = {"median": 0.5, "p90": 0.9, "p99": 0.99}
 
 
@@ -507,8 +613,8 @@ def _(spark, d):
 
 @query("str09_malicious_subjects", f"WITH {O.base(PID)} SELECT rule, key, first_t FROM known WHERE CAST(key AS BIGINT) % 7 = 0")
 def _(spark, d):
-    rows = sweeps.plain(projected(spark, d, PID).where(rules.malicious()))
-    return sweeps.named(detect.subjects(rows, N), rows).select("rule", "key", "first_t")
+    rows = sweeps.plain(projected(spark, d, PID).where(rules.malicious()), PID)
+    return sweeps.named(detect.subjects(rows, N), PID).select("rule", "key", "first_t")
 
 
 # --- distortion
@@ -642,7 +748,7 @@ def _(spark, d):
     runs, stream, rows = sweeps.distorted(ev.table_events(spark, d), PID, **RESET)
     kept = cut(detect.mark_late(rows.select(*sweeps.SEEN), width=sweeps.Sizes.of(stream).width).where("NOT late"), "kept")
     a = detect.count(detect.subjects(kept, N), "without_reset")
-    b = detect.alerts(kept).groupBy("run").agg(F.countDistinct("key").alias("with_reset"))
+    b = detect.alerts(kept, thresholds=N).groupBy("run").agg(F.countDistinct("key").alias("with_reset"))
     return runs.select("run", "rule", "multiple", "seed").join(a, "run", "left").join(b, "run", "left").na.fill(0).drop("run")
 
 
@@ -692,7 +798,8 @@ def _(spark, d):
 
 @query("agg07_percentile", f"WITH {O.EV} SELECT action, round(quantile_cont(value, 0.025), 6) AS p025, round(quantile_cont(value, 0.975), 6) AS p975 FROM ev GROUP BY action")
 def _(spark, d):
-    return ev.table_events(spark, d).groupBy("action").agg(F.round(F.percentile("value", 0.025), 6).alias("p025"), F.round(F.percentile("value", 0.975), 6).alias("p975"))
+    out = stats.quantiles(ev.table_events(spark, d), ["action"], "value", {"p025": 0.025, "p975": 0.975})
+    return out.select("action", F.round("p025", 6).alias("p025"), F.round("p975", 6).alias("p975"))
 
 
 @query("agg08_spearman", f"WITH {O.sweep()}, x AS (SELECT *, rank() OVER (PARTITION BY rule ORDER BY dropped_late) + (count(*) OVER (PARTITION BY rule, dropped_late) - 1) / 2.0 AS a, rank() OVER (PARTITION BY rule ORDER BY key_reduction) + (count(*) OVER (PARTITION BY rule, key_reduction) - 1) / 2.0 AS b FROM sweep WHERE key_reduction IS NOT NULL) SELECT rule, count(*) AS n, round(CASE WHEN min(a) < max(a) AND min(b) < max(b) THEN corr(a, b) END, 6) AS rho FROM x GROUP BY rule")
@@ -775,10 +882,15 @@ def _(spark, d):
     return _evading_drops(spark, d)
 
 
-@query("jon07_regression", f"WITH {O.sweep(**TWO)}, b AS (SELECT *, CASE WHEN seed = 1 THEN keys + 1 ELSE keys END AS other FROM sweep) SELECT count(*) FILTER (keys IS DISTINCT FROM other) AS mismatches, CAST(0 AS BIGINT) AS only_old, CAST(0 AS BIGINT) AS only_new FROM b")
+OLD, NEW = {**TWO, "seeds": (0, 1)}, {**TWO, "seeds": (1, 2), "delay": "uniform"}
+
+
+@query("jon07_regression", f"""SELECT count(*) FILTER (a.rule IS NOT NULL AND b.rule IS NOT NULL AND (a.keys <> b.keys OR a.keys_lost <> b.keys_lost OR a.dropped_late <> b.dropped_late)) AS mismatches,
+count(*) FILTER (b.rule IS NULL) AS only_old, count(*) FILTER (a.rule IS NULL) AS only_new
+FROM (WITH {O.sweep(**OLD)} SELECT * FROM sweep) a FULL JOIN (WITH {O.sweep(**NEW)} SELECT * FROM sweep) b ON {O.same('a', 'b')}""")
 def _(spark, d):
-    old = _sweep_cut(spark, d, **TWO)
-    new = old.withColumn("keys", F.when(F.col("seed") == 1, F.col("keys") + 1).otherwise(F.col("keys")))
+    """Two runs of the sweep that share a seed, with fixed and with uniform delays."""
+    old, new = (cut(_sweep(spark, d, **options), "records") for options in (OLD, NEW))
     return integrity.compare(old, new, distort.RUN, ["keys", "keys_lost", "dropped_late"])
 
 
@@ -960,6 +1072,16 @@ def _(spark, d):
     return record(sinks.stitched(spark, path, ["rule"], [(r.name,) for r in RULES], ["fraction", "multiple", "structure", "seed"]))
 
 
+@query("snk03_resumed_shards", ORACLE["snk03_sharded_records"])
+def _(spark, d):
+    """The same records, a shard for each rule: a first call runs some, a second the rest."""
+    path = scratch_path(spark, "resumed")
+    shards = {r.name: (lambda r=r: _sweep(spark, d, (r,), **TWO)) for r in RULES}
+    sinks.run_shards(spark, path, dict(list(shards.items())[:2]))
+    sinks.run_shards(spark, path, shards, side_by_side=2)
+    return record(sinks.read_shards(spark, path, list(shards), ["fraction", "multiple", "structure", "seed"]))
+
+
 @query("snk04_buffer_series", f"WITH m AS ({_cells_sql('fixed')}) SELECT multiple, buffer_windows, round(avg(remaining), 6) AS mean FROM m GROUP BY multiple, buffer_windows")
 def _(spark, d):
     """The line of each delay over buffer sizes."""

@@ -3,20 +3,24 @@
 What a run's verdict can depend on decides what is computed for it. An event that was not delayed is
 never late, and none is in runs whose delays stay within one window, in runs that delete, and where
 the rule sees arrival times: no watermark for those. Where nothing was late or deleted and the rule
-sees times of occurrence, the subjects are the baseline's. Alerts are folded for all runs, and for
-the baseline as one run more of each rule.
+sees times of occurrence, the subjects are the baseline's. The baseline is one run more of each rule.
+Runs whose arrivals are in order of event time (it, those that delete, and all where the rule sees arrival
+times) need no fold for their alerts.
+
+Which subjects are marked is the caller's to say: ``marked`` is a condition on the projected stream or a
+DataFrame whose first column has their pids; without it, the marks of the ``events`` table.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.slicing import width_of
 from tidemark.operators import detect, distort, reorder
-from tidemark.operators.rules import project
+from tidemark.operators.rules import project, with_marks
 from tidemark.sources.scratch import cut
 
 FRACTIONS, MULTIPLES, SEEDS = (0.05, 0.2), (0.5, 1.0, 2.0), (0, 1, 2)
@@ -30,22 +34,24 @@ DELAYS = {
 SEEN = ["run", "key", "seq", "arr", "occ", "w", "n"]
 
 
-def plain(projected: DataFrame) -> DataFrame:
-    """The undistorted stream as runs of their own, numbered -1, -2, ... by the name of the rule."""
-    names = sorted(r["rule"] for r in projected.select("rule").distinct().collect())  # the caller's rules
-    numbers = projected.sparkSession.createDataFrame([(n, -k) for k, n in enumerate(names, 1)], "rule string, run int")
-    return projected.join(F.broadcast(numbers), "rule").withColumns({"arr": F.col("t"), "occ": F.col("t")})
+def numbers(spark: SparkSession, rules) -> DataFrame:
+    """(rule, run): the runs of the undistorted stream, -1, -2, ... by the name of the rule."""
+    return spark.createDataFrame([(n, -k) for k, n in enumerate(sorted({r.name for r in rules}), 1)], "rule string, run int")
+
+
+def plain(projected: DataFrame, rules) -> DataFrame:
+    """The undistorted stream as runs of their own."""
+    return projected.join(F.broadcast(numbers(projected.sparkSession, rules)), "rule").withColumns({"arr": F.col("t"), "occ": F.col("t")})
 
 
-def named(found: DataFrame, rows: DataFrame) -> DataFrame:
+def named(found: DataFrame, rules) -> DataFrame:
     """``found`` with the rule's name instead of the run of ``plain``."""
-    return found.join(F.broadcast(rows.select("run", "rule").distinct()), "run").drop("run")
+    return found.join(F.broadcast(numbers(found.sparkSession, rules)), "run").drop("run")
 
 
 def baseline_subjects(projected: DataFrame, rules) -> DataFrame:
     """(rule, key)."""
-    rows = plain(projected)
-    return named(detect.subjects(rows, [r.threshold for r in rules]), rows).select("rule", "key")
+    return named(detect.subjects(plain(projected, rules), [r.threshold for r in rules]), rules).select("rule", "key")
 
 
 @dataclass(frozen=True)
@@ -64,10 +70,10 @@ class Sizes:
         return None if self.hot is None else self.hot.join(F.broadcast(runs.select("run", "rule")), "rule").drop("rule")
 
 
-def distorted(events: DataFrame, rules, fractions=FRACTIONS, multiples=MULTIPLES, seeds=SEEDS, structures=("random", "targeted", "delete"), clock: str = "M1", delay: str = "fixed") -> tuple[DataFrame, DataFrame, DataFrame]:
+def distorted(events: DataFrame, rules, fractions=FRACTIONS, multiples=MULTIPLES, seeds=SEEDS, structures=("random", "targeted", "delete"), clock: str = "M1", delay: str = "fixed", marked: Column | DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(grid, projected stream, rows as the rules see them)."""
     runs = distort.grid(events.sparkSession, rules, fractions, multiples, seeds, structures)
-    stream = cut(project(events, rules), "projected")
+    stream = cut(with_marks(project(events, rules), marked), "projected")
     if delay == "burst":
         rows = distort.burst(distort.spread(stream, runs))
     else:
@@ -91,9 +97,9 @@ def never_late(clock: str, delay: str):
 
 def judged(rows: DataFrame, clock: str, delay: str, sizes: Sizes) -> tuple[DataFrame, DataFrame]:
     """(accepted rows, (run, rows, dropped_late)). Only runs in which a row may be late are marked."""
-    quiet = never_late(clock, delay)
-    marked = cut(detect.mark_late(rows.where(~quiet).select(*SEEN, "structure", "multiple"), width=sizes.width), "marked")
-    rest = rows.where(quiet).select(*SEEN, "structure", "multiple")
+    quiet, own = never_late(clock, delay), [*SEEN, "structure", "multiple", "marked"]
+    marked = cut(detect.mark_late(rows.where(~quiet).select(*own), width=sizes.width), "marked")
+    rest = rows.where(quiet).select(*own)
     drops = detect.count(rest, "rows").withColumn("dropped_late", F.lit(0).cast("long"))
     drops = drops.union(marked.groupBy("run").agg(F.count("*").alias("rows"), F.count_if("late").alias("dropped_late")))
     return marked.where("NOT late").drop("late").unionByName(rest), drops
@@ -105,20 +111,24 @@ def ordering_sweep(events: DataFrame, rules, clock: str = "M1", with_alerts: boo
     runs, stream, rows = distorted(events, rules, clock=clock, delay=delay, **options)
     n, sizes = [r.threshold for r in rules], Sizes.of(stream)
     kept, drops = judged(rows, clock, delay, sizes)
-    base = plain(stream)
-    every = runs.select("run", "rule").union(base.select("run", "rule").distinct())
+    base = plain(stream, rules)
+    every = runs.select("run", "rule").unionByName(numbers(events.sparkSession, rules))
     hot = sizes.by_run(every)
     changed = F.lit(True) if clock == "M2" else (F.col("structure") == "delete") | ~never_late(clock, delay)
     found = detect.subjects(kept.where(changed).select(*SEEN).unionByName(base.select(*SEEN)), n, hot)
     found = cut(found.select("run", "key"), "subjects")
-    known = named(found.where("run < 0"), base)
+    known = named(found.where("run < 0"), rules)
     same = runs.where(~changed).select("run", "rule").join(known, "rule").select("run", "key")
     found = found.where("run >= 0").union(same) if clock != "M2" else found.where("run >= 0")
     out = runs.join(drops, "run").join(lost_keys(known, found, runs), "run", "left").join(detect.count(found, "keys"), "run", "left")
     out = out.join(known.groupBy("rule").agg(F.count("*").alias("baseline_keys")), "rule", "left")
     if with_alerts:
-        fired = cut(detect.count(detect.alerts(kept.select(*SEEN).unionByName(base.select(*SEEN)), hot=hot), "alerts"), "alerts")
-        of_base = named(fired.where("run < 0"), base).withColumnRenamed("alerts", "baseline_alerts")
+        ordered = F.lit(True) if clock == "M2" else F.col("structure") == "delete"
+        fired = detect.alerts_in_order(kept.where(ordered).select(*SEEN).unionByName(base.select(*SEEN)), n, hot).select("run")
+        if clock != "M2":
+            fired = fired.union(detect.alerts(kept.where(~ordered).select(*SEEN), hot=hot, thresholds=n).select("run"))
+        fired = cut(detect.count(fired, "alerts"), "alerts")
+        of_base = named(fired.where("run < 0"), rules).withColumnRenamed("alerts", "baseline_alerts")
         out = out.join(fired, "run", "left").join(of_base, "rule", "left")
     out = out.na.fill(0, ["keys_lost", "keys", "baseline_keys"] + ["alerts", "baseline_alerts"] * with_alerts)
     if with_alerts:
@@ -133,12 +143,12 @@ def targeting_sweep(events: DataFrame, rules, clock: str = "M1", delay: str = "f
     n, sizes = [r.threshold for r in rules], Sizes.of(stream)
     kept, _ = judged(rows, clock, delay, sizes)
     changed = F.lit(True) if clock == "M2" else (F.col("structure") == "delete") | ~never_late(clock, delay)
-    marked_key = F.col("key").cast("long") % 7 == 0
-    found = detect.subjects(kept.where(changed).where(marked_key).select(*SEEN), n, sizes.by_run(runs))
-    marked = cut(baseline_subjects(stream.where(marked_key), rules), "marks")
+    found = detect.subjects(kept.where(changed).where("marked").select(*SEEN), n, sizes.by_run(runs))
+    marked = cut(baseline_subjects(stream.where("marked"), rules), "marks")
     known = marked.groupBy("rule").agg(F.count("*").alias("malicious_detected"))
     evaded = lost_keys(marked, found, runs.where(changed)).withColumnRenamed("keys_lost", "malicious_evaded")
-    exist = runs.join(rows.select("run").distinct(), "run")  # a targeted run without eligible rows does not
+    some = stream.groupBy("rule").agg(F.bool_or("marked").alias("some"))  # a targeted run without eligible rows does not exist
+    exist = runs.join(F.broadcast(some), "rule").where("some OR structure <> 'targeted'").drop("some")
     out = exist.join(known, "rule").join(evaded, "run", "left")
     return out.na.fill(0, ["malicious_evaded"]).withColumn("evasion_rate", F.col("malicious_evaded") / F.col("malicious_detected"))
 
@@ -150,7 +160,7 @@ def mitigation_sweep(events: DataFrame, rules, buffers=(0.0, 0.5, 1.0, 2.0), del
     options.setdefault("structures", ("random",))
     spark = events.sparkSession
     runs, stream, rows = distorted(events, rules, delay=delay, **options)
-    n, sizes, base = [r.threshold for r in rules], Sizes.of(stream), plain(stream)
+    n, sizes, base = [r.threshold for r in rules], Sizes.of(stream), plain(stream, rules)
     rows = cut(rows.select(*SEEN), "distorted")
     longest = rows.groupBy("run").agg(F.max(F.col("arr") - F.col("occ")).alias("max_delay")).withColumnRenamed("run", "of")
     size = spark.createDataFrame([(k, float(b)) for k, b in enumerate(buffers)], "size int, buffer_windows double")
@@ -164,8 +174,8 @@ def mitigation_sweep(events: DataFrame, rules, buffers=(0.0, 0.5, 1.0, 2.0), del
     kept = marked.where("NOT late")
     drops = marked.groupBy("run").agg(F.count("*").alias("rows"), F.count_if("late").alias("dropped_late"))
     known = cut(baseline_subjects(stream, rules), "known")
-    fired = detect.count(detect.alerts(kept, order=reorder.ORDER, hot=hot), "alerts")
-    of_base = named(detect.count(detect.alerts(base, hot=sizes.by_run(base.select("run", "rule").distinct())), "baseline_alerts"), base)
+    fired = detect.count(detect.alerts(kept, order=reorder.ORDER, hot=hot, thresholds=n), "alerts")
+    of_base = named(detect.count(detect.alerts_in_order(base, n, sizes.by_run(numbers(spark, rules))), "baseline_alerts"), rules)
     res = cells.join(drops, "run").join(lost_keys(known, detect.subjects(kept, n, hot), cells), "run", "left")
     res = res.join(known.groupBy("rule").agg(F.count("*").alias("baseline_keys")), "rule", "left")
     res = res.join(of_base, "rule").join(longest, "of").join(fired, "run", "left").na.fill(0, ["alerts", "keys_lost", "baseline_keys"])

@@ -3,15 +3,17 @@
 Two stateful steps in append mode: the first keeps the watermark of a whole stream and marks late
 events, the second keeps the held times of each key and emits alerts. A built-in watermark moves
 between micro-batches only and would drop fewer events. The first step is one key per stream, as
-the rule's watermark is shared by all keys: give independent streams their own ``stream`` value.
+the rule's watermark is shared by all keys: give independent streams their own ``stream`` value. Where
+one stream is too much for a task, see ``sharded``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tidemark.operators.detect import fold
@@ -22,6 +24,18 @@ ALERT = "stream string, key string, fired_at bigint, count int, window_start big
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+@contextmanager
+def state_store(spark: SparkSession):
+    """The session's state provider is STATE_STORE meanwhile."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, STATE_STORE)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 class Lateness(StatefulProcessor):
     def __init__(self, w: int, allowed: int):
         self.w, self.allowed = w, allowed
