@@ -126,8 +126,11 @@ def buckets(h: np.ndarray) -> np.ndarray:
 
 def idf_table(df: np.ndarray, n: int) -> np.ndarray:
     """Weights by counter: each counter less the mean of the others estimates one shingle's documents."""
-    own = df - (df.sum() - df) / max(len(df) - 1, 1)
-    return (1 - np.log(np.clip(own / max(n, 1), RARE_SHARE, 1))).astype(np.float32)
+    others, size, out = df.sum(), max(len(df) - 1, 1), np.empty(len(df), np.float32)
+    for a in range(0, len(df), DF_BLOCK):
+        own = df[a : a + DF_BLOCK] * (1 + 1 / size) - others / size
+        out[a : a + DF_BLOCK] = 1 - np.log(np.clip(own / max(n, 1), RARE_SHARE, 1))
+    return out
 
 
 @lru_cache(maxsize=2)
@@ -208,17 +211,17 @@ def document_frequencies(rows: DataFrame) -> tuple[np.ndarray, int]:
                 raw = counts.as_py()
                 own = np.frombuffer(raw, np.int64) if block < 0 else np.frombuffer(zlib.decompress(raw), np.int32)
                 total[block] = total.get(block, 0) + own.astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["block", "counts"])
+        packed = [x.tobytes() if block < 0 else zlib.compress(x.tobytes(), 1) for block, x in total.items()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(packed, pa.binary())], names=["block", "counts"])
 
     form = "block int, counts binary"
     counts = rows.select("text").mapInArrow(lambda batches: released(run(batches)), form).repartition("block").mapInArrow(lambda batches: released(add(batches)), form)
     df, n = np.zeros((1 << DF_BITS) // DF_BLOCK * DF_BLOCK, np.int64), 0
     for block, raw in counts.collect():  # one row for each block
-        own = np.frombuffer(raw, np.int64)
         if block < 0:
-            n = int(own[0])
+            n = int.from_bytes(raw, "little")
         else:
-            df[block * DF_BLOCK : (block + 1) * DF_BLOCK] = own
+            df[block * DF_BLOCK : (block + 1) * DF_BLOCK] = np.frombuffer(zlib.decompress(raw), np.int64)
     return df, n
 
 
