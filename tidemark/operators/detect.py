@@ -138,19 +138,24 @@ def groups(batches, keys: list[str]) -> Iterator[tuple[bool, pa.RecordBatch]]:
 
 
 def _fold_partition(allowed: int):
-    """Rows come sorted by run, key, island and arrival; only the current key's times are held."""
+    """Rows come sorted by run, key and arrival; only the current key's times are held."""
     def run(batches):
-        held: list[int] = []
-        out: list = []
-        for new, part in groups(batches, ["run", "key", "island"]):
-            held = [] if new else held
-            own = part.column("run")[0].as_py(), part.column("key")[0].as_py()
-            out += [(*own, *x) for x in fold(held, part.column("occ").to_pylist(), part.column("w")[0].as_py(), part.column("n")[0].as_py(), allowed)]
-            if len(out) >= 10_000:
+        current, held = None, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            runs, w, n = (batch.column(c).to_numpy() for c in ("run", "w", "n"))
+            keys, times = batch.column("key").dictionary_encode(), batch.column("occ").to_pylist()
+            at, names = keys.indices.to_numpy(), keys.dictionary.to_pylist()
+            starts = np.append(0, np.flatnonzero((runs[1:] != runs[:-1]) | (at[1:] != at[:-1])) + 1).tolist()
+            out = []
+            for a, b in zip(starts, [*starts[1:], batch.num_rows]):
+                own = (int(runs[a]), names[at[a]])
+                if own != current:
+                    current, held = own, []
+                out += [(*own, *x) for x in fold(held, times[a:b], int(w[a]), int(n[a]), allowed)]
+            if out:
                 yield as_alerts(out)
-                out = []
-        if out:
-            yield as_alerts(out)
 
     return run
 
@@ -159,38 +164,21 @@ def as_alerts(found: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*found), ALERTS)], schema=ALERTS)
 
 
-def thresholds_of(rows: DataFrame) -> list[int]:
-    """The values of ``n``: those of the caller's rules."""
-    return [r["n"] for r in rows.select("n").distinct().collect()]
-
-
 def without(rows: DataFrame, hot: DataFrame | None) -> DataFrame:
     return rows if hot is None else rows.join(hot.select("run", "key"), ["run", "key"], "left_anti")
 
 
-def alerts(rows: DataFrame, allowed: int = 0, order: list[str] = ORDER, hot=AUTO, thresholds: list[int] | None = None, slice_rows: int = SLICE_ROWS) -> DataFrame:
-    """The alerts of the accepted rows, in whatever order they arrive. A key's rows fall apart where
-    event times are more than W + ``allowed`` apart: what arrives on one side of such a gap never meets
-    the other. Parts without a hit (n events within w) have no alert and go; the rest are folded in order of arrival,
-    each in the memory of its held times. Hot keys are folded in slices: see ``alerts_in_slices``."""
+def alerts(rows: DataFrame, allowed: int = 0, order: list[str] = ORDER, hot=AUTO, slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """The alerts of the accepted rows, in whatever order they arrive: a fold per key over partitions
+    sorted by run, key and arrival, in the memory of one key's held times. Hot keys are folded in
+    slices: see ``alerts_in_slices``."""
     hot = hot_keys(rows, "run") if hot is AUTO else hot
-    thresholds = thresholds_of(rows) if thresholds is None else thresholds
-    few = promising(without(rows, hot), thresholds, allowed, order)
-    dealt = few.select(*dict.fromkeys(["run", "key", "island", *order, "occ", "w", "n"])).repartition("run", "key", "island").sortWithinPartitions("run", "key", "island", *order)
-    out = dealt.select("run", "key", "island", "occ", "w", "n").mapInArrow(_fold_partition(allowed), ALERT)
+    few = without(rows, hot).select(*dict.fromkeys(["run", "key", *order, "occ", "w", "n"])).withColumn("_g", F.xxhash64("run", "key"))
+    dealt = few.repartition("run", "key").sortWithinPartitions("_g", "run", "key", *order)  # a number first: most comparisons end there
+    out = dealt.select("run", "key", "occ", "w", "n").mapInArrow(_fold_partition(allowed), ALERT)
     return out if hot is None else out.union(alerts_in_slices(rows, hot, allowed, order, slice_rows))
 
 
-def promising(rows: DataFrame, thresholds: list[int], allowed: int, order: list[str]) -> DataFrame:
-    """``rows`` with ``island``, without islands that have no hit. The windows of a key share one sort."""
-    time = Window.partitionBy("run", "key").orderBy("occ", *[c for c in order if c != "occ"])
-    gap = F.coalesce(F.col("occ") - F.lag("occ").over(time) > F.col("w") + allowed, F.lit(False)).cast("int")
-    seen = rows.withColumns({"_hit": is_hit(thresholds, time), "_gap": gap})
-    seen = seen.withColumn("_some", F.bool_or("_hit").over(Window.partitionBy("run", "key"))).where("_some")
-    seen = seen.withColumn("island", F.sum("_gap").over(time.rowsBetween(Window.unboundedPreceding, 0)))
-    return seen.withColumn("_some", F.bool_or("_hit").over(Window.partitionBy("run", "key", "island"))).where("_some").drop("_hit", "_gap", "_some")
-
-
 #: Neighbouring hits that are gathered to one list, so that lists of picks stay short while they grow.
 CHUNK = 64
 
@@ -332,7 +320,7 @@ def summary(marked: DataFrame, thresholds: list[int], allowed: int = 0, with_ale
     kept = marked.where("NOT late")
     out = counts.join(count(subjects(kept, thresholds, hot), "keys"), "run", "left")
     if with_alerts:
-        out = out.join(count(alerts(kept, allowed, hot=hot, thresholds=thresholds), "alerts"), "run", "left")
+        out = out.join(count(alerts(kept, allowed, hot=hot), "alerts"), "run", "left")
     return out.na.fill(0, ["keys"] + ["alerts"] * with_alerts)
 
 

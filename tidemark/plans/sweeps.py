@@ -5,7 +5,7 @@ never late, and none is in runs whose delays stay within one window, in runs tha
 the rule sees arrival times: no watermark for those. Where nothing was late or deleted and the rule
 sees times of occurrence, the subjects are the baseline's. The baseline is one run more of each rule.
 Runs whose arrivals are in order of event time (it, those that delete, and all where the rule sees arrival
-times) need no fold for their alerts.
+times) need no fold for their alerts. Where alerts are asked for, subjects are the keys that have one.
 
 Which subjects are marked is the caller's to say: ``marked`` is a condition on the projected stream or a
 DataFrame whose first column has their pids; without it, the marks of the ``events`` table.
@@ -114,22 +114,25 @@ def ordering_sweep(events: DataFrame, rules, clock: str = "M1", with_alerts: boo
     base = plain(stream, rules)
     every = runs.select("run", "rule").unionByName(numbers(events.sparkSession, rules))
     hot = sizes.by_run(every)
-    changed = F.lit(True) if clock == "M2" else (F.col("structure") == "delete") | ~never_late(clock, delay)
-    found = detect.subjects(kept.where(changed).select(*SEEN).unionByName(base.select(*SEEN)), n, hot)
-    found = cut(found.select("run", "key"), "subjects")
-    known = named(found.where("run < 0"), rules)
-    same = runs.where(~changed).select("run", "rule").join(known, "rule").select("run", "key")
-    found = found.where("run >= 0").union(same) if clock != "M2" else found.where("run >= 0")
+    if with_alerts:  # a key is detected if it has an alert
+        ordered = F.lit(True) if clock == "M2" else F.col("structure") == "delete"
+        fired = detect.alerts_in_order(kept.where(ordered).select(*SEEN).unionByName(base.select(*SEEN)), n, hot).select("run", "key")
+        if clock != "M2":
+            fired = fired.union(detect.alerts(kept.where(~ordered).select(*SEEN), hot=hot).select("run", "key"))
+        found = cut(fired.groupBy("run", "key").agg(F.count("*").alias("alerts")), "fired")
+        known = named(found.where("run < 0"), rules)
+    else:
+        changed = F.lit(True) if clock == "M2" else (F.col("structure") == "delete") | ~never_late(clock, delay)
+        found = detect.subjects(kept.where(changed).select(*SEEN).unionByName(base.select(*SEEN)), n, hot)
+        found = cut(found.select("run", "key"), "subjects")
+        known = named(found.where("run < 0"), rules)
+        same = runs.where(~changed).select("run", "rule").join(known, "rule").select("run", "key")
+        found = found.where("run >= 0").union(same) if clock != "M2" else found.where("run >= 0")
     out = runs.join(drops, "run").join(lost_keys(known, found, runs), "run", "left").join(detect.count(found, "keys"), "run", "left")
     out = out.join(known.groupBy("rule").agg(F.count("*").alias("baseline_keys")), "rule", "left")
     if with_alerts:
-        ordered = F.lit(True) if clock == "M2" else F.col("structure") == "delete"
-        fired = detect.alerts_in_order(kept.where(ordered).select(*SEEN).unionByName(base.select(*SEEN)), n, hot).select("run")
-        if clock != "M2":
-            fired = fired.union(detect.alerts(kept.where(~ordered).select(*SEEN), hot=hot, thresholds=n).select("run"))
-        fired = cut(detect.count(fired, "alerts"), "alerts")
-        of_base = named(fired.where("run < 0"), rules).withColumnRenamed("alerts", "baseline_alerts")
-        out = out.join(fired, "run", "left").join(of_base, "rule", "left")
+        of_base = known.groupBy("rule").agg(F.sum("alerts").alias("baseline_alerts"))
+        out = out.join(found.groupBy("run").agg(F.sum("alerts").alias("alerts")), "run", "left").join(of_base, "rule", "left")
     out = out.na.fill(0, ["keys_lost", "keys", "baseline_keys"] + ["alerts", "baseline_alerts"] * with_alerts)
     if with_alerts:
         lost = F.col("baseline_alerts") - F.col("alerts")
@@ -174,9 +177,10 @@ def mitigation_sweep(events: DataFrame, rules, buffers=(0.0, 0.5, 1.0, 2.0), del
     kept = marked.where("NOT late")
     drops = marked.groupBy("run").agg(F.count("*").alias("rows"), F.count_if("late").alias("dropped_late"))
     known = cut(baseline_subjects(stream, rules), "known")
-    fired = detect.count(detect.alerts(kept, order=reorder.ORDER, hot=hot, thresholds=n), "alerts")
+    found = cut(detect.alerts(kept, order=reorder.ORDER, hot=hot).groupBy("run", "key").agg(F.count("*").alias("alerts")), "fired")
+    fired = found.groupBy("run").agg(F.sum("alerts").alias("alerts"))
     of_base = named(detect.count(detect.alerts_in_order(base, n, sizes.by_run(numbers(spark, rules))), "baseline_alerts"), rules)
-    res = cells.join(drops, "run").join(lost_keys(known, detect.subjects(kept, n, hot), cells), "run", "left")
+    res = cells.join(drops, "run").join(lost_keys(known, found, cells), "run", "left")
     res = res.join(known.groupBy("rule").agg(F.count("*").alias("baseline_keys")), "rule", "left")
     res = res.join(of_base, "rule").join(longest, "of").join(fired, "run", "left").na.fill(0, ["alerts", "keys_lost", "baseline_keys"])
     lost, w = F.col("baseline_alerts") - F.col("alerts"), F.lit(None).cast("long")
