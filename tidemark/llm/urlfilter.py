@@ -24,8 +24,9 @@ MAX_RULES = 1000
 BLOCKED_TOPICS = (
     "casino", "poker", "jackpot", "slots", "roulette", "betting", "lottery", "bingo", "escort", "adult", "nude", "viagra", "pills", "payday",
     "loans", "giveaway", "replica", "warez", "keygen", "torrent", "adserver", "banner", "followers", "backlinks", "prize",
+    "spam", "ads", "track", "clicks", "popup",
 )
-BLOCKED_PLACES = ("online", "bonus", "free", "win", "cheap", "club24", "deals", "vip")
+BLOCKED_PLACES = ("bonus", "free", "win", "cheap", "club24", "deals", "vip", "farm")
 ALLOWED_TOPICS = (
     "library", "museum", "garden", "weather", "news", "university", "recipes", "software", "cycling", "physics", "letters", "parks", "birds",
     "railway", "health", "school", "chess", "gallery", "travel", "books", "astronomy", "geology", "botany", "philosophy", "linguistics",
@@ -33,21 +34,25 @@ ALLOWED_TOPICS = (
     "climate", "river", "ocean", "dictionary", "radio", "science", "teachers", "parliament", "statistics",
 )
 ALLOWED_PLACES = ("archive", "city", "institute", "journal", "society", "notes", "public", "national")
+#: Words beside the topic that either kind may have.
+SHARED_PLACES = ("online", "world", "center", "daily", "group", "best", "hub", "home")
 #: Paths that either kind may have, and those of one kind.
 PATHS, BLOCKED_PATHS, ALLOWED_PATHS = ("", "en/12", "fr/7?page=2", "de/33.html", "es/index/"), ("free-spins/play", "win-now/claim"), ("articles/2019/review", "about/contact")
 
 
 def hosts(topics: tuple[str, ...], places: tuple[str, ...]) -> list[str]:
-    """Each topic with two places before it and two behind it, another four from topic to topic."""
-    turn = lambda k, j: places[(3 * k + j) % len(places)]
-    return [name for k, topic in enumerate(topics) for name in (f"{topic}-{turn(k, 0)}.test", f"{topic}-{turn(k, 1)}.test", f"{turn(k, 2)}-{topic}.test", f"{turn(k, 3)}{topic}.test")]
+    """Each topic with two words of its kind and two of either, before it or behind; other ones from topic to topic."""
+    turn = lambda of, k: of[k % len(of)]
+    own = lambda k, j: turn(places, 2 * k + j)
+    either = lambda k, j: turn(SHARED_PLACES, 2 * k + j)
+    return [name for k, topic in enumerate(topics) for name in (f"{topic}-{own(k, 0)}.test", f"{own(k, 1)}{topic}.test", f"{topic}-{either(k, 0)}.test", f"{either(k, 1)}{topic}.test")]
 
 
 LABELLED = [
     (f"https://{host}/{path}", label)
     for topics, places, own, label in ((BLOCKED_TOPICS, BLOCKED_PLACES, BLOCKED_PATHS, 1), (ALLOWED_TOPICS, ALLOWED_PLACES, ALLOWED_PATHS, 0))
     for k, host in enumerate(hosts(topics, places))
-    for path in (PATHS[k % len(PATHS)], PATHS[(k + 2) % len(PATHS)], own[k % 2])
+    for path in (PATHS[k % len(PATHS)], PATHS[(k + 2) % len(PATHS)], own[k % 2] if k % 4 == 0 else PATHS[(k + 3) % len(PATHS)])
 ]
 
 
