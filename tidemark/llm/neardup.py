@@ -43,6 +43,8 @@ BANDS, ROWS = 12, 4
 DF_BITS, RARE_SHARE = 22, 2.0**-13
 #: Counters that travel together.
 DF_BLOCK = 1 << 16
+#: Shingles that a task gathers before it counts them.
+DF_OPEN = 2_000_000
 #: A candidate pair whose samples agree in less than this share is not looked at further: at a
 #: similarity of 0.8 that is 4.2 standard deviations away.
 LEAST_AGREEMENT = 0.56
@@ -194,11 +196,16 @@ def document_frequencies(rows: DataFrame) -> tuple[np.ndarray, int]:
     """Sums of the document frequencies of the shingles by bucket, and the number of documents. Each
     task sends its counters as compressed blocks, and blocks are summed where they meet; 2^22 numbers reach the driver."""
     def run(batches):
-        df, n = np.zeros(1 << DF_BITS, np.int32), 0
+        df, n, open_ = np.zeros(1 << DF_BITS, np.int32), 0, []
         for batch in batches:
             for _, texts in text_chunks(batch):
-                np.add.at(df, buckets(shingles(texts)[0]), 1)
+                open_.append(buckets(shingles(texts)[0]).astype(np.int32))
                 n += len(texts)
+                if sum(map(len, open_)) > DF_OPEN:
+                    df += np.bincount(np.concatenate(open_), minlength=len(df)).astype(np.int32)
+                    open_ = []
+        if open_:
+            df += np.bincount(np.concatenate(open_), minlength=len(df)).astype(np.int32)
         blocks = df.reshape(-1, DF_BLOCK)
         some = np.flatnonzero(blocks.any(axis=1)).tolist()
         packed = [zlib.compress(blocks[k].tobytes(), 1) for k in some]
