@@ -1,5 +1,7 @@
 import corpus_pipeline
-from tidemark.llm import queries
+from test_neardup_model import model
+from test_operators import brute_lines
+from tidemark.llm import pii, queries
 
 
 def test_stages_keep_the_columns(spark, smoke):
@@ -45,3 +47,48 @@ def test_language_stage_keeps_scripts_outside_the_vocabulary(spark, smoke):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
     kept = dict(corpus_pipeline.STAGES)["language_id"](spark, docs, smoke)
     assert {r.doc_id for r in kept.collect()} == set(range(60))
+
+
+def test_whole_result(spark, tmp_path):
+    """``run`` on a small corpus against plain versions of its stages, one after the other."""
+    import random
+    import zlib
+
+    import public_tokenizers
+    from pyspark.sql import functions as F
+    from tokenizers import Tokenizer
+
+    rng = random.Random(14)
+    said = {"en": "the cat and dog were in garden with a ball of wool under old tree by river".split(), "fr": "le chat et chien sont dans jardin avec une balle de laine sous vieil arbre au bord".split()}
+    line = lambda lang: " ".join(rng.choice(said[lang]) for _ in range(rng.randrange(5, 14)))
+    shared = ["\n".join(line("en") for _ in range(4)) for _ in range(3)]
+    rows = []
+    for k in range(60):
+        lang = ("en", "fr")[k % 2]
+        text = "\n".join(line(lang) for _ in range(rng.randrange(1, 9)))
+        text += f"\n{rng.choice(shared)}" if k % 5 == 0 else ""
+        text += f"\ncall 988-555-{1000 + k} or write u{k}@x.org on 1.2.19{10 + k}" if k % 3 == 0 else ""
+        rows.append((k, text, lang))
+    rows += [(60 + k, rows[k][1], rows[k][2]) for k in (1, 4)] + [(70, "", "en"), (71, "12 34", "en")]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").withColumn("source", F.lit("s")).withColumn("n_chars", F.length("text").cast("long"))
+    table.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got: dict = {}
+    for r in corpus_pipeline.run(spark, str(tmp_path)).collect():
+        got.setdefault(r.doc_id, []).append((r.start, r.length, r.ids_crc32, r.doc_tokens))
+    lines = brute_lines([(d, t) for d, t, _ in rows if any(c.isalpha() for c in t)])
+    classes, _ = model(lines)
+    texts = {d: pii.pseudonymise(t)[0] for d, t in lines if classes[d] == d}
+    encoder = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    assert set(got) == set(texts)
+    for d, t in texts.items():
+        ids = [*encoder.encode(t, add_special_tokens=False).ids, 1]
+        at = 0
+        for start, length, crc, total in sorted(got[d]):
+            assert (start, total) == (at, len(ids)) and crc == zlib.crc32(b"".join(x.to_bytes(4, "little") for x in ids[at : at + length]))
+            at += length
+        assert at == len(ids)
+
+
+def test_run_on_no_rows(spark, tmp_path):
+    spark.createDataFrame([], "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

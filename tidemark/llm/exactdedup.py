@@ -5,7 +5,9 @@ A batch of documents is reduced to one row per digest, sort-merge anti-joined wi
 what is new is appended. Only DataFrame functions are used.
 
 Defined results: a null text counts as empty; rows with a null id lose against any id; of rows
-repeated whole, one stays; an empty table yields no rows; other columns are never read.
+repeated whole, one stays; a digest that the index has keeps the id it came with, so a later batch with a
+larger id keeps the older (``exact_dedup`` adds larger ids first); an empty table yields no rows; other
+columns are never read.
 """
 
 from __future__ import annotations
