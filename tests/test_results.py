@@ -5,8 +5,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators.rules import CATALOGUE
-from tidemark.plans import results, verdicts
+from tidemark.operators.rules import CATALOGUE, pid_rules
+from tidemark.plans import results, sweeps, verdicts
 from tidemark.sources import events as ev
 from tidemark.sources import sinks
 from tidemark.sources.cases import CaseSource, subset
@@ -139,3 +139,19 @@ def test_verdicts(spark):
     assert r.holds and r.primary and r.adopted and r.direction is None and r.p025 <= r.p05 <= r.difference <= r.p95 <= r.p975
     r = verdicts.targeting_equivalence(evasion.withColumn("evasion_rate", F.when(F.col("structure") == "targeted", 0.9).otherwise(F.col("evasion_rate"))), 500).first()
     assert not r.holds and not r.adopted and r.direction == "targeted" and r.beyond
+
+
+def test_marked_subjects_are_the_callers(spark, smoke):
+    """Marks from a table and from a condition, other than those of the registered queries."""
+    events, rules_, few = ev.table_events(spark, smoke), pid_rules()[:2], {"fractions": (0.2,), "multiples": (2.0,), "seeds": (0,)}
+    pids = [r.pid for r in events.select("pid").distinct().orderBy("pid").limit(9).collect()][::2]
+    labels = spark.createDataFrame([(p,) for p in pids * 2] + [(None,)], "label bigint")
+    by_table = sweeps.targeting_sweep(events, rules_, marked=labels, **few)
+    by_condition = sweeps.targeting_sweep(events, rules_, marked=F.col("pid").isin(pids), **few)
+    record = lambda df: sorted((r.rule, r.structure, r.malicious_detected, r.malicious_evaded) for r in df.collect())
+    assert record(by_table) == record(by_condition) and len(record(by_table)) > 0
+    _, stream, rows = sweeps.distorted(events, rules_, structures=("targeted",), marked=labels, **few)
+    moved = rows.where("arr <> t").select("pid").distinct()
+    assert {r.pid for r in moved.collect()} <= set(pids) and stream.where("marked").select("pid").distinct().count() == len(pids)
+    none = sweeps.targeting_sweep(events, rules_, marked=labels.where("false"), **few)
+    assert none.where("structure = 'targeted'").isEmpty()

@@ -676,9 +676,6 @@ def _(spark, d):
 # --- sweeps and what is said of them
 
 
-# --- sweeps and what is said of them
-
-
 @query("swp01_ordering_sweep_keys", f"WITH {O.sweep()} SELECT {SQL_RECORD} FROM sweep")
 def _(spark, d):
     return record(_sweep(spark, d))
@@ -765,7 +762,6 @@ _on_sweep("agg04_shares", "SELECT rule, structure, CAST(sum(CASE WHEN dropped_la
 _on_sweep("agg12_loss_by_region", "SELECT rule, multiple <= 1 AS inside, count(*) AS runs, CAST(sum(CASE WHEN keys_lost > 0 THEN 1 ELSE 0 END) AS BIGINT) AS losing, CAST(sum(CASE WHEN keys_lost > 0 AND dropped_late = 0 THEN 1 ELSE 0 END) AS BIGINT) AS loss_without_drops FROM sweep WHERE structure <> 'delete' GROUP BY rule, multiple <= 1")
 _on_sweep("agg11_targeted_advantage", "SELECT a.rule, a.fraction, a.multiple, round(b.m - a.m, 4) AS advantage FROM (SELECT rule, fraction, multiple, avg(key_reduction) AS m FROM sweep WHERE structure = 'random' GROUP BY rule, fraction, multiple) a JOIN (SELECT rule, fraction, multiple, avg(key_reduction) AS m FROM sweep WHERE structure = 'targeted' GROUP BY rule, fraction, multiple) b ON a.rule = b.rule AND a.fraction = b.fraction AND a.multiple = b.multiple")
 _on_sweep("jon06_treatment_control", "SELECT a.rule, a.fraction, a.multiple, round(a.m - b.m, 6) AS difference FROM (SELECT rule, fraction, multiple, avg(key_reduction) AS m FROM sweep WHERE structure = 'random' GROUP BY rule, fraction, multiple) a JOIN (SELECT rule, fraction, avg(key_reduction) AS m FROM sweep WHERE structure = 'delete' GROUP BY rule, fraction) b ON a.rule = b.rule AND a.fraction = b.fraction")
-_on_sweep("hyp0a_no_drops_inside", "SELECT count(*) AS runs, CAST(sum(CASE WHEN dropped_late > 0 THEN 1 ELSE 0 END) AS BIGINT) AS violations FROM sweep WHERE multiple <= 1 AND structure <> 'delete'")
 _on_sweep("snk04_figure_series", "SELECT rule, multiple, round(avg(key_reduction), 6) AS mean, min(dropped_late) AS least_drops, max(dropped_late) AS most_drops FROM sweep WHERE structure = 'random' GROUP BY rule, multiple")
 
 
