@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
-from tidemark.functions.slicing import running
+from tidemark.functions.slicing import running, width_of
+from tidemark.operators import releases
 from tidemark.operators.detect import fold
 from tidemark.streaming.rule import ALERT
 
@@ -69,6 +70,37 @@ def mark_stream(events: DataFrame, path: str, checkpoint: str, allowed: int = 0,
     return events.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
+def buffer_stream(arrived: DataFrame, runs: dict[str, list[int]], sizes: dict[str, list[int]], path: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Reorder buffers of every run and size over a stream of ``releases.ARRIVED`` rows in order of arrival. Each batch is looked
+    up in slices of time; what it releases is at ``path``/all/batch=k/held=false, what the buffers hold after it beside that."""
+    def batch(rows: DataFrame, number: int) -> None:
+        spark, out = rows.sparkSession, f"{path}/all/batch={number}"
+        if there(spark, out):
+            return
+        before = f"{path}/all/batch={number - 1}"
+        held = None
+        if number:
+            names = spark.createDataFrame([(r, name) for name, own in runs.items() for r in own], "run int, rule string")
+            held = spark.read.schema(releases.OUT_SQL + ", held boolean").parquet(before).where("held").join(F.broadcast(names), "run")
+        rows = rows.persist()
+        found = releases.released(rows, runs, sizes, width_of(rows, ["rule"], "arr"), held)
+        found.withColumn("held", F.col("released").isNull()).write.mode("overwrite").partitionBy("held").parquet(out)
+        rows.unpersist()
+
+    return arrived.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
+def buffer_releases(spark: SparkSession, path: str) -> DataFrame:
+    """What all batches released, and, with ``released`` null, what is held after the last one."""
+    last = 0
+    while there(spark, f"{path}/all/batch={last}"):
+        last += 1
+    if not last:
+        return spark.createDataFrame([], releases.OUT_SQL)
+    rows = spark.read.schema(releases.OUT_SQL + ", batch int, held boolean").parquet(f"{path}/all")
+    return rows.where((F.col("batch") < last) & (~F.col("held") | (F.col("batch") == last - 1))).drop("batch", "held")
+
+
 def marked_rows(spark: SparkSession, path: str, files: int | None = None) -> DataFrame:
     """The rows that ``mark_stream`` writes, as a stream: whole batches in their order."""
     reader = spark.readStream.schema(MARKED)
