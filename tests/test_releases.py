@@ -7,7 +7,7 @@ from test_compact import shuffled
 from tidemark.operators import compact, releases, reorder
 from tidemark.plans import queries, sweeps
 from tidemark.sources import events as ev
-from tidemark.streaming import sharded
+from tidemark.streaming import rule, sharded
 
 S = 1_000_000
 SIZES = {"dense_any": [0, 43_200 * S, 172_800 * S], "mid_cp": [86_400 * S, 0, 345_600 * S]}
@@ -58,3 +58,14 @@ def test_no_copy_per_run_and_size(spark, smoke):
     n = ev.table_events(spark, smoke).count()
     for name, most in (("str06_buffer_checksums", 40), ("str06_stream_buffer", 40), ("str07_buffer_waits", 70)):
         assert shuffled(spark, lambda: queries.QUERIES[name](spark, smoke).collect()) < most * n, name  # noqa: B023
+
+
+def test_keys_share_states(spark, tmp_path):
+    """A thousand keys are held in a few states: a call for each key costs more than its fold."""
+    rows = [(0, f"k{k % 1000}", k, k, k * S, 5000 * S, 4, False) for k in range(2500)]
+    path = str(tmp_path)
+    spark.createDataFrame(rows, sharded.MARKED).repartition(3).write.parquet(f"{path}/rows/batch=0")
+    with rule.state_store(spark):
+        query = sharded.held_alerts(sharded.marked_rows(spark, path), buckets=7).writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/cp").trigger(availableNow=True).start()
+        query.awaitTermination(180)
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 7

@@ -12,7 +12,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -27,6 +29,8 @@ ROWS = "stream int, key string, arr bigint, seq bigint, occ bigint, w bigint, n
 MARKED = ROWS + ", late boolean"
 #: A batch has this many slices a stream at least, more if it has more rows.
 SHARDS, SHARD_ROWS = 4, 500_000
+#: States that the keys of a stream are dealt over.
+BUCKETS = 64
 
 
 def mark_batch(rows: DataFrame, carry: DataFrame | None, allowed: int = 0, shards: int = SHARDS) -> tuple[DataFrame, DataFrame]:
@@ -108,7 +112,7 @@ def marked_rows(spark: SparkSession, path: str, files: int | None = None) -> Dat
 
 
 class Held(StatefulProcessor):
-    """The held times of a key. With ``clock``, a timer of event time lets them go once the clock has
+    """The held times of a bucket of keys. With ``clock``, a timer of event time lets a key's go once the clock has
     passed the last one by 2 W + L: no later event can share a span with them."""
 
     def __init__(self, allowed: int, clock: bool):
@@ -116,41 +120,70 @@ class Held(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.times = handle.getListState("times", "t bigint")
+        self.state = handle.getValueState("held", "keys binary")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(rows)).sort_values(["arr", "seq"])
-        held = sorted(int(x[0]) for x in self.times.get()) if self.times.exists() else []
-        w, n = int(frame["w"].iloc[0]), int(frame["n"].iloc[0])
-        out = [(key[0], key[1], *x) for x in fold(held, frame.loc[~frame["late"], "occ"].tolist(), w, n, self.allowed)]
-        held = [t for t in held if t >= held[-1] - 2 * w - self.allowed]
-        if held:
-            self.times.put([(t,) for t in held])
-        else:
-            self.times.clear()
+    def load(self) -> dict[str, tuple[int, list[int]]]:
+        """By key: W and the held times."""
+        if not self.state.exists():
+            return {}
+        table = pa.ipc.open_stream(bytes(self.state.get()[0])).read_all().to_pydict()
+        return {k: (w, times) for k, w, times in zip(table["key"], table["w"], table["times"])}
+
+    def keep(self, held: dict[str, tuple[int, list[int]]]) -> None:
         if self.clock:
             for at in list(self.handle.listTimers()):
                 self.handle.deleteTimer(at)
-            if held:
-                self.handle.registerTimer((held[-1] + 2 * w + self.allowed) // 1000 + 1)
+        if not held:
+            self.state.clear()
+            return
+        batch = pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array([w for w, _ in held.values()], pa.int64()), pa.array([x for _, x in held.values()], pa.list_(pa.int64()))], names=["key", "w", "times"])
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, batch.schema) as out:
+            out.write_batch(batch)
+        self.state.update((sink.getvalue().to_pybytes(),))
+        if self.clock:
+            self.handle.registerTimer(min(self.end(*x) for x in held.values()))
+
+    def end(self, w: int, times: list[int]) -> int:
+        """Milliseconds of the clock from which a key's times are let go."""
+        return (times[-1] + 2 * w + self.allowed) // 1000 + 1
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        frame, held, out = pd.concat(list(rows)), self.load(), []
+        codes, names = pd.factorize(frame["key"])
+        order = np.lexsort((frame["seq"].to_numpy(), frame["arr"].to_numpy(), codes))
+        codes, kept = codes[order], ~frame["late"].to_numpy(bool)[order]
+        occ, w, n = (frame[c].to_numpy()[order] for c in ("occ", "w", "n"))
+        starts = [0, *(np.flatnonzero(codes[1:] != codes[:-1]) + 1).tolist()]
+        for a, b in zip(starts, [*starts[1:], len(codes)]):
+            name, own = names[codes[a]], int(w[a])
+            times = held.pop(name, (own, []))[1]
+            out += [(key[0], name, *x) for x in fold(times, occ[a:b][kept[a:b]].tolist(), own, int(n[a]), self.allowed)]
+            times = [t for t in times if t >= times[-1] - 2 * own - self.allowed]
+            if times:
+                held[name] = own, times
+        self.keep(held)
         yield pd.DataFrame(out, columns=["stream", "key", "fired_at", "count", "window_start", "window_end"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.times.clear()
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        self.keep({k: x for k, x in self.load().items() if self.end(*x) > now})
         yield pd.DataFrame([], columns=["stream", "key", "fired_at", "count", "window_start", "window_end"])
 
     def close(self) -> None:
         pass
 
 
-def held_alerts(marked: DataFrame, allowed: int = 0, longest: int | None = None, apart: int = 0) -> DataFrame:
-    """Alerts of a stream of marked rows. ``spark.sql.streaming.stateStore.providerClass`` has to be
+def held_alerts(marked: DataFrame, allowed: int = 0, longest: int | None = None, apart: int = 0, buckets: int = BUCKETS) -> DataFrame:
+    """Alerts of a stream of marked rows. A stream's keys are dealt over ``buckets`` states, as a call for each key costs
+    more than its fold; a checkpoint belongs to one number of them. ``spark.sql.streaming.stateStore.providerClass`` has to be
     ``rule.STATE_STORE``. With ``longest`` (the largest W of all rules, in microseconds), keys are
     forgotten by the clock of event time, which all streams of the query share: ``apart`` is how far
     their watermarks may lie apart; times lie after 1970. Without it every key is kept."""
     rule = Held(allowed, longest is not None)
+    marked = marked.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)))
     if longest is None:
-        return marked.groupBy("stream", "key").transformWithStateInPandas(rule, ALERT.replace("stream string", "stream int"), "append", "none")
+        return marked.groupBy("stream", "bucket").transformWithStateInPandas(rule, ALERT.replace("stream string", "stream int"), "append", "none")
     delay = (longest + allowed + apart) // 1000 + 2  # an event at the deadline is not late
     clocked = marked.withColumn("_at", F.timestamp_micros("occ")).withWatermark("_at", f"{delay} milliseconds")
-    return clocked.groupBy("stream", "key").transformWithStateInPandas(rule, ALERT.replace("stream string", "stream int"), "append", "eventTime")
+    return clocked.groupBy("stream", "bucket").transformWithStateInPandas(rule, ALERT.replace("stream string", "stream int"), "append", "eventTime")
