@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import detect
+from tidemark.operators import compact, detect, distort, rules
 from tidemark.plans import queries, sweeps
 from tidemark.sources import events as ev
 
@@ -50,3 +50,40 @@ def test_no_shuffle_per_run(spark, smoke):
     options = {**queries.MITIGATION, "seeds": (0, 1, 2, 3)}
     assert shuffled(spark, lambda: sweeps.mitigation_sweep(events, one, **options).collect()) < 30 * n + 10_000
     assert shuffled(spark, lambda: sweeps.ordering_sweep(events, one, with_alerts=False).collect()) < 12 * n + 30_000
+
+
+@pytest.mark.parametrize("digits", [3, 7])
+def test_draws_are_those_of_the_whole_digest(spark, smoke, monkeypatch, digits):
+    """Where the digits that travel with a row are equal, the whole digest decides."""
+    monkeypatch.setattr(compact, "PICK_DIGITS", digits)
+    events = ev.table_events(spark, smoke)
+    options = {"fractions": (0.05, 0.3), "seeds": (3, 0), "multiples": (1.0, 2.0)}
+    runs, rows = sweeps.moving(events, queries.PID[:2], **options)
+    got = rows.select("rule", "seq", F.explode("moves.run").alias("run"))
+    wanted = distort.chosen(distort.draws(rules.project(events, queries.PID[:2]), runs), runs).where("chosen").select("rule", "seq", "run")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, wanted.collect()))
+
+
+def test_no_null_lists_reach_python(spark, smoke, monkeypatch):
+    """A null list costs Arrow's writer as many steps as there are nulls before it."""
+    events, seen = ev.table_events(spark, smoke), []
+    kind = type(events)
+    plain = kind.mapInArrow
+
+    def spy(df, *args, **kwargs):
+        if "moves" in df.columns:
+            seen.append(df.where("moves IS NULL").count())
+        return plain(df, *args, **kwargs)
+
+    monkeypatch.setattr(kind, "mapInArrow", spy)
+    sweeps.ordering_sweep(events, queries.PID[:1], with_alerts=False, fractions=(0.2,), seeds=(0,)).collect()
+    assert seen == [0, 0]
+
+
+def test_digests_are_taken_once_per_event(spark, smoke, monkeypatch):
+    """Runs and rules share a row's digests: rows that a run moves are found without another."""
+    events, asked = ev.table_events(spark, smoke), []
+    cut = compact.cut
+    monkeypatch.setattr(compact, "cut", lambda df, name: (asked.append((name, df._jdf.queryExecution().optimizedPlan().toString())), cut(df, name))[1])
+    sweeps.moving(events, queries.PID[:2], fractions=(0.2,), seeds=(0, 1))
+    assert [plan.count("md5") for name, plan in asked if name == "places"] == [0]
