@@ -87,3 +87,33 @@ def test_digests_are_taken_once_per_event(spark, smoke, monkeypatch):
     monkeypatch.setattr(compact, "cut", lambda df, name: (asked.append((name, df._jdf.queryExecution().optimizedPlan().toString())), cut(df, name))[1])
     sweeps.moving(events, queries.PID[:2], fractions=(0.2,), seeds=(0, 1))
     assert [plan.count("md5") for name, plan in asked if name == "places"] == [0]
+
+
+def test_rows_are_held_against_slices_in_reach(spark, smoke, monkeypatch):
+    """Rows meet slices by number, not each row all slices of its rule."""
+    grid = sweeps.Grid.of(ev.table_events(spark, smoke), queries.RULES[1:3], fractions=(0.3,), seeds=(0,), multiples=(1.0, 2.0))
+    days, plans = np.array([queries.START + k * 86_400_000_000 for k in range(20)]), []
+    kind = type(grid.rows)
+    monkeypatch.setattr(kind, "mapInArrow", lambda df, *_: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or df)
+    for before in (False, True):
+        compact.verdicts(grid.rows, grid.runs, days, before)
+    joins = [line for plan in plans for line in plan.splitlines() if "Join Inner" in line]
+    assert len(joins) == 5 and all("_s#" in line or "slice#" in line for line in joins)
+
+
+def test_alerts_by_stretches(monkeypatch):
+    """Alerts counted by stretches are those of the fold, and what arrives in order is not folded."""
+    rng = np.random.default_rng(5)
+    for trial in range(300):
+        monkeypatch.setattr(detect, "SIDE_BY_SIDE", 2 + 30 * (trial % 2))
+        m, w, n = int(rng.integers(0, 120)), int(rng.integers(1, 40)), int(rng.integers(1, 7))
+        keys, t = np.sort(rng.integers(0, rng.integers(1, 60), m)), rng.integers(0, rng.integers(5, 2000), m)
+        arr = t + (rng.random(m) < rng.choice([0, 0.05, 0.3])) * rng.integers(0, 3 * w + 1, m)
+        order = np.lexsort((arr, keys))
+        keys, t = keys[order], t[order]
+        wanted = {int(k): c for k in np.unique(keys) if (c := len(detect.fold([], t[keys == k].tolist(), w, n)))}
+        assert dict(zip(*map(np.ndarray.tolist, detect.alert_counts(keys, t, w, n)))) == wanted
+    far = np.array([0, 1, 2, 1 << 61, 3, (1 << 61) + 1])  # too far apart to number all keys' times in one line
+    assert [x.tolist() for x in detect.alert_counts(np.array([0, 0, 0, 1, 1, 1]), far, 5, 2)] == [[0, 1], [1, 1]]
+    monkeypatch.setattr(detect, "fired", None)
+    assert [x.tolist() for x in detect.alert_counts(np.zeros(1000, int), np.arange(1000), 5, 5)] == [[0], [200]]
