@@ -101,6 +101,19 @@ def test_rows_are_held_against_slices_in_reach(spark, smoke, monkeypatch):
     assert len(joins) == 5 and all("_s#" in line or "slice#" in line for line in joins)
 
 
+@pytest.mark.parametrize("buffers", [(0.0, 1.0), None])
+def test_gaps_are_not_copied_to_each_slice(spark, smoke, monkeypatch, buffers):
+    """A burst moves all rows of a window; slices that lie in it get the ends of the gap, not its rows."""
+    grid = sweeps.Grid.of(ev.table_events(spark, smoke), queries.RULES[:1], delay="burst", structures=("random",), fractions=(0.4,), seeds=(0, 1), multiples=(2.0,))
+    hours, rows, kind = np.array([queries.START + k * 3_600_000_000 for k in range(0, 24 * 30, 3)]), [], type(grid.rows)
+    plain = kind.mapInArrow
+    monkeypatch.setattr(kind, "mapInArrow", lambda df, *args: ("place" in df.columns and rows.append(df.count())) or plain(df, *args))
+    whole, sliced = (sorted(map(repr, replace(grid, sizes=sweeps.Sizes(width, None)).evaluated(True, buffers).where("key IS NOT NULL").collect())) for width in (None, hours))
+    assert sliced == whole != []
+    one, many = rows
+    assert many <= one + 2 * 2 * (len(hours) + 1)  # two runs have two ends each
+
+
 def test_alerts_by_stretches(monkeypatch):
     """Alerts counted by stretches are those of the fold, and what arrives in order is not folded."""
     rng = np.random.default_rng(5)
