@@ -114,6 +114,15 @@ def test_gaps_are_not_copied_to_each_slice(spark, smoke, monkeypatch, buffers):
     assert many <= one + 2 * 2 * (len(hours) + 1)  # two runs have two ends each
 
 
+def test_ends_of_slices_are_hashed(spark, smoke, monkeypatch):
+    """What looks at each row once per run does not sort those rows."""
+    grid = sweeps.Grid.of(ev.table_events(spark, smoke), queries.RULES[:1], fractions=(0.3,), seeds=(0,), multiples=(1.0, 2.0))
+    plans, cut = {}, compact.cut
+    monkeypatch.setattr(compact, "cut", lambda df, name: (plans.update({name: df._jdf.queryExecution().executedPlan().toString()}), cut(df, name))[1])
+    compact.verdicts(grid.rows, grid.runs, np.array([queries.START + k * 86_400_000_000 for k in range(20)]), even=True)
+    assert "SortAggregate" not in plans["edges"]
+
+
 def test_alerts_by_stretches(monkeypatch):
     """Alerts counted by stretches are those of the fold, and what arrives in order is not folded."""
     rng = np.random.default_rng(5)
