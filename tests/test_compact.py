@@ -139,3 +139,32 @@ def test_alerts_by_stretches(monkeypatch):
     assert [x.tolist() for x in detect.alert_counts(np.array([0, 0, 0, 1, 1, 1]), far, 5, 2)] == [[0, 1], [1, 1]]
     monkeypatch.setattr(detect, "fired", None)
     assert [x.tolist() for x in detect.alert_counts(np.zeros(1000, int), np.arange(1000), 5, 5)] == [[0], [200]]
+
+
+@pytest.mark.parametrize("with_alerts", [False, True])
+def test_keys_are_counted_where_they_meet(spark, smoke, with_alerts):
+    """Counts and lists of keys are those of the keys that each run detects, with hot keys and without."""
+    options = {"fractions": (0.3,), "seeds": (0,), "multiples": (1.0, 2.0)}
+    for clock in ("M1", "M2"):
+        grid = sweeps.Grid.of(ev.table_events(spark, smoke), queries.RULES[1:3], clock=clock, **options)
+        rule = {r.run: r.rule for r in grid.runs.collect()} | {r.run: r.rule for r in sweeps.numbers(spark, grid.rules).collect()}
+        keys = {run: {} for run in rule}
+        for r in sweeps.detected(grid.evaluated(with_alerts)).collect():
+            keys[r.run][r.key] = r.alerts
+        base = {rule[run]: set(found) for run, found in keys.items() if run < 0}
+        hot = detect.hot_keys(grid.rows.withColumn("occ", F.col("t")), "rule", most=20)
+        for own in (grid, replace(grid, sizes=sweeps.Sizes(None, hot))):
+            got = sweeps.sums(own.evaluated(with_alerts, listed=compact.NONE)).collect()
+            assert {r.run: (r["keys"], r.known, r.alerts) for r in got} == {run: (len(f), len(base[rule[run]] & set(f)), sum(f.values()) if with_alerts else None) for run, f in keys.items()}
+            lost = sweeps.detected(own.evaluated(with_alerts, listed=compact.LOST)).select("run", "key").collect()
+            assert sorted(map(tuple, lost)) == sorted((run, k) for run, f in keys.items() for k in base[rule[run]] - set(f)) != []
+
+
+@pytest.mark.parametrize("sweep", [sweeps.ordering_sweep, sweeps.targeting_sweep, sweeps.mitigation_sweep])
+def test_no_list_of_keys_per_run(spark, smoke, monkeypatch, sweep):
+    """What a sweep keeps of its evaluation has no row for each key and run: joined, such a list went through the driver."""
+    rows, cut = {}, sweeps.cut
+    monkeypatch.setattr(sweeps, "cut", lambda df, name: (out := cut(df, name), rows.update({name: out.count()}))[0])
+    records = sweep(ev.table_events(spark, smoke), queries.PID[:1], fractions=(0.05,), seeds=(0, 1), multiples=(0.5, 2.0)).collect()
+    cells = 1 + (16 if sweep is sweeps.mitigation_sweep else 10)
+    assert records and rows["evaluated"] <= cells * 4  # so many for each partition
