@@ -69,3 +69,21 @@ def test_counters_are_exact_on_a_small_corpus(spark):
     h, _, bounds = neardup.shingles([t for _, t in rows])
     wanted = Counter(neardup.buckets(h).tolist())
     assert n == len(rows) == len(bounds) - 1 and all(df[k] == c for k, c in wanted.items()) and df.sum() == len(h)
+
+
+def test_near_copies_of_a_text_with_many_copies(spark):
+    """However often a text is copied, its near copies are found: copies do not make it weigh less."""
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(900)]
+    base = [rng.choice(words) for _ in range(100)]
+    near = [" ".join([*base[:k], "other" + str(k), *base[k + 1 : k + 3], "another" + str(k), *base[k + 4 :]]) for k in range(10, 90, 16)]
+    rest = [" ".join(rng.choice(words) for _ in range(60)) for _ in range(200)]
+    rows = list(enumerate([" ".join(base)] * 100 + near + rest + [None, ""]))
+    got = {r.doc_id: (r.class_id, r.class_rows) for r in neardup.near_dup_report(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)).collect()}
+    assert [got[i] for i in range(105)] == [(0, 105)] * 105 and all(got[i] == (i, 1) for i in range(105, 307))
+
+
+def test_equal_texts_are_counted_once(spark):
+    rows = [("a b c",)] * 5 + [("a b d",), ("e f",), (None,), (None,), ("",)]
+    found = neardup.different(spark.createDataFrame(rows, "text string").repartition(4)).collect()
+    assert sorted(str(r.text) for r in found) == sorted(["a b c", "a b d", "e f", "None", ""])

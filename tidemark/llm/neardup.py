@@ -1,8 +1,9 @@
 """Near-duplicate documents by improved consistent weighted sampling over TF-IDF shingles.
 
 A document is the weighted set of its five-word shingles: term frequency times inverse document
-frequency, 1 - ln(share of the documents that have it). Shares are counted over all documents in
-2^22 hash counters, less what an average shingle finds there by collision, so the table that tasks
+frequency, 1 - ln(share of the documents that have it). Shares are counted over all different texts
+(copies of a text would make what they share weigh less than the edits of its near copies, the less the more
+there are) in 2^22 hash counters, less what an average shingle finds there by collision, so the table that tasks
 share never grows; below RARE_SHARE (one document in 8192), where such counters cannot tell shares apart in a
 large corpus, all weigh the same. A weight thus depends on shares alone, at any size of the corpus. Each document gets K consistent
 weighted samples (Ioffe 2010), grouped to bands; documents that share a band are candidates, and a
@@ -232,6 +233,19 @@ def document_frequencies(rows: DataFrame) -> tuple[np.ndarray, int]:
     return df, n
 
 
+def digest_of(text: str = "text") -> Column:
+    return F.unhex(F.md5(F.col(text).cast("binary")))
+
+
+def different(rows: DataFrame) -> DataFrame:
+    """(text) of ``rows``, equal ones once. Texts whose digest is not repeated stay where they are; only the others are
+    shuffled, behind a bitmap that may let more through."""
+    texts = rows.select(digest_of().alias("node"), "text")
+    repeated = cut(texts.where("node IS NOT NULL").groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select("node"), "repeated")
+    maybe = F.col("node").isNull() | may_be_in(repeated)
+    return texts.where(~maybe).select("text").union(texts.where(maybe).dropDuplicates(["node"]).select("text"))
+
+
 def table_of(idf) -> np.ndarray:
     """The weights, of an array or of what was sent to all tasks once."""
     return idf if isinstance(idf, np.ndarray) else idf.value
@@ -452,13 +466,13 @@ def links_of(nodes: DataFrame, texts: DataFrame, idf, least: float, bands: int,
 def classes(rows: DataFrame, least: float = SIMILARITY, bands: int = BANDS, band_rows: int = ROWS) -> DataFrame:
     """(id, row, class_id, class_rows, kept) of the rows (id, row, text), which must be a table:
     the least id of the class, its number of rows, and whether this row is the one that stays."""
-    df, n = document_frequencies(rows)
+    df, n = document_frequencies(different(rows))
     idf = rows.sparkSession.sparkContext.broadcast(idf_table(df, n))  # 2^22 numbers at any size
     signed = cut(signatures(rows, idf, bands * band_rows), "signatures")
     worded = signed.where("node IS NOT NULL")
     own = worded.groupBy("node").agg(F.min(F.struct("id", "row")).alias("top"), F.count("*").alias("n"), F.first("sig").alias("sig"), F.first("size").alias("size"))
     nodes = cut(own, "nodes")
-    texts = rows.select(F.unhex(F.md5(F.col("text").cast("binary"))).alias("node"), "text")
+    texts = rows.select(digest_of().alias("node"), "text")
     labels = links_of(nodes.select("node", "sig", "size"), texts, idf, least, bands, band_rows)
     if labels is None:
         labelled = nodes.select("node", F.col("node").alias("label"), "top", "n")
@@ -467,7 +481,7 @@ def classes(rows: DataFrame, least: float = SIMILARITY, bands: int = BANDS, band
     labelled = cut(labelled, "labelled")
     groups = cut(labelled.groupBy("label").agg(F.min("top").alias("class_top"), F.sum("n").alias("class_rows")), "groups")
     by_node = cut(labelled.join(groups, "label").select("node", "n", "class_top", "class_rows"), "by_node")
-    few = F.broadcast(by_node.where(F.col("n") > n * HOT_SHARE))  # fewer than 1 / HOT_SHARE nodes
+    few = F.broadcast(by_node.where(F.col("n") > rows.count() * HOT_SHARE))  # fewer than 1 / HOT_SHARE nodes
     mass = worded.join(few.select("node"), "node", "left_anti").join(by_node, "node")
     known = mass.select("id", "row", "class_top", "class_rows").union(worded.join(few, "node").select("id", "row", "class_top", "class_rows"))
     alone = signed.where("node IS NULL").select("id", "row", F.struct("id", "row").alias("class_top"), F.lit(1).cast("long").alias("class_rows"))
